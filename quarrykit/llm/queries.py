@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import chat, decontaminate, minhash, packing, secrets
+from quarrykit.llm import chat, decontaminate, minhash, packing, secrets, substrings
 from quarrykit.session import table
 
 
@@ -39,10 +39,15 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_chat": op6_chat,
     "op7_minhash": op7_minhash,
+    "op8_substrings": op8_substrings,
 }
