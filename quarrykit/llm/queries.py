@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import chat, decontaminate, minhash, packing, secrets, substrings, tokenids, warc
+from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, substrings, tokenids, warc
 from quarrykit.session import table
 
 
@@ -56,6 +56,11 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "source", "lang", *(F.round(f"_p_{t}", 6).alias(f"p_{t}") for t in quality.TARGETS), F.col("_rejected").alias("rejected"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -65,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_minhash": op7_minhash,
     "op8_substrings": op8_substrings,
+    "op9_quality": op9_quality,
 }

@@ -74,6 +74,25 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+def prefix_hashes(texts: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
+    """A row for each size: fingerprints of the words' first bytes, 0 for shorter words. Words as in word_hashes."""
+    raw = np.frombuffer(b" ".join(texts).translate(_SPACE), np.uint8)
+    if not len(raw):
+        return np.zeros((len(sizes), 0), np.uint64)
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = raw != 0x20
+    edge = np.diff(solid)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
+    back = _powers(_INVERSE, len(raw))[starts]
+    out = np.zeros((len(sizes), len(starts)), np.uint64)
+    for row, size in zip(out, sizes, strict=True):
+        held = ends - starts >= size
+        row[held] = mix((sums[starts[held] + size] - sums[starts[held]]) * back[held] + np.uint64(size << 32))
+    return out
+
+
 def windows(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Fingerprints of all runs of k consecutive words of the whole array."""
     if len(words) < k:
