@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, substrings, tokenids, warc
+from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, substrings, tokenids, vectors, warc
 from quarrykit.session import table
 
 
@@ -61,6 +61,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "source", "lang", *(F.round(f"_p_{t}", 6).alias(f"p_{t}") for t in quality.TARGETS), F.col("_rejected").alias("rejected"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -71,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
+    "op10_vectors": op10_vectors,
 }
