@@ -3,8 +3,9 @@
 Each permutation of a document's shingle set gives two values, its least and its greatest, so
 half as many hashes are evaluated for a signature of a given length. Bands of ROWS values are
 bucket keys. Texts with equal sets are one class from the start; inside each bucket classes are
-compared with the bucket's first class, and only members of different components that were never
-compared are paired beyond that. Every link is confirmed on the full sets.
+compared with the bucket's most central class, and only members of different components that were
+never compared, and that share enough with others to reach the threshold at all, are paired beyond
+that. Every link is confirmed on the full sets.
 
 With 48 bands of 6 values a pair at exactly 0.8 is missed with a probability of 5e-7.
 
@@ -126,6 +127,20 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFra
     return filled.mapInArrow(_confirm(size, share), "a bigint, b bigint")
 
 
+def _common(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, c): how many of a text's shingles occur in another of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            found = shingle_sets([open_.decompress(p).decode("utf-8") for p in batch.column("packed").to_pylist()], size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    rows = stored(texts.select("doc_id", "packed").mapInArrow(run, "doc_id bigint, shingles array<bigint>").select("doc_id", F.explode("shingles").alias("s")), "shingles")
+    shared = stored(rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
+    return rows.join(shared, "s").groupBy("doc_id").agg(F.count("*").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -140,10 +155,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "bands", "packed"), "reps"
     )
     keys = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = stored(keys.join(buckets.select("key", "first", "size"), "key").select("key", "doc_id", "n", F.col("first.doc_id").alias("a"), F.col("first.n").alias("a_n"), "size"), "members")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(keys.join(sizes, "key"), "members")
+    # A bucket's members are compared with the one that shares most buckets with most others: the
+    # least edited copy of a group, whatever its id.
+    scores = members.groupBy("doc_id").agg(F.sum("size").alias("score"))
+    hubs = members.join(scores, "doc_id").groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"), "n")).alias("hub"))
+    hubs = stored(hubs.select("key", (-F.col("hub.id")).alias("a"), F.col("hub.n").alias("a_n")), "hubs")
     fits = f"least(n, a_n) * 100 >= {share} * greatest(n, a_n)"
-    tried = stored(members.where(f"doc_id <> a and {fits}").select("a", F.col("doc_id").alias("b")).distinct(), "tried")
+    pairs = members.join(hubs, "key").where(f"doc_id <> a and {fits}").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+    tried = stored(pairs.distinct(), "tried")
     texts = reps.select("doc_id", "packed")
     links = stored(_links(tried, texts, size, share), "links")
     labels = components(links)
@@ -152,10 +173,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     large = stored(large.select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "large")
     mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = stored(large.join(mixed, "key"), "mixed")
+    common = _common(left.select("doc_id").distinct().join(texts, "doc_id"), size)
+    # An intersection holds no more than what each side shares with any of these texts at all.
+    least = f"least(c, a_c) * {100 + share} >= {share} * (n + a_n)"
+    left = left.join(common, "doc_id").where(f"c * 100 >= {share} * n")
+    left = stored(left, "open")
     rest = (
-        left.select("key", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("la"))
-        .join(left.select("key", F.col("doc_id").alias("b"), "n", F.col("label").alias("lb")), "key")
-        .where(f"a < b and la <> lb and {fits}")
+        left.select("key", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), F.col("label").alias("la"))
+        .join(left.select("key", F.col("doc_id").alias("b"), "n", "c", F.col("label").alias("lb")), "key")
+        .where(f"a < b and la <> lb and {fits} and {least}")
         .select("a", "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
