@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; keeps nested expressions from multiplying."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
@@ -35,15 +42,23 @@ def normalised(raw: Column) -> Column:
 
 def root_kind(path: Column) -> Column:
     """struct<kind, host>: unc, drive, root or relative, from the spelling alone."""
-    parts = segments(path)
-    device = F.get(parts, F.lit(0)).isin("?", ".")
-    after = _device(parts)
+    return let(path, lambda p: let(segments(p), lambda parts: let(_device(parts), lambda after: _root_kind(p, parts, after))))
+
+
+def _root_kind(path: Column, parts: Column, after: Column) -> Column:
+    make = lambda kind, host=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if host is None else host).alias("host"))
+    first = F.get(parts, F.lit(0))
+    device = F.coalesce(first.isin("?", "."), F.lit(False))
     device_drive = device & F.coalesce(_is_drive(F.get(after, F.lit(0))), F.lit(False))
-    share = F.when(device, _unc(after)).otherwise(parts)
-    slashed = path.startswith("//")
-    kind = F.when(slashed & F.coalesce(device_drive, F.lit(False)), "drive").when(slashed, "unc").when(_is_drive(path), "drive").when(path.startswith("/"), "root").otherwise("relative")
-    host = F.when(kind == "unc", F.get(share, F.lit(0))).when(kind == "drive", F.when(slashed, F.substr(F.get(after, F.lit(0)), F.lit(1), F.lit(1))).otherwise(F.substr(path, F.lit(1), F.lit(1))))
-    return F.struct(kind.alias("kind"), host.alias("host"))
+    share = F.when(device, F.get(_unc(after), F.lit(0))).otherwise(first)
+    letter = lambda text: F.substr(text, F.lit(1), F.lit(1))
+    return (
+        F.when(path.startswith("//") & device_drive, make("drive", letter(F.get(after, F.lit(0)))))
+        .when(path.startswith("//"), make("unc", share))
+        .when(_is_drive(path), make("drive", letter(path)))
+        .when(path.startswith("/"), make("root"))
+        .otherwise(make("relative"))
+    )
 
 
 def escapes_upward(path: Column) -> Column:
@@ -67,8 +82,10 @@ def collapse(parts: Column) -> Column:
 
 def rooted(path: Column) -> Column:
     """struct<root, parts> of an absolute path, null where nothing fixed is named."""
-    kind, parts = root_kind(path), segments(path)
-    after = _device(parts)
+    return let(path, lambda p: let(root_kind(p), lambda kind: let(segments(p), lambda parts: let(_device(parts), lambda after: _rooted(kind, parts, after)))))
+
+
+def _rooted(kind: Column, parts: Column, after: Column) -> Column:
     share = F.when(F.get(parts, F.lit(0)).isin("?", "."), _unc(after)).otherwise(parts)
     first = F.get(after, F.lit(0))
     make = lambda root, rest: F.struct(root.alias("root"), rest.alias("parts"))
@@ -81,10 +98,12 @@ def rooted(path: Column) -> Column:
 
 def contained(base: Column, path: Column) -> Column:
     """Whether ``path`` lies below ``base`` by spelling; false means not established."""
-    mine, yours = rooted(path), rooted(F.replace(base, F.lit("\\"), F.lit("/")))
-    fold = lambda p, root: F.when(root == "/", p).otherwise(F.transform(p, F.lower))
-    a, b = fold(collapse(mine["parts"]), mine["root"]), fold(collapse(yours["parts"]), yours["root"])
-    inside = (mine["root"] == yours["root"]) & (F.size(a) > F.size(b)) & (F.slice(a, 1, F.greatest(F.size(b), F.lit(0))) == b)
+    fold = lambda r: let(collapse(r["parts"]), lambda p: F.when(r["root"] == "/", p).otherwise(F.transform(p, F.lower)))
+    below = lambda a, b: (F.size(a) > F.size(b)) & (F.slice(a, 1, F.greatest(F.size(b), F.lit(0))) == b)
+    inside = let(
+        rooted(path),
+        lambda mine: let(rooted(F.replace(base, F.lit("\\"), F.lit("/"))), lambda yours: (mine["root"] == yours["root"]) & let(fold(mine), lambda a: let(fold(yours), lambda b: below(a, b)))),
+    )
     return F.coalesce(inside, F.lit(False))
 
 
@@ -108,11 +127,13 @@ def joined(base: Column, path: Column) -> Column:
 
 def classify(raw: Column, base: Column) -> Column:
     """struct of everything said about one linked path; ``base`` is the folder of the file that links it."""
-    marker, path = raw.startswith("//"), normalised(raw)
-    kind = root_kind(path)
-    relative = kind["kind"] == "relative"
-    escapes = relative & escapes_upward(path)
+    return let(raw, lambda r: let(normalised(r), lambda path: let(root_kind(path), lambda kind: _classified(r, base, path, kind))))
+
+
+def _classified(raw: Column, base: Column, path: Column, kind: Column) -> Column:
+    marker, relative = raw.startswith("//"), kind["kind"] == "relative"
     unc, drive = kind["kind"] == "unc", kind["kind"] == "drive"
+    escapes = relative & escapes_upward(path)
     return F.struct(
         raw.alias("raw_path"),
         F.when(relative, joined(base, path)).alias("resolved_path"),
@@ -124,5 +145,5 @@ def classify(raw: Column, base: Column) -> Column:
         drive.alias("has_drive_letter"),
         (marker & ~relative).alias("disguised"),
         (~relative & contained(base, path)).alias("absolute_inside_base"),
-        (~relative | escapes | unc | drive).alias("notable"),
+        (~relative | escapes).alias("notable"),
     )

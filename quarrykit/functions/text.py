@@ -45,7 +45,7 @@ def flag_names(value: Column, names: dict[int, str], bits: int = 32) -> Column:
     v = value.cast("bigint")
     known = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")) for b, n in sorted(names.items())))
     others = F.array(*(F.lit(b) for b in range(bits) if b not in names))
-    is_set = lambda b: F.get_bit(v, b) == 1
+    is_set = lambda b: F.getbit(v, b) == 1
     return F.concat(F.transform(F.filter(known, lambda x: is_set(x["b"])), lambda x: x["n"]), F.transform(F.filter(others, is_set), lambda b: F.concat(F.lit("bit"), b.cast("string"))))
 
 

@@ -1,4 +1,533 @@
-"""Registered inventory queries and their DuckDB equivalents."""
+"""Registered inventory queries over the given tables, and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Documents stand for text blocks that do not parse, pages for bodies with quoted literals, page
+URLs for linked paths, conversations for chains of text lines, integer columns for flags.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarrykit.functions import literals, paths, text
+from quarrykit.functions import tables as t
+from quarrykit.operators import identity, rollup, statements, syntax
+from quarrykit.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _list(names: list[str]) -> str:
+    return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+
+
+_HOSTS = sorted(set(t.TLDS) - set(t.NOT_TLDS))
+BLOB = 32  # the data has no blob of 200 characters
+
+
+@query(f"""
+SELECT page_id, u AS url, h AS host,
+  regexp_matches(h, '(?i)^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9-]+)+$') AND length(h) <= 253
+    AND lower(regexp_extract(h, '[^.]*$')) IN ({_list(_HOSTS)}) AS is_host
+FROM (SELECT page_id, u, regexp_extract(u, '://([^/:?#]+)', 1) AS h FROM
+  (SELECT page_id, unnest(regexp_extract_all(url, '(?i)(?:https?|ftps?|file)://[^\\s''"<>|]{{3,}}')) AS u FROM pages))
+""")
+def literal_url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of a text, and whether their host reads as one."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(literals.urls(F.col("url"))).alias("url"))
+    host = F.regexp_extract("url", "://([^/:?#]+)", 1)
+    return found.select("page_id", "url", host.alias("host"), literals.is_host(host).alias("is_host"))
+
+
+_W = r"\p{L}\p{N}_"
+_PATH_SQL = (
+    "(length(s) <= 400 AND NOT contains(s, chr(10)) AND (regexp_matches(s, '^[a-zA-Z]:[\\\\/]') OR starts_with(s, '\\\\') OR starts_with(s, '~/') OR starts_with(s, '~\\') OR starts_with(s, '//')"
+    " OR regexp_matches(s, '%[A-Za-z_]+%') OR regexp_matches(s, '^\\$\\{?[" + _W + "]') OR contains(s, '$HOME') OR contains(lower(s), '$env:')"
+    " OR ((contains(s, '/') OR contains(s, '\\')) AND NOT starts_with(s, 'http') AND NOT starts_with(s, 'ftp') AND regexp_matches(s, '[" + _W + ".-]+[\\\\/][" + _W + ".-]')"
+    " AND (NOT (contains(s, ' ') OR contains(s, chr(9))) OR regexp_matches(s, '^(/|\\\\|\\./|\\.\\\\)') OR regexp_matches(s, '[\\\\/][" + _W + " -]+\\.[A-Za-z0-9]{1,8}$')))))"
+)
+_COMMAND_SQL = "(" + " OR ".join(f"contains(lower(s), '{x}')" for x in t.TOOLS) + ")"
+_BLOB_SQL = "(length(s) >= {least} AND (regexp_matches(s, '^[A-Za-z0-9+/=_-]+$') OR regexp_matches(s, '^(0x)?[0-9a-fA-F]+$')))"
+_HOST_SQL = f"(regexp_matches(s, '(?i)^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9-]+)+$') AND length(s) <= 253 AND lower(regexp_extract(s, '[^.]*$')) IN ({_list(_HOSTS)}))"
+
+
+@query(f"""
+WITH c AS (SELECT page_id, c, trim(c, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM (
+    SELECT page_id, unnest(list_append(regexp_extract_all(html, '"([^"]*)"', 1), url)) AS c FROM pages)
+  WHERE c <> '' AND length(c) <= 4096),
+k AS (
+  SELECT page_id, 'url' AS kind, unnest(regexp_extract_all(c, '(?i)(?:https?|ftps?|file)://[^\\s''"<>|]{{3,}}')) AS v FROM c
+  UNION ALL SELECT page_id, 'blob', s FROM c WHERE {_BLOB_SQL.format(least=200)}
+  UNION ALL SELECT page_id, 'command', s FROM c WHERE NOT {_BLOB_SQL.format(least=200)} AND {_COMMAND_SQL}
+  UNION ALL SELECT page_id, 'host', s FROM c WHERE NOT {_BLOB_SQL.format(least=200)} AND {_HOST_SQL}
+  UNION ALL SELECT page_id, 'path', s FROM c WHERE NOT {_BLOB_SQL.format(least=200)} AND NOT {_HOST_SQL} AND {_PATH_SQL})
+SELECT page_id, kind, count(DISTINCT v) AS n_values, min(v) AS first_value FROM k GROUP BY ALL
+""")
+def literal_kinds_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of all quoted literals of a body and of its address."""
+    quoted = F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1))
+    one = table(spark, sf_dir, "pages").select("page_id", F.explode(F.concat(quoted, F.array("url"))).alias("c"))
+    found = one.select("page_id", F.explode(literals.literals(F.col("c"))).alias("l"))
+    return found.groupBy("page_id", F.col("l.kind").alias("kind")).agg(F.countDistinct("l.value").alias("n_values"), F.min("l.value").alias("first_value"))
+
+
+@query("""
+SELECT doc_id, len(x) AS n_tokens, len(list_distinct(x)) AS n_distinct, coalesce(list_max(list_transform(x, lambda y: length(y))), 0) AS longest
+FROM (SELECT doc_id, regexp_extract_all(text, '[^\\s''"]{4,}') AS x FROM documents)
+""")
+def fallback_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for literals in bodies that do not parse."""
+    x = table(spark, sf_dir, "documents").select("doc_id", literals.tokens(F.col("text")).alias("x"))
+    longest = F.coalesce(F.array_max(F.transform("x", F.length)), F.lit(0)).cast("bigint")
+    return x.select("doc_id", F.size("x").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("x")).cast("bigint").alias("n_distinct"), longest.alias("longest"))
+
+
+def _document_statements(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    return statements.fallback_statements(table(spark, sf_dir, "documents").select(*keys, "text"), keys, "text", BLOB)
+
+
+_BLOBS_CTE = f"""
+WITH tok AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '[^\\s''"]{{4,}}')) AS s FROM documents),
+b AS (SELECT DISTINCT doc_id, source, lang, substr(s, 1, 24) || '... (' || length(s) || ' chars)' AS e FROM tok WHERE length(s) <= 4096 AND {_BLOB_SQL.format(least=BLOB)})
+"""
+
+
+@query(_BLOBS_CTE + "SELECT doc_id, 'x_opaque_blob' AS key, 'alarming' AS severity, array_to_string(list_sort(list(e))[1:8], ';') AS evidence FROM b GROUP BY doc_id")
+def opaque_blob_t32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of unparsed bodies, with a blob threshold of 32."""
+    found = _document_statements(spark, sf_dir, ["doc_id"])
+    names = F.array(*(F.lit(s) for s in t.SEVERITIES))
+    return found.select("doc_id", "key", F.get(names, F.col("severity")).alias("severity"), F.array_join("evidence", ";").alias("evidence"))
+
+
+# Spellings of a linked path, made from a page's address: share, drive, root, device and relative forms.
+def _raw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host"), F.regexp_extract("url", "://[^/]+/?(.*)", 1).alias("rest"))
+    forms = [
+        F.concat(F.lit("\\\\"), "host", F.lit("\\"), "rest"),
+        F.concat(F.lit("//"), "rest"),
+        F.concat(F.lit("C:\\"), "host", F.lit("\\"), "rest"),
+        F.concat(F.lit("/srv/"), "host", F.lit("/"), "rest"),
+        F.concat(F.lit("//../"), "rest"),
+        F.concat(F.lit("\\\\?\\UNC\\"), "host", F.lit("\\"), "rest"),
+        F.concat(F.lit("////?/d:/"), "rest"),
+        F.concat(F.lit("a/./b/../"), "rest"),
+        F.concat(F.lit("////"), "host", F.lit("/x/"), "rest"),
+        F.concat(F.lit("a/../../"), "rest"),
+    ]
+    raw = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        raw = F.when(F.col("page_id") % len(forms) == k, form).otherwise(raw)
+    return p.select("page_id", "host", raw.alias("raw"))
+
+
+_RAW_CTE = r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '://([^/:?#]+)', 1) AS host, regexp_extract(url, '://[^/]+/?(.*)', 1) AS rest FROM pages),
+r AS (SELECT page_id, host, CASE page_id % 10 WHEN 0 THEN '\\' || host || '\' || rest WHEN 1 THEN '//' || rest WHEN 2 THEN 'C:\' || host || '\' || rest
+  WHEN 3 THEN '/srv/' || host || '/' || rest WHEN 4 THEN '//../' || rest WHEN 5 THEN '\\?\UNC\' || host || '\' || rest WHEN 6 THEN '////?/d:/' || rest
+  WHEN 7 THEN 'a/./b/../' || rest WHEN 8 THEN '////' || host || '/x/' || rest ELSE 'a/../../' || rest END AS raw, page_id % 10 AS k FROM p)
+"""
+
+
+@query(
+    _RAW_CTE
+    + """
+SELECT page_id, raw, CASE WHEN k IN (0, 5, 8) THEN 'unc' WHEN k IN (2, 6) THEN 'drive' WHEN k = 3 THEN 'root' ELSE 'relative' END AS kind,
+  CASE WHEN k IN (0, 5, 8) THEN host WHEN k = 2 THEN 'C' WHEN k = 6 THEN 'd' END AS host,
+  k IN (6, 8) AS disguised, k IN (1, 4) AS is_relative FROM r
+"""
+)
+def path_root_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root kinds of linked paths in ten spellings."""
+    c = paths.classify(F.col("raw"), F.lit("/srv/site"))
+    kind = paths.root_kind(paths.normalised(F.col("raw")))
+    return _raw_path(spark, sf_dir).select("page_id", "raw", kind["kind"].alias("kind"), kind["host"].alias("host"), c["disguised"].alias("disguised"), c["is_relative"].alias("is_relative"))
+
+
+@query(
+    _RAW_CTE
+    + """,
+n AS (SELECT page_id, raw, replace(CASE WHEN starts_with(raw, '//') THEN substr(raw, 3) ELSE raw END, '\\', '/') AS path FROM r),
+s AS (SELECT page_id, i, CASE x WHEN '..' THEN -1 WHEN '' THEN 0 WHEN '.' THEN 0 ELSE 1 END AS d FROM
+  (SELECT page_id, unnest(string_split(path, '/')) AS x, unnest(range(len(string_split(path, '/')))) AS i FROM n)),
+w AS (SELECT page_id, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM s)
+SELECT page_id, min(depth) < 0 AS escapes FROM w GROUP BY page_id
+"""
+)
+def path_escape_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a path climbs above its start at any point."""
+    return _raw_path(spark, sf_dir).select("page_id", paths.escapes_upward(paths.normalised(F.col("raw"))).alias("escapes"))
+
+
+@query(
+    _RAW_CTE
+    + """
+SELECT page_id, k = 3 AND rest <> '' AS inside_host, k = 3 AS inside_srv, k = 2 AS inside_drive FROM r JOIN p USING (page_id)
+"""
+)
+def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical containment below a folder of the same host, below /srv and below a drive."""
+    n = paths.normalised(F.col("raw"))
+    return _raw_path(spark, sf_dir).select(
+        "page_id",
+        paths.contained(F.concat(F.lit("/srv/./"), "host"), n).alias("inside_host"),
+        paths.contained(F.lit("/srv/x/.."), n).alias("inside_srv"),
+        paths.contained(F.lit("c:\\"), n).alias("inside_drive"),
+    )
+
+
+_FLAGS_SQL = " || ".join([f"CASE WHEN (v >> {b}) & 1 = 1 THEN '{n},' ELSE '' END" for b, n in t.TEXT_FLAGS.items()] + [f"CASE WHEN (v >> {b}) & 1 = 1 THEN 'bit{b},' ELSE '' END" for b in range(32) if b not in t.TEXT_FLAGS])
+
+
+@query(f"SELECT v, n, {_FLAGS_SQL} AS names FROM (SELECT CAST(l_quantity * l_linenumber * 37 AS BIGINT) AS v, count(*) AS n FROM lineitem GROUP BY 1)")
+def bitflag_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of set bits, known ones first, then the others by number."""
+    v = (F.col("l_quantity") * F.col("l_linenumber") * 37).cast("bigint")
+    names = F.array_join(F.transform(text.flag_names(F.col("v"), t.TEXT_FLAGS), lambda n: F.concat(n, F.lit(","))), "")
+    return table(spark, sf_dir, "lineitem").groupBy(v.alias("v")).agg(F.count("*").alias("n")).select("v", "n", names.alias("names"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, count(*) AS n_lines FROM conversations GROUP BY conv_id")
+def text_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a chain put together in order."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.expr("listagg(text, '\\n') within group (order by turn)").alias("body"), F.count("*").alias("n_lines"))
+
+
+CAP = 2000
+
+
+@query(f"""
+SELECT conv_id, CAST(sum(CASE WHEN total <= {CAP} THEN 1 ELSE 0 END) AS BIGINT) AS kept_lines, bool_or(total > {CAP}) AS truncated FROM
+  (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations) GROUP BY conv_id
+""")
+def body_budget_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that fit a body's size budget, by a running total that counts the joining newline."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    totals = table(spark, sf_dir, "conversations").select("conv_id", F.sum(F.length("text") + 1).over(w).alias("total"))
+    return totals.groupBy("conv_id").agg(F.sum((F.col("total") <= CAP).cast("int")).alias("kept_lines"), F.bool_or(F.col("total") > CAP).alias("truncated"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, sha256(text) AS sha FROM documents), f AS (SELECT sha, min(doc_id) AS first_doc, count(*) AS n FROM h GROUP BY sha HAVING count(*) > 1)
+SELECT doc_id, h.sha AS sha256, first_doc, n AS n_copies, doc_id = first_doc AS is_first FROM h JOIN f ON h.sha = f.sha
+""")
+def identity_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose bytes occur more than once, with the first that has them."""
+    h = table(spark, sf_dir, "documents").select("doc_id", text.sha256_hex(F.col("text")).alias("sha256"))
+    known = identity.first_seen(h, "sha256", "doc_id").where("n > 1")
+    return h.join(known, "sha256").select("doc_id", "sha256", F.col("first").alias("first_doc"), F.col("n").alias("n_copies"), (F.col("doc_id") == F.col("first")).alias("is_first"))
+
+
+@query("""
+WITH m AS (SELECT page_id, sha256(regexp_replace(regexp_replace(html, '"[^"]*"', '""', 'g'), '>[^<]*<', '><', 'g')) AS shape FROM pages),
+k AS (SELECT shape, min(page_id) AS first_page, count(*) AS n FROM m GROUP BY shape)
+SELECT page_id, first_page, n AS n_alike FROM m JOIN k USING (shape)
+""")
+def identity_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of one structure: an analogue by pattern, with quoted literals and text masked."""
+    masked = F.regexp_replace(F.regexp_replace("html", '"[^"]*"', '""'), ">[^<]*<", "><")
+    m = table(spark, sf_dir, "pages").select("page_id", text.sha256_hex(masked).alias("shape"))
+    return m.join(identity.first_seen(m, "shape", "page_id"), "shape").select("page_id", F.col("first").alias("first_page"), F.col("n").alias("n_alike"))
+
+
+@query("""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '"([^"]*)"', 1) AS x FROM pages),
+j AS (SELECT b.page_id, a.x AS r, b.x AS c FROM l b JOIN l a ON a.page_id = b.page_id - b.page_id % 10 WHERE b.page_id % 10 <> 0),
+d AS (SELECT page_id, r, c, unnest(range(1, least(len(r), len(c)) + 1)) AS i FROM j)
+SELECT page_id, count(*) FILTER (WHERE r[i] <> c[i]) AS n_different, min(i) FILTER (WHERE r[i] <> c[i]) - 1 AS first_index FROM d GROUP BY page_id
+""")
+def identity_literal_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of a body compared place by place with those of the first body of its ten."""
+    x = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1)).alias("x"))
+    ours = x.where("page_id % 10 <> 0").withColumn("of", F.col("page_id") - F.col("page_id") % 10)
+    both = ours.join(x.where("page_id % 10 = 0").select(F.col("page_id").alias("of"), F.col("x").alias("r")), "of").where("size(r) > 0 and size(x) > 0")
+    d = both.select("page_id", identity.differences(F.col("r"), F.col("x")).alias("d"))
+    return d.select("page_id", F.size("d").cast("bigint").alias("n_different"), F.get("d", F.lit(0))["index"].cast("bigint").alias("first_index"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, lang, source, sha256(text) AS sha FROM documents)
+SELECT sha AS sha256, doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC) AS n FROM h) WHERE n = 1
+""")
+def known_dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of entries under one key the last listed."""
+    h = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.sha256_hex(F.col("text")).alias("sha256"))
+    return identity.last_wins(h, "sha256", "doc_id").select("sha256", "doc_id", "lang", "source")
+
+
+@query("""
+SELECT o_orderkey, coalesce(c_name || CASE WHEN o_orderkey % 3 <> 0 THEN '[' || (o_orderkey % 3) || ']' ELSE '' END, '<unattached driver>') AS owner
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey
+""")
+def owner_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners looked up by address; an index only where it is not zero, a default where there is none."""
+    owners = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    index = F.col("o_orderkey") % 3
+    label = F.concat("c_name", F.when(index != 0, F.concat(F.lit("["), index.cast("string"), F.lit("]"))).otherwise(F.lit("")))
+    return table(spark, sf_dir, "orders").join(owners, "o_custkey", "left").select("o_orderkey", F.coalesce(label, F.lit("<unattached driver>")).alias("owner"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, lower(replace(p_type, ' ', '.')) AS name FROM part), r AS (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS entry FROM part
+  UNION SELECT DISTINCT lower(array_to_string(string_split(p_type, ' ')[1:2], '.')) FROM part WHERE p_partkey % 7 = 0)
+SELECT p_partkey, name, entry FROM n JOIN r ON name = entry OR starts_with(name, entry || '.')
+""")
+def rule_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names joined to the entries that they equal or lie under."""
+    part = table(spark, sf_dir, "part")
+    words = F.split(F.lower("p_type"), " ")
+    entries = part.select(words[0].alias("entry")).union(part.where("p_partkey % 7 = 0").select(F.array_join(F.slice(words, 1, 2), "."))).distinct()
+    named = part.select("p_partkey", F.array_join(words, ".").alias("name")).withColumn("entry", F.explode(F.array_distinct(statements.prefixes(F.col("name")))))
+    return named.join(entries, "entry").select("p_partkey", "name", "entry")
+
+
+_REASONS_CTE = (
+    _BLOBS_CTE
+    + """,
+lib AS (SELECT page_id, 'src' || (page_id % 20) AS source, page_id % 97 = 0 AS is_unc, page_id % 13 = 0 AS drive FROM pages),
+files AS (SELECT DISTINCT source FROM documents),
+red AS (SELECT source, bool_or(is_unc) AS unc, bool_or(drive) AS drive FROM lib GROUP BY source),
+amber AS (SELECT source, count(*) AS n FROM b GROUP BY source),
+tier AS (SELECT f.source, coalesce(unc, false) AS unc, coalesce(drive, false) AS drive, n IS NOT NULL AS blob, f.source = 'src3' AS timed_out
+  FROM files f LEFT JOIN red ON f.source = red.source LEFT JOIN amber ON f.source = amber.source)
+"""
+)
+
+
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as files: documents are their text blocks, pages the paths that they link."""
+    docs = table(spark, sf_dir, "documents")
+    found = rollup.statement_reasons(_document_statements(spark, sf_dir, ["source"]), ["source"]).withColumnRenamed("source", "path")
+    linked = table(spark, sf_dir, "pages").select(F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("path"), "page_id")
+    spelt = F.when(F.col("page_id") % 97 == 0, F.lit("\\\\host\\x")).when(F.col("page_id") % 13 == 0, F.lit("D:/x")).otherwise("//x/y")
+    kinds = linked.select("path", paths.classify(spelt, F.lit("/srv")).alias("c"), "page_id").select("path", "c.is_unc", (F.col("c.has_drive_letter") | ((F.col("page_id") % 97 == 0) & (F.col("page_id") % 13 == 0))).alias("has_drive_letter"))
+    reasons = found.unionByName(rollup.library_reasons(kinds)).withColumn("script", F.lit(None).cast("string"))
+    files = docs.select(F.col("source").alias("path")).distinct().withColumn("timed_out", F.col("path") == "src3")
+    return rollup.tiers(files, reasons)
+
+
+@query(
+    _REASONS_CTE
+    + """
+SELECT source, CASE WHEN unc THEN 'red' WHEN blob OR drive OR timed_out THEN 'amber' ELSE 'neutral' END AS tier,
+  CASE WHEN timed_out THEN 'scan_timed_out ' ELSE '' END || CASE WHEN unc THEN 'library_unc ' ELSE
+    CASE WHEN blob THEN 'x_opaque_blob ' ELSE '' END || CASE WHEN drive THEN 'library_drive_letter ' ELSE '' END END AS reasons FROM tier
+"""
+)
+def tier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier and ordered reasons of each file; red drops amber, a timeout is always named."""
+    shown = F.array_join(F.transform("reasons", lambda r: F.concat(r, F.lit(" "))), "")
+    return _tiers(spark, sf_dir).select(F.col("path").alias("source"), "tier", shown.alias("reasons"))
+
+
+@query(
+    _REASONS_CTE
+    + """
+, x AS (SELECT CAST(replace(source, 'src', '') AS INT) % 4 AS lane, CASE WHEN unc THEN 'red' WHEN blob OR drive OR timed_out THEN 'amber' ELSE 'neutral' END AS tier FROM tier)
+SELECT lane, count(*) FILTER (WHERE tier = 'neutral') AS neutral, count(*) FILTER (WHERE tier = 'amber') AS amber, count(*) FILTER (WHERE tier = 'red') AS red FROM x GROUP BY lane
+"""
+)
+def tier_by_lane_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by lane and tier."""
+    lanes = _tiers(spark, sf_dir).withColumn("lane", (F.replace("path", F.lit("src"), F.lit("")).cast("int") % 4))
+    return rollup.tally(lanes, "lane")
+
+
+@query(
+    _BLOBS_CTE
+    + """, h AS (SELECT source, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id) THEN 'x_opaque_blob' WHEN trim(text) = '' THEN 'empty' ELSE 'nothing notable' END AS headline FROM documents d),
+c AS (SELECT source, headline, headline = 'x_opaque_blob' AS spotlight, count(*) AS blocks FROM h GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY source ORDER BY spotlight DESC, blocks DESC, headline) - 1 AS place FROM c
+"""
+)
+def block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each file counted by what they do."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.trim("text") == "").alias("empty"))
+    told = statements.explanations(_document_statements(spark, sf_dir, ["doc_id"]), ["doc_id"])
+    none = F.expr("cast(array() as array<struct<rank:int,key:string,evidence:array<string>>>)")
+    h = rollup.headline(F.coalesce("statements", none), F.lit(False), F.col("empty"))
+    lines = docs.join(told, "doc_id", "left").select("source", h.alias("h")).select("source", F.col("h.text").alias("headline"), "h.spotlight")
+    return rollup.block_summary(lines, ["source"])
+
+
+_DOC_FILE = """
+, d AS (SELECT source, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM b)) AS unexplained, count(*) FILTER (WHERE n_chars > 20000) AS unreadable, count(*) FILTER (WHERE lang = 'es' AND n_chars < 100) AS autorun FROM documents GROUP BY source)
+"""
+
+
+@query(
+    _BLOBS_CTE
+    + _DOC_FILE
+    + """
+SELECT source, CASE WHEN source = 'src3' THEN 'timed_out ' ELSE '' END || CASE WHEN unexplained > 0 THEN 'needs_human ' WHEN unreadable = 0 AND source <> 'src3' THEN 'looks_ordinary ' ELSE '' END
+  || CASE WHEN unreadable > 0 THEN 'unreadable ' ELSE '' END || CASE WHEN autorun > 0 THEN 'autorun_present ' ELSE '' END AS steps FROM d
+"""
+)
+def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next steps for each file, in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    loud = _document_statements(spark, sf_dir, ["doc_id"]).where(F.col("severity") == t.ALARMING).select("doc_id", F.lit(1).alias("loud")).distinct()
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    d = docs.join(loud, "doc_id", "left").groupBy("source").agg(
+        count(F.col("loud") == 1).alias("unexplained"), count(F.col("n_chars") > 20000).alias("unreadable"), count((F.col("lang") == "es") & (F.col("n_chars") < 100)).alias("autorun")
+    )
+    steps = rollup.recommendations(F.col("unexplained"), F.lit(0), F.lit(False), F.col("unreadable"), F.col("autorun"), F.col("source") == "src3")
+    return d.select("source", F.array_join(F.transform(steps, lambda s: F.concat(s, F.lit(" "))), "").alias("steps"))
+
+
+@query(_BLOBS_CTE + "SELECT CASE WHEN (SELECT count(*) FROM documents WHERE n_chars > 1000000) > 0 THEN 2 WHEN (SELECT count(*) FROM b) > 0 THEN 1 ELSE 0 END AS exit_code")
+def needs_attention_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit code of a whole batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    found = _document_statements(spark, sf_dir, ["doc_id"]).select("doc_id", F.lit(True).alias("f")).distinct()
+    files = docs.join(found, "doc_id", "left").select(F.coalesce("f", F.lit(False)).alias("has_findings"), F.lit(False).alias("timed_out"))
+    return rollup.exit_code(files, docs.where("n_chars > 1000000").select(F.lit(2).alias("code")))
+
+
+@query(_BLOBS_CTE + "SELECT source, lang, count(*) AS n_statements, 'alarming' AS severity, true AS obfuscated FROM (SELECT DISTINCT source, lang, doc_id FROM b) GROUP BY source, lang")
+def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loudest severity and whether anything hides, by source and language."""
+    found = _document_statements(spark, sf_dir, ["doc_id", "source", "lang"])
+    names = F.array(*(F.lit(s) for s in t.SEVERITIES))
+    rolled = found.groupBy("source", "lang").agg(F.count("*").alias("n_statements"), F.max("severity").alias("s"), F.bool_or(F.col("key").isin(t.HIDING)).alias("obfuscated"))
+    return rolled.select("source", "lang", "n_statements", F.get(names, F.col("s")).alias("severity"), "obfuscated")
+
+
+@query("""
+SELECT doc_id, replace(replace(text, chr(13), '\\x0d'), chr(10), '\\x0a') AS line, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), '\\x0d') AS block,
+  contains(text, chr(10)) OR contains(text, chr(13)) AS steering FROM documents
+""")
+def escape_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text made safe for one line and for a block of output."""
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.printable_line(c).alias("line"), text.printable_block(c).alias("block"), text.is_steering(c).alias("steering"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, chr(10), ''), chr(13), ''), chr(9), '') AS stripped FROM documents")
+def printable_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without control characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.without_controls(F.col("text")).alias("stripped"))
+
+
+@query("""
+SELECT source, array_to_string(list_sort(list_distinct(list(s)))[1:8], ' ') AS evidence FROM
+  (SELECT source, unnest(regexp_extract_all(text, '[^\\s''"]{4,}')) AS s FROM documents) GROUP BY source
+""")
+def evidence_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight distinct tokens of each source; distinct before they are collected, eight of each task."""
+    d = table(spark, sf_dir, "documents").select("source", F.explode(literals.tokens(F.col("text"))).alias("s")).distinct()
+    first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("s"))).where(f"n <= {statements.EVIDENCE}")
+    return first.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("s")), " ").alias("evidence"))
+
+
+@query("SELECT o_orderkey, (o_orderkey // 100) || '.' || (o_orderkey % 100) AS version, 'v' || o_orderkey AS other FROM orders")
+def version_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version numbers as they are displayed; anything but digits stays."""
+    raw = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.version_display(raw).alias("version"), text.version_display(F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))).alias("other"))
+
+
+@query("""
+WITH c AS (SELECT page_id, unnest(x) AS c, unnest(range(len(x))) AS i FROM (SELECT page_id, regexp_extract_all(html, '[()\\[\\]{}]') AS x FROM pages)),
+s AS (SELECT page_id, i, sum(CASE WHEN c IN ('(', '[', '{') THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM c),
+m AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS d FROM s)
+SELECT pages.page_id, CAST(coalesce(max(d), 0) AS BIGINT) AS depth FROM pages LEFT JOIN m ON pages.page_id = m.page_id GROUP BY pages.page_id
+""")
+def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest bracket depth without parsing; closing ones never lead below zero."""
+    return table(spark, sf_dir, "pages").select("page_id", text.max_nesting(F.col("html")).cast("bigint").alias("depth"))
+
+
+# Driver expressions over the parts table: a form for each remainder, the reason each must get.
+_EXPRESSIONS = [
+    ("clamp(var, 0, {k})", None, "arithmetic and driver variables only"),
+    ("sin(frame / {k})", None, "arithmetic and driver variables only"),
+    ("bpy.data.{w}", False, "uses attribute access (bpy.data.{w})"),
+    ("var ** {k}", False, "uses the ** operator, which the simple evaluator does not support"),
+    ("log(var, 2, {k})", False, "calls log() with 3 arguments; the simple evaluator takes 1 or 2"),
+    ("min()", False, "calls min() with no arguments"),
+    ("[x for x in ({k}, 2)]", False, "uses ListComp, which the simple evaluator does not support"),
+    ("__import__('{w}')", False, "calls __import__(), which is not a simple-expression function"),
+    ("{k} if var > 1 else -{k}", None, "arithmetic and driver variables only"),
+    ("  ", None, "empty"),
+    ("sqrt(x={k})", False, "calls sqrt() with arguments the simple evaluator cannot parse"),
+    ("{k} +", False, "does not parse as a Python expression (SyntaxError)"),
+]
+
+
+def _filled(form: str) -> str:
+    body = form.replace("'", "''").replace("{k}", "' || p_size || '").replace("{w}", "' || lower(split_part(p_name, ' ', 1)) || '")
+    return f"'{body}'"
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 12 "
+    + " ".join(f"WHEN {k} THEN {_filled(e)}" for k, (e, _, _) in enumerate(_EXPRESSIONS))
+    + " END AS expression, p_partkey % 12 IN (0, 1, 8, 9) AS is_simple, CASE p_partkey % 12 "
+    + " ".join(f"WHEN {k} THEN {_filled(r)}" for k, (_, _, r) in enumerate(_EXPRESSIONS))
+    + " END AS reason FROM part"
+)
+def driver_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions that the restricted evaluator takes, each distinct one parsed once."""
+    w = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    expression = F.lit(None).cast("string")
+    for k, (form, _, _) in enumerate(_EXPRESSIONS):
+        expression = F.when(F.col("p_partkey") % 12 == k, F.replace(F.replace(F.lit(form), F.lit("{k}"), F.col("p_size").cast("string")), F.lit("{w}"), w)).otherwise(expression)
+    rows = table(spark, sf_dir, "part").select("p_partkey", expression.alias("expression"))
+    return syntax.classify_expressions(rows, "expression").select("p_partkey", "expression", "is_simple", "reason")
+
+
+# Script bodies over the parts table and the rule that each must fire.
+_SCRIPTS = [
+    ("import socket\ns = socket\ns.socket()\n# {k}", "x_network"),
+    ("import subprocess as sp\nsp.Popen(['{w}'])", "x_subprocess"),
+    ("import base64\nexec(base64.b64decode('{w}'))", "x_obfuscation"),
+    ("getattr(__builtins__, 'e' + 'val')('{k}')", "x_assembled_name"),
+    ("socket.default_value_set({k})", None),
+    ("import os\nos.makedirs('/tmp/{w}')", "x_makedirs"),
+    ("f = open('{w}.txt', 'w')", "x_file_write"),
+    ("import pickle\npickle.loads(b'{k}')", "x_deserialise"),
+    ("import bpy\nclass P(bpy.types.Panel):\n    n = {k}", "x_ui_panel"),
+    ("x = 'cmd /c {w}'", "x_living_off_land"),
+    ("import ctypes  # {k}", "x_lowlevel"),
+    ("def f(:\n  {w}", None),
+]
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 12 "
+    + " ".join(f"WHEN {k} THEN '{key}'" for k, (_, key) in enumerate(_SCRIPTS) if key)
+    + " END AS expected, p_partkey % 12 <> 11 AS parsed FROM part"
+)
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule each body must fire, found through facts, grounding and the rule join; distinct bodies are parsed once."""
+    w = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    source = F.lit("")
+    for k, (body, _) in enumerate(_SCRIPTS):
+        source = F.when(F.col("p_partkey") % 12 == k, F.replace(F.replace(F.lit(body), F.lit("{k}"), F.col("p_size").cast("string")), F.lit("{w}"), w)).otherwise(source)
+    wanted = F.lit(None).cast("string")
+    for k, (_, key) in enumerate(_SCRIPTS):
+        wanted = F.when(F.col("p_partkey") % 12 == k, F.lit(key)).otherwise(wanted)
+    rows = table(spark, sf_dir, "part").select("p_partkey", source.alias("source"), wanted.alias("want")).withColumn("body", text.sha256_hex(F.col("source")))
+    facts = syntax.facts(rows).cache()
+    fired = statements.statements(facts).groupBy("body").agg(F.collect_set("key").alias("keys"))
+    parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
+    none = F.expr("cast(array() as array<string>)")
+    held = rows.join(fired, "body", "left").join(parsed, "body", "left")
+    return held.select("p_partkey", F.when(F.array_contains(F.coalesce("keys", none), F.col("want")), F.col("want")).otherwise(F.when(F.col("want").isNull(), F.get("keys", F.lit(0)))).alias("expected"), "parsed")
