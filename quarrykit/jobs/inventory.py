@@ -16,6 +16,7 @@ from quarrykit.functions import literals, paths, text
 from quarrykit.functions import tables as t
 from quarrykit.operators import identity, rollup, statements, syntax
 from quarrykit.session import table
+from quarrykit.sources import container
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -531,3 +532,25 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     held = rows.join(fired, "body", "left").join(parsed, "body", "left")
     return held.select("p_partkey", F.when(F.array_contains(F.coalesce("keys", none), F.col("want")), F.col("want")).otherwise(F.when(F.col("want").isNull(), F.get("keys", F.lit(0)))).alias("expected"), "parsed")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, length(string_agg(text, chr(10) ORDER BY turn)) AS source_bytes, conv_id % 3 = 0 AS is_autorun FROM conversations GROUP BY conv_id")
+def container_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as containers, one each, and their text blocks read back."""
+    chains = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("lines"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        from quarrykit.sources.container_writer import Writer
+
+        for batch in batches:
+            made = []
+            for conv, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                box = Writer()
+                box.text(f"{conv}.py", "\n".join(lines), flags=16 if conv % 3 == 0 else 0)
+                made.append(box.to_bytes(large=conv % 2 == 0))
+            yield pa.RecordBatch.from_arrays([pa.array([str(c) for c in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    read = container.texts(container.inspect_rows(chains.mapInArrow(write, "path string, content binary")))
+    return read.select(F.col("path").cast("bigint").alias("conv_id"), F.col("source").alias("body"), "source_bytes", "is_autorun")

@@ -1 +1 @@
-
+"""Operators over DataFrames: syntax facts, statements, identity, rollups."""

@@ -1 +1 @@
-
+"""Inspections over folders that files keep arriving in."""
