@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrykit.functions.text import is_sha256, without_controls
@@ -11,10 +12,10 @@ from quarrykit.functions.text import is_sha256, without_controls
 #: Entries that a table of known scripts may hold; it is broadcast.
 MAX_ENTRIES = 100_000
 REQUIRED = ("sha256", "script_name", "byte_size", "origin", "source_url", "fetched_on", "attested_by", "attested_on", "notes")
-SCHEMA = (
-    "sha256 string, script_name string, byte_size string, origin string, source_url string, fetched_on string, attested_by string,"
-    " attested_on string, notes string, generated string, structure struct<scheme:string,sha256:string,literals:array<string>>"
-)
+_TEXT = T.StringType()
+_SHAPE = T.StructType().add("scheme", _TEXT).add("sha256", _TEXT).add("literals", T.ArrayType(_TEXT))
+ENTRY = T.StructType([T.StructField(c, _TEXT) for c in (*REQUIRED, "generated")] + [T.StructField("structure", _SHAPE)])
+FILE = T.StructType().add("schema", T.IntegerType()).add("entries", T.ArrayType(ENTRY))
 
 
 def load_known(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -23,7 +24,7 @@ def load_known(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A file that is missing, is not JSON or has another schema gives one problem and no entries.
     """
     raw = spark.read.text(path, wholetext=True)
-    body = raw.select(F.from_json("value", f"schema int, entries array<struct<{SCHEMA.replace(' string', ':string').replace(' struct', ':struct')}>>").alias("b"), F.expr("try_parse_json(value)").alias("v"))
+    body = raw.select(F.from_json("value", FILE).alias("b"), F.expr("try_parse_json(value)").alias("v"))
     usable = body.where("b.schema = 2 and b.entries is not null")
     listed = usable.select("v", F.posexplode("b.entries").alias("place", "e")).select("place", "e.*", F.expr("try_variant_get(v, concat('$.entries[', place, '].generated'), 'boolean')").alias("flag"), F.expr("schema_of_variant(try_variant_get(v, concat('$.entries[', place, '].generated')))").alias("flag_type"))
     shape = F.col("structure").isNull() | ((F.col("structure.scheme") == "1") & is_sha256(F.col("structure.sha256")) & F.col("structure.literals").isNotNull())
