@@ -4,10 +4,9 @@ Windows of WINDOW consecutive words are the graph's edges (between runs of one w
 edge is repeated if its words occur at two places. Which edges can be repeated is found first
 from sampled k-mers: every window is represented by its least 6-mer (its minimizer), equal
 windows have equal minimizers, so windows whose minimizer occurs once in the corpus are unique.
-The remaining edges meet by fingerprint at their first source coordinate; an edge that starts
-earlier elsewhere is a repeat. Consecutive repeats with the same offset to their source are a
-nonbranching path and compact into one span, whose second fingerprint is checked at the source
-coordinates before its words are removed.
+Consecutive edges with one minimizer are compacted into a run (a nonbranching path as long as its
+edges have one source); runs meet on the minimizer, 64 bits, and each of their edges on its own 64
+bits, at the first source coordinate. An edge that starts earlier elsewhere is a repeat.
 
 Defined results: null, empty and short texts (under WINDOW words) lose nothing; rows that share a
 doc_id are one document seen twice, and none counts as earlier than the other; a row without an
@@ -29,7 +28,7 @@ from pyspark.sql.window import Window
 from quarrykit.llm import wordhash
 from quarrykit.session import stored
 
-WINDOW = 20
+WINDOW = 20  # at most SEED + 60: a run's edges are the bits of one number
 SEED = 6  # words of a sampled k-mer
 
 
@@ -104,11 +103,16 @@ def _seeds(window: int):
     return run
 
 
-_EDGES = "w bigint, v int, doc bigint, pos int, others array<struct<doc:bigint,pos:int>>"
+_RUNS = "seed bigint, doc bigint, start int, edges int, prints array<bigint>"
 
 
-def _edges(window: int):
-    """Windows with a repeated minimizer; equal ones of a piece are one row with its first place."""
+def _runs(window: int):
+    """Runs of consecutive windows with one repeated minimizer, and the fingerprint of each window.
+
+    Of runs with equal words in one piece only the first has to be judged. The others are
+    repeats for certain; they go on without fingerprints and under a key of their own, so that
+    a passage in a third of all documents sends one judged row for each piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -116,26 +120,38 @@ def _edges(window: int):
             ids, seeds = batch.column("doc_id").to_numpy(), batch.column("seeds")
             texts = [open_.decompress(p).decode("utf-8") for p in batch.column("packed").to_pylist()]
             for docs in _documents(batch, texts, window):
-                w, v, doc, pos = [], [], [], []
+                key, doc, pos, head, prints = [], [], [], [], []
                 for row, words in docs:
-                    seed, _ = _minimizers(words, window)
+                    seed, place = _minimizers(words, window)
                     at = np.flatnonzero(np.isin(seed.view(np.int64), seeds[row].values.to_numpy()))
-                    w.append(wordhash.windows(words, window)[at].view(np.int64))
-                    v.append((wordhash.windows(words, window, seed=1)[at] >> np.uint64(33)).astype(np.int32))
-                    doc.append(np.full(len(at), ids[row], np.int64))
-                    pos.append(at.astype(np.int32))
-                if not w:
+                    if len(at):
+                        new = np.ones(len(at), bool)
+                        new[1:] = (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]])
+                        key.append(seed[at].view(np.int64))
+                        doc.append(np.full(len(at), ids[row], np.int64))
+                        pos.append(at.astype(np.int32))
+                        head.append(new)
+                        prints.append(wordhash.windows(words, window)[at].view(np.int64))
+                if not key:
                     continue
-                w, v, doc, pos = (np.concatenate(x) for x in (w, v, doc, pos))
-                order = np.lexsort((pos, doc, v, w))
-                w, v, doc, pos = w[order], v[order], doc[order], pos[order]
-                head = np.ones(len(w), bool)
-                head[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+                key, doc, pos, head, prints = (np.concatenate(x) for x in (key, doc, pos, head, prints))
                 starts = np.flatnonzero(head)
-                rest = np.flatnonzero(~head)
-                offsets = np.append(np.cumsum(~head)[starts] - 0, len(rest)).astype(np.int32) if len(starts) else np.zeros(1, np.int32)
-                others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(pos[rest])], names=["doc", "pos"]))
-                yield pa.RecordBatch.from_arrays([pa.array(w[starts]), pa.array(v[starts]), pa.array(doc[starts]), pa.array(pos[starts]), others], names=["w", "v", "doc", "pos", "others"])
+                edges = np.diff(np.append(starts, len(head))).astype(np.int32)
+                # Windows of a run overlap, so its first and last fingerprint and its length say all.
+                first, last = prints[starts], prints[starts + edges - 1]
+                order = np.lexsort((pos[starts], doc[starts], edges, last, first, key[starts]))
+                o = starts[order]
+                same = np.zeros(len(o), bool)
+                same[1:] = (key[o][1:] == key[o][:-1]) & (first[order][1:] == first[order][:-1]) & (last[order][1:] == last[order][:-1]) & (edges[order][1:] == edges[order][:-1])
+                same[1:] &= (doc[o][1:] != doc[o][:-1]) | (pos[o][1:] != pos[o][:-1])  # rows that share an id are judged
+                own = wordhash.mix(doc[o].view(np.uint64) * np.uint64(31) + pos[o].astype(np.uint64)).view(np.int64)
+                sizes = np.where(same, 0, edges[order])
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                take = np.repeat(o - offsets[:-1], sizes) + np.arange(offsets[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(same, own, key[o])), pa.array(doc[o]), pa.array(pos[o]), pa.array(edges[order]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints[take]))],
+                    names=["seed", "doc", "start", "edges", "prints"],
+                )
 
     return run
 
@@ -151,7 +167,9 @@ def _cut(window: int):
                 words = open_.decompress(packed).split()
                 gone = np.zeros(len(words), bool)
                 for p in paths:
-                    gone[p["start"] : p["start"] + p["edges"] + window - 1] = True
+                    for k in range(p["mask"].bit_length()):
+                        if p["mask"] >> k & 1:
+                            gone[p["start"] + k : p["start"] + k + window] = True
                 left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
@@ -165,24 +183,30 @@ def _cut(window: int):
 
 
 def repeated_paths(held: DataFrame, window: int) -> DataFrame:
-    """(doc, start, edges, source_doc, source_start): spans of edges that start earlier elsewhere.
+    """(doc, start, mask, source_doc, source_start, branching): runs with edges that start earlier elsewhere.
 
-    ``held`` has packed documents and the repeated minimizers of each.
+    ``held`` has packed documents and the repeated minimizers of each. Bit k of the mask is the
+    edge at start + k. Runs meet their like by one shuffle on the minimizer: edges are judged,
+    and a run's edges compacted again, in the partitions that it made. ``source_start`` is where
+    the run's words first stood (a run with several sources is branching); known repeats of a
+    piece have no source.
     """
-    edges = held.select("doc_id", "packed", "seeds").mapInArrow(_edges(window), _EDGES)
-    of = Window.partitionBy("w", "v")
-    met = edges.withColumn("source", F.min(F.struct("doc", "pos")).over(of))
-    # The piece's first place is a repeat unless it is the source; the others of the piece always are.
-    met = met.where("size(others) > 0 or doc <> source.doc or pos <> source.pos")
-    own = F.when((F.col("doc") != F.col("source.doc")) | (F.col("pos") != F.col("source.pos")), F.array(F.struct("doc", "pos"))).otherwise(F.expr("array()").cast("array<struct<doc:bigint,pos:int>>"))
-    places = met.select(F.explode(F.concat(own, "others")).alias("at"), "source").select("at.doc", "at.pos", F.col("source.doc").alias("source_doc"), F.col("source.pos").alias("source_pos"))
-    places = places.where("doc <> source_doc or pos <> source_pos")  # rows that share an id
-    # A repeat whose predecessor has the predecessor of its source lies on the same nonbranching path.
-    line = Window.partitionBy("doc").orderBy("pos")
-    before = F.lag(F.struct("pos", "source_doc", "source_pos")).over(line)
-    same = (before["pos"] == F.col("pos") - 1) & (before["source_doc"] == F.col("source_doc")) & (before["source_pos"] == F.col("source_pos") - 1)
-    marked = places.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("path", F.sum("new").over(line))
-    return marked.groupBy("doc", "path").agg(F.min("pos").alias("start"), F.count("*").alias("edges"), F.min("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start")).drop("path")
+    runs = held.select("doc_id", "packed", "seeds").mapInArrow(_runs(window), _RUNS).repartition("seed")
+    edges = runs.select("seed", "doc", "start", "edges", F.posexplode_outer("prints").alias("k", "print"))
+    # Least (doc, pos) of equal edges: the source.
+    of = Window.partitionBy("seed", "print")
+    doc = F.min("doc").over(of)
+    edges = edges.withColumn("source_doc", doc).withColumn("here", F.when(F.col("doc") == F.col("source_doc"), F.col("start") + F.col("k")))
+    edges = edges.withColumn("source_pos", F.min("here").over(of))
+    repeat = (F.col("doc") != F.col("source_doc")) | (F.col("start") + F.col("k") != F.col("source_pos"))
+    bit = F.when(F.col("print").isNull(), F.expr("shiftleft(1L, edges) - 1")).when(repeat, F.expr("shiftleft(1L, k)")).otherwise(F.lit(0).cast("bigint"))
+    judged = edges.select("seed", "doc", "start", bit.alias("bit"), F.when(repeat, F.col("source_doc")).alias("sd"), F.when(repeat, F.col("source_pos") - F.col("k")).alias("sp"))
+    return (
+        judged.groupBy("seed", "doc", "start")
+        .agg(F.bit_or("bit").alias("mask"), F.min("sd").alias("source_doc"), F.min("sp").alias("source_start"), ((F.min("sd") != F.max("sd")) | (F.min("sp") != F.max("sp"))).alias("branching"))
+        .where("mask <> 0")
+        .drop("seed")
+    )
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -194,7 +218,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     packed = rows.mapInArrow(_pack, _PACKED)
     every = stored(packed.join(of_doc, "doc_id", "left").select("doc_id", "n_words", "sha", F.when(F.col("seeds").isNotNull(), F.col("packed")).alias("packed"), "seeds"), "packed")
     hot = every.where("seeds is not null")
-    paths = repeated_paths(hot, window).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "edges")).alias("paths"))
+    paths = repeated_paths(hot, window).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "mask")).alias("paths"))
     once = hot.select("doc_id", "sha", "packed")
     if once.count() > once.select("doc_id", "sha").distinct().count():  # rows repeated under one id
         once = once.dropDuplicates(["doc_id", "sha"])
