@@ -1 +1,112 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the pipeline operators that SQL can express.
+
+Tokenizer files (op4), decoding layers (op5) and the fitted classifier (op9) have none: they are
+tested against the library, brute force and held-out labels.
+"""
+
+from __future__ import annotations
+
+from quarrykit.llm.chat import CONTROL, END, MIDDLE, START
+from quarrykit.llm.packing import BUCKETS, GROUP_ROWS, TOKEN_BUDGET
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _packing() -> str:
+    steps = ["d1 AS (SELECT j, m * c - s AS v, [m] AS bounds FROM b)"]
+    for k in range(2, BUCKETS + 1):
+        steps.append(
+            f"d{k} AS (SELECT j, v, bounds FROM (SELECT b.j, p.v + b.m * (b.c - q.c) - (b.s - q.s) AS v, list_append(p.bounds, b.m) AS bounds,"
+            f" row_number() OVER (PARTITION BY b.j ORDER BY p.v + b.m * (b.c - q.c) - (b.s - q.s), p.j) AS n"
+            f" FROM d{k - 1} p JOIN b q ON p.j = q.j JOIN b ON b.j > p.j WHERE p.j >= {k - 1}) WHERE n = 1)"
+        )
+    last = " UNION ALL ".join(f"SELECT {k} AS k, bounds FROM d{k} WHERE j = (SELECT max(j) FROM b)" for k in range(1, BUCKETS + 1))
+    return f"""
+WITH n AS (SELECT doc_id, len({_WORDS}) AS n FROM documents),
+h AS (SELECT CASE WHEN n < 64 THEN n ELSE 64 * (length(bin(n)) - 6) + (n >> CAST(length(bin(n)) - 6 AS BIGINT)) END AS bin, max(n) AS m, count(*) AS c, sum(n) AS s FROM n GROUP BY 1),
+b AS (SELECT row_number() OVER (ORDER BY m) AS j, m, sum(c) OVER (ORDER BY m) AS c, sum(s) OVER (ORDER BY m) AS s FROM h),
+{", ".join(steps)},
+best AS (SELECT bounds FROM ({last}) ORDER BY k DESC LIMIT 1),
+u AS (SELECT unnest(bounds) AS high, unnest(range(len(bounds))) AS bucket FROM best),
+t AS (SELECT bucket, high, coalesce(lag(high) OVER (ORDER BY bucket), -1) AS low, greatest(1, {TOKEN_BUDGET} // greatest(1, high)) AS batch FROM u),
+g AS (SELECT t.*, greatest(1, CAST(ceil((SELECT count(*) FROM n WHERE n > low AND n <= high) / greatest(batch, {GROUP_ROWS} // batch * batch)) AS BIGINT)) AS groups FROM t),
+p AS (SELECT doc_id, n, bucket, high, batch, ((((doc_id % 2147483648) + 2147483648) % 2147483648 * 1103515245) >> 8) % groups AS grp FROM n JOIN g ON n > low AND n <= high),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket, grp ORDER BY doc_id, n) - 1 AS r FROM p)
+SELECT doc_id, n AS n_tokens, bucket, CAST(high AS BIGINT) AS padded_to, CAST(high - n AS BIGINT) AS padding, bucket || '-' || grp || '-' || CAST(r // batch AS BIGINT) AS batch, CAST(r % batch AS BIGINT) AS slot FROM r
+"""
+
+
+_DECONTAMINATE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS s FROM
+  (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM
+  (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, dw.n, k, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+_WARC = """
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < keep THEN keep END AS refers_to
+FROM (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS keep FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(k))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  CAST(sum({len(START + MIDDLE + END)} + length(replace({_escaped("role")}, chr(10), '\\n')) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_REACH = """
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+"""
+
+_MINHASH = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + least(4, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 80 * (p.n + q.n - both_)),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON d.doc_id = r.a
+"""
+
+_SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM g) WHERE n > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS p FROM r),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS kept FROM w LEFT JOIN x ON w.doc_id = x.doc_id AND w.p = x.p WHERE x.p IS NULL GROUP BY w.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_packing": _packing(),
+    "op2_decontaminate": _DECONTAMINATE,
+    "op3_warc": _WARC,
+    "op6_chat": _CHAT,
+    "op7_minhash": _MINHASH,
+    "op8_substrings": _SUBSTRINGS,
+}
