@@ -79,13 +79,18 @@ def _vectors(texts: list[str | None], vocabulary: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Intercept and weights by Newton's method with a ridge."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
+    """Intercept and weights by Newton's method with a ridge; rows are taken in parts, in double precision."""
+    n = x.shape[1] + 1
+    w, ridge = np.zeros(n), np.full(n, RIDGE)
     ridge[0] = 1e-6
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        curve, slope = np.diag(ridge), -ridge * w
+        for i in range(0, len(x), 2048):
+            part = np.hstack([np.ones((len(x[i : i + 2048]), 1)), x[i : i + 2048]])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (y[i : i + 2048] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -97,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (1 - F.col("quality")).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and low is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = stored(texts.join(F.broadcast(known), "doc_id"), "labelled")
+    chosen = stored(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]), "labelled")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents with each word, by target, counted in each piece before the shuffle."""
@@ -126,13 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x = _vectors(batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["doc_id", "low", "toxic", "x"])
 
-    # At most ``sample`` vectors of STYLE + 2 x WORDS numbers.
-    rows = sorted(chosen.mapInArrow(vectors, "doc_id bigint, low int, toxic int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    # At most ``sample`` vectors of STYLE + 2 x WORDS numbers, a partition at a time.
+    x, known = np.zeros((n, STYLE + len(words)), np.float32), np.zeros((n, 3), np.int64)
+    for i, r in enumerate(chosen.mapInArrow(vectors, "doc_id bigint, low int, toxic int, x binary").toLocalIterator()):
+        x[i], known[i] = np.frombuffer(r["x"], np.float32), (r["doc_id"], r["low"], r["toxic"])
+    order = np.argsort(known[:, 0], kind="stable")
+    x, known = x[order], known[order]
     model: dict = {"words": words}
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), STYLE + len(words))
-    for target, b in zip(TARGETS, bad, strict=True):
-        if rows and 0 < b < n:
-            bias, w = _logistic(x, np.array([r[target] for r in rows], float))
+    for k, (target, b) in enumerate(zip(TARGETS, bad, strict=True), 1):
+        if n and 0 < b < n:
+            bias, w = _logistic(x, known[:, k].astype(float))
             model[target] = (bias - math.log(b / (n - b)), w)  # without the sample's own prior
     return model
 

@@ -359,3 +359,12 @@ def test_pipeline_against_its_parts(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), base)
         assert out.columns == docs.columns and out.count() == 0, name
+
+
+def test_lookup_with_salt_is_the_same_join(spark):
+    from quarrykit.llm.common import lookup
+
+    left = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
+    right = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
+    small, large = (rows(lookup(left, right, ["key"], F.col("id"), rows=n), "id", "key", "v") for n in (2, 10**9))
+    assert small == large == rows(left.join(right, "key", "left"), "id", "key", "v")
