@@ -33,6 +33,7 @@ from quarrykit.session import stored
 BANDS, ROWS = 48, 6
 _PERMUTATIONS = BANDS * ROWS // 2
 _CHUNK = 4096
+PARTS = 64
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +129,10 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFra
 
 
 def _common(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, c): how many of a text's shingles occur in another of ``texts``."""
+    """(doc_id, c, h): how many of a text's shingles occur in another of ``texts``, in all and by PARTS hash parts.
+
+    Two texts share at most the sum, over the parts, of the smaller count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -138,7 +142,9 @@ def _common(texts: DataFrame, size: int) -> DataFrame:
 
     rows = stored(texts.select("doc_id", "packed").mapInArrow(run, "doc_id bigint, shingles array<bigint>").select("doc_id", F.explode("shingles").alias("s")), "shingles")
     shared = stored(rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
-    return rows.join(shared, "s").groupBy("doc_id").agg(F.count("*").alias("c"))
+    parts = rows.join(shared, "s").groupBy("doc_id", F.pmod("s", F.lit(PARTS)).cast("int").alias("g")).agg(F.count("*").cast("int").alias("k"))
+    held = parts.groupBy("doc_id").agg(F.sum("k").alias("c"), F.map_from_entries(F.collect_list(F.struct("g", "k"))).alias("m"))
+    return held.select("doc_id", "c", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0))).alias("h"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
@@ -176,12 +182,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common = _common(left.select("doc_id").distinct().join(texts, "doc_id"), size)
     # An intersection holds no more than what each side shares with any of these texts at all.
     least = f"least(c, a_c) * {100 + share} >= {share} * (n + a_n)"
+    closer = f"aggregate(zip_with(h, a_h, (x, y) -> least(x, y)), 0, (t, x) -> t + x) * {100 + share} >= {share} * (n + a_n)"
     left = left.join(common, "doc_id").where(f"c * 100 >= {share} * n")
     left = stored(left, "open")
     rest = (
-        left.select("key", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), F.col("label").alias("la"))
-        .join(left.select("key", F.col("doc_id").alias("b"), "n", "c", F.col("label").alias("lb")), "key")
-        .where(f"a < b and la <> lb and {fits} and {least}")
+        left.select("key", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), F.col("h").alias("a_h"), F.col("label").alias("la"))
+        .join(left.select("key", F.col("doc_id").alias("b"), "n", "c", "h", F.col("label").alias("lb")), "key")
+        .where(f"a < b and la <> lb and {fits} and {least} and {closer}")
         .select("a", "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
