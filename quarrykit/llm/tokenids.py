@@ -23,19 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrykit.llm import files
+from quarrykit.llm import files, wordhash
 from quarrykit.session import shared_folder, stored
 
 MAGIC = b"QKDAC001"
 CHUNK_BITS = 8
 RANK_BITS = 512  # bits that one entry of the rank directory covers
-ROLL_TOKENS = 8_000_000  # a file is closed beyond this many tokens
-MEMO = 300_000  # pieces whose ids a worker remembers
+ROLL_TOKENS = 3_000_000  # a file is closed beyond this many tokens
+MEMO = 1_200_000  # pieces whose ids a worker remembers (about 50 bytes each)
+MAX_TASKS = 10_000  # that files are read in
+CHARS = 1 << 20  # text that is encoded at once
 
 
 def _pad(raw: bytes) -> bytes:
@@ -44,11 +47,11 @@ def _pad(raw: bytes) -> bytes:
 
 def levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(chunks, whether more follow) of each level."""
-    out, rest = [], ids.astype(np.uint64)
+    out, rest = [], ids
     while True:
-        more = rest >> np.uint64(CHUNK_BITS) > 0
-        out.append(((rest & np.uint64(255)).astype(np.uint8), more))
-        rest = rest[more] >> np.uint64(CHUNK_BITS)
+        more = rest >= 1 << CHUNK_BITS
+        out.append(((rest & 255).astype(np.uint8), more))
+        rest = rest[more] >> CHUNK_BITS
         if not len(rest):
             return out
 
@@ -128,8 +131,9 @@ class Encoder:
     """A public tokenizer over whole texts.
 
     Byte-level pre-tokenizers never join what stands before a single space with what stands
-    behind it, so such texts are encoded piece by piece and common pieces remembered; the ids
-    are those of the whole text. Any other tokenizer is given the whole texts.
+    behind it, so such texts are cut there, pieces are fingerprinted all at once (96 bits), and
+    only pieces not met before are given to the library; the ids are those of the whole text.
+    Any other tokenizer is given the whole texts.
     """
 
     def __init__(self, spec: str):
@@ -139,45 +143,89 @@ class Encoder:
         shape = json.loads(spec)
         before = shape.get("pre_tokenizer") or {}
         self._pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not shape.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in shape.get("added_tokens", []))
-        self._memo: dict[str, bytes] = {}
+        self._keys, self._checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # of remembered pieces, ascending
+        self._starts, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, np.uint32)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self._pieces:
-            return [np.frombuffer(b, np.uint32) for b in self._ids(texts)]
-        split = []
-        for text in texts:
-            parts = text.split(" ")
-            if len(parts) > 1:
-                parts[1:] = [" " + p for p in parts[1:]]
-                if any(len(p) < 2 or p[1].isspace() for p in parts[1:]) or any(p[-1:].isspace() for p in parts[:-1]) or not parts[0]:
-                    parts = _merged(parts)
-            split.append(parts)
-        memo = self._memo
-        new = list({p for parts in split for p in parts if p not in memo})
-        fresh = dict(zip(new, self._ids(new), strict=True)) if new else {}
-        room = MEMO - len(memo)
-        if room > 0:
-            for p in new[:room]:
-                memo[p] = fresh[p]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for parts in split:
-            got = [memo[p] if p in memo else fresh[p] for p in parts]
-            out.append(np.frombuffer(b"".join(got), np.uint32))
+        for i in range(0, len(texts), 2048):
+            out += [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
         return out
 
+    def _lookup(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self._keys, keys)
+        at[at == len(self._keys)] = 0
+        known = (self._keys[at] == keys) & (self._checks[at] == checks) if len(self._keys) else np.zeros(len(keys), bool)
+        return at, known
 
-def _merged(parts: list[str]) -> list[str]:
-    """Pieces joined wherever the space between them has white space or nothing on a side."""
-    out = [parts[0]]
-    for p in parts[1:]:
-        if out[-1] and not out[-1][-1].isspace() and len(p) > 1 and not p[1].isspace():
-            out.append(p)
-        else:
-            out[-1] += p
-    return out
+    def _remember(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        starts = len(self._ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self._ids = np.concatenate([self._ids, *ids])
+        at = np.searchsorted(self._keys, keys)
+        self._keys, self._checks = np.insert(self._keys, at, keys), np.insert(self._checks, at, checks)
+        self._starts, self._sizes = np.insert(self._starts, at, starts), np.insert(self._sizes, at, sizes)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self._pieces:
+            return self._encode(texts)
+        held = [t.encode("utf-8", "replace") for t in texts]
+        ends = np.cumsum([len(h) for h in held])
+        joined = b"".join(held)
+        if not joined:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        begins = ends - [len(h) for h in held]
+        cuts = np.unique(np.concatenate([_clean_spaces(np.frombuffer(joined, np.uint8)), begins[begins < ends]]))
+        stops = np.append(cuts[1:], len(joined))
+        keys, checks = wordhash.fingerprints(joined, cuts, stops)
+        at, known = self._lookup(keys, checks)
+        new, first = np.unique(keys[~known], return_index=True)
+        if len(new):
+            where = np.flatnonzero(~known)[first]
+            if len(self._keys) + len(new) > MEMO:  # begin anew; what is common comes back at once
+                self._keys, self._checks, self._starts, self._sizes, self._ids = (x[:0] for x in (self._keys, self._checks, self._starts, self._sizes, self._ids))
+                new, where = np.unique(keys, return_index=True)
+            self._remember(new, checks[where], self._encode([joined[s:e].decode("utf-8") for s, e in zip(cuts[where].tolist(), stops[where].tolist(), strict=True)]))
+            at, known = self._lookup(keys, checks)
+            if not known.all():  # two pieces with one key: the plain way
+                return self._encode(texts)
+        sizes = self._sizes[at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        out = self._ids[np.repeat(self._starts[at] - total[:-1], sizes) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(cuts, np.append(begins, len(joined)))]
+        return [out[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+_ENCODERS: dict[str, Encoder] = {}  # of this worker: the last tokenizer, with what it remembers from earlier tasks
+
+
+def _encoder(spec: str) -> Encoder:
+    if spec not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[spec] = Encoder(spec)
+    return _ENCODERS[spec]
+
+
+def _clean_spaces(raw: np.ndarray) -> np.ndarray:
+    """Places of single spaces with a character that is no white space, in any script, on both sides."""
+    padded = np.concatenate([np.full(3, 0x20, np.uint8), raw, np.full(1, 0x20, np.uint8)])
+    here, before, before2, before3, behind = padded[3:-1], padded[2:-2], padded[1:-3], padded[:-4], padded[4:]
+    white_before = (before <= 0x20) | (before == 0x7F) | ((before >= 0x80) & ((before2 == 0xC2) | ((before3 >= 0xE1) & (before3 <= 0xE3))))
+    white_behind = (behind <= 0x20) | (behind == 0x7F) | (behind == 0xC2) | ((behind >= 0xE1) & (behind <= 0xE3))
+    return np.flatnonzero((here == 0x20) & ~white_before & ~white_behind)
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about CHARS bytes."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > first and size + n > CHARS:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(texts):
+        yield first, len(texts)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, folder: str | None = None) -> DataFrame:
@@ -190,12 +238,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    held: dict[str, Encoder] = {}
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held.setdefault("encoder", Encoder(spec.value))
+        encoder = _encoder(spec.value)
         task, seq = TaskContext.get().partitionId(), 0
         ids, counts, parts = [], [], []
 
@@ -206,9 +253,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         end = np.array([end_id], np.uint32)
         total = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                for doc, got in zip(batch.column(0)[i : i + 512].to_pylist(), encoder.encode(texts[i : i + 512]), strict=True):
+            for first, last in _chunks(batch.column(1)):
+                texts, docs = batch.column(1)[first:last].to_pylist(), batch.column(0)[first:last].to_pylist()
+                for doc, got in zip(docs, encoder.encode(texts), strict=True):
                     ids.append(doc)
                     counts.append(len(got) + 1)
                     parts += [got, end]
@@ -245,4 +292,4 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     [pa.array(held.doc_ids, pa.int64()), pa.array(held.offsets[:-1] + first), pa.array(np.diff(held.offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    return manifest.select("file", "first").repartition("file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.select("file", "first").repartition(min(MAX_TASKS, max(1, manifest.count())), "file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -18,6 +18,8 @@ _SPACE = bytes(0x20 if c in (0x20, 9, 10, 11, 12, 13) else c for c in range(256)
 _SPACE_LOWER = bytes(0x20 if c in (0x20, 9, 10, 11, 12, 13) else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE2 = 0xC2B2AE3D27D4EB4F
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -74,6 +76,17 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+def fingerprints(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent fingerprints, of 64 and 32 bits, of each byte range."""
+    raw = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
+    out = []
+    for base, inverse in ((_BASE, _INVERSE), (_BASE2, _INVERSE2)):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * _powers(base, len(raw)), out=sums[1:])
+        out.append(mix((sums[ends] - sums[starts]) * _powers(inverse, len(raw))[starts] + (ends - starts).astype(np.uint64)))
+    return out[0], out[1] >> np.uint64(32)
+
+
 def prefix_hashes(texts: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
     """A row for each size: fingerprints of the words' first bytes, 0 for shorter words. Words as in word_hashes."""
     raw = np.frombuffer(b" ".join(texts).translate(_SPACE), np.uint8)
