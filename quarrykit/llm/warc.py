@@ -30,6 +30,7 @@ from quarrykit.session import shared_folder, stored
 
 LEAST = 1000
 ROLL_BYTES = 64 << 20  # an archive is closed beyond this size
+MAX_TASKS = 10_000  # that archives are read in
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f]")
 _MAGIC = b"\x1f\x8b\x08"
@@ -235,4 +236,4 @@ def read_archives(manifest: DataFrame, *, file_col: str = "file", with_payload:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(types)], names=names)
 
-    return manifest.select(file_col).repartition(file_col).mapInArrow(read, schema)
+    return manifest.select(file_col).repartition(min(MAX_TASKS, max(1, manifest.count())), file_col).mapInArrow(read, schema)
