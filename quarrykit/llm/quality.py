@@ -42,16 +42,24 @@ _ODD = bytes(c for c in range(0x21, 0x7F) if not (chr(c).isalnum() or c in _COMM
 _DIGITS = b"0123456789"
 _UPPER = bytes(range(0x41, 0x5B))
 STYLE = 8
+BLOCK = 512  # words that the distinct share is taken over, so that it does not fall with length
 PREFIXES = (4, 5, 6, 7)  # bytes; telling stems stand in many inflected words
 
 
+def _distinct(words: np.ndarray) -> float:
+    """Distinct share of consecutive blocks of BLOCK words: their mean over the whole text, a shorter last block counting by its words."""
+    whole = len(words) // BLOCK * BLOCK
+    blocks = np.sort(words[:whole].reshape(-1, BLOCK), axis=1)
+    n = len(blocks) + int((blocks[:, 1:] != blocks[:, :-1]).sum()) + len(np.unique(words[whole:]))
+    return n / max(1, len(words))
+
+
 def _style(raw: bytes, words: np.ndarray) -> list[float]:
     """Style of one text; shares, so that length alone says little."""
     n, size = max(1, len(words)), max(1, len(raw))
     share = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
     repeats = float((words[1:] == words[:-1]).sum()) / n
-    distinct = len(np.unique(words[:512])) / max(1, min(512, len(words)))
-    return [min(1.0, 10 * share(_ODD)), min(1.0, 10 * share(b"|")), min(1.0, 5 * repeats), share(_DIGITS), share(_UPPER), share(_COMMON), distinct, math.log1p(n) / 10]
+    return [min(1.0, 10 * share(_ODD)), min(1.0, 10 * share(b"|")), min(1.0, 5 * repeats), share(_DIGITS), share(_UPPER), share(_COMMON), _distinct(words), math.log1p(n) / 10]
 
 
 def _features(texts: list[str | None]) -> Iterator[tuple[list[float], np.ndarray]]:

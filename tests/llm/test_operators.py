@@ -306,6 +306,14 @@ def test_quality_on_held_out_labels(spark):
     assert right >= 0.95 and sum(clean) <= 0.01 * len(clean), (right, sum(clean), len(clean))
 
 
+def test_distinct_share_sees_the_whole_text():
+    share = lambda text: next(quality._features([text]))[0][6]
+    words = [f"w{k}" for k in range(512)]
+    clean, junk = " ".join(words * 4), " ".join(words + ["junk"] * 1536)
+    assert share(clean) == 1.0 and share(junk) == (512 + 3) / 2048
+    assert share(" ".join(words + words[:8])) == 1.0 and share("a a b") == 2 / 3 and share("") == 0.0
+
+
 def test_quality_odd_cases(spark):
     docs = odd(spark, "rejected")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, None, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
