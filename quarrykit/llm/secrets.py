@@ -4,17 +4,20 @@ Every text is searched for three kinds of secrets. Then encoded layers inside it
 escapes, \\u and \\x escapes, base64, gzip/zlib streams inside base64) are decoded, each
 decoded layer is searched and unwrapped again, until no new layer appears. Layers seen before
 in a document are not taken twice, which ends cycles. A finding inside a layer is reported at
-the span of the original text that the layer came from.
+the span of the original text that the layer came from. Base64 is also joined over line breaks
+and decoded from each of its four alignments, so whatever stands before it; if a run is not text
+as a whole, each readable part of it is a layer with a span of its own.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of
-the empty string; repeated rows are scanned one by one; other columns are not read. Layers
-that do not decode to text are left alone.
+the empty string; repeated rows are scanned one by one; other columns are not read. Bytes
+that do not decode to text are replaced in percent runs and left out of base64.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
+import codecs
 import hashlib
 import re
 import zlib
@@ -31,10 +34,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _LEAST_ASSIGN = 12
 
-#: An inflated layer is read in pieces of PIECE bytes with an overlap, so that memory stays
-#: bounded whatever it expands to and none of it is left out.
+#: An inflated layer is read in pieces of about PIECE bytes that end where no finding and no layer
+#: can go on (_SAFE); a longer run is held whole, so memory grows with the longest run only.
 PIECE = 1 << 20
-OVERLAP = 1 << 12
+FEED = 1 << 12  # compressed bytes taken at once
+_SAFE = re.compile(r"[^\t\n\r\x20-\x7e]|(?<=[!#-&()*,.;<>?@\[-^`{-~])[\x20\t\r\n]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])")
 
 #: Runs that may hold escapes are taken whole, which keeps the search linear on long runs.
 _URL_RUN = re.compile(r"[A-Za-z0-9+/_.=~:&?%-]+")
@@ -42,6 +46,13 @@ _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _VISIBLE_RUN = re.compile(r"[!-~]+")
 _ESCAPED = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+[\r\n]++[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAKS = re.compile(r"[\x20\t\r\n]+")
+_START = re.compile(r"(?<=[/_-])[A-Za-z0-9+]|^.")
+
+#: No secret is shorter, and no layer of one but inflated data, which is looked for by itself.
+LEAST = 16
+_READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -64,26 +75,67 @@ def _text(raw: bytes) -> str | None:
     return out if out and odd * 20 <= len(out) else None
 
 
-def _inflate(raw: bytes) -> Iterator[str]:
-    """Text pieces of a gzip or zlib stream; bounded memory whatever it expands to."""
-    if raw[:2] == b"\x1f\x8b":
-        wbits = 31
-    elif len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2], "big") % 31 == 0:
-        wbits = 15
-    else:
-        return
-    stream, tail, left = zlib.decompressobj(wbits), b"", raw
-    try:
-        while True:
-            part = stream.decompress(left, PIECE)
-            left = stream.unconsumed_tail
-            if part and (text := (tail + part).decode("utf-8", "ignore")):
-                yield text
-                tail = (tail + part)[-OVERLAP:]
-            if stream.eof or not (part or left):
+def _cut(text: str) -> int:
+    """The last place of ``text`` that no finding and no layer goes over; 0 if there is none."""
+    for size in (FEED, len(text)):
+        last = None
+        for last in _SAFE.finditer(text, max(0, len(text) - size)):
+            pass
+        if last:
+            return last.end()
+    return 0
+
+
+def _member(raw: bytes, at: int) -> int:
+    """Window bits of the gzip or zlib stream that begins at ``at``, or 0."""
+    if raw[at : at + 3] == b"\x1f\x8b\x08":
+        return 31
+    return 15 if len(raw) > at + 2 and raw[at] & 15 == 8 and int.from_bytes(raw[at : at + 2], "big") % 31 == 0 else 0
+
+
+def _bytes(raw: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
+    """What the streams from ``at`` on inflate to, one behind the other, up to an error; their end goes to ``ends``."""
+    while wbits := _member(raw, at):
+        stream, before = zlib.decompressobj(wbits), at
+        while not stream.eof and at < len(raw):
+            left, spare = raw[at : at + FEED], stream.copy()
+            at += len(left)
+            try:
+                while left:
+                    if part := stream.decompress(left, PIECE):
+                        yield part
+                    left = stream.unconsumed_tail
+                    spare = stream.copy() if left else spare
+            except zlib.error:
+                try:  # what comes before the error
+                    for k in range(len(left)):
+                        if part := spare.decompress(left[k : k + 1]):
+                            yield part
+                except zlib.error:
+                    pass
+                ends.append(before + 1)
                 return
-    except zlib.error:
-        return
+        if part := stream.flush():
+            yield part
+        at -= len(stream.unused_data)
+    ends.append(at)
+
+
+def _inflate(raw: bytes, at: int, ends: list[int]) -> Iterator[str]:
+    """Text of the streams at ``at`` in pieces that no run goes over."""
+    reader, held, size = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+    for part in _bytes(raw, at, ends):
+        text = reader.decode(part)
+        size += len(text)
+        cut = _cut(text) if size >= PIECE else 0
+        if cut:
+            yield "".join([*held, text[:cut]])
+            held, size = [text[cut:]], len(text) - cut
+        else:
+            held.append(text)
+    held.append(reader.decode(b"", True))
+    if text := "".join(held):
+        yield text
 
 
 def _unescape(text: str) -> str:
@@ -98,25 +150,76 @@ def layers(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded text) of each layer directly inside ``text``."""
     if "%" in text:
         for m in _URL_RUN.finditer(text):
-            if _PERCENT.search(m[0]) and (out := _text(unquote_to_bytes(m[0]))) and out != m[0]:
+            if _PERCENT.search(m[0]) and (out := unquote_to_bytes(m[0]).decode("utf-8", "replace")) != m[0]:
                 yield m.start(), m.end(), out
     if "\\" in text:
         for m in _VISIBLE_RUN.finditer(text):
             if "\\" in m[0] and (out := _unescape(m[0])) != m[0]:
                 yield m.start(), m.end(), out
+    wrapped = [m.span() for m in _WRAPPED.finditer(text)] if "\n" in text or "\r" in text else []
+    for start, end in wrapped:
+        yield from _base64(text, start, end)
+    k = 0
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode((run + "=" * (-len(run) % 4)).translate(_URL_SAFE), validate=True)
-        except binascii.Error:
-            continue
-        if out := _text(raw):
-            yield m.start(), m.end(), out
-        else:
-            for out in _inflate(raw):
-                yield m.start(), m.end(), out
+        while k < len(wrapped) and wrapped[k][1] <= m.start():
+            k += 1
+        if k == len(wrapped) or m.start() < wrapped[k][0]:
+            yield from _base64(text, *m.span())
+
+
+def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Layers of a base64 run, also of one that is wrapped over lines."""
+    lines, first = [], start  # (begin in the text, begin in the joined run)
+    joined, size = [], 0
+    for gap in [*_BREAKS.finditer(text, start, end), None]:
+        line = text[first : gap.start() if gap else end].rstrip("=")
+        lines.append((first, size, len(line)))
+        joined.append(line)
+        size += len(line)
+        first = gap.end() if gap else end
+    if size < 20:
+        return
+    run = "".join(joined).translate(_URL_SAFE)
+    begins = [b for _, b, _ in lines]
+
+    def place(i: int) -> int:
+        """Where the joined run's character ``i`` stands in the text."""
+        at, begin, _ = lines[bisect.bisect_right(begins, i) - 1]
+        return at + i - begin
+
+    whole: list[tuple[int, int]] = []  # runs that are text from end to end, as places of the joined run
+    for at, begin, n in [*([(start, 0, size)] if len(lines) > 1 else []), *lines]:
+        if n >= 20 and n % 4 != 1 and whole[:1] != [(0, size)]:
+            if out := _text(_decode(run[begin : begin + n])):
+                whole.append((begin, begin + n))
+                close = place(begin + n - 1) + 1
+                while close < end and text[close] == "=":
+                    close += 1
+                yield at, close, out
+    starts = [m.start() for m in _START.finditer("".join(joined))] + begins
+    for shift in range(4):
+        raw = _decode(run[shift:])
+        for m in _READABLE.finditer(raw):
+            if m.end() - m.start() < LEAST:
+                continue
+            a, b = shift + m.start() * 4 // 3, min(size, shift + -(-m.end() * 4 // 3))
+            w, e = whole[max(0, bisect.bisect_right(whole, (a, size)) - 1)] if whole else (size, size)
+            if not (w <= a and b <= e and (w - shift) % 4 == 0):
+                yield place(a), end if b == size else place(b - 1) + 1, m[0].decode("utf-8", "replace")
+        heads = {(i - shift) // 4 * 3 for i in starts if i >= shift and (i - shift) % 4 == 0}
+        heads.update(m.start() for m in re.finditer(rb"\x1f\x8b\x08", raw))
+        done = 0
+        for head in sorted(heads):
+            if head >= done and _member(raw, head):
+                ends: list[int] = []
+                for out in _inflate(raw, head, ends):
+                    yield place(shift + head * 4 // 3), end, out
+                done = ends[0] if ends else 0
+
+
+def _decode(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
 _URL_SAFE = str.maketrans("-_", "+/")

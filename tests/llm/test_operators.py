@@ -107,6 +107,32 @@ def test_secrets(spark):
     assert secrets.redacted_rows(docs).count() == docs.count()
 
 
+def test_secrets_in_layers_behind_other_bytes():
+    import base64
+    import gzip
+    import textwrap
+
+    secret = "password=abcdefghijkl"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    kinds = lambda text: {x.split(":")[0] for x in secrets.report(text)[4].split(",")}
+    inner = b64(secret.encode())
+    two = gzip.compress(b"ordinary words ") + gzip.compress(secret.encode())
+    long = b"word " * 300_000 + b"password=" + b"Ab" * 3000 + b" end"
+    split = b"x, " * ((secrets.PIECE - 30) // 3) + b64(b"y" * 9000 + secret.encode()).encode() + b" end"
+    cases = {
+        "latin-1 escape": "https://h/?name=Andr%E9&q=password%3Dabcdefghijkl", "control escapes": "%00%01%02password%3Dabcdefghijkl", "path": "/run/secrets/" + inner,
+        "wrapped": "\n".join(textwrap.wrap(b64(b"some words before it " + secret.encode()), 16)), "second member": b64(two), "run over pieces": b64(gzip.compress(split)),
+        "gzip in a path": "/run/data/" + b64(gzip.compress(secret.encode())), "damaged gzip": b64(gzip.compress(secret.encode())[:-8] + b"12345678"), "long value": b64(gzip.compress(long)),
+    }
+    for k in range(1, 6):
+        cases[f"prefix {k}"] = "p" * k + "-" + inner
+    for name, text in cases.items():
+        assert "assign" in kinds("a " + text + " z"), name
+        assert inner not in secrets.redact("a " + text + " z"), name
+    assert secrets.redact("words\nover\nlines " + "/run/secrets/" + inner).startswith("words\nover\nlines /run/")
+    assert secrets.redact("ordinary\nwords\non\ntheir\nown\nlines") == "ordinary\nwords\non\ntheir\nown\nlines"
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>\\"), (2, 1, "assistant", None), (2, 1, "assistant", None), (2, None, "we\nird\\n", ""), (None, 0, None, "x"), (3, 0, "assistant", "a" * 50000)]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("n_turns", F.lit("x"))
