@@ -1,8 +1,10 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
 The reader checks each record (gzip member, version line, length, block digest). After a failed
-check it searches for the next place where a valid record begins, goes on from there and
-reports the bytes between as a quarantined gap.
+check it searches for the next place where a valid record begins, inside what a member inflates
+to and behind it, goes on from there and reports the bytes between as a quarantined gap. A gap
+between records of one member has the member's place; its reason names the inflated bytes. In a
+member that does not inflate to its end, a record without a block digest is not trusted.
 
 Defined results: a null payload counts as empty; pages below LEAST bytes are never revisits;
 rows that repeat the largest page_id of a payload are all responses; a row without a page_id is
@@ -100,19 +102,66 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, start + int(size) + 4
 
 
-def _gunzip(source: files.Source, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends."""
+def _gunzip(source: files.Source, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` inflates to, where it ends and what broke it off, if anything."""
     open_, out, offset = zlib.decompressobj(31), [], at
-    try:
-        while not open_.eof:
-            part = source.read(offset, 1 << 15)
-            if not part:
-                raise Damaged("member is cut short")
+    while not open_.eof:
+        part = source.read(offset, 1 << 15)
+        if not part:
+            return b"".join(out), offset, "member is cut short"
+        spare = open_.copy()
+        try:
             out.append(open_.decompress(part))
-            offset += len(part) - len(open_.unused_data)
-    except zlib.error as e:
-        raise Damaged("member does not inflate") from e
-    return b"".join(out), offset
+        except zlib.error:
+            try:  # what comes before the error
+                for k in range(len(part)):
+                    out.append(spare.decompress(part[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), offset + k, "member does not inflate"
+        offset += len(part) - len(open_.unused_data)
+    return b"".join(out), offset, ""
+
+
+def _where(source: files.Source, at: int, n: int) -> int:
+    """Offset in the file behind which ``n`` bytes of the member at ``at`` are inflated."""
+    open_, offset = zlib.decompressobj(31), at
+    while n > 0 and (part := source.read(offset, 1 << 15)):
+        spare = open_.copy()
+        try:
+            got = len(open_.decompress(part))
+        except zlib.error:
+            got = n
+        if got >= n:
+            for k in range(len(part)):
+                n -= len(spare.decompress(part[k : k + 1]))
+                if n <= 0:
+                    return offset + k + 1
+        n, offset = n - got, offset + len(part)
+    return offset
+
+
+def _inside(data: bytes, broken: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """Begin, end, headers and block of all records of inflated data; headers are None and the block a reason for gaps."""
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        try:
+            headers, block, end = parse(data, at)
+            if broken and not headers.get("warc-block-digest", "").lower().startswith("sha1:"):
+                raise Damaged("no digest in a broken member")
+        except Damaged as e:
+            if bad is None:
+                bad, why = at, str(e)
+            after = _VERSION.search(data, at + 1)
+            at = after.start() if after else len(data)
+            continue
+        if bad is not None:
+            yield bad, at, None, why.encode()
+            bad = None
+        yield at, end, headers, block
+        at = end
+    if bad is not None:
+        yield bad, len(data), None, why.encode()
 
 
 def _plain(source: files.Source, at: int) -> tuple[bytes, int]:
@@ -130,28 +179,53 @@ def _plain(source: files.Source, at: int) -> tuple[bytes, int]:
 
 def salvage(source: files.Source) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     """("record" or "gap", offset, length, headers, block) over the whole file, in order."""
-    gz = source.read(0, 2) == _MAGIC[:2] or (source.find(b"WARC/", 0) < 0 <= source.find(_MAGIC, 0))
-    take, mark = (_gunzip, _MAGIC) if gz else (_plain, b"WARC/")
-    at, bad, why = 0, None, ""
+    at, bad, why, ahead = 0, None, "", {_MAGIC: 0, b"WARC/": 0}
+
+    def following(offset: int) -> int:
+        """The next place where a member or a record may begin."""
+        for mark, known in ahead.items():
+            if known < offset:
+                found = source.find(mark, offset)
+                ahead[mark] = source.size if found < 0 else found
+        return min(ahead.values())
+
     while at < source.size:
+        inner, broken = [], ""
         try:
-            data, end = take(source, at)
-            found, inner = [], 0
-            while inner < len(data):
-                headers, block, inner = parse(data, inner)
-                found.append((headers, block))
+            if source.read(at, len(_MAGIC)) == _MAGIC:
+                data, end, broken = _gunzip(source, at)
+                inner = list(_inside(data, bool(broken)))
+                good = [i for i, (_, _, headers, _) in enumerate(inner) if headers is not None]
+                if not good:
+                    if bad is None:
+                        bad, why = at, broken or (inner[0][3].decode() if inner else "empty member")
+                    at = following(at + 1) if broken else end
+                    continue
+                if broken:  # the rest belongs to the gap behind the last record
+                    inner = inner[: good[-1] + 1]
+                    end = _where(source, at, inner[-1][1])
+            else:
+                data, end = _plain(source, at)
+                headers, block, _ = parse(data)
+                inner = [(0, len(data), headers, block)]
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            after = source.find(mark, at + 1)
-            at = source.size if after < 0 else after
+            at = following(at + 1)
             continue
         if bad is not None:
             yield "gap", bad, at - bad, {"reason": why}, b""
             bad = None
-        for headers, block in found:
-            yield "record", at, end - at, headers, block
-        at = end
+        for first, last, headers, block in inner:
+            if headers is None:
+                yield "gap", at, end - at, {"reason": f"{block.decode()} (inflated bytes {first} to {last})"}, b""
+            else:
+                yield "record", at, end - at, headers, block
+        if broken and end < source.size:
+            bad, why = end, broken
+            at = following(end)
+        else:
+            at = end
     if bad is not None:
         yield "gap", bad, source.size - bad, {"reason": why}, b""
 

@@ -321,6 +321,36 @@ def test_salvage_recovers_what_follows(tmp_path, pack, where):
     assert [k for k, *_ in tail] == ["record"] * 3 + ["gap"]
 
 
+def test_salvage_inside_members(tmp_path):
+    plain = [warc.record(i, "http://x", hashlib.sha512(b"%d" % i).hexdigest().encode() * 40, None, "d") for i in range(6)]
+    sizes = np.cumsum([len(r) for r in plain])
+    spoilt = bytearray(b"".join(plain))
+    spoilt[int(sizes[1]) + 700] ^= 1  # record 2
+
+    def read(raw):
+        (tmp_path / "x").write_bytes(raw)
+        found = list(warc.salvage(files.Source(str(tmp_path / "x"), block=256)))
+        return [warc._page_of(h["warc-record-id"]) for kind, _, _, h, _ in found if kind == "record"], [(o, n, h["reason"]) for kind, o, n, h, _ in found if kind == "gap"]
+
+    one = warc._member(bytes(spoilt))
+    ids, gaps = read(one)
+    assert ids == [0, 1, 3, 4, 5] and gaps == [(0, len(one), f"block digest differs (inflated bytes {sizes[1]} to {sizes[2]})")]
+    for level in (3, 0):  # stored records are not found a second time
+        whole = warc._member(b"".join(plain), level)
+        ids, gaps = read(whole[: len(whole) * 3 // 4])
+        assert ids == [0, 1, 2, 3] and len(gaps) == 1 and sum(gaps[0][:2]) == len(whole) * 3 // 4
+    broken = bytearray(warc._member(b"".join(plain)))
+    broken[len(broken) * 3 // 4 : len(broken) * 3 // 4 + 400] = b"\xff" * 400
+    tail = warc._member(warc.record(7, "http://x", b"z", None, "d")) + warc.record(8, "http://x", b"z", None, "d")
+    ids, gaps = read(bytes(broken) + tail)
+    assert ids[:3] == [0, 1, 2] and ids[-2:] == [7, 8] and len(ids) == len(set(ids)) and len(gaps) == 1 and sum(gaps[0][:2]) == len(broken)
+    assert read(tail + plain[0] + whole) == ([7, 8, 0, 0, 1, 2, 3, 4, 5], [])
+    assert read(b"junk" + plain[0] + b"junk" + tail) == ([0, 7, 8], [(0, 4, "no record begins here"), (4 + len(plain[0]), 4, "no record begins here")])
+    bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", plain[0])
+    wrong = warc._member(bare)[:-8] + b"12345678"
+    assert read(wrong) == ([], [(0, len(wrong), "member does not inflate")])
+
+
 def test_quality_on_held_out_labels(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
