@@ -5,7 +5,8 @@ half as many hashes are evaluated for a signature of a given length. Bands of RO
 bucket keys. Texts with equal sets are one class from the start; inside each bucket classes are
 compared with the bucket's most central class, and only members of different components that were
 never compared, and that share enough with others to reach the threshold at all, are paired beyond
-that. Every link is confirmed on the full sets.
+that. Every link is confirmed on the full sets, shingle by shingle on the words themselves; texts
+count as of equal sets by 128 bits of each shingle.
 
 With 48 bands of 6 values a pair at exactly 0.8 is missed with a probability of 5e-7.
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import wordhash
+from quarrykit.llm.common import PART_BYTES, parts, texts_of
 from quarrykit.llm.components import components
 from quarrykit.session import stored
 
@@ -44,18 +46,34 @@ def _parameters() -> tuple[np.ndarray, np.ndarray]:
 _A, _B = _parameters()
 
 
-def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
-    """Each text's set of shingle fingerprints, sorted."""
+def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Each text's set of shingle hashes, sorted, and a digest of the set (128 bits a shingle go in)."""
     for _, held in wordhash.pieces(texts):
-        words, begins = wordhash.word_hashes(held, lower=True)
-        grams = wordhash.windows(words, size)
-        for s, e in zip(begins[:-1], begins[1:], strict=True):
+        found = wordhash.words(held, lower=True)
+        lanes = wordhash.hashes(found.distinct)[:, found.codes]
+        grams = [wordhash.windows(lane, size) for lane in lanes]
+        for s, e in zip(found.begins[:-1], found.begins[1:], strict=True):
             if e - s >= size:
-                yield np.unique(grams[s : e - size + 1])
-            elif e > s:
-                yield wordhash.windows(words[s:e], int(e - s), seed=1)
+                one, other = (g[s : e - size + 1] for g in grams)
             else:
-                yield words[:0]
+                one, other = (wordhash.windows(lane[s:e], int(e - s), seed=1) if e > s else lane[:0] for lane in lanes)
+            one, first = np.unique(one, return_index=True)
+            yield one, hashlib.blake2b(one.tobytes() + other[first].tobytes(), digest_size=16).digest()
+
+
+def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Each text's set of shingles as numbers that are equal, among these texts, exactly where the words are."""
+    found = wordhash.words(texts, lower=True)
+    grams = wordhash.numbered(found.codes, size)
+    short: dict[bytes, int] = {}
+    out = []
+    for s, e in zip(found.begins[:-1], found.begins[1:], strict=True):
+        if e - s >= size:
+            out.append(np.unique(grams[s : e - size + 1]))
+        else:  # the whole sequence is one shingle, unlike any of more words
+            own = found.codes[s:e].tobytes()
+            out.append(np.array([-1 - short.setdefault(own, len(short))] if own else [], np.int64))
+    return out
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -80,14 +98,15 @@ _SIGNED = "doc_id bigint, n bigint, digest binary, bands array<bigint>, packed b
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch in parts(batches, 1):
+            texts = texts_of(batch, 1)
             n, digests, bands, packed = [], [], [], []
-            for text, shingles in zip(texts, shingle_sets(texts, size), strict=True):
+            for text, (shingles, digest) in zip(texts, shingle_sets(texts, size), strict=True):
+                some = len(shingles) > 0
                 n.append(len(shingles))
-                digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                bands.append(band_keys(shingles) if len(shingles) else None)
-                packed.append(squeeze.compress(text.encode("utf-8", "replace")) if len(shingles) else None)
+                digests.append(digest if some else None)
+                bands.append(band_keys(shingles) if some else None)
+                packed.append(squeeze.compress(text) if some else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["doc_id", "n", "digest", "bands", "packed"]
             )
@@ -96,25 +115,22 @@ def _sign(size: int):
 
 
 def _confirm(size: int, share: int):
-    """Of pairs (a, b, text a, text b): those whose sets meet the threshold."""
+    """Of pairs (a, b, text a, text b): those whose sets, compared by their words, meet the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
         open_ = zstandard.ZstdDecompressor()
-
-        def sets(packed: list[bytes]) -> list[np.ndarray]:
-            return list(shingle_sets([open_.decompress(p).decode("utf-8") for p in packed], size))
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+        for batch in parts(batches, 3, PART_BYTES // 4):
+            a, place, texts = batch.column("a").to_pylist(), {}, []
+            for k, one in enumerate(a):  # a hub's text is taken once
+                if one not in place:
+                    place[one] = len(texts)
+                    texts.append(open_.decompress(batch.column("left")[k].as_py()))
+            sets = exact_sets(texts + [open_.decompress(p) for p in batch.column("right").to_pylist()], size)
             keep = []
-            for i in range(0, len(a), 256):
-                for k, one in enumerate(sets(right[i : i + 256])):
-                    if held[0] != a[i + k]:
-                        held = (a[i + k], sets([left[i + k]])[0])
-                    both = len(np.intersect1d(held[1], one, assume_unique=True))
-                    keep.append(100 * both >= share * (len(held[1]) + len(one) - both))
+            for one, right in zip(a, sets[len(texts) :], strict=True):
+                left = sets[place[one]]
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(100 * both >= share * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -136,14 +152,14 @@ def _common(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
-            found = shingle_sets([open_.decompress(p).decode("utf-8") for p in batch.column("packed").to_pylist()], size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        for batch in parts(batches, 1, PART_BYTES // 4):
+            found = shingle_sets([open_.decompress(p) for p in batch.column("packed").to_pylist()], size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     rows = stored(texts.select("doc_id", "packed").mapInArrow(run, "doc_id bigint, shingles array<bigint>").select("doc_id", F.explode("shingles").alias("s")), "shingles")
     shared = stored(rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
-    parts = rows.join(shared, "s").groupBy("doc_id", F.pmod("s", F.lit(PARTS)).cast("int").alias("g")).agg(F.count("*").cast("int").alias("k"))
-    held = parts.groupBy("doc_id").agg(F.sum("k").alias("c"), F.map_from_entries(F.collect_list(F.struct("g", "k"))).alias("m"))
+    counted = rows.join(shared, "s").groupBy("doc_id", F.pmod("s", F.lit(PARTS)).cast("int").alias("g")).agg(F.count("*").cast("int").alias("k"))
+    held = counted.groupBy("doc_id").agg(F.sum("k").alias("c"), F.map_from_entries(F.collect_list(F.struct("g", "k"))).alias("m"))
     return held.select("doc_id", "c", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0))).alias("h"))
 
 

@@ -11,7 +11,8 @@ and at most WORDS words a target; rates, shrinkage and decisions use all documen
 Defined results: a null or empty text has no evidence and gets its site's posterior; null hosts
 and paths count as the empty string; without labels of both kinds for a target nothing is
 rejected for it; of labels repeated for one document the worse counts; repeated document rows are
-judged one by one; an empty table gives no rows; clashing columns are not touched.
+judged one by one; an empty table gives no rows; columns of the same names as those used here keep
+their values.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrykit.llm import wordhash
-from quarrykit.llm.common import lookup
+from quarrykit.llm.common import PART_BYTES, free_name, lookup, parts, texts_of
 from quarrykit.session import stored
 
 SAMPLE = 20_000
@@ -62,27 +63,44 @@ def _style(raw: bytes, words: np.ndarray) -> list[float]:
     return [min(1.0, 10 * share(_ODD)), min(1.0, 10 * share(b"|")), min(1.0, 5 * repeats), share(_DIGITS), share(_UPPER), share(_COMMON), _distinct(words), math.log1p(n) / 10]
 
 
-def _features(texts: list[str | None]) -> Iterator[tuple[list[float], np.ndarray]]:
-    """Style of each text and the fingerprints of its words and their stems."""
+def _hashes(distinct: list[bytes]) -> np.ndarray:
+    """A row for whole words and one for each stem length: a hash of each distinct word's, 0 where it is shorter."""
+    out = np.zeros((1 + len(PREFIXES), len(distinct)), np.int64)
+    out[0] = wordhash.hashes(distinct)[0].view(np.int64)
+    for row, size in zip(out[1:], PREFIXES, strict=True):
+        some = [i for i, w in enumerate(distinct) if len(w) >= size]
+        row[some] = wordhash.mix(wordhash.hashes([distinct[i][:size] for i in some])[0] + np.uint64(size)).view(np.int64)
+    return out
+
+
+def _pieces(texts: list[bytes | str | None]) -> Iterator[tuple[list[bytes], wordhash.Words, np.ndarray]]:
+    """Texts a piece at a time, with their words and the hashes of the distinct ones."""
     for _, held in wordhash.pieces(texts):
-        folded = [h.translate(_FOLD) for h in held]
-        words, begins = wordhash.word_hashes(folded, lower=False)
-        stems = wordhash.prefix_hashes(folded, PREFIXES)
-        for raw, s, e in zip(held, begins[:-1], begins[1:], strict=True):
-            every = np.concatenate([words[s:e], stems[:, s:e].ravel()])
-            yield _style(raw, words[s:e]), every[every != 0].view(np.int64)
-
-
-def _vectors(texts: list[str | None], vocabulary: np.ndarray) -> np.ndarray:
-    """Style, then log counts of the vocabulary (sorted fingerprints)."""
-    out = np.zeros((len(texts), STYLE + len(vocabulary)))
-    for i, (style, words) in enumerate(_features(texts)):
-        if len(words):
-            out[i, :STYLE] = style
-            if len(vocabulary):
-                at = np.searchsorted(vocabulary, words)
-                at[at == len(vocabulary)] = 0
-                out[i, STYLE:] = np.log1p(np.bincount(at[vocabulary[at] == words], minlength=len(vocabulary)))
+        found = wordhash.words([h.translate(_FOLD) for h in held])
+        yield held, found, _hashes(found.distinct)
+
+
+def _features(texts: list[bytes | str | None]) -> Iterator[tuple[list[float], np.ndarray]]:
+    """Style of each text and the distinct hashes of its words and their stems."""
+    for held, found, hashed in _pieces(texts):
+        for raw, s, e in zip(held, found.begins[:-1], found.begins[1:], strict=True):
+            every = np.unique(hashed[:, np.unique(found.codes[s:e])])
+            yield _style(raw, found.codes[s:e]), every[every != 0]
+
+
+def _vectors(texts: list[bytes | str | None], vocabulary: np.ndarray) -> np.ndarray:
+    """Style, then log counts of the vocabulary (sorted hashes)."""
+    out, i, n = np.zeros((len(texts), STYLE + len(vocabulary))), 0, len(vocabulary)
+    for held, found, hashed in _pieces(texts):
+        at = np.searchsorted(vocabulary, hashed)
+        at[at == n] = 0
+        at = np.where(vocabulary[at] == hashed, at, n) if n else at
+        for raw, s, e in zip(held, found.begins[:-1], found.begins[1:], strict=True):
+            if e > s:
+                out[i, :STYLE] = _style(raw, found.codes[s:e])
+                if n:
+                    out[i, STYLE:] = np.log1p(np.bincount(at[:, found.codes[s:e]].ravel(), minlength=n + 1)[:n])
+            i += 1
     return out
 
 
@@ -109,14 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """The two classifiers. The ids of the sample are broadcast (at most ``sample`` rows), so texts are not shuffled."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (1 - F.col("quality")).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and low is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = stored(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    # Of several texts under one id the least is taken.
+    chosen = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("low").alias("low"), F.max("toxic").alias("toxic")), "labelled")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents with each word, by target, counted in each piece before the shuffle."""
-        for batch in batches:
+        for batch in parts(batches, 1):
             low, toxic = batch.column("low").to_numpy(), batch.column("toxic").to_numpy()
-            held = [np.unique(w) for _, w in _features(batch.column("text").to_pylist())]
+            held = [w for _, w in _features(texts_of(batch, 1))]
             sizes = [len(h) for h in held]
             words, at = np.unique(np.concatenate(held), return_inverse=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             count = lambda y: pa.array(np.bincount(at, np.repeat(y, sizes), minlength=len(words)).astype(np.int64))
@@ -135,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     words = np.array(sorted(vocabulary), np.int64)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _vectors(batch.column("text").to_pylist(), words)
+        for batch in parts(batches, 1, PART_BYTES // 4):
+            x = _vectors(texts_of(batch, 1), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["doc_id", "low", "toxic", "x"])
 
     # At most ``sample`` vectors of STYLE + 2 x WORDS numbers, a partition at a time.
@@ -153,12 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return model
 
 
-def _scorer(model: dict, text_at: int):
+def _scorer(model: dict, text_at: int, names: list[str]):
     """Append each target's log likelihood ratio; 0 without evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
+        for batch in parts(batches, text_at, PART_BYTES // 4):
+            texts = texts_of(batch, text_at)
             scores = {t: np.zeros(len(texts)) for t in TARGETS}
             for i in range(0, len(texts), 512):
                 x = _vectors(texts[i : i + 512], model["words"])
@@ -166,14 +185,16 @@ def _scorer(model: dict, text_at: int):
                 for t in TARGETS:
                     if t in model:
                         scores[t][i : i + 512] = np.where(some, np.clip(model[t][0] + x @ model[t][1], -30, 30), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(scores[t]) for t in TARGETS)], names=[*batch.schema.names, *(f"_llr_{t}" for t in TARGETS)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(scores[t]) for t in TARGETS)], names=[*batch.schema.names, *names])
 
     return run
 
 
-def scored(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
-    wider = T.StructType([*docs.schema.fields, *(T.StructField(f"_llr_{t}", T.DoubleType()) for t in TARGETS)])
-    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col)), wider)
+def scored(docs: DataFrame, model: dict, *, text_col: str = "text", names: list[str] | None = None) -> DataFrame:
+    """``docs`` with each target's log likelihood ratio, in columns ``names``."""
+    names = names or free_name(docs, *(f"_llr_{t}" for t in TARGETS))
+    wider = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), names), wider)
 
 
 def _logit(p: Column) -> Column:
@@ -221,21 +242,35 @@ def site_rates(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("host", "path", *(f"rate_{t}" for t in TARGETS))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with p_low, p_toxic and rejected (columns _p_low, _p_toxic, _rejected).
-
-    Texts are read three times (sample, scores, decision) and never shuffled: site rates come
-    back as a lookup table that is broadcast if small and joined with salt otherwise.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column | None, path: Column | None, threshold: float) -> tuple[DataFrame, list[str]]:
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    # Only what scoring needs; other columns may have any name.
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
-    rates = stored(site_rates(scored(narrow, model).select("doc_id", "host", "path", *(f"_llr_{t}" for t in TARGETS)), labels), "rates")
-    keyed = scored(docs.withColumn("_host", host).withColumn("_path", path), model, text_col=text_col)
-    rates = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *(F.col(f"rate_{t}").alias(f"_rate_{t}") for t in TARGETS))
-    out = lookup(keyed, rates, ["_host", "_path"], F.col(id_col))
-    for t in TARGETS:
-        out = out.withColumn(f"_p_{t}", _probability(F.col(f"_llr_{t}") + _logit(F.col(f"_rate_{t}"))))
-    return out.withColumn("_rejected", (F.col("_p_low") >= threshold) | (F.col("_p_toxic") >= threshold))
+    at_host, at_path, *ratios = free_name(docs, "_host", "_path", *(f"_llr_{t}" for t in TARGETS))
+    rated = free_name(docs, *(f"_rate_{t}" for t in TARGETS))
+    said = free_name(docs, *(f"_p_{t}" for t in TARGETS), "_rejected")
+    keyed = docs.select(*docs.columns, host.alias(at_host), path.alias(at_path))
+    scores = stored(scored(keyed, model, text_col=text_col, names=ratios), "scores")
+    narrow = scores.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(at_host).alias("host"), F.col(at_path).alias("path"), *(F.col(n).alias(f"_llr_{t}") for n, t in zip(ratios, TARGETS, strict=True)))
+    rates = stored(site_rates(narrow, labels), "rates")
+    rates = rates.select(F.col("host").alias(at_host), F.col("path").alias(at_path), *(F.col(f"rate_{t}").alias(n) for n, t in zip(rated, TARGETS, strict=True)))
+    out = lookup(scores, rates, [at_host, at_path], F.col(id_col))
+    chance = [_probability(F.col(llr) + _logit(F.col(rate))) for llr, rate in zip(ratios, rated, strict=True)]
+    out = out.select(*docs.columns, *(p.alias(n) for p, n in zip(chance, said[:-1], strict=True)))
+    return out.withColumn(said[-1], F.greatest(*(F.col(n) for n in said[:-1])) >= threshold), said
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with _p_low, _p_toxic and _rejected; such a name that ``docs`` has itself gets underscores behind it.
+
+    Texts are read for the sample and for the scores, which are kept in the shared folder with
+    the rows; they are shuffled only if the table of sites is too large to broadcast, and then
+    with a salt.
+    """
+    return _judged(docs, labels, id_col, text_col, host, path, threshold)[0]
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with its columns only."""
+    out, said = _judged(docs, labels, id_col, text_col, host, path, threshold)
+    return out.where(~F.col(said[-1])).select(*docs.columns)

@@ -53,7 +53,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

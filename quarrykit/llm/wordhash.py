@@ -1,35 +1,56 @@
-"""Word and shingle fingerprints of many texts at once, in numpy.
+"""Words of many texts at once, told apart by their bytes.
 
-A text's words are runs of anything but space and \\t \\n \\v \\f \\r. Words get 64-bit
-polynomial fingerprints over their UTF-8 bytes from prefix sums of the whole buffer, so no
-Python object is made for a word.
+A text's words are runs of anything but space and \\t \\n \\v \\f \\r. All words of a piece of text
+become one Arrow array, whose dictionary says exactly which are equal; only its distinct words are
+hashed (blake2b), so no two words get one hash by the way they are made up, and no Python object is
+made for each word. Windows of words are hashed from their words' hashes, or numbered exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
-#: Bytes of text that are fingerprinted in one go.
-PIECE_BYTES = 2 << 20
+#: Bytes of text whose words are taken in one go.
+PIECE_BYTES = 1 << 19
 
 _SPACE = bytes(0x20 if c in (0x20, 9, 10, 11, 12, 13) else c for c in range(256))
 _SPACE_LOWER = bytes(0x20 if c in (0x20, 9, 10, 11, 12, 13) else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BASE2 = 0xC2B2AE3D27D4EB4F
-_INVERSE2 = pow(_BASE2, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+class Words(NamedTuple):
+    """All words of some texts: a code each, the distinct words by code, and where each text's words begin (one more than texts)."""
+
+    codes: np.ndarray
+    distinct: list[bytes]
+    begins: np.ndarray
+
+
+def words(texts: list[bytes], lower: bool = False) -> Words:
+    joined = b" ".join(texts).translate(_SPACE_LOWER if lower else _SPACE)
+    solid = np.zeros(len(joined) + 2, np.int8)
+    solid[1:-1] = np.frombuffer(joined + b" ", np.uint8)[:-1] != 0x20
+    edge = np.diff(solid)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begins = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    if not len(starts):
+        return Words(np.zeros(0, np.int64), [], begins)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    data = [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(None, b" "))]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), data).dictionary_encode()
+    return Words(found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist(), begins)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    held = _POWERS.get(base)
-    if held is None or len(held) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        held = _POWERS[base] = np.multiply.accumulate(out)
-    return held[:n]
+def hashes(distinct: list[bytes], salt: int = 0) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, as two rows; another ``salt`` gives others."""
+    key = salt.to_bytes(8, "little") if salt else b""
+    raw = b"".join([hashlib.blake2b(w, digest_size=16, key=key).digest() for w in distinct])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2).T if raw else np.zeros((2, 0), np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,28 +63,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words, and where each text's words begin (one more than texts)."""
-    joined = b" ".join(texts).translate(_SPACE_LOWER if lower else _SPACE)
-    raw = np.frombuffer(joined, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    solid = np.zeros(len(raw) + 2, np.int8)
-    solid[1:-1] = raw != 0x20
-    edge = np.diff(solid)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64))
-    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return words, np.searchsorted(starts, begins)
-
-
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts in UTF-8) in runs of about PIECE_BYTES; null texts are empty."""
+def pieces(texts: list[bytes | str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts) in runs of about PIECE_BYTES; null texts are empty."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        raw = t.encode("utf-8", "replace") if t else b""
+        raw = t.encode("utf-8", "replace") if isinstance(t, str) else t or b""
         if held and size + len(raw) > PIECE_BYTES:
             yield first, held
             first, held, size = i, [], 0
@@ -73,46 +77,33 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-_STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
-
-def fingerprints(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent fingerprints, of 64 and 32 bits, of each byte range."""
-    raw = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
-    out = []
-    for base, inverse in ((_BASE, _INVERSE), (_BASE2, _INVERSE2)):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(raw * _powers(base, len(raw)), out=sums[1:])
-        out.append(mix((sums[ends] - sums[starts]) * _powers(inverse, len(raw))[starts] + (ends - starts).astype(np.uint64)))
-    return out[0], out[1] >> np.uint64(32)
-
-
-def prefix_hashes(texts: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
-    """A row for each size: fingerprints of the words' first bytes, 0 for shorter words. Words as in word_hashes."""
-    raw = np.frombuffer(b" ".join(texts).translate(_SPACE), np.uint8)
-    if not len(raw):
-        return np.zeros((len(sizes), 0), np.uint64)
-    solid = np.zeros(len(raw) + 2, np.int8)
-    solid[1:-1] = raw != 0x20
-    edge = np.diff(solid)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    back = _powers(_INVERSE, len(raw))[starts]
-    out = np.zeros((len(sizes), len(starts)), np.uint64)
-    for row, size in zip(out, sizes, strict=True):
-        held = ends - starts >= size
-        row[held] = mix((sums[starts[held] + size] - sums[starts[held]]) * back[held] + np.uint64(size << 32))
-    return out
-
-
-def windows(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Fingerprints of all runs of k consecutive words of the whole array."""
-    if len(words) < k:
+def windows(hashed: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of k consecutive words of the whole array of hashed words."""
+    if len(hashed) < k:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - k + 1, np.uint64)
+    out = np.zeros(len(hashed) - k + 1, np.uint64)
     step = np.uint64(_STEP[seed])
     for i in range(k):
         out *= step
-        out += words[i : len(words) - k + 1 + i]
+        out += hashed[i : len(hashed) - k + 1 + i]
     return mix(out)
+
+
+def numbered(codes: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of all runs of k consecutive codes, equal exactly where the runs are equal."""
+    if len(codes) < k:
+        return np.zeros(0, np.int64)
+    out, length, power, step = None, 0, codes, 1
+    while k:
+        if k & 1:
+            out, length = (power, step) if out is None else (_pairs(out, power, length), length + step)
+        k >>= 1
+        if k:
+            power, step = _pairs(power, power, step), 2 * step
+    return out
+
+
+def _pairs(left: np.ndarray, right: np.ndarray, apart: int) -> np.ndarray:
+    n = min(len(left), len(right) - apart)
+    keys = left[:n] * (int(right.max()) + 1) + right[apart : apart + n]
+    return pa.array(keys).dictionary_encode().indices.to_numpy().astype(np.int64)

@@ -229,6 +229,62 @@ def test_substrings(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def thue_morse(n):
+    """Two strings of n letters that polynomial hashes modulo 2^64 do not tell apart, whatever their base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    s, t = thue_morse(1024)
+    docs = spark.createDataFrame([(1, f"one {s} two three"), (2, f"one {t} two three"), (3, f"{s} {BASE[:30]}"), (4, f"{t} {BASE[:30]}")], "doc_id bigint, text string")
+    assert all(r["kept"] for r in minhash.near_duplicates(docs, size=4).collect())
+    one, other = minhash.exact_sets([f"one {s} two three".encode(), f"one {t} two three".encode()], 4)
+    assert not set(one.tolist()) & set(other.tolist())
+    passage = " ".join(f"v{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{passage} {s} end"), (2, f"{passage} {t} end")], "doc_id bigint, text string")
+    assert [r["n_removed"] for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+
+
+def test_substring_paths_hot_and_branching(spark):
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{j}x{k}" for k in range(70)) for j in range(4)]
+    made = []
+    for i in range(400):
+        body = [f"d{i}w{k}" for k in range(int(rng.integers(0, 40)))]
+        for j in rng.choice(4, int(rng.integers(0, 4)), replace=True):
+            cut = sorted(rng.choice(71, 2, replace=False).tolist())
+            body += passages[j].split()[cut[0] : cut[1]] if rng.random() < 0.5 else passages[j].split()
+        made.append((i, " ".join(body)))
+    made += [(5, made[5][1]), (6, made[7][1] + " " + made[9][1])]  # an id with equal texts, and one with different texts
+    docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    first = {}
+    for i, t in made:
+        w = t.split()
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            first[g] = min(first.get(g, (i, k)), (i, k))
+    want = []
+    for i, t in made:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 19):
+            if first[tuple(w[k : k + 20])] != (i, k):
+                gone |= set(range(k, k + 20))
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    assert rows(substrings.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(docs, window=67)
+
+
+def test_substrings_again_where_hashes_meet(spark, monkeypatch):
+    """An attempt that finds other words at a source than at its copy gives nothing; the next salt is taken."""
+    weak = substrings._attempt
+    tried = []
+    monkeypatch.setattr(substrings, "_attempt", lambda *a: tried.append(a[-1]) or (None if a[-1] == 0 else weak(*a)))
+    docs = spark.createDataFrame([(1, " ".join(f"v{k}" for k in range(30))), (2, " ".join(f"v{k}" for k in range(30)))], "doc_id bigint, text string")
+    assert sorted(r["n_removed"] for r in substrings.remove_repeats(docs).collect()) == [0, 30] and tried == [0, 1]
+
+
 def test_packing(spark):
     docs = both(spark, "bucket")
     out = packing.pack(docs, budget=4096).collect()
@@ -430,5 +486,5 @@ def test_lookup_with_salt_is_the_same_join(spark):
 
     left = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
     right = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
-    small, large = (rows(lookup(left, right, ["key"], F.col("id"), rows=n), "id", "key", "v") for n in (2, 10**9))
+    small, large = (rows(lookup(left, right, ["key"], F.col("id"), most=n), "id", "key", "v") for n in (10**9, 0))
     assert small == large == rows(left.join(right, "key", "left"), "id", "key", "v")
