@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrykit.llm import decontaminate, minhash, packing, quality, secrets
+from quarrykit.llm.common import free_name
 from quarrykit.session import stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects as low or toxic go."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.where("not _rejected").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id."""
     kept = stored(minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    (row,) = free_name(docs, "_row")
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = named.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return first.where("_row = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = named.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return first.where(F.col(row) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
