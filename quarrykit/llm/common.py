@@ -55,8 +55,9 @@ def free_name(docs: DataFrame, *names: str) -> list[str]:
 
 
 def measured(df: DataFrame) -> int:
-    """Bytes of a table of plain columns: 8 a value and the length of its strings."""
-    strings = [F.sum(F.octet_length(F.col(f"`{c}`"))) for c, kind in df.dtypes if kind in ("string", "binary")]
+    """Bytes of a table: 8 a value and the length of its strings, also of those in arrays."""
+    texts = [(F.col(f"`{c}`"), kind) for c, kind in df.dtypes if "string" in kind or "binary" in kind]
+    strings = [F.sum(F.octet_length(c) if kind in ("string", "binary") else F.aggregate(F.transform(c, F.octet_length), F.lit(0), lambda t, x: t + x + 8)) for c, kind in texts]
     row = df.agg(F.count("*"), *strings).first()
     return row[0] * 8 * len(df.columns) + sum(x or 0 for x in row[1:])
 

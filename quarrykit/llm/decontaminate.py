@@ -1,7 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The benchmark's word windows become patterns of one automaton; every document is normalised
-and scanned once, and hits are mapped back to offsets of the original text.
+The benchmark's word windows become patterns of one automaton, whose alphabet is the benchmark's
+own words: each has two letters of its own, the first and the second from different alphabets, so
+that nothing matches between words. Every document is normalised and scanned once, and hits are
+mapped back to offsets of the original text.
 
 Defined results: a null or empty text has no words and is never contaminated; an item without
 id or words is ignored; an item repeated under one id counts once; the same window in several
@@ -14,24 +16,27 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quarrykit.llm.common import free_name, lookup, parts, texts_of
 from quarrykit.session import stored
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text that one automaton holds. A larger benchmark is scanned for in
-#: blocks of this size, each broadcast by itself; no window is dropped.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text that one automaton holds: 1 MB of words makes one of about 180
+#: MB in each worker. A larger benchmark is scanned for in blocks of this size, each broadcast by
+#: itself; no window is dropped.
+BLOCK_BYTES = 1 << 20
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_AUTOMATA: dict = {}  # of this worker: the last two blocks' automata
+_FIRST_LETTER = 0x100
+_OTHER = "\x01\x01"  # any word that the benchmark does not have
+_AUTOMATA: dict = {}  # of this worker: the last block's automaton
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean,"
@@ -39,56 +44,52 @@ SCHEMA = (
 )
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes | str | None) -> list[bytes]:
     """Words of a text in UTF-8; bytes of other than word characters separate them."""
-    return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text
+    return raw.translate(_FOLD).split() if raw else []
 
 
-def windows(items: list[tuple[int, str | None]], window: int = WINDOW) -> dict[str, list[str]]:
-    """Pattern -> item ids. Patterns are UTF-8 words read as latin-1, with a space on each side."""
+def windows(items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[dict[bytes, str], dict[str, list[str]]]:
+    """The two letters of each word, and the item ids of each pattern."""
+    split = [(str(item), words_of(text)) for item, text in items if item is not None]
+    vocabulary = sorted({w for _, words in split for w in words})
+    side = max(1, int(np.ceil(np.sqrt(len(vocabulary)))))
+    letters = {w: chr(_FIRST_LETTER + k // side) + chr(_FIRST_LETTER + side + k % side) for k, w in enumerate(vocabulary)}
     found: dict[str, set[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        if item is None or not words:
-            continue
-        for i in range(max(1, len(words) - window + 1)):
-            found.setdefault(f" {b' '.join(words[i : i + window]).decode('latin-1')} ", set()).add(str(item))
-    return {k: sorted(v) for k, v in found.items()}
+    for item, words in split:
+        line = "".join([letters[w] for w in words])
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            found.setdefault(line[2 * i : 2 * (i + window)], set()).add(item)
+    return letters, {k: sorted(v) for k, v in found.items()}
 
 
-def _automaton(key: str, patterns: dict[str, list[str]]):
-    """Built once a worker for each broadcast block."""
+def _automaton(block) -> tuple[dict[bytes, str], object | None]:
+    """The letters and the automaton of a broadcast block, built once a worker."""
     import ahocorasick
 
+    key, letters, patterns = block.value
     if key not in _AUTOMATA:
-        made = ahocorasick.Automaton()
-        for pattern, items in patterns.items():
-            made.add_word(pattern, (len(pattern), items))
+        made = None
         if patterns:
+            made = ahocorasick.Automaton()
+            for pattern, items in patterns.items():
+                made.add_word(pattern, (len(pattern) // 2, items))
             made.make_automaton()
-        while len(_AUTOMATA) >= 2:
-            _AUTOMATA.pop(next(iter(_AUTOMATA)))
-        _AUTOMATA[key] = made
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = (letters, made)
     return _AUTOMATA[key]
 
 
-def hits(words: list[bytes], automaton) -> tuple[set[int], set[str]]:
+def hits(words: list[bytes], letters: dict[bytes, str], automaton) -> tuple[set[int], set[str]]:
     """Indexes of the words inside any occurrence of a window, and the items these windows are of."""
     hit: set[int] = set()
     items: set[str] = set()
-    if not words or not len(automaton):
-        return hit, items
-    line = f" {b' '.join(words).decode('latin-1')} "
-    starts: list[int] = []
-    for end, (size, owners) in automaton.iter(line):
-        if not starts:  # offsets of the words, once there is a hit
-            at = 1
-            for w in words:
-                starts.append(at)
-                at += len(w) + 1
-        first, last = bisect_left(starts, end - size + 2), bisect_left(starts, end)
-        hit.update(range(first, last))
-        items.update(owners)
+    if words and automaton is not None:
+        for end, (size, owners) in automaton.iter("".join([letters.get(w, _OTHER) for w in words])):
+            last = end // 2 + 1
+            hit.update(range(last - size, last))
+            items.update(owners)
     return hit, items
 
 
@@ -104,78 +105,94 @@ def _spans(text: str, hit: list[int]) -> list[dict]:
     return out
 
 
-def _found(block, split: list[list[bytes]], before: pa.RecordBatch | None) -> tuple[list[set[int]], list[set[str]]]:
-    """Hits of one block in each document, added to those that earlier blocks left in the batch."""
-    key, patterns = block.value
-    automaton = _automaton(key, patterns)
-    out = [hits(words, automaton) for words in split]
-    if before is not None:
-        for (hit, items), h, o in zip(out, before.column("_hit").to_pylist(), before.column("_items").to_pylist(), strict=True):
-            hit.update(h)
-            items.update(o)
-    return [x[0] for x in out], [x[1] for x in out]
-
-
-def _collect(block, text_at: int):
-    """Pass rows on with the hits found so far; used for all blocks but the last."""
+def _hit_texts(block):
+    """The digest of each text with hits, the hit words and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = "_hit" in batch.schema.names
-            hit, items = _found(block, [words_of(t) for t in batch.column(text_at).to_pylist()], batch if held else None)
-            kept = batch.select([n for n in batch.schema.names if n not in ("_hit", "_items")])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array([sorted(h) for h in hit], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=[*kept.schema.names, "_hit", "_items"],
-            )
+        letters, automaton = _automaton(block)
+        for batch in parts(batches, 0):
+            rows = []
+            for text in texts_of(batch, 0):
+                hit, items = hits(words_of(text), letters, automaton)
+                if hit:
+                    rows.append((hashlib.sha256(text).hexdigest(), np.array(sorted(hit), np.int32).tobytes(), "\0".join(sorted(items))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["digest", "hit", "items"])
 
     return run
 
 
+def _hits_of(batch: pa.RecordBatch, block, split: list[list[bytes]], found_at: int) -> list[tuple[list[int], list[str]]]:
+    """Hits and items of each row: by scanning for the only block, or as the columns from ``found_at`` on have them."""
+    if block is not None:
+        automaton = _automaton(block)
+        return [tuple(map(sorted, hits(words, *automaton))) for words in split]
+    out = []
+    for hit, items in zip(batch.column(found_at).to_pylist(), batch.column(found_at + 1).to_pylist(), strict=True):
+        each = [np.frombuffer(h, np.int32) for h in hit or []]
+        out.append((np.unique(np.concatenate(each)).tolist() if each else [], sorted({i for x in items or [] for i in x.split("\0")})))
+    return out
+
+
 def _report(block, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in parts(batches, 1):
+            texts = texts_of(batch, 1)
             split = [words_of(t) for t in texts]
-            hit, items = _found(block, split, batch if "_hit" in batch.schema.names else None)
-            rows = [sorted(h) for h in hit]
-            ids = [sorted(x) for x in items]
+            found = _hits_of(batch, block, split, 2)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"),
+                    "doc_id": batch.column(0),
                     "n_words": pa.array([len(w) for w in split], pa.int64()),
-                    "n_hit": pa.array([len(h) for h in rows], pa.int64()),
-                    "n_items": pa.array([len(x) for x in ids], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
-                    "contaminated": pa.array([bool(h) and share * len(h) >= len(w) for h, w in zip(rows, split, strict=True)], pa.bool_()),
-                    "item_ids": pa.array(ids, pa.list_(pa.string())),
-                    "spans": pa.array([_spans(t, h) if h else [] for t, h in zip(texts, rows, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    "n_hit": pa.array([len(h) for h, _ in found], pa.int64()),
+                    "n_items": pa.array([len(x) for _, x in found], pa.int64()),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for _, x in found], pa.string()),
+                    "contaminated": pa.array([bool(h) and share * len(h) >= len(w) for (h, _), w in zip(found, split, strict=True)], pa.bool_()),
+                    "item_ids": pa.array([x for _, x in found], pa.list_(pa.string())),
+                    "spans": pa.array([_spans(t.decode("utf-8", "replace"), h) if h else [] for t, (h, _) in zip(texts, found, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 }
             )
 
     return run
 
 
-def _keep_clean(block, text_at: int, share: int):
+def _keep_clean(block, text_at: int, share: int, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            split = [words_of(t) for t in batch.column(text_at).to_pylist()]
-            hit, _ = _found(block, split, batch if "_hit" in batch.schema.names else None)
-            keep = pa.array([not (h and share * len(h) >= len(w)) for h, w in zip(hit, split, strict=True)], pa.bool_())
-            yield batch.select([n for n in batch.schema.names if n not in ("_hit", "_items")]).filter(keep)
+        for batch in parts(batches, text_at):
+            split = [words_of(t) for t in texts_of(batch, text_at)]
+            found = _hits_of(batch, block, split, columns)
+            keep = pa.array([not (h and share * len(h) >= len(w)) for (h, _), w in zip(found, split, strict=True)], pa.bool_())
+            yield batch.select(list(range(columns))).filter(keep)
 
     return run
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator:
-    """Broadcast blocks of windows, one after the other. The benchmark's size is measured first and sets their number."""
+    """(number of blocks, broadcast block of windows), one after the other. The benchmark's size is measured first and sets their number."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield k == n - 1, spark.sparkContext.broadcast((uuid.uuid4().hex, windows([(r[0], r[1]) for r in part.toLocalIterator()], window)))
+        yield n, spark.sparkContext.broadcast((uuid.uuid4().hex, *windows([(r[0], r[1]) for r in part.toLocalIterator()], window)))
+
+
+def _with_hits(rows: DataFrame, text_col: str, blocks: Iterator) -> tuple[DataFrame, object | None]:
+    """``rows`` and the only block; or, of several, rows with the hits that each block has in their text, and None.
+
+    Of each block only the hits are kept, by the digest of the text they are in, so the corpus is
+    read once a block and never written.
+    """
+    text = F.col(text_col).cast("string")
+    every = None
+    for n, block in blocks:
+        if n == 1:
+            return rows, block
+        found = rows.select(text.alias("text")).mapInArrow(_hit_texts(block), "digest string, hit binary, items string").dropDuplicates(["digest"])
+        every = stored(found, "hits") if every is None else every.unionByName(stored(found, "hits"))
+    digest, hit, items = free_name(rows, "_digest", "_hit", "_items")
+    merged = every.groupBy(F.col("digest").alias(digest)).agg(F.collect_list("hit").alias(hit), F.collect_list("items").alias(items))  # a row a block
+    return lookup(rows.withColumn(digest, F.sha2(text, 256)), stored(merged, "hits"), [digest], F.monotonically_increasing_id()).select(*rows.columns, hit, items), None
 
 
 def decontaminate(
@@ -192,24 +209,15 @@ def decontaminate(
 ) -> DataFrame:
     """One row a document row: words, hit words, items hit, spans in the original, verdict.
 
-    Contaminated: ``n_hit > 0`` and ``share * n_hit >= n_words``. A narrow map, no shuffle. A
-    benchmark of several blocks is taken block by block; rows are written between blocks, so
-    that a worker holds one automaton at a time.
+    Contaminated: ``n_hit > 0`` and ``share * n_hit >= n_words``. A narrow map, no shuffle, for a
+    benchmark of one block; of several, the hits of each are looked up by text.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for last, block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        if last:
-            return rows.mapInArrow(_report(block, share), SCHEMA)
-        rows = stored(rows.mapInArrow(_collect(block, 1), "doc_id bigint, text string, _hit array<int>, _items array<string>"), "decontaminate")
-    raise AssertionError("there is always a last block")
+    rows, block = _with_hits(rows, "text", benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes))
+    return rows.mapInArrow(_report(block, share), SCHEMA)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they are; no shuffle."""
-    at, rows = docs.columns.index(text_col), docs
-    for last, block in benchmark_blocks(benchmark, window=window, block_bytes=block_bytes):
-        if last:
-            return rows.mapInArrow(_keep_clean(block, at, share), docs.schema)
-        wider = T.StructType([*docs.schema.fields, T.StructField("_hit", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-        rows = stored(rows.mapInArrow(_collect(block, at), wider), "decontaminate")
-    raise AssertionError("there is always a last block")
+    """The rows of ``docs`` that are not contaminated, all columns as they are."""
+    rows, block = _with_hits(docs, text_col, benchmark_blocks(benchmark, window=window, block_bytes=block_bytes))
+    return rows.mapInArrow(_keep_clean(block, docs.columns.index(text_col), share, len(docs.columns)), docs.schema)

@@ -16,6 +16,7 @@ files; other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -29,16 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrykit.llm import files, wordhash
+from quarrykit.llm import files
 from quarrykit.session import shared_folder, stored
 
 MAGIC = b"QKDAC001"
 CHUNK_BITS = 8
 RANK_BITS = 512  # bits that one entry of the rank directory covers
 ROLL_TOKENS = 3_000_000  # a file is closed beyond this many tokens
-MEMO = 1_200_000  # pieces whose ids a worker remembers (about 50 bytes each)
+MEMO = 600_000  # pieces whose ids a worker remembers (about 200 bytes each)
+TOGETHER = 256  # new pieces that go to the library as one text
 MAX_TASKS = 10_000  # that files are read in
-CHARS = 1 << 20  # text that is encoded at once
+CHARS = 4 << 20  # bytes of text that are encoded at once
+
+#: A space and then what is white space in no script, at both ends.
+_SEPARATE = re.compile(rb" [\x21-\x7e\xc3-\xe0\xe4-\xf4](?:.*(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe0\xe4-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}))?\Z", re.DOTALL)
 
 
 def _pad(raw: bytes) -> bytes:
@@ -127,13 +132,26 @@ class TokenFile:
         return out
 
 
+def _byte_lengths(tokenizer, shape: dict) -> np.ndarray | None:
+    """Bytes of text that each id stands for, if the vocabulary is one of bytes written as letters."""
+    bytes_of = {t["content"]: len(t["content"].encode()) for t in shape.get("added_tokens", [])}
+    out = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        if i >= len(out):
+            return None
+        out[i] = bytes_of.get(token, len(token))
+    return out
+
+
 class Encoder:
     """A public tokenizer over whole texts.
 
     Byte-level pre-tokenizers never join what stands before a single space with what stands
-    behind it, so such texts are cut there, pieces are fingerprinted all at once (96 bits), and
-    only pieces not met before are given to the library; the ids are those of the whole text.
-    Any other tokenizer is given the whole texts.
+    behind it, so such texts are cut there. Pieces are told apart by their bytes (an Arrow
+    dictionary of a chunk's pieces, and a dictionary of those met before), and only new ones are
+    given to the library, many behind each other in one text, whose ids are dealt back by the
+    bytes that they stand for; the ids are those of the whole text. Any other tokenizer is given
+    the whole texts.
     """
 
     def __init__(self, spec: str):
@@ -143,8 +161,12 @@ class Encoder:
         shape = json.loads(spec)
         before = shape.get("pre_tokenizer") or {}
         self._pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not shape.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in shape.get("added_tokens", []))
-        self._keys, self._checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # of remembered pieces, ascending
-        self._starts, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._lengths = _byte_lengths(self._tokenizer, shape) if self._pieces else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[bytes, int] = {}  # number of each piece met
+        self._bounds = np.zeros(1, np.int64)  # where its ids begin, and the end
         self._ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -153,19 +175,31 @@ class Encoder:
             out += [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
         return out
 
-    def _lookup(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self._keys, keys)
-        at[at == len(self._keys)] = 0
-        known = (self._keys[at] == keys) & (self._checks[at] == checks) if len(self._keys) else np.zeros(len(keys), bool)
-        return at, known
-
-    def _remember(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in ids], np.int64)
-        starts = len(self._ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self._ids = np.concatenate([self._ids, *ids])
-        at = np.searchsorted(self._keys, keys)
-        self._keys, self._checks = np.insert(self._keys, at, keys), np.insert(self._checks, at, checks)
-        self._starts, self._sizes = np.insert(self._starts, at, starts), np.insert(self._sizes, at, sizes)
+    def _apart(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        ids = self._encode([p.decode("utf-8", "replace") for p in pieces])
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that begin with a clean space and end with no white space."""
+        if self._lengths is None:
+            return self._apart(pieces)
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._encode([b"".join(pieces[i : i + TOGETHER]).decode("utf-8") for i in range(0, len(pieces), TOGETHER)])])
+        ends, reached = np.cumsum([len(p) for p in pieces]), np.cumsum(self._lengths[ids])
+        last = np.searchsorted(reached, ends)  # the last id of each piece
+        if len(ids) and len(pieces) and last[-1] == len(ids) - 1 and np.array_equal(reached[last], ends):
+            return ids, np.diff(last, prepend=-1)
+        return self._apart(pieces)  # an id goes over a cut
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        clean, rest = [], []
+        for p in pieces:
+            (clean if _SEPARATE.match(p) else rest).append(p)
+        first, found = len(self._known), [self._together(clean), self._apart(rest)]
+        self._known.update(zip(clean + rest, range(first, first + len(pieces)), strict=True))
+        sizes = np.concatenate([n for _, n in found])
+        self._bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(sizes)])
+        self._ids = np.concatenate([self._ids, *(i for i, _ in found)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self._pieces:
@@ -176,23 +210,24 @@ class Encoder:
         if not joined:
             return [np.zeros(0, np.uint32) for _ in texts]
         begins = ends - [len(h) for h in held]
-        cuts = np.unique(np.concatenate([_clean_spaces(np.frombuffer(joined, np.uint8)), begins[begins < ends]]))
-        stops = np.append(cuts[1:], len(joined))
-        keys, checks = wordhash.fingerprints(joined, cuts, stops)
-        at, known = self._lookup(keys, checks)
-        new, first = np.unique(keys[~known], return_index=True)
-        if len(new):
-            where = np.flatnonzero(~known)[first]
-            if len(self._keys) + len(new) > MEMO:  # begin anew; what is common comes back at once
-                self._keys, self._checks, self._starts, self._sizes, self._ids = (x[:0] for x in (self._keys, self._checks, self._starts, self._sizes, self._ids))
-                new, where = np.unique(keys, return_index=True)
-            self._remember(new, checks[where], self._encode([joined[s:e].decode("utf-8") for s, e in zip(cuts[where].tolist(), stops[where].tolist(), strict=True)]))
-            at, known = self._lookup(keys, checks)
-            if not known.all():  # two pieces with one key: the plain way
-                return self._encode(texts)
-        sizes = self._sizes[at]
+        cut = _clean_spaces(np.frombuffer(joined, np.uint8))
+        cut[begins[begins < ends]] = True
+        cuts = np.flatnonzero(cut)
+        data = [None, pa.py_buffer(np.append(cuts, len(joined))), pa.py_buffer(joined)]
+        found = pa.Array.from_buffers(pa.large_binary(), len(cuts), data).dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        numbers = list(map(self._known.get, pieces))
+        if None in numbers:
+            new = [p for p, k in zip(pieces, numbers, strict=True) if k is None]
+            if len(self._known) + len(new) > MEMO:  # begin anew; what is common comes back at once
+                self._forget()
+                new = pieces
+            self._learn(new)
+            numbers = list(map(self._known.get, pieces))
+        at = np.array(numbers, np.int64)[found.indices.to_numpy()]
+        sizes = self._bounds[at + 1] - self._bounds[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        out = self._ids[np.repeat(self._starts[at] - total[:-1], sizes) + np.arange(total[-1])]
+        out = self._ids[np.repeat(self._bounds[at] - total[:-1], sizes) + np.arange(total[-1])]
         bounds = total[np.searchsorted(cuts, np.append(begins, len(joined)))]
         return [out[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -208,12 +243,12 @@ def _encoder(spec: str) -> Encoder:
 
 
 def _clean_spaces(raw: np.ndarray) -> np.ndarray:
-    """Places of single spaces with a character that is no white space, in any script, on both sides."""
+    """Whether each byte is a single space with a character that is no white space, in any script, on both sides."""
     padded = np.concatenate([np.full(3, 0x20, np.uint8), raw, np.full(1, 0x20, np.uint8)])
     here, before, before2, before3, behind = padded[3:-1], padded[2:-2], padded[1:-3], padded[:-4], padded[4:]
     white_before = (before <= 0x20) | (before == 0x7F) | ((before >= 0x80) & ((before2 == 0xC2) | ((before3 >= 0xE1) & (before3 <= 0xE3))))
     white_behind = (behind <= 0x20) | (behind == 0x7F) | (behind == 0xC2) | ((behind >= 0xE1) & (behind <= 0xE3))
-    return np.flatnonzero((here == 0x20) & ~white_before & ~white_behind)
+    return (here == 0x20) & ~white_before & ~white_behind
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -267,9 +302,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
             yield flush()
 
     written = stored(ordered.mapInArrow(write, "file string, task int, seq int, docs bigint, tokens bigint"), "token-manifest")
-    # One row a file of some million tokens; their running total is all that one task orders.
-    before = Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return written.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    # Running totals: of a task's files in its own partition, of whole tasks (one row each) in one.
+    tasks = written.groupBy("task").agg(F.sum("tokens").alias("all"))
+    before = tasks.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
+    within = F.coalesce(F.sum("tokens").over(Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return written.withColumn("within", within).join(before, "task").withColumn("first", F.col("before") + F.col("within")).drop("before", "within")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:

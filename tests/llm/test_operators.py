@@ -70,6 +70,10 @@ def test_decontamination(spark):
     assert rows(decontaminate.decontaminate(docs, items, block_bytes=3000), *columns) == sorted(want, key=repr)
     clean = collections.Counter(w[0] for w in want if not w[5])
     assert collections.Counter(r["doc_id"] for r in decontaminate.clean_rows(docs, items, block_bytes=3000).collect()) == clean
+    clashing = docs.select("*", *(F.lit(c).alias(c) for c in ("_hit", "_items", "_digest", "_salt", "digest")))
+    for size in (decontaminate.BLOCK_BYTES, 3000):
+        left = decontaminate.clean_rows(clashing, items, block_bytes=size)
+        assert left.columns == clashing.columns and {r["_hit"] for r in left.collect()} == {"_hit"} and left.count() == sum(clean.values())
     assert decontaminate.decontaminate(empty(spark), items).count() == 0
     assert decontaminate.decontaminate(docs, items.limit(0)).where("contaminated or n_hit > 0").count() == 0
     spans = {r["doc_id"]: r["spans"] for r in decontaminate.decontaminate(odd(spark), items).collect()}
@@ -316,6 +320,11 @@ def test_token_files(spark):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(path)
+    one, other = thue_morse(1024)
+    cases = [f"x {one} y", f"x {other} y", " a", "a ", "  a  b", "é à\u00a0ñ b", "<|endoftext|> x <|endoftext|>", "日本 語\u3000x y", "it's we'll\n\n x\ty", " ".join(f"q{k}é" for k in range(3000)), "\u0085 x \u2003y z", "a\x1f b"]
+    encoder = tokenids.Encoder(open(path, encoding="utf-8").read())
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(cases)] == [library.encode(c, add_special_tokens=False).ids for c in cases]
     docs = both(spark, "start")
     manifest = tokenids.write_tokens(docs, path)
     got = tokenids.read_documents(manifest).collect()
