@@ -50,7 +50,8 @@ def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[tuple[np.ndar
     """Each text's set of shingle hashes, sorted, and a digest of the set (128 bits a shingle go in)."""
     for _, held in wordhash.pieces(texts):
         found = wordhash.words(held, lower=True)
-        lanes = wordhash.hashes(found.distinct)[:, found.codes]
+        lanes = [wordhash.hashes(found, lane) for lane in (0, 1)]
+        lanes[0] = wordhash.mix(lanes[0]) + lanes[1]
         grams = [wordhash.windows(lane, size) for lane in lanes]
         for s, e in zip(found.begins[:-1], found.begins[1:], strict=True):
             if e - s >= size:
@@ -64,14 +65,15 @@ def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[tuple[np.ndar
 def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Each text's set of shingles as numbers that are equal, among these texts, exactly where the words are."""
     found = wordhash.words(texts, lower=True)
-    grams = wordhash.numbered(found.codes, size)
+    codes = wordhash.codes(found)
+    grams = wordhash.numbered(codes, size)
     short: dict[bytes, int] = {}
     out = []
     for s, e in zip(found.begins[:-1], found.begins[1:], strict=True):
         if e - s >= size:
             out.append(np.unique(grams[s : e - size + 1]))
         else:  # the whole sequence is one shingle, unlike any of more words
-            own = found.codes[s:e].tobytes()
+            own = codes[s:e].tobytes()
             out.append(np.array([-1 - short.setdefault(own, len(short))] if own else [], np.int64))
     return out
 

@@ -63,43 +63,33 @@ def _style(raw: bytes, words: np.ndarray) -> list[float]:
     return [min(1.0, 10 * share(_ODD)), min(1.0, 10 * share(b"|")), min(1.0, 5 * repeats), share(_DIGITS), share(_UPPER), share(_COMMON), _distinct(words), math.log1p(n) / 10]
 
 
-def _hashes(distinct: list[bytes]) -> np.ndarray:
-    """A row for whole words and one for each stem length: a hash of each distinct word's, 0 where it is shorter."""
-    out = np.zeros((1 + len(PREFIXES), len(distinct)), np.int64)
-    out[0] = wordhash.hashes(distinct)[0].view(np.int64)
-    for row, size in zip(out[1:], PREFIXES, strict=True):
-        some = [i for i, w in enumerate(distinct) if len(w) >= size]
-        row[some] = wordhash.mix(wordhash.hashes([distinct[i][:size] for i in some])[0] + np.uint64(size)).view(np.int64)
-    return out
-
-
-def _pieces(texts: list[bytes | str | None]) -> Iterator[tuple[list[bytes], wordhash.Words, np.ndarray]]:
-    """Texts a piece at a time, with their words and the hashes of the distinct ones."""
+def _pieces(texts: list[bytes | str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts a piece at a time; a row for whole words and one for each stem length, with each word's hash (0: too short); where texts begin."""
     for _, held in wordhash.pieces(texts):
         found = wordhash.words([h.translate(_FOLD) for h in held])
-        yield held, found, _hashes(found.distinct)
+        yield held, np.vstack([wordhash.hashes(found), wordhash.prefix_hashes(found, PREFIXES)]).view(np.int64), found.begins
 
 
 def _features(texts: list[bytes | str | None]) -> Iterator[tuple[list[float], np.ndarray]]:
     """Style of each text and the distinct hashes of its words and their stems."""
-    for held, found, hashed in _pieces(texts):
-        for raw, s, e in zip(held, found.begins[:-1], found.begins[1:], strict=True):
-            every = np.unique(hashed[:, np.unique(found.codes[s:e])])
-            yield _style(raw, found.codes[s:e]), every[every != 0]
+    for held, hashed, begins in _pieces(texts):
+        for raw, s, e in zip(held, begins[:-1], begins[1:], strict=True):
+            every = np.unique(hashed[:, s:e])
+            yield _style(raw, hashed[0, s:e]), every[every != 0]
 
 
 def _vectors(texts: list[bytes | str | None], vocabulary: np.ndarray) -> np.ndarray:
     """Style, then log counts of the vocabulary (sorted hashes)."""
     out, i, n = np.zeros((len(texts), STYLE + len(vocabulary))), 0, len(vocabulary)
-    for held, found, hashed in _pieces(texts):
+    for held, hashed, begins in _pieces(texts):
         at = np.searchsorted(vocabulary, hashed)
         at[at == n] = 0
         at = np.where(vocabulary[at] == hashed, at, n) if n else at
-        for raw, s, e in zip(held, found.begins[:-1], found.begins[1:], strict=True):
+        for raw, s, e in zip(held, begins[:-1], begins[1:], strict=True):
             if e > s:
-                out[i, :STYLE] = _style(raw, found.codes[s:e])
+                out[i, :STYLE] = _style(raw, hashed[0, s:e])
                 if n:
-                    out[i, STYLE:] = np.log1p(np.bincount(at[:, found.codes[s:e]].ravel(), minlength=n + 1)[:n])
+                    out[i, STYLE:] = np.log1p(np.bincount(at[:, s:e].ravel(), minlength=n + 1)[:n])
             i += 1
     return out
 

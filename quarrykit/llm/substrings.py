@@ -52,8 +52,7 @@ def _documents(texts: list[bytes | None], window: int, salt: int) -> Iterator[tu
     """A piece's words, the hash of each, and (row, first, end) of the documents with a window."""
     for first, held in wordhash.pieces(texts):
         found = wordhash.words(held)
-        hashed = wordhash.hashes(found.distinct, salt)[0][found.codes]
-        yield found, hashed, [(first + i, s, e) for i, (s, e) in enumerate(zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True)) if e - s >= window]
+        yield found, wordhash.hashes(found, 0, salt), [(first + i, s, e) for i, (s, e) in enumerate(zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True)) if e - s >= window]
 
 
 def _span(words: list[bytes], start: int, n: int) -> bytes:
@@ -131,16 +130,12 @@ def _seeds(window: int, salt: int):
 _RUNS = "seed bigint, doc bigint, part bigint, start int, edges int, prints array<bigint>, from_doc bigint, from_pos int"
 
 
-def _equal_before(codes: np.ndarray, at: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where ``asked``, whether the n codes at a place equal those at the place before it in the list."""
+def _equal_before(found: wordhash.Words, at: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where ``asked``, whether the n words at a place equal those at the place before it in the list. Words stand one space apart."""
     out = np.zeros(len(at), bool)
-    which = np.flatnonzero(asked)
-    if len(which):
-        sizes = n[which]
-        ends = np.cumsum(sizes)
-        steps = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        equal = codes[np.repeat(at[which], sizes) + steps] == codes[np.repeat(at[which - 1], sizes) + steps]
-        out[which] = np.logical_and.reduceat(equal, ends - sizes)
+    first, last = found.starts[at], found.ends[at + n - 1]
+    for i in np.flatnonzero(asked & np.append(False, last[1:] - first[1:] == last[:-1] - first[:-1])).tolist():
+        out[i] = found.joined[first[i] : last[i]] == found.joined[first[i - 1] : last[i - 1]]
     return out
 
 
@@ -185,13 +180,13 @@ def _runs(window: int, salt: int):
                 same = np.zeros(len(o), bool)
                 same[1:] = (key[o][1:] == key[o][:-1]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1]) & (edges[1:] == edges[:-1])
                 same[1:] &= (doc[o][1:] != doc[o][:-1]) | (pos[o][1:] != pos[o][:-1])  # rows that share an id are judged
-                same = _equal_before(found.codes, word[o], edges + (window - 1), same)
+                same = _equal_before(found, word[o], edges + (window - 1), same)
                 leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(o))))
                 from_doc, from_pos = doc[o][leader], pos[o][leader]
                 # Leaders of several: had this task an earlier one?
                 for i in np.unique(leader[same]).tolist():
                     name = (int(key[o[i]]), int(first[i]), int(last[i]), int(edges[i]))
-                    text = b" ".join([found.distinct[c] for c in found.codes[word[o[i]] : word[o[i]] + edges[i] + window - 1].tolist()])
+                    text = found.joined[found.starts[word[o[i]]] : found.ends[word[o[i]] + edges[i] + window - 2]]
                     here = (int(doc[o[i]]), int(pos[o[i]]))
                     held = known.get(name)
                     if held is not None and held[0] == text and held[1:] < here:
