@@ -20,10 +20,10 @@ from quarrykit.sources import container
 def explain(bodies: DataFrame, *, ambient: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(body, parsed), (body, key, severity, evidence) and (body, structure_sha256, literals) of distinct texts in ``source``."""
     distinct = bodies.select("source").where(F.trim("source") != "").distinct()
-    facts = stored(syntax.facts(distinct, ambient=ambient), "facts")
+    facts = stored(syntax.facts(distinct), "facts")
     parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
     failed = distinct.withColumn("body", sha256_hex(F.col("source"))).join(parsed.where("not parsed").select("body"), "body", "left_semi")
-    told = statements.statements(facts).unionByName(statements.fallback_statements(failed, ["body"]))
+    told = statements.statements(facts, ambient=ambient).unionByName(statements.fallback_statements(failed, ["body"]))
     literals = facts.where("kind = 'literal'").groupBy("body").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("literals"))
     shapes = facts.where("kind = 'structure'").select("body", F.col("value").alias("structure_sha256")).join(literals, "body", "left")
     return parsed, stored(told, "statements"), shapes
