@@ -107,22 +107,35 @@ def contained(base: Column, path: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+_ANCHOR = r"^([\\/]{2}[^\\/]+[\\/]+[^\\/]+|[A-Za-z]:)([\\/]?)(.*)$"  # of a Windows base: share or drive, whether it is rooted, the rest
+
+
 def joined(base: Column, path: Column) -> Column:
-    """``path`` laid on a POSIX ``base`` by text; ``..`` stops at the root of an absolute base and stays in a relative one."""
-    absolute = base.startswith("/")
-    parts = F.concat(segments(base), F.split(path, "/"))
+    """``path`` laid on ``base`` by text; ``..`` stops at an anchor and stays in a relative base. A base with a drive or share is joined with backslashes."""
+    windows = base.rlike(_ANCHOR)
+    part = lambda k: F.regexp_extract(base, _ANCHOR, k)
+    share = part(1).rlike(r"^[\\/]{2}")
+    drive = F.concat(F.replace(part(1), F.lit("/"), F.lit("\\")), F.when(share | (part(2) != ""), F.lit("\\")).otherwise(F.lit("")))
+    anchor = F.when(windows, drive).when(base.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    rest = F.when(windows, F.replace(part(3), F.lit("\\"), F.lit("/"))).otherwise(base)
+    kept = let(anchor != "", lambda fixed: _walked(F.concat(segments(rest), F.split(path, "/")), fixed))
+    text = F.array_join(kept, "/")
+    text = F.when(windows, F.array_join(kept, "\\")).otherwise(text)
+    return F.when(anchor != "", F.concat(anchor, text)).when(text == "", ".").otherwise(text)
+
+
+def _walked(parts: Column, fixed: Column) -> Column:
+    """Segments with ``.`` dropped and ``..`` taking its predecessor; at the start it stays only where nothing is fixed."""
     empty = F.expr("cast(array() as array<string>)")
     last = lambda a: F.element_at(F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(".."))), -1)
-    kept = F.aggregate(
+    return F.aggregate(
         parts,
         empty,
         lambda a, s: F.when(s.isin("", "."), a)
         .when((s == "..") & (F.size(a) > 0) & (last(a) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
-        .when((s == "..") & absolute, a)
+        .when((s == "..") & fixed, a)
         .otherwise(F.concat(a, F.array(s))),
     )
-    text = F.array_join(kept, "/")
-    return F.when(absolute, F.concat(F.lit("/"), text)).when(text == "", ".").otherwise(text)
 
 
 def classify(raw: Column, base: Column) -> Column:

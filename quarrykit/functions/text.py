@@ -10,6 +10,7 @@ from quarrykit.functions.tables import STEERING
 _CLASS = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in STEERING)
 LINE = f"[{_CLASS}\\n\\r]"
 BLOCK = f"[{_CLASS}\\r]"
+LITERAL_WIDTH, QUOTED_WIDTH = 200, 120
 
 
 def _escaped(text: Column, pattern: str) -> Column:
@@ -31,6 +32,31 @@ def printable_block(text: Column) -> Column:
     return _escaped(F.replace(text, F.lit("\r\n"), F.lit("\n")), BLOCK)
 
 
+def clipped(text: Column, width: int) -> Column:
+    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)
+
+
+def show_literal(text: Column) -> Column:
+    """A literal for one line of a report: made visible first and cut afterwards, so that no escape is cut."""
+    return clipped(printable_line(text), LITERAL_WIDTH)
+
+
+def quote_literal(text: Column) -> Column:
+    """A differing literal in quotes: line breaks and tabs spelled out, cut, then escaped like a Python string."""
+    flat = text
+    for raw, spelt in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        flat = F.replace(flat, F.lit(raw), F.lit(spelt))
+    inner = printable_line(F.replace(clipped(flat, QUOTED_WIDTH), F.lit("\\"), F.lit("\\\\")))
+    double = inner.contains("'") & ~inner.contains('"')
+    return F.when(double, F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def listed(phrases: Column) -> Column:
+    """``a``, ``a and b``, ``a, b and c``."""
+    head = F.array_join(F.slice(phrases, 1, F.greatest(F.size(phrases) - 1, F.lit(0))), ", ")
+    return F.when(F.size(phrases) < 2, F.array_join(phrases, "")).otherwise(F.concat(head, F.lit(" and "), F.element_at(phrases, -1)))
+
+
 def is_steering(text: Column) -> Column:
     return text.rlike(LINE)
 

@@ -1,15 +1,21 @@
-"""The whole inspection: container rows to one report row a file.
+"""The whole inspection: container rows to findings with their evidence, and to one report a file.
 
-Bodies are analysed once each however often they occur; everything after the syntax pass is
-joins and grouped aggregation.
+Bodies are analysed once each however often they occur, and travel by their digest; everything
+after the syntax pass is joins and grouped aggregation. Run as a program it inspects files:
+
+    spark-submit quarrykit/jobs/inspect.py TARGET... [--json] [--known FILE] [--seconds N] [--out FOLDER]
 """
 
 from __future__ import annotations
 
+import argparse
+import sys
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.functions import paths
+from quarrykit.functions import paths, text as shown
 from quarrykit.functions import tables as t
 from quarrykit.functions.text import sha256_hex
 from quarrykit.operators import identity, rollup, statements, syntax
@@ -19,54 +25,82 @@ from quarrykit.sources import container
 
 def explain(bodies: DataFrame, *, ambient: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(body, parsed), (body, key, severity, evidence) and (body, structure_sha256, literals) of distinct texts in ``source``."""
-    distinct = bodies.select("source").where(F.trim("source") != "").distinct()
+    distinct = stored(bodies.select(sha256_hex(F.col("source")).alias("body"), "source").where(F.trim("source") != "").dropDuplicates(["body"]), "bodies")
     facts = stored(syntax.facts(distinct), "facts")
     parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
-    failed = distinct.withColumn("body", sha256_hex(F.col("source"))).join(parsed.where("not parsed").select("body"), "body", "left_semi")
+    failed = distinct.join(parsed.where("not parsed").select("body"), "body", "left_semi")
     told = statements.statements(facts, ambient=ambient).unionByName(statements.fallback_statements(failed, ["body"]))
     literals = facts.where("kind = 'literal'").groupBy("body").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("literals"))
     shapes = facts.where("kind = 'structure'").select("body", F.col("value").alias("structure_sha256")).join(literals, "body", "left")
     return parsed, stored(told, "statements"), shapes
 
 
-def reports(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None) -> DataFrame:
-    """One row a readable file: header facts, findings, tier, reasons and next steps."""
+NO_KNOWN = "sha256 string, script_name string, origin string, structure_sha256 string, literals array<string>, generated boolean, place int"
+
+
+@dataclass
+class Inspection:
+    """Everything about the files of one run, as tables by (path, place)."""
+
+    rows: DataFrame  # as the reader gave them
+    files: DataFrame
+    texts: DataFrame  # with parsed, evidence, entry, differing_literals, cleared and label
+    told: DataFrame  # statements of texts
+    drivers: DataFrame
+    driver_told: DataFrame
+    libraries: DataFrame
+    nodes: DataFrame
+
+
+def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None) -> Inspection:
     rows = stored(rows, "findings")
-    files = container.files(rows)
-    text = container.texts(rows).withColumn("body", sha256_hex(F.col("source")))
-    parsed, told, shapes = explain(text)
-    text = text.join(parsed, "body", "left").join(shapes, "body", "left")
+    source = container.texts(rows).withColumn("body", sha256_hex(F.col("source")))
+    parsed, told, shapes = explain(source)
+    texts = source.drop("source").join(parsed, "body", "left").join(shapes, "body", "left")
     if known is None:
-        known, _ = spark.createDataFrame([], "sha256 string, script_name string, origin string, structure_sha256 string, literals array<string>, generated boolean, place int"), None
-    text = identity.match(text.withColumn("sha256", F.col("body")), known)
-    text = stored(text.withColumn("cleared", F.col("suppresses_escalation")).withColumn("label", F.concat_ws(" -- ", "entry.script_name", "entry.origin")), "texts")
-    drivers = syntax.classify_expressions(container.drivers(rows), "body").withColumn("is_simple", F.when(F.col("expression_is_evaluated"), F.col("is_simple"))).withColumnRenamed("body", "source")
+        known = spark.createDataFrame([], NO_KNOWN)
+    texts = identity.match(texts.withColumn("sha256", F.col("body")), known)
+    texts = stored(texts.withColumn("cleared", F.col("suppresses_escalation")).withColumn("label", F.concat_ws(" -- ", "entry.script_name", "entry.origin")), "texts")
+    drivers = syntax.classify_expressions(container.drivers(rows), "body")
+    drivers = drivers.withColumn("is_simple", F.when(F.col("expression_is_evaluated"), F.col("is_simple"))).withColumn("reason", F.when(F.col("expression_is_evaluated"), F.col("reason")))
+    drivers = stored(drivers.withColumnRenamed("body", "source").withColumn("body", sha256_hex(F.col("source"))), "drivers")
     heavy = drivers.where("expression_is_evaluated and not is_simple")
     _, driver_told, _ = explain(heavy, ambient=True)
-    driver_told = heavy.withColumn("body", sha256_hex(F.col("source"))).select("path", "place", "body").join(driver_told, "body")
     libraries = container.libraries(rows).select("path", "place", paths.classify(F.col("raw_path"), F.lit("/") if base is None else base).alias("c")).select("path", "place", "c.*")
-    nodes = container.nodes(rows)
-    of_text = text.select("path", "place", "body").join(told, "body")
+    return Inspection(
+        rows, container.files(rows), texts, stored(texts.select("path", "place", "body").join(told, "body"), "told"), drivers, stored(heavy.select("path", "place", "body").join(driver_told, "body"), "driver-told"), libraries, container.nodes(rows)
+    )
+
+
+def _blind() -> Column:
+    return F.col("parsed").eqNullSafe(F.lit(False)) & (F.col("is_autorun") | F.col("name").endswith(".py"))
+
+
+def tiers(of: Inspection) -> DataFrame:
+    """Tier and ordered reasons of each file."""
     none = F.lit(None).cast("string")
     reasons = (
-        rollup.text_reasons(text, of_text.select("path", "place", "key", "severity"), ["path", "place"])
-        .unionByName(rollup.library_reasons(libraries).withColumn("script", none))
-        .unionByName(rollup.driver_reasons(drivers).withColumn("script", none))
-        .unionByName(rollup.statement_reasons(driver_told, ["path"]).withColumn("script", none))
-        .unionByName(rollup.node_reasons(nodes).withColumn("script", none))
+        rollup.text_reasons(of.texts, of.told.select("path", "place", "key", "severity"), ["path", "place"])
+        .unionByName(rollup.library_reasons(of.libraries).withColumn("script", none))
+        .unionByName(rollup.driver_reasons(of.drivers).withColumn("script", none))
+        .unionByName(rollup.statement_reasons(of.driver_told, ["path"]).withColumn("script", none))
+        .unionByName(rollup.node_reasons(of.nodes).withColumn("script", none))
     )
-    tier = rollup.tiers(files, reasons)
-    loud = of_text.where(F.col("severity") == t.ALARMING).select("path", "place").distinct().join(text.select("path", "place", "cleared"), ["path", "place"])
-    blind = F.col("parsed").eqNullSafe(F.lit(False)) & (F.col("is_autorun") | F.col("name").endswith(".py"))
+    return rollup.tiers(of.files, reasons)
+
+
+def summaries(of: Inspection) -> DataFrame:
+    """One row a readable file: header facts, counts, tier, reasons and next steps."""
+    loud = of.told.where(F.col("severity") == t.ALARMING).select("path", "place").distinct().join(of.texts.select("path", "place", "cleared"), ["path", "place"])
     counts = [
         loud.groupBy("path").agg(F.count_if(~F.col("cleared")).alias("unexplained"), F.count_if("cleared").alias("explained")),
-        text.groupBy("path").agg(F.count("*").alias("texts"), F.count_if(blind).alias("unreadable"), F.count_if("is_autorun").alias("autorun")),
-        libraries.groupBy("path").agg(F.count("*").alias("libraries"), F.bool_or(F.col("is_unc") | F.col("has_drive_letter")).alias("reaching")),
-        drivers.groupBy("path").agg(F.count("*").alias("drivers")),
-        driver_told.where(F.col("severity") == t.ALARMING).groupBy("path").agg(F.count("*").alias("loud_drivers")),
-        nodes.groupBy("path").agg(F.count("*").alias("osl_nodes")),
+        of.texts.groupBy("path").agg(F.count("*").alias("texts"), F.count_if(_blind()).alias("unreadable"), F.count_if("is_autorun").alias("autorun")),
+        of.libraries.groupBy("path").agg(F.count("*").alias("libraries"), F.bool_or(F.col("is_unc") | F.col("has_drive_letter")).alias("reaching")),
+        of.drivers.groupBy("path").agg(F.count("*").alias("drivers")),
+        of.driver_told.where(F.col("severity") == t.ALARMING).groupBy("path").agg(F.count("*").alias("loud_drivers")),
+        of.nodes.groupBy("path").agg(F.count("*").alias("osl_nodes")),
     ]
-    out = files.drop("timed_out").join(tier, "path")
+    out = of.files.drop("timed_out").join(tiers(of), "path")
     for c in counts:
         out = out.join(c, "path", "left")
     out = out.na.fill(0).na.fill(False)
@@ -75,10 +109,116 @@ def reports(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = N
     return out.withColumn("has_findings", found).withColumn("needs_attention", found | F.col("timed_out")).withColumn("steps", steps)
 
 
-def report_json(files: DataFrame) -> DataFrame:
-    """Each report as one line of JSON, ASCII only."""
+def reports(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None) -> DataFrame:
+    """One row a readable file; see ``summaries``."""
+    return summaries(inspection(spark, rows, known=known, base=base))
+
+
+def findings(of: Inspection) -> DataFrame:
+    """One row a finding: (path, place, category, name, severity, statements, details).
+
+    ``statements`` are the rules that fired with their evidence, the loudest first; ``details`` is
+    JSON with what else is known of this kind of finding, such as a text's identity and the
+    literals in which it differs from the known script.
+    """
+    names = F.array(*(F.lit(s) for s in t.SEVERITIES))
+
+    def told(rows: DataFrame, said: DataFrame, category: str, name: Column, details: Column) -> DataFrame:
+        one = F.struct((-F.col("severity")).alias("rank"), "key", "evidence")
+        grouped = said.groupBy("path", "place").agg(F.max("severity").alias("loudest"), F.array_sort(F.collect_list(one)).alias("s"))
+        listed = F.transform("s", lambda x: F.struct(x["key"].alias("key"), F.get(names, -x["rank"]).alias("severity"), x["evidence"].alias("evidence")))
+        held = rows.select("path", "place", name.alias("name"), details.alias("details")).join(grouped, ["path", "place"], "left")
+        return held.select("path", "place", F.lit(category).alias("category"), "name", F.get(names, F.col("loudest")).alias("severity"), F.coalesce(listed, F.expr("cast(array() as array<struct<key:string,severity:string,evidence:array<string>>>)")).alias("statements"), "details")
+
+    whole = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    nothing = of.told.limit(0)
+    identity_of = F.when(F.col("evidence").isNotNull(), F.struct("evidence", F.col("entry.script_name").alias("script_name"), F.col("entry.origin").alias("origin"), F.col("entry.generated").alias("generated"), "differing_literals"))
+    text = told(of.texts, of.told, "text", F.col("name"), whole("filepath", "flags", "flag_names", "is_autorun", "is_memory", "is_external", "source_bytes", "truncated", "parsed", identity_of.alias("identity")))
+    driver = told(of.drivers, of.driver_told, "driver", F.col("owner"), whole("expression", "driver_type", "driver_type_name", "flags", "flag_names", "is_simple", "reason", "expression_is_evaluated"))
+    node = told(of.nodes, nothing, "osl", F.col("mode_name"), whole("filepath", "bytecode_bytes", "bytecode_hash"))
+    library = told(of.libraries, nothing, "library", F.col("raw_path"), whole(*[c for c in of.libraries.columns if c not in ("path", "place", "raw_path")]))
+    path = told(container.filepaths(of.rows), nothing, "filepath", F.col("name"), whole("kind", "file"))
+    return text.union(driver).union(node).union(library).union(path)
+
+
+def _ascii(text: Column) -> Column:
+    """JSON with everything beyond ASCII escaped."""
+    escape = lambda c: F.when(c.rlike(r"[^\x{0}-\x{7f}]"), F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", "\\\\u$1")).otherwise(c)
+    return F.when(text.rlike(r"[^\x{0}-\x{7f}]"), F.array_join(F.transform(F.split(text, ""), escape), "")).otherwise(text)
+
+
+def _per_file(found: DataFrame) -> DataFrame:
+    """All findings of each file in their order; a file's findings are one value, as the file was."""
+    kept = F.struct("place", "category", "name", "severity", "statements", "details")
+    return found.groupBy("path").agg(F.array_sort(F.collect_list(kept)).alias("found"))
+
+
+def report_json(files: DataFrame, found: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """(path, json): each report as one line of ASCII JSON, with its findings, and one line for each file in error."""
     banner = F.struct("tier", "reasons", "recognised", "timed_out")
-    held = F.struct("path", F.col("version").alias("blender_version"), "pointer_size", "compression", "block_count", "categories_checked", "texts", "drivers", "osl_nodes", "libraries", "has_findings", "timed_out", "timed_out_at", banner.alias("banner"), "steps")
-    text = F.to_json(held, {"ignoreNullFields": "false"})
-    escape = lambda c: F.when(c.rlike(r"[^\x{0}-\x{7f}]"), F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", "\\\\\\\\u$1")).otherwise(c)
-    return files.select("path", F.when(text.rlike(r"[^\x{0}-\x{7f}]"), F.array_join(F.transform(F.split(text, ""), escape), "")).otherwise(text).alias("json"))
+    about = ["path", F.col("version").alias("blender_version"), "pointer_size", "compression", "block_count", "categories_checked", "texts", "drivers", "osl_nodes", "libraries", "has_findings", "timed_out", "timed_out_at", banner.alias("banner"), "steps"]
+    if found is not None:
+        files = files.join(_per_file(found), "path", "left")
+        none = F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,details:string>>)")
+        about.append(F.coalesce("found", none).alias("findings"))
+    out = files.select("path", _ascii(F.to_json(F.struct(*about), {"ignoreNullFields": "false"})).alias("json"))
+    if errors is not None:
+        out = out.union(errors.select("path", _ascii(F.to_json(F.struct(F.struct("path", "kind", "message").alias("error")))).alias("json")))
+    return out
+
+
+def report_text(files: DataFrame, found: DataFrame, seconds: float = container.Limits().seconds) -> DataFrame:
+    """(path, report): what a person reads, line by line; nothing from a file reaches a line unescaped."""
+    line = lambda c: shown.printable_line(c)
+    say = lambda form, *columns: F.format_string(form, *columns)
+    late = F.when(F.col("timed_out"), say(f"PARTIAL: {seconds:g} s ran out while reading %s; what follows is incomplete", "timed_out_at"))
+    head = [
+        say("%s  [%s]", line(F.col("path")), "tier"),
+        say("version %s, %s-byte pointers, compression %s, %s blocks", "version_display", F.col("pointer_size").cast("string"), "compression", F.col("block_count").cast("string")),
+        late,
+        F.when(F.size("reasons") > 0, F.concat(F.lit("because of "), shown.listed(F.col("reasons")))),
+        F.when(F.size("recognised") > 0, F.concat(F.lit("recognised: "), line(shown.listed(F.col("recognised"))))),
+    ]
+
+    def one(f: Column) -> Column:
+        title = F.concat(F.lit("  "), f["category"], F.lit(": "), shown.show_literal(f["name"]), F.coalesce(F.concat(F.lit(" ("), f["severity"], F.lit(")")), F.lit("")))
+        rules = F.transform(f["statements"], lambda s: F.concat(F.lit("    "), s["key"], F.lit(": "), F.array_join(F.transform(s["evidence"], shown.show_literal), "; ")))
+        known = F.from_json(F.get_json_object(f["details"], "$.identity"), "evidence string, script_name string, origin string, generated boolean, differing_literals array<struct<index:int,reference:string,actual:string>>")
+        match = F.when(known["evidence"].isNotNull(), F.concat(F.lit("    known script "), line(known["script_name"]), F.lit(" of "), line(known["origin"]), F.lit(" by "), known["evidence"], F.when(known["generated"], F.lit(", generated")).otherwise(F.lit(""))))
+        differ = F.transform(F.coalesce(known["differing_literals"], F.expr("cast(array() as array<struct<index:int,reference:string,actual:string>>)")), lambda d: F.concat(F.lit("    literal "), d["index"].cast("string"), F.lit(": "), shown.quote_literal(d["reference"]), F.lit(" became "), shown.quote_literal(d["actual"])))
+        return F.concat(F.array(title), rules, F.filter(F.array(match), lambda m: m.isNotNull()), differ)
+
+    per = files.join(_per_file(found), "path", "left")
+    body = F.flatten(F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,details:string>>)")), one))
+    lines = F.concat(F.filter(F.array(*head), lambda x: x.isNotNull()), body, F.array(F.concat(F.lit("next: "), F.array_join("steps", ", ")), F.lit("An inventory, not a verdict.")))
+    return per.select("path", F.array_join(lines, "\n").alias("report"))
+
+
+def run(spark: SparkSession, argv: list[str]) -> int:
+    """Inspect targets and write or print their reports; the exit code is the batch's."""
+    parser = argparse.ArgumentParser(prog="inspect")
+    parser.add_argument("targets", nargs="+")
+    parser.add_argument("--json", action="store_true")
+    parser.add_argument("--known")
+    parser.add_argument("--seconds", type=float, default=container.Limits().seconds)
+    parser.add_argument("--out", help="folder for the reports; without it they are printed as they come")
+    args = parser.parse_args(argv)
+    folders, files = container.expanded(spark, args.targets)
+    if not folders and not files:
+        print("no files matched", file=sys.stderr)
+        return 3
+    known = identity.load_known(spark, args.known)[0] if args.known else None
+    of = inspection(spark, container.read(spark, args.targets, replace(container.Limits(), seconds=args.seconds)), known=known)
+    told, found, errors = stored(summaries(of), "summaries"), findings(of), container.errors(of.rows)
+    lines = report_json(told, found, errors).select("json") if args.json else report_text(told, found, args.seconds).select("report")
+    if args.out:
+        lines.write.text(args.out)
+    else:
+        for row in lines.toLocalIterator():
+            print(row[0])
+    codes = errors.select(F.lit(2).alias("code"))
+    return rollup.exit_code(told.select("has_findings", "timed_out"), codes).first()["exit_code"]
+
+
+if __name__ == "__main__":
+    sys.exit(run(SparkSession.builder.getOrCreate(), sys.argv[1:]))

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrykit.functions import literals, paths, text
 from quarrykit.functions import tables as t
+from quarrykit.jobs import inspect
 from quarrykit.operators import identity, rollup, statements, syntax
-from quarrykit.session import table
+from quarrykit.session import stored, table
 from quarrykit.sources import container
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,19 +248,91 @@ def identity_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(identity.first_seen(m, "shape", "page_id"), "shape").select("page_id", F.col("first").alias("first_page"), F.col("n").alias("n_alike"))
 
 
-@query("""
-WITH l AS (SELECT page_id, regexp_extract_all(html, '"([^"]*)"', 1) AS x FROM pages),
-j AS (SELECT b.page_id, a.x AS r, b.x AS c FROM l b JOIN l a ON a.page_id = b.page_id - b.page_id % 10 WHERE b.page_id % 10 <> 0),
-d AS (SELECT page_id, r, c, unnest(range(1, least(len(r), len(c)) + 1)) AS i FROM j)
-SELECT page_id, count(*) FILTER (WHERE r[i] <> c[i]) AS n_different, min(i) FILTER (WHERE r[i] <> c[i]) - 1 AS first_index FROM d GROUP BY page_id
-""")
+_SHAPE_CTE = """
+WITH m AS (SELECT page_id, url, sha256(html) AS sha, sha256(regexp_replace(regexp_replace(html, '"[^"]*"', '""', 'g'), '>[^<]*<', '><', 'g')) AS shape, regexp_extract_all(html, '"([^"]*)"', 1) AS x FROM pages),
+f AS (SELECT shape, min(page_id) AS first_page FROM m GROUP BY shape)
+"""
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the digest of their structure and their quoted literals."""
+    masked = F.regexp_replace(F.regexp_replace("html", '"[^"]*"', '""'), ">[^<]*<", "><")
+    return table(spark, sf_dir, "pages").select("page_id", "url", text.sha256_hex(F.col("html")).alias("sha256"), text.sha256_hex(masked).alias("structure_sha256"), F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1)).alias("literals"))
+
+
+@query(
+    _SHAPE_CTE
+    + """, j AS (SELECT m.page_id, f.first_page, r.x AS r, m.x AS c FROM m JOIN f ON m.shape = f.shape JOIN m r ON r.page_id = f.first_page),
+d AS (SELECT page_id, r, c, unnest(range(1, least(len(r), len(c)) + 1)) AS i FROM j),
+n AS (SELECT page_id, count(*) FILTER (WHERE r[i] <> c[i]) AS n_different, min(i) FILTER (WHERE r[i] <> c[i]) - 1 AS first_index FROM d GROUP BY page_id)
+SELECT j.page_id, first_page, coalesce(n_different, 0) AS n_different, first_index FROM j LEFT JOIN n ON j.page_id = n.page_id
+"""
+)
 def identity_literal_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literals of a body compared place by place with those of the first body of its ten."""
-    x = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1)).alias("x"))
-    ours = x.where("page_id % 10 <> 0").withColumn("of", F.col("page_id") - F.col("page_id") % 10)
-    both = ours.join(x.where("page_id % 10 = 0").select(F.col("page_id").alias("of"), F.col("x").alias("r")), "of").where("size(r) > 0 and size(x) > 0")
-    d = both.select("page_id", identity.differences(F.col("r"), F.col("x")).alias("d"))
-    return d.select("page_id", F.size("d").cast("bigint").alias("n_different"), F.get("d", F.lit(0))["index"].cast("bigint").alias("first_index"))
+    """Literals of a body compared place by place with those of the first body of its structure."""
+    m = _shapes(spark, sf_dir)
+    first = m.groupBy("structure_sha256").agg(F.min(F.struct("page_id", "literals")).alias("f"))
+    both = m.join(first, "structure_sha256").select("page_id", F.col("f.page_id").alias("first_page"), identity.differences(F.col("f.literals"), F.col("literals")).alias("d"))
+    return both.select("page_id", "first_page", F.size("d").cast("bigint").alias("n_different"), F.get("d", F.lit(0))["index"].cast("bigint").alias("first_index"))
+
+
+@query(
+    _SHAPE_CTE
+    + """, e AS (SELECT m.page_id AS place, sha, m.shape, url, x, length(url) % 2 = 0 AS generated FROM m JOIN f ON m.page_id = f.first_page),
+b AS (SELECT sha, max(place) AS place FROM e GROUP BY sha),
+j AS (SELECT m.page_id, m.x, b.place AS by_bytes, s.place AS by_shape, coalesce(b.place, s.place) AS place FROM m LEFT JOIN b ON m.sha = b.sha LEFT JOIN e s ON m.shape = s.shape),
+h AS (SELECT j.page_id, by_bytes, by_shape, e.url, e.generated, j.x AS c, e.x AS r FROM j LEFT JOIN e ON e.place = j.place)
+SELECT page_id, CASE WHEN by_bytes IS NOT NULL THEN 'bytes' WHEN by_shape IS NOT NULL THEN 'structure' END AS evidence, url AS script_name,
+  CASE WHEN by_bytes IS NULL AND by_shape IS NOT NULL THEN CAST(len(list_filter(range(1, least(len(r), len(c)) + 1), lambda i: r[i] <> c[i])) AS BIGINT) END AS n_different,
+  by_bytes IS NOT NULL AND NOT generated AS clears FROM h
+"""
+)
+def identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies matched to a table of known scripts (the first body of each structure), by bytes and else by structure."""
+    m = _shapes(spark, sf_dir)
+    listed = m.groupBy("structure_sha256").agg(F.min(F.struct("page_id", "sha256", "url", "literals")).alias("f"))
+    known = listed.select(F.col("f.page_id").alias("place"), "f.sha256", F.col("f.url").alias("script_name"), "structure_sha256", "f.literals", (F.length("f.url") % 2 == 0).alias("generated"))
+    found = identity.match(m, known)
+    return found.select("page_id", "evidence", F.col("entry.script_name").alias("script_name"), F.when(F.col("differing_literals").isNotNull(), F.size("differing_literals")).cast("bigint").alias("n_different"), F.col("suppresses_escalation").alias("clears"))
+
+
+# Entries of a known-script table over the customers: a form for each remainder, the problem that each must give.
+_ENTRIES = [
+    ("", None),
+    (',"generated":true', None),
+    (',"structure":{"scheme":1,"sha256":"@sha","literals":["a"]}', None),
+    (',"structure":{"scheme":2,"sha256":"@sha","literals":["a"]}', "bad structure"),
+    (',"structure":{"scheme":1,"sha256":"xyz","literals":["a"]}', "bad structure"),
+    (',"structure":{"scheme":1,"sha256":"@sha"}', "bad structure"),
+    (',"generated":"true"', "generated is not a boolean"),
+    (',"generated":false,"structure":{"scheme":1,"sha256":"@sha","literals":[]}', "generated contradicts structure"),
+    ("-notes", "missing field"),
+    ("-digest", "not a digest"),
+    ("-schema", "unusable table"),
+    ("-json", "unusable table"),
+]
+
+
+@query(
+    f"SELECT c_custkey, CASE c_custkey % {len(_ENTRIES)} "
+    + " ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in enumerate(_ENTRIES) if why)
+    + f" END AS problem, CASE WHEN c_custkey % {len(_ENTRIES)} <= 2 THEN sha256(c_name) END AS sha256, CASE WHEN c_custkey % {len(_ENTRIES)} <= 2 THEN c_custkey % {len(_ENTRIES)} <> 0 END AS generated FROM customer"
+)
+def known_entry_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known-script entries validated one by one: fields, digest, structure and the generated flag."""
+    sha = text.sha256_hex(F.col("c_name"))
+    fields = F.to_json(F.struct(F.upper(sha).alias("sha256"), F.col("c_name").alias("script_name"), F.lit(7).alias("byte_size"), *(F.lit("x").alias(c) for c in ("origin", "source_url", "fetched_on", "attested_by", "attested_on", "notes"))))
+    body = F.substr(fields, F.lit(1), F.length(fields) - 1)
+    k, entry = F.col("c_custkey") % len(_ENTRIES), F.concat(body, F.lit("}"))
+    for i, (more, _) in enumerate(_ENTRIES):
+        if more.startswith(","):
+            entry = F.when(k == i, F.concat(body, F.replace(F.lit(more), F.lit("@sha"), sha), F.lit("}"))).otherwise(entry)
+    entry = F.when(k == 8, F.replace(entry, F.lit(',"notes":"x"'), F.lit(""))).when(k == 9, F.replace(entry, F.upper(sha), F.lit("zz"))).otherwise(entry)
+    value = F.concat(F.lit('{"schema":'), F.when(k == 10, "1").otherwise("2"), F.lit(',"entries":['), entry, F.when(k == 11, "]").otherwise("]}"))
+    raw = table(spark, sf_dir, "customer").select("c_custkey", value.alias("value"))
+    entries, problems = identity.known_entries(raw, keys=["c_custkey"])
+    good = entries.select("c_custkey", F.lit(None).cast("string").alias("problem"), "sha256", "generated")
+    return good.union(problems.select("c_custkey", "problem", F.lit(None).cast("string"), F.lit(None).cast("boolean")))
 
 
 @query("""
@@ -274,11 +347,11 @@ def known_dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, coalesce(c_name || CASE WHEN o_orderkey % 3 <> 0 THEN '[' || (o_orderkey % 3) || ']' ELSE '' END, '<unattached driver>') AS owner
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """)
 def owner_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners looked up by address; an index only where it is not zero, a default where there is none."""
-    owners = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     index = F.col("o_orderkey") % 3
     label = F.concat("c_name", F.when(index != 0, F.concat(F.lit("["), index.cast("string"), F.lit("]"))).otherwise(F.lit("")))
     return table(spark, sf_dir, "orders").join(owners, "o_custkey", "left").select("o_orderkey", F.coalesce(label, F.lit("<unattached driver>")).alias("owner"))
@@ -286,14 +359,14 @@ def owner_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT p_partkey, lower(replace(p_type, ' ', '.')) AS name FROM part), r AS (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS entry FROM part
-  UNION SELECT DISTINCT lower(array_to_string(string_split(p_type, ' ')[1:2], '.')) FROM part WHERE p_partkey % 7 = 0)
+  UNION SELECT DISTINCT lower(array_to_string(string_split(p_type, ' ')[1:2], '.')) FROM part)
 SELECT p_partkey, name, entry FROM n JOIN r ON name = entry OR starts_with(name, entry || '.')
 """)
 def rule_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dotted names joined to the entries that they equal or lie under."""
     part = table(spark, sf_dir, "part")
     words = F.split(F.lower("p_type"), " ")
-    entries = part.select(words[0].alias("entry")).union(part.where("p_partkey % 7 = 0").select(F.array_join(F.slice(words, 1, 2), "."))).distinct()
+    entries = part.select(words[0].alias("entry")).union(part.select(F.array_join(F.slice(words, 1, 2), "."))).distinct()
     named = part.select("p_partkey", F.array_join(words, ".").alias("name")).withColumn("entry", F.explode(F.array_distinct(statements.prefixes(F.col("name")))))
     return named.join(entries, "entry").select("p_partkey", "name", "entry")
 
@@ -420,6 +493,17 @@ def escape_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.printable_line(c).alias("line"), text.printable_block(c).alias("block"), text.is_steering(c).alias("steering"))
 
 
+@query("""
+WITH f AS (SELECT doc_id, replace(replace(text, chr(13), '\\x0d'), chr(10), '\\x0a') AS line, replace(replace(replace(text, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS flat FROM documents),
+c AS (SELECT doc_id, line, replace(CASE WHEN length(flat) > 120 THEN substr(flat, 1, 120) || '...' ELSE flat END, '\\', '\\\\') AS x FROM f)
+SELECT doc_id, CASE WHEN length(line) > 200 THEN substr(line, 1, 200) || '...' ELSE line END AS shown,
+  CASE WHEN contains(x, chr(39)) AND NOT contains(x, '"') THEN '"' || x || '"' ELSE chr(39) || replace(x, chr(39), '\\' || chr(39)) || chr(39) END AS quoted FROM c
+""")
+def literal_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals as a report shows them, and as it quotes those that differ."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.show_literal(F.col("text")).alias("shown"), text.quote_literal(F.col("text")).alias("quoted"))
+
+
 @query("SELECT doc_id, replace(replace(replace(text, chr(10), ''), chr(13), ''), chr(9), '') AS stripped FROM documents")
 def printable_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text without control characters."""
@@ -455,83 +539,253 @@ def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.max_nesting(F.col("html")).cast("bigint").alias("depth"))
 
 
-# Driver expressions over the parts table: a form for each remainder, the reason each must get.
+# Driver expressions over a table's rows: a form for each remainder, the reason that each must get.
 _EXPRESSIONS = [
-    ("clamp(var, 0, {k})", None, "arithmetic and driver variables only"),
-    ("sin(frame / {k})", None, "arithmetic and driver variables only"),
-    ("bpy.data.{w}", False, "uses attribute access (bpy.data.{w})"),
-    ("var ** {k}", False, "uses the ** operator, which the simple evaluator does not support"),
-    ("log(var, 2, {k})", False, "calls log() with 3 arguments; the simple evaluator takes 1 or 2"),
-    ("min()", False, "calls min() with no arguments"),
-    ("[x for x in ({k}, 2)]", False, "uses ListComp, which the simple evaluator does not support"),
-    ("__import__('{w}')", False, "calls __import__(), which is not a simple-expression function"),
-    ("{k} if var > 1 else -{k}", None, "arithmetic and driver variables only"),
-    ("  ", None, "empty"),
-    ("sqrt(x={k})", False, "calls sqrt() with arguments the simple evaluator cannot parse"),
-    ("{k} +", False, "does not parse as a Python expression (SyntaxError)"),
+    ("clamp(var, 0, {k})", "plain"),
+    ("sin(frame / {k})", "plain"),
+    ("bpy.data.{w}{k}", "attribute bpy.data.{w}{k}"),
+    ("var ** {k}", "operator **"),
+    ("log(var, 2, {k})", "arity log/3"),
+    ("{k} + min()", "arity min/0"),
+    ("[x for x in ({k}, 2)]", "syntax ListComp"),
+    ("__import__('{w}{k}')", "function __import__"),
+    ("{k} if var > 1 else -{k}", "plain"),
+    ("  ", "empty"),
+    ("sqrt(x={k})", "arguments sqrt"),
+    ("{k} +", "syntax SyntaxError"),
+    ("__name{k}", "dunder __name{k}"),
+    ("a[{k}]", "syntax Subscript"),
+    ("f{k}()(1)", "function ?"),
 ]
+_E = len(_EXPRESSIONS)
+_SIMPLE = [k for k, (_, why) in enumerate(_EXPRESSIONS) if why in ("plain", "empty")]
 
+# Script bodies: a form for each remainder, the rules that must fire (a space between them), null if it does not parse.
+_SCRIPTS = [
+    ("import socket\ns = socket\ns.socket()\n# {k}", "x_network"),
+    ("import subprocess as sp\nsp.Popen(['{w}{k}'])", "x_subprocess"),
+    ("import base64\nexec(base64.b64decode('{w}{k}'))", "x_dynamic_code x_obfuscation"),
+    ("getattr(__builtins__, 'e' + 'val')('{k}')", "x_assembled_name x_builtins_indirection x_indirect_call"),
+    ("socket.default_value_set({k})", ""),
+    ("import os\nos.makedirs('/srv/{w}{k}')", "x_makedirs"),
+    ("f = open('{w}{k}.txt', 'w')", "x_file_write"),
+    ("import pickle\npickle.loads(b'{k}')", "x_deserialise"),
+    ("import bpy\nclass P(bpy.types.Panel):\n    n = {k}", "x_ui_panel"),
+    ("x = 'cmd /c {w}{k}'", "x_living_off_land"),
+    ("import ctypes  # {k}", "x_lowlevel"),
+    ("def f(:\n  {w}{k}", None),
+    ("import http.server  # {k}", "x_network_listen"),
+    ("import os as o\no.system('{k}')", "x_subprocess"),
+    ("__import__(name{k})", "x_dynamic_code"),
+    ("__import__('{w}{k}')", "x_runtime_import"),
+    ("import zlib\nzlib.decompress(b{k})", "x_decodes_data"),
+    ("import base64\nself.p = base64.b64decode(b{k})\nexec(self.p)", "x_dynamic_code x_obfuscation"),
+    ("import bpy\nbpy.app.handlers.load_post.append(f{k})", "x_handler_register"),
+    ("from bpy.app.handlers import persistent as keep\n@keep\ndef f{k}(): pass\nimport bpy\nbpy.app.handlers.load_post.append(f{k})", "x_handler_persist"),
+    ("p = '~/.ssh/id_rsa{k}'", "x_credentials"),
+    ("import webbrowser\nwebbrowser.open('{w}{k}')", "x_opens_browser"),
+    ("x = 'http' + '://{w}{k}'", "x_split_literal"),
+    ("import bpy\nbpy.app.driver_namespace['{w}{k}'] = f", "x_driver_namespace"),
+    ("import os\nos.remove('{w}{k}')", "x_file_delete"),
+    ("compile('{k}', '', 'eval')", "x_compile_code"),
+    ("i = getattr(__builtins__, '__import__')\ni('{w}{k}')", "x_builtins_indirection x_indirect_call"),
+    ("import bpy\nbpy.utils.register_class(P{k})", "x_register"),
+    ("import winreg  # {k}", "x_persistence"),
+    ("x = '" + "QUJD" * 60 + "{k}'", "x_opaque_blob"),
+]
+_S = len(_SCRIPTS)
 
-def _filled(form: str) -> str:
-    body = form.replace("'", "''").replace("{k}", "' || p_size || '").replace("{w}", "' || lower(split_part(p_name, ' ', 1)) || '")
-    return f"'{body}'"
 
+def _filled(form: str, key: str, word: str) -> str:
+    return "'" + form.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{k}", f"' || {key} || '").replace("{w}", f"' || {word} || '") + "'"
 
-@query(
-    "SELECT p_partkey, CASE p_partkey % 12 "
-    + " ".join(f"WHEN {k} THEN {_filled(e)}" for k, (e, _, _) in enumerate(_EXPRESSIONS))
-    + " END AS expression, p_partkey % 12 IN (0, 1, 8, 9) AS is_simple, CASE p_partkey % 12 "
-    + " ".join(f"WHEN {k} THEN {_filled(r)}" for k, (_, _, r) in enumerate(_EXPRESSIONS))
-    + " END AS reason FROM part"
-)
+
+def _cases(forms: list[str | None], key: str, word: str) -> str:
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {k} THEN {_filled(f, key, word)}" for k, f in enumerate(forms) if f is not None) + " END"
+
+
+def _form(forms: list[str | None], key: str, word: Column) -> Column:
+    """The form of each row's remainder, with its key and a word of it filled in."""
+    out = F.lit(None).cast("string")
+    for k, f in enumerate(forms):
+        filled = F.replace(F.replace(F.lit(f), F.lit("{k}"), F.col(key).cast("string")), F.lit("{w}"), word)
+        out = F.when(F.col(key) % len(forms) == k, filled).otherwise(out)
+    return out
+
+
+_PART_WORD = "lower(split_part(p_name, ' ', 1))"
+
+
+@query(f"SELECT p_partkey, {_cases([e for e, _ in _EXPRESSIONS], 'p_partkey', _PART_WORD)} AS expression, p_partkey % {_E} IN ({', '.join(map(str, _SIMPLE))}) AS is_simple, {_cases([w for _, w in _EXPRESSIONS], 'p_partkey', _PART_WORD)} AS reason FROM part")
 def driver_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expressions that the restricted evaluator takes, each distinct one parsed once."""
-    w = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
-    expression = F.lit(None).cast("string")
-    for k, (form, _, _) in enumerate(_EXPRESSIONS):
-        expression = F.when(F.col("p_partkey") % 12 == k, F.replace(F.replace(F.lit(form), F.lit("{k}"), F.col("p_size").cast("string")), F.lit("{w}"), w)).otherwise(expression)
+    """Expressions that the restricted evaluator takes, and the first objection to others; each distinct one parsed once."""
+    expression = _form([e for e, _ in _EXPRESSIONS], "p_partkey", F.expr(_PART_WORD))
     rows = table(spark, sf_dir, "part").select("p_partkey", expression.alias("expression"))
     return syntax.classify_expressions(rows, "expression").select("p_partkey", "expression", "is_simple", "reason")
 
 
-# Script bodies over the parts table and the rule that each must fire.
-_SCRIPTS = [
-    ("import socket\ns = socket\ns.socket()\n# {k}", "x_network"),
-    ("import subprocess as sp\nsp.Popen(['{w}'])", "x_subprocess"),
-    ("import base64\nexec(base64.b64decode('{w}'))", "x_obfuscation"),
-    ("getattr(__builtins__, 'e' + 'val')('{k}')", "x_assembled_name"),
-    ("socket.default_value_set({k})", None),
-    ("import os\nos.makedirs('/tmp/{w}')", "x_makedirs"),
-    ("f = open('{w}.txt', 'w')", "x_file_write"),
-    ("import pickle\npickle.loads(b'{k}')", "x_deserialise"),
-    ("import bpy\nclass P(bpy.types.Panel):\n    n = {k}", "x_ui_panel"),
-    ("x = 'cmd /c {w}'", "x_living_off_land"),
-    ("import ctypes  # {k}", "x_lowlevel"),
-    ("def f(:\n  {w}", None),
-]
+@query(f"SELECT p_partkey, {_cases([k or '' for _, k in _SCRIPTS], 'p_partkey', _PART_WORD)} AS keys, p_partkey % {_S} NOT IN ({', '.join(str(k) for k, (_, keys) in enumerate(_SCRIPTS) if keys is None)}) AS parsed FROM part")
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules that each body fires, found through facts, grounding and the rule join; distinct bodies are parsed once."""
+    source = _form([b for b, _ in _SCRIPTS], "p_partkey", F.expr(_PART_WORD))
+    rows = table(spark, sf_dir, "part").select("p_partkey", source.alias("source")).withColumn("body", text.sha256_hex(F.col("source")))
+    facts = stored(syntax.facts(rows), "facts")
+    fired = statements.statements(facts).groupBy("body").agg(F.array_join(F.array_sort(F.collect_set("key")), " ").alias("keys"))
+    parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
+    return rows.join(fired, "body", "left").join(parsed, "body", "left").select("p_partkey", F.coalesce("keys", F.lit("")).alias("keys"), "parsed")
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_partkey % 4 AS k, p_size % 5 AS n FROM part),
+f AS (SELECT *, CASE k WHEN 0 THEN 'call ' || n WHEN 1 THEN 'text' WHEN 2 THEN 'class' END AS shape, CASE k WHEN 0 THEN 'p' || p_partkey || '|q' WHEN 1 THEN 'v' || p_partkey || '|b' || p_partkey WHEN 2 THEN 'd' || p_partkey END AS literals FROM b)
+SELECT p_partkey, min(p_partkey) OVER (PARTITION BY shape) AS first_alike, count(*) OVER (PARTITION BY shape) AS n_alike, literals FROM f WHERE shape IS NOT NULL
+UNION ALL SELECT p_partkey, 0, 0, NULL FROM f WHERE shape IS NULL
+""")
+def structure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of equal syntax, whatever text stands in their literals, and those literals in order; null where a body does not parse."""
+    form = F.lit("def f(:  # {k}")
+    for k, body in enumerate(["f('p{k}', {n}, x='q')  # {k}", "a = 'v{k}'\nb = b'b{k}'", "class C:\n    'd{k}'"]):
+        form = F.when(F.col("p_partkey") % 4 == k, F.lit(body)).otherwise(form)
+    source = F.replace(F.replace(form, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{n}"), (F.col("p_size") % 5).cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", source.alias("source"))
+    rows = stored(rows.withColumn("body", text.sha256_hex(F.col("source"))), "bodies")
+    facts = stored(syntax.facts(rows), "facts")
+    shape = facts.where("kind = 'structure'").select("body", F.col("value").alias("shape"))
+    taken = facts.where("kind = 'literal'").groupBy("body").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "|").alias("literals"))
+    held = stored(rows.select("p_partkey", "body").join(shape, "body", "left").join(taken, "body", "left"), "shapes")
+    alike = identity.first_seen(held.where("shape is not null"), "shape", "p_partkey").select("shape", F.col("first").alias("first_alike"), F.col("n").alias("n_alike"))
+    return held.join(alike, "shape", "left").select("p_partkey", F.coalesce(F.col("first_alike").cast("bigint"), F.lit(0)).alias("first_alike"), F.coalesce("n_alike", F.lit(0)).alias("n_alike"), "literals")
+
+
+# A container for each customer: a script, a driver, a linked library, a shader node and an image, by its key.
+_CUSTOMER_WORD = "lower(c_mktsegment)"
+_LIBRARIES = ["//lib/{k}.blend", "//../{k}.blend", "D:/{k}.blend", "\\\\host{k}\\share\\x.blend"]
+_L = len(_LIBRARIES) + 1  # one remainder has none
+
+
+def _customer_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("k"),
+        F.col("c_nationkey").cast("int").alias("n"),
+        _form([b for b, _ in _SCRIPTS], "c_custkey", F.expr(_CUSTOMER_WORD)).alias("body"),
+        _form([e for e, _ in _EXPRESSIONS], "c_custkey", F.expr(_CUSTOMER_WORD)).alias("expression"),
+        _form([*_LIBRARIES, None], "c_custkey", F.lit("")).alias("library"),
+    )
+
+    def write(batches):
+        import pyarrow as pa
+
+        from quarrykit.sources.container_writer import Writer
+
+        for batch in batches:
+            made = []
+            for k, n, body, expression, library in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                box = Writer()
+                box.text(f"{k}.py" if k % 2 else "notes", body, flags=16 if k % 7 == 0 else 4)
+                box.driver(expression, kind=1 if n % 3 else 2, owner="" if k % 11 == 0 else f"location{k}", index=n % 3)
+                if library:
+                    box.library(library)
+                if k % 6 < 2:
+                    box.node(1 - k % 6, "C:/x.osl", "abc", b"\1\2\3" if k % 6 == 0 else None)
+                if k % 2 == 0:
+                    box.linked("IM", f"img{k}", f"//tex/{k}.png")
+                made.append(box.to_bytes(version="300" if k % 2 else "405"))
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return container.inspect_rows(rows.mapInArrow(write, "path string, content binary"))
+
+
+def _having(key: str) -> str:
+    """SQL: whether a customer's script fires a rule."""
+    at = [str(k) for k, (_, keys) in enumerate(_SCRIPTS) if keys and key in keys.split()]
+    return f"c_custkey % {_S} IN ({', '.join(at)})" if at else "false"
+
+
+_BLANK = [str(k) for k, (e, _) in enumerate(_EXPRESSIONS) if not e.strip()]
+_DRIVEN = f"(c_custkey % {_E} NOT IN ({', '.join(_BLANK)}) AND c_nationkey % 3 <> 0)"  # has a driver that is evaluated
+_IMPORTING = f"({_DRIVEN} AND c_custkey % {_E} = {next(k for k, (e, _) in enumerate(_EXPRESSIONS) if e.startswith('__import__'))})"
+_FIRED = {x for _, keys in _SCRIPTS for x in (keys or "").split()}
+_LOUD = _FIRED & ({key for key, severity, _, _ in t.RULES if severity == t.ALARMING} | set(t.HIDING) | {"x_living_off_land", "x_persistence", "x_credentials"})
+_QUIET = _FIRED & ({key for key, severity, _, _ in t.RULES if severity == t.BENIGN} | {"x_driver_namespace"})
+_UNREAD = f"(c_custkey % {_S} = {next(k for k, (_, keys) in enumerate(_SCRIPTS) if keys is None)} AND (c_custkey % 7 = 0 OR c_custkey % 2 = 1))"
+
+
+def _any(keys: set[str]) -> str:
+    return "(" + " OR ".join(map(_having, sorted(keys))) + ")"
+
+
+_REDS = {r: _having(r) for r in t.RED} | {"library_unc": f"c_custkey % {_L} = 3"}
+_AMBERS = {r: _having(r) for r in t.REASONS if r.startswith("x_") and r not in t.RED and r not in _QUIET} | {
+    "autorun_unrecognised": "c_custkey % 7 = 0",
+    "unreadable_script": _UNREAD,
+    "x_runtime_import": f"({_having('x_runtime_import')} OR {_IMPORTING})",
+    "driver_not_simple": f"({_DRIVEN} AND c_custkey % {_E} NOT IN ({', '.join(map(str, _SIMPLE))}))",
+    "osl_bytecode": "c_custkey % 6 = 0",
+    "library_drive_letter": f"c_custkey % {_L} = 2",
+}
+_TOLD = " || ".join(f"CASE WHEN {'' if r in _REDS else 'NOT '}red AND {(_REDS | _AMBERS)[r]} THEN '{r} ' ELSE '' END" for r in t.REASONS if r in _REDS or r in _AMBERS)
+
+
+@query(f"""
+WITH c AS (SELECT *, {" OR ".join(_REDS.values())} AS red, {" OR ".join(_AMBERS.values())} AS amber, {_any(_LOUD)} OR c_custkey % {_L} IN (2, 3) AS human, {_UNREAD} AS unread FROM customer)
+SELECT c_custkey, CASE WHEN red THEN 'red' WHEN amber THEN 'amber' ELSE 'neutral' END AS tier, {_TOLD} AS reasons,
+  CASE WHEN human THEN 'needs_human ' WHEN NOT unread THEN 'looks_ordinary ' ELSE '' END || CASE WHEN unread THEN 'unreadable ' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN 'autorun_present ' ELSE '' END AS steps,
+  CASE WHEN c_custkey % 2 = 1 THEN '3.0' ELSE '4.5' END AS version FROM c
+""")
+def report_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier, reasons and next steps of whole files, from texts, drivers, libraries and nodes together."""
+    out = inspect.reports(spark, _customer_containers(spark, sf_dir))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(" "))), "")
+    return out.select(F.col("path").cast("bigint").alias("c_custkey"), "tier", flat(F.col("reasons")).alias("reasons"), flat(F.col("steps")).alias("steps"), F.col("version_display").alias("version"))
+
+
+@query(f"""
+SELECT c_custkey, 'text' AS category, CASE WHEN c_custkey % 2 = 1 THEN c_custkey || '.py' ELSE 'notes' END AS name,
+  CASE WHEN {_any(_LOUD)} THEN 'alarming' WHEN {_any(_FIRED - _LOUD - _QUIET)} THEN 'notable' WHEN {_any(_QUIET)} THEN 'benign' END AS severity, {_cases([k or '' for _, k in _SCRIPTS], "c_custkey", _CUSTOMER_WORD)} AS keys FROM customer
+UNION ALL SELECT c_custkey, 'driver', CASE WHEN c_custkey % 11 = 0 THEN '<unattached driver>' ELSE 'location' || c_custkey || CASE WHEN c_nationkey % 3 <> 0 THEN '[' || (c_nationkey % 3) || ']' ELSE '' END END,
+  CASE WHEN {_IMPORTING} THEN 'notable' END, CASE WHEN {_IMPORTING} THEN 'x_runtime_import' ELSE '' END FROM customer WHERE c_custkey % {_E} NOT IN ({", ".join(_BLANK)})
+UNION ALL SELECT c_custkey, 'library', {_cases([*_LIBRARIES, None], "c_custkey", "''")}, NULL, '' FROM customer WHERE c_custkey % {_L} <> {_L - 1}
+UNION ALL SELECT c_custkey, 'osl', CASE c_custkey % 6 WHEN 0 THEN 'NODE_SCRIPT_EXTERNAL' ELSE 'NODE_SCRIPT_INTERNAL' END, NULL, '' FROM customer WHERE c_custkey % 6 < 2
+UNION ALL SELECT c_custkey, 'filepath', 'img' || c_custkey, NULL, '' FROM customer WHERE c_custkey % 2 = 0
+""")
+def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of every file with its loudest severity and the rules that fired."""
+    found = inspect.findings(inspect.inspection(spark, _customer_containers(spark, sf_dir)))
+    keys = F.array_join(F.array_sort(F.transform("statements", lambda s: s["key"])), " ")
+    return found.select(F.col("path").cast("bigint").alias("c_custkey"), "category", "name", "severity", keys.alias("keys"))
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '<unattached driver>' ELSE 'location' || c_custkey || CASE WHEN c_nationkey % 3 <> 0 THEN '[' || (c_nationkey % 3) || ']' ELSE '' END END AS owner,
+  {_cases([e for e, _ in _EXPRESSIONS], "c_custkey", _CUSTOMER_WORD)} AS expression, CASE WHEN c_nationkey % 3 <> 0 THEN 'DRIVER_TYPE_PYTHON' ELSE 'DRIVER_TYPE_SUM' END AS driver_type, c_nationkey % 3 <> 0 AS evaluated,
+  CASE WHEN c_nationkey % 3 <> 0 THEN {_cases([w for _, w in _EXPRESSIONS], "c_custkey", _CUSTOMER_WORD)} END AS reason FROM customer WHERE c_custkey % {_E} NOT IN ({", ".join(_BLANK)})
+""")
+def driver_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers of containers with their owner, whether their expression is live, and what is said against it."""
+    drivers = container.drivers(_customer_containers(spark, sf_dir))
+    judged = syntax.classify_expressions(drivers, "body")
+    return judged.select(F.col("path").cast("bigint").alias("c_custkey"), "owner", "expression", F.col("driver_type_name").alias("driver_type"), F.col("expression_is_evaluated").alias("evaluated"), F.when(F.col("expression_is_evaluated"), F.col("reason")).alias("reason"))
+
+
+_BASES = ["/srv/site", "C:\\site", "\\\\nas\\share\\site", "site/x"]
 
 
 @query(
-    "SELECT p_partkey, CASE p_partkey % 12 "
-    + " ".join(f"WHEN {k} THEN '{key}'" for k, (_, key) in enumerate(_SCRIPTS) if key)
-    + " END AS expected, p_partkey % 12 <> 11 AS parsed FROM part"
+    _RAW_CTE
+    + r""",
+w AS (SELECT r.page_id, r.raw, k, r.page_id // 10 % 4 AS b, CASE WHEN k IN (1, 4) THEN substr(r.raw, 3) ELSE r.raw END AS path FROM r),
+s AS (SELECT page_id, raw, k, b, list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x NOT IN ('', '.')) AS parts FROM w),
+j AS (SELECT *, CASE b WHEN 0 THEN ['srv', 'site'] WHEN 1 THEN ['site'] WHEN 2 THEN ['site'] ELSE ['site', 'x'] END AS base FROM s),
+e AS (SELECT *, CASE k WHEN 1 THEN base || parts WHEN 4 THEN base[1:len(base) - 1] || parts[2:] WHEN 7 THEN base || ['a'] || parts[4:] WHEN 9 THEN base[1:len(base) - 1] || parts[4:] END AS held FROM j)
+SELECT page_id, raw, CASE WHEN k IN (1, 4, 7, 9) THEN CASE b WHEN 0 THEN '/' WHEN 1 THEN 'C:\' WHEN 2 THEN '\\nas\share\' ELSE '' END || CASE WHEN b IN (1, 2) THEN array_to_string(held, '\') ELSE array_to_string(held, '/') END END AS resolved,
+  k IN (4, 9) AS escapes_folder, k NOT IN (1, 7) AS notable FROM e
+"""
 )
-def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule each body must fire, found through facts, grounding and the rule join; distinct bodies are parsed once."""
-    w = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
-    source = F.lit("")
-    for k, (body, _) in enumerate(_SCRIPTS):
-        source = F.when(F.col("p_partkey") % 12 == k, F.replace(F.replace(F.lit(body), F.lit("{k}"), F.col("p_size").cast("string")), F.lit("{w}"), w)).otherwise(source)
-    wanted = F.lit(None).cast("string")
-    for k, (_, key) in enumerate(_SCRIPTS):
-        wanted = F.when(F.col("p_partkey") % 12 == k, F.lit(key)).otherwise(wanted)
-    rows = table(spark, sf_dir, "part").select("p_partkey", source.alias("source"), wanted.alias("want")).withColumn("body", text.sha256_hex(F.col("source")))
-    facts = syntax.facts(rows).cache()
-    fired = statements.statements(facts).groupBy("body").agg(F.collect_set("key").alias("keys"))
-    parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
-    none = F.expr("cast(array() as array<string>)")
-    held = rows.join(fired, "body", "left").join(parsed, "body", "left")
-    return held.select("p_partkey", F.when(F.array_contains(F.coalesce("keys", none), F.col("want")), F.col("want")).otherwise(F.when(F.col("want").isNull(), F.get("keys", F.lit(0)))).alias("expected"), "parsed")
+def library_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked paths laid on POSIX, Windows and relative bases, and whether they are worth a note."""
+    base = F.get(F.array(*map(F.lit, _BASES)), (F.floor(F.col("page_id") / 10) % 4).cast("int"))
+    c = paths.classify(F.col("raw"), base)
+    return _raw_path(spark, sf_dir).select("page_id", "raw", c["resolved_path"].alias("resolved"), c["escapes_folder"].alias("escapes_folder"), c["notable"].alias("notable"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, length(string_agg(text, chr(10) ORDER BY turn)) AS source_bytes, conv_id % 3 = 0 AS is_autorun FROM conversations GROUP BY conv_id")

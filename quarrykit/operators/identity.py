@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quarrykit.functions.text import is_sha256, without_controls
 
-#: Entries that a table of known scripts may hold; it is broadcast.
-MAX_ENTRIES = 100_000
+#: Bytes up to which the table of known scripts is broadcast.
+MAX_BYTES = 32 << 20
 REQUIRED = ("sha256", "script_name", "byte_size", "origin", "source_url", "fetched_on", "attested_by", "attested_on", "notes")
 _TEXT = T.StringType()
 _SHAPE = T.StructType().add("scheme", _TEXT).add("sha256", _TEXT).add("literals", T.ArrayType(_TEXT))
@@ -19,14 +18,20 @@ FILE = T.StructType().add("schema", T.IntegerType()).add("entries", T.ArrayType(
 
 
 def load_known(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, problems) of a JSON file ``{"schema": 2, "entries": [...]}``; one bad entry spoils only itself.
+    """(entries, problems) of a JSON file ``{"schema": 2, "entries": [...]}``; see ``known_entries``."""
+    return known_entries(spark.read.text(path, wholetext=True))
 
-    A file that is missing, is not JSON or has another schema gives one problem and no entries.
+
+def known_entries(raw: DataFrame, value: str = "value", keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, problems) of JSON tables in a column, with the ``keys`` of their row; one bad entry spoils only itself.
+
+    A table that is missing, is not JSON or has another schema gives one problem and no entries.
     """
-    raw = spark.read.text(path, wholetext=True)
-    body = raw.select(F.from_json("value", FILE).alias("b"), F.expr("try_parse_json(value)").alias("v"))
+    keys = keys or []
+    body = raw.select(*keys, F.from_json(value, FILE).alias("b"), F.expr(f"try_parse_json({value})").alias("v"))
     usable = body.where("b.schema = 2 and b.entries is not null")
-    listed = usable.select("v", F.posexplode("b.entries").alias("place", "e")).select("place", "e.*", F.expr("try_variant_get(v, concat('$.entries[', place, '].generated'), 'boolean')").alias("flag"), F.expr("schema_of_variant(try_variant_get(v, concat('$.entries[', place, '].generated')))").alias("flag_type"))
+    said = "try_variant_get(v, concat('$.entries[', place, '].generated')"
+    listed = usable.select(*keys, "v", F.posexplode("b.entries").alias("place", "e")).select(*keys, "place", "e.*", F.expr(f"{said}, 'boolean')").alias("flag"), F.expr(f"schema_of_variant({said}))").alias("flag_type"))
     shape = F.col("structure").isNull() | ((F.col("structure.scheme") == "1") & is_sha256(F.col("structure.sha256")) & F.col("structure.literals").isNotNull())
     problem = (
         F.when(F.exists(F.array(*(F.col(c) for c in REQUIRED)), lambda c: c.isNull()), "missing field")
@@ -38,10 +43,10 @@ def load_known(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     checked = listed.withColumn("problem", problem)
     names = [c for c in REQUIRED if c not in ("sha256", "byte_size")]
     entries = checked.where("problem is null").select(
-        "place", F.lower(F.trim("sha256")).alias("sha256"), F.col("byte_size").cast("int").alias("byte_size"), *(without_controls(F.col(c)).alias(c) for c in names), (F.coalesce("flag", F.lit(False)) | F.col("structure").isNotNull()).alias("generated"), F.lower("structure.sha256").alias("structure_sha256"), F.col("structure.literals").alias("literals")
+        *keys, "place", F.lower(F.trim("sha256")).alias("sha256"), F.col("byte_size").cast("int").alias("byte_size"), *(without_controls(F.col(c)).alias(c) for c in names), (F.coalesce("flag", F.lit(False)) | F.col("structure").isNotNull()).alias("generated"), F.lower("structure.sha256").alias("structure_sha256"), F.col("structure.literals").alias("literals")
     )
-    problems = checked.where("problem is not null").select("place", "problem").union(body.where("b is null or b.schema is null or b.schema <> 2 or b.entries is null").select(F.lit(-1), F.lit("unusable table")))
-    return entries, problems
+    unusable = body.where("b is null or b.schema is null or b.schema <> 2 or b.entries is null").select(*keys, F.lit(-1), F.lit("unusable table"))
+    return entries, checked.where("problem is not null").select(*keys, "place", "problem").union(unusable)
 
 
 def last_wins(entries: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,10 +66,10 @@ def differences(reference: Column, actual: Column) -> Column:
 def match(bodies: DataFrame, known: DataFrame, *, sha_col: str = "sha256", structure_col: str = "structure_sha256", literals_col: str = "literals") -> DataFrame:
     """``bodies`` with evidence (bytes, structure or null), the entry and its differing literals.
 
-    The table of known scripts is counted and broadcast up to MAX_ENTRIES rows; a larger one is
-    joined by Spark's choice. A byte match suppresses escalation unless the entry was generated.
+    The table of known scripts is measured, as JSON, and broadcast up to MAX_BYTES; a larger one
+    is joined by Spark's choice. A byte match suppresses escalation unless the entry was generated.
     """
-    small = known.count() <= MAX_ENTRIES
+    small = (known.agg(F.sum(F.length(F.to_json(F.struct(*known.columns))))).first()[0] or 0) <= MAX_BYTES
     hint = F.broadcast if small else (lambda d: d)
     entry = F.struct(*known.columns)
     by_bytes = hint(last_wins(known.select("sha256", "place", entry.alias("by_bytes")), "sha256", "place").select(F.col("sha256").alias(sha_col), "by_bytes"))
@@ -80,9 +85,3 @@ def match(bodies: DataFrame, known: DataFrame, *, sha_col: str = "sha256", struc
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, first, n): the first row of each key and how many there are."""
     return rows.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-
-
-def row_latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows that are the last of their key, by a window; for keys without hot values."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

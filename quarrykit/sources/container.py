@@ -14,6 +14,7 @@ import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,27 +62,55 @@ def compression(content: bytes) -> str:
     return "none" if content[:7] == MAGIC else "unknown"
 
 
-def inflated(content: bytes, limits: Limits) -> bytes:
+CHUNK = 1 << 20  # bytes that are inflated between two looks at the clock
+
+
+def _gunzipped(content: bytes) -> Iterator[bytes]:
+    """All members one behind the other; zeros behind the last one are padding."""
+    while content:
+        stream = zlib.decompressobj(31)
+        while not stream.eof:
+            part = stream.decompress(content, CHUNK)
+            content = stream.unconsumed_tail or stream.unused_data
+            if part:
+                yield part
+            elif not content and not stream.eof:
+                raise ValueError("the stream is cut short")
+        content = content.lstrip(b"\0")
+
+
+def inflated(content: bytes, limits: Limits, late: float = float("inf")) -> bytes:
+    """The container itself, unpacked by chunks under the size and time limits."""
     kind = compression(content)
     if kind == "unknown":
         raise Refused("not_a_blend", "bad magic")
     if kind == "none":
         return content
+    out, size = [], 0
     try:
-        if kind == "gzip":
-            out = zlib.decompressobj(31).decompress(content, limits.inflated_bytes + 1)
-        else:
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as reader:
-                out = reader.read(limits.inflated_bytes + 1)
+        for part in _gunzipped(content) if kind == "gzip" else _frames(content):
+            size += len(part)
+            if size > limits.inflated_bytes:
+                raise Refused("malformed", "decompression bomb")
+            if time.monotonic() > late:
+                raise Late
+            out.append(part)
+    except (Refused, Late):
+        raise
     except Exception as e:
         raise Refused("malformed", f"decompression failed: {e}") from e
-    if len(out) > limits.inflated_bytes:
-        raise Refused("malformed", "decompression bomb")
-    if out[:7] != MAGIC:
+    data = b"".join(out)
+    if data[:7] != MAGIC:
         raise Refused("not_a_blend", "bad magic inside the compressed stream")
-    return out
+    return data
+
+
+def _frames(content: bytes) -> Iterator[bytes]:
+    import zstandard
+
+    with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as reader:
+        while part := reader.read(CHUNK):
+            yield part
 
 
 @dataclass
@@ -169,6 +198,9 @@ class Container:
             self.layouts = self._layouts(data[dna.start : dna.start + dna.size])
         except (struct.error, IndexError, ValueError) as e:
             raise Refused("malformed", f"bad DNA1: {e}") from e
+        self.by_name: dict[str, dict[str, tuple[int, int, str, str]]] = {}
+        for name, fields in self.layouts:
+            self.by_name.setdefault(name, fields)
 
     def _layouts(self, dna: bytes) -> list[tuple[str, dict[str, tuple[int, int, str, str]]]]:
         """By struct index: name, and offset, size, type and declared name of each field."""
@@ -231,7 +263,7 @@ class Container:
                     break
                 offset, size, kind, declared = held
                 at += offset
-                fields = next((f for n, f in self.layouts if n == kind), {})
+                fields = self.by_name.get(kind, {})
             else:
                 if at + size <= block.start + block.size:
                     return self.data[at : at + size], declared
@@ -349,7 +381,7 @@ def inspect(content: bytes | None, limits: Limits = Limits()) -> list[dict]:
     try:
         if content is None or len(content) > limits.file_bytes:
             raise Refused("malformed", "file too large")
-        data = inflated(content, limits)
+        data = inflated(content, limits, late)
         box = Container(data, limits, late)
         about = {"category": "file", "name": box.head.version, "code": box.head.pointer, "size": len(box.blocks) + 1, "body": compression(content)}
         try:
@@ -385,11 +417,39 @@ def inspect_rows(contents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return contents.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read(spark: SparkSession, targets: str | list[str], limits: Limits = Limits(), pattern: str = "*.blend") -> DataFrame:
-    """Findings of all files under the targets, each path once; any store that Spark reads will do."""
-    many = [targets] if isinstance(targets, str) else targets
-    loaded = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(many)
-    return inspect_rows(loaded.dropDuplicates(["path"]) if len(many) > 1 else loaded, limits)
+def expanded(spark: SparkSession, targets: list[str], suffix: str = ".blend") -> tuple[list[str], list[str]]:
+    """(folders, files) that targets name; only the targets themselves are looked up, in any store.
+
+    A file named outright counts whatever its suffix; what a pattern meets counts by its suffix,
+    unless the pattern is the only target. What lies in a folder that is taken anyway is left out.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folders, files = [], []
+    for target in targets:
+        at = jvm.org.apache.hadoop.fs.Path(target)
+        named = any(c in target for c in "*?[{")
+        for status in at.getFileSystem(conf).globStatus(at) or []:
+            path = status.getPath().toString()
+            if status.isDirectory():
+                folders.append(path.rstrip("/"))
+            elif not named or path.endswith(suffix) or len(targets) == 1:
+                files.append(path)
+    within = lambda p, own: any(p.startswith(f + "/") for f in folders if f != own)
+    kept = [f for f in dict.fromkeys(folders) if not within(f, f)]
+    return kept, [f for f in dict.fromkeys(files) if not (f.endswith(suffix) and within(f, None))]
+
+
+def read(spark: SparkSession, targets: str | list[str], limits: Limits = Limits(), suffix: str = ".blend") -> DataFrame:
+    """Findings of all files that the targets (files, folders, patterns) name, each once; targets that name nothing give no rows."""
+    folders, files = expanded(spark, [targets] if isinstance(targets, str) else targets, suffix)
+    binary = lambda: spark.read.format("binaryFile")
+    parts = []
+    if folders:
+        parts.append(binary().option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(folders))
+    if files:
+        parts.append(binary().load(files))
+    contents = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, content binary")
+    return inspect_rows(contents, limits)
 
 
 def texts(rows: DataFrame) -> DataFrame:

@@ -71,6 +71,11 @@ class Writer:
     def library(self, path: str) -> None:
         self._add(b"LI", "Library", self._id(b"LI", path) + path.encode().ljust(1024, b"\0"))
 
+    def linked(self, code: str, name: str, path: str) -> None:
+        """A file of another kind: an image, a sound, a font."""
+        raw = code.encode()
+        self._add(raw, "Library", self._id(raw, name) + path.encode().ljust(1024, b"\0"))
+
     def driver(self, expression: str, kind: int = 1, flag: int = 0, owner: str = "", index: int = 0) -> None:
         at = self._add(b"DATA", "ChannelDriver", expression.encode()[:255].ljust(256, b"\0") + struct.pack("<ii", kind, flag))
         if owner:

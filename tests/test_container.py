@@ -106,3 +106,54 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), label=f"w{tmp_path.name}").awaitTermination(120)
         assert container.files(spark.read.parquet(str(tmp_path / "out"))).count() == more
         (tmp_path / "in" / f"b{more}.blend").write_bytes(GOOD)
+
+
+def test_findings_carry_their_evidence(spark, tmp_path):
+    import json as js
+
+    (tmp_path / "a.blend").write_bytes(GOOD)
+    known_body = "import socket\nsocket.socket()"
+    rows = container.read(spark, str(tmp_path / "a.blend"))
+    known = spark.createDataFrame([("0" * 64, "s.py", "o\x1b", job.syntax.structure(known_body)[0], ["q"], True, 0)], job.NO_KNOWN)
+    of = job.inspection(spark, rows, known=known)
+    found = {(r["category"], r["name"]): r for r in job.findings(of).collect()}
+    run = found["text", "run.py"]
+    assert run["severity"] == "alarming" and [(s["key"], s["evidence"]) for s in run["statements"]] == [("x_network", ["socket", "socket.socket"])]
+    assert js.loads(run["details"])["identity"]["evidence"] == "structure"
+    assert [s["key"] for s in found["driver", "location[2]"]["statements"]] == ["x_indirect_call", "x_runtime_import"] or found["driver", "location[2]"]["severity"] == "alarming"
+    assert js.loads(found["library", "////evil/share/y.blend"]["details"])["is_unc"] and found["library", "////evil/share/y.blend"]["statements"] == []
+    files = job.summaries(of)
+    whole = js.loads(job.report_json(files, job.findings(of), container.errors(of.rows)).first()["json"])
+    assert whole["banner"]["tier"] == "red" and len(whole["findings"]) == 7
+    text = job.report_text(files, job.findings(of)).first()["report"]
+    assert "  text: run.py (alarming)" in text and "    x_network: socket; socket.socket" in text and "\x1b" not in text and "known script s.py of o\\x1b by structure, generated" in text
+    assert text.endswith("An inventory, not a verdict.")
+
+
+def test_targets(spark, tmp_path):
+    for name in ("a.blend", "b.dat", "c.blend"):
+        (tmp_path / name).write_bytes(GOOD)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.blend").write_bytes(GOOD)
+    names = lambda *targets: sorted(r["path"].rsplit("/", 1)[1] for r in container.files(container.read(spark, [str(tmp_path / x) for x in targets])).collect())
+    assert names("") == ["a.blend", "c.blend", "d.blend"]
+    assert names("b.dat", "a.blend", "a.blend") == ["a.blend", "b.dat"]
+    assert names("*") == ["a.blend", "b.dat", "c.blend", "d.blend"] and names("*.dat", "sub") == ["d.blend"] and names("b.*") == ["b.dat"]
+    assert names("", "sub", "sub/d.blend") == ["a.blend", "c.blend", "d.blend"] and names("nothing") == []
+
+
+def test_damaged_streams():
+    whole = gzip.compress(GOOD)
+    assert container.inflated(whole + gzip.compress(b"tail") + b"\0" * 8, container.Limits()) == GOOD + b"tail"
+    assert container.inspect(whole[:-9])[0]["name"] == "malformed"
+    with pytest.raises(container.Late):
+        container.inflated(whole, container.Limits(), late=-1.0)
+
+
+def test_entry_point_prints_and_exits(spark, tmp_path, capsys):
+    (tmp_path / "a.blend").write_bytes(GOOD)
+    assert job.run(spark, [str(tmp_path)]) == 1 and "[red]" in capsys.readouterr().out
+    (tmp_path / "z.blend").write_bytes(b"nothing")
+    assert job.run(spark, [str(tmp_path), "--json", "--out", str(tmp_path / "out")]) == 2
+    assert len(spark.read.text(str(tmp_path / "out")).collect()) == 2
+    assert job.run(spark, [str(tmp_path / "none")]) == 3

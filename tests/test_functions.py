@@ -58,3 +58,21 @@ def test_small_functions(spark):
     assert apply(spark, text.max_nesting, ["(([{}]))", ")))(", ""]) == [4, 1, 0]
     assert apply(spark, lambda v: text.flag_names(v.cast("int"), t.TEXT_FLAGS), ["21", "0", "2", "-1"])[:3] == [["TXT_ISDIRTY", "TXT_ISMEM", "TXT_ISSCRIPT"], [], ["bit1"]]
     assert apply(spark, text.is_sha256, [" " + "A" * 64, "g" * 64, "a" * 63]) == [True, False, False]
+
+
+def test_windows_bases_join_with_backslashes(spark):
+    cases = [
+        ("C:\\proj", "tex/../a.png", "C:\\proj\\a.png"), ("C:\\proj", "../../../a", "C:\\a"), ("C:", "../a", "C:\\a"[:2] + "a"), ("\\\\nas\\share\\x", "../../b", "\\\\nas\\share\\b"),
+        ("/srv/x", "../../../b", "/b"), ("a/b", "../../../c", "../c"), ("a", "..", "."), ("C:/p/q", "C:/evil", "C:\\p\\q\\C:\\evil"),
+    ]
+    df = spark.createDataFrame(cases, "base string, path string, want string").withColumn("got", paths.joined(F.col("base"), F.col("path")))
+    assert [(r["base"], r["path"], r["got"]) for r in df.collect()] == cases
+
+
+def test_literals_for_a_report(spark):
+    rows = ["a\tb", "it's", "it's \"so\"", "x" * 130, "\x1b[0m", "back\\slash"]
+    df = spark.createDataFrame([(r,) for r in rows], "v string").select(text.quote_literal(F.col("v")).alias("q"), text.show_literal(F.col("v")).alias("s")).collect()
+    assert [r["q"] for r in df] == ["'a\\\\tb'", '"it\'s"', "'it\\'s \"so\"'", "'" + "x" * 120 + "...'", "'\\x1b[0m'", "'back\\\\slash'"]
+    assert df[4]["s"] == "\\x1b[0m" and df[3]["s"] == "x" * 130
+    joined = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "p array<string>").select(text.listed(F.col("p")).alias("l"))
+    assert [r["l"] for r in joined.collect()] == ["", "a", "a and b", "a, b and c"]
