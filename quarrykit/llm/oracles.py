@@ -2,6 +2,7 @@
 
 Tokenizer files (op4), decoding layers (op5) and the fitted classifier (op9) have none: they are
 tested against the library, brute force and held-out labels.
+op10's SQL gives the recall that the exact links have.
 """
 
 from __future__ import annotations
@@ -102,6 +103,15 @@ c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
 """
 
+_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+{_REACH}
+SELECT vec_id, coalesce(c, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept, CAST(1 AS DOUBLE) AS recall
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) n ON vec_id = n.a LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON vec_id = r.a
+"""
+
 ORACLES: dict[str, str] = {
     "op1_packing": _packing(),
     "op2_decontaminate": _DECONTAMINATE,
@@ -109,4 +119,5 @@ ORACLES: dict[str, str] = {
     "op6_chat": _CHAT,
     "op7_minhash": _MINHASH,
     "op8_substrings": _SUBSTRINGS,
+    "op10_vectors": _VECTORS,
 }

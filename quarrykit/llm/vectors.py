@@ -2,19 +2,22 @@
 
 Vectors of a label are dealt over overlapping cluster shards. Each shard builds a graph by batched
 insertion with robust pruning; the adjacency lists of a vector's shards are united into one index.
-Every vector then searches the index greedily from its shard's medoid and widens the search while
-it meets neighbours in range; each hit is verified by its cosine in double precision. Recall is
-audited against brute force for the vectors whose id is divisible by 50, and the search repeated
-with a wider beam where it falls short.
-
-Equal vectors of a label are one class from the start. Shards of more than TASK_ROWS rows (large
-groups of near copies do not cluster further) are dealt over tasks by pairs of blocks, so that no
-task holds more than two blocks and every pair still meets once. A task returns one row a vector:
-how many it links with and a vector of its local component, never the pairs.
+Every vector is then searched for in its nearest shard, on the united lists: the shard's vectors
+and those that the lists lead to outside it. The search walks greedily from the medoid and widens
+its range over neighbours in or near the threshold; each hit is verified by its cosine in double
+precision. Recall is audited against brute force for every row whose id is divisible by 50. If
+the audit misses a link, shards are made to overlap so far that linked vectors always meet, and
+compared without the graph, which misses none.
+
+Equal vectors of a label are one class from the start. Shards of more than TASK_BYTES (large groups
+of near copies do not cluster further) are dealt over tasks by pairs of blocks, so that no task
+holds more than two blocks and every pair still meets. A task returns one row a vector: how many
+it links with and the least vector of its local component, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
 rows with a null label or id, link with nothing and are their own component; vectors of different
-lengths do not link; repeated rows of an id count as copies of each other and give one row each;
+lengths do not link; repeated rows of an id count as copies of each other and give one row each,
+and an id with several vectors is one node with the links of all;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.common import lookup
 from quarrykit.llm.components import components
 from quarrykit.session import stored
 
@@ -39,12 +43,14 @@ BEAM = 48
 SLACK = 0.06  # the search goes on from neighbours so far below the threshold
 SHARD_ROWS = 1000  # vectors that a cluster is meant to hold
 MAX_CENTROIDS = 8192  # of all labels together; broadcast (4 MB at 64 dimensions)
-FIT_ROWS = 65_536  # rows that centroids are fitted on at most, by hash of their id
+FIT_ROWS, FIT_BYTES = 65_536, 32 << 20  # rows, and bytes of them, that centroids are fitted on at most, by hash of their id
 OVERLAP = 0.05  # a vector also joins clusters whose centroid is so much less similar
-TASK_ROWS = 2048
+TASK_BYTES = 2 << 20  # of vectors that a task takes before its shard is dealt out
+MATRIX = 1 << 22  # numbers of a matrix of cosines that is held at once
 AUDIT_EVERY = 50
-RECALL = 0.99
+RECALL = 1.0  # below it the exact way is taken
 _QUERIES = 2048  # audit queries compared at once
+_NONE = np.iinfo(np.int64).max
 
 
 def _unit(values) -> np.ndarray | None:
@@ -69,11 +75,17 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keep, pa.binary()), pa.array(digest, pa.binary())], names=["vec_id", "label", "unit", "digest"])
 
 
+def _blocks(n: int, width: int) -> Iterator[slice]:
+    """Rows in blocks of at most MATRIX / width."""
+    step = max(1, MATRIX // max(1, width))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means; begins with evenly spaced rows."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = np.concatenate([(x[at] @ c.T).argmax(axis=1) for at in _blocks(len(x), k)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
@@ -83,13 +95,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 def centroids(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Centroids of each (label, length) with more rows than a shard; fitted on a bounded sample."""
-    sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(f"n > {SHARD_ROWS}").orderBy(F.desc("n")).limit(MAX_CENTROIDS // 2).collect()}
+    sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(f"n > {SHARD_ROWS}").orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTROIDS // 2).collect()}
     total = sum(sizes.values())
     if not total:
         return {}
     wanted = {g: max(2, min(-(-n // SHARD_ROWS), MAX_CENTROIDS * n // total)) for g, n in sizes.items()}
     large = classes.join(F.broadcast(classes.sparkSession.createDataFrame([(*g,) for g in sizes], "label int, dim int")), ["label", "dim"])
-    rows = large.select("label", "dim", "unit", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(FIT_ROWS).collect()
+    most = min(FIT_ROWS, max(1, FIT_BYTES // (8 * max(d for _, d in sizes))))
+    rows = large.select("label", "dim", "unit", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(most).collect()
     out = {}
     for g, k in wanted.items():
         x = np.array([np.frombuffer(r["unit"]) for r in rows if (r["label"], r["dim"]) == g])
@@ -98,26 +111,35 @@ def centroids(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
-def _assign(held):
-    """The clusters of each vector: the nearest, and those about as near."""
+def _assign(held, cosine: float, overlap: float | None):
+    """The nearest cluster of each vector, and all that it joins: those about as near, or, without an ``overlap``, all whose own vectors may link with it.
+
+    If y lies nearest to c and x at most d away from it, x is nearer to another centroid than to
+    c by no more than d times the distance between the two.
+    """
+    apart = np.sqrt(2 - 2 * cosine) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, dims = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
             units = batch.column("unit").to_pylist()
             shards: list = [None] * len(units)
+            home: list = [None] * len(units)
             for g in set(zip(labels.tolist(), dims.tolist(), strict=True)):
                 at = np.flatnonzero((labels == g[0]) & (dims == g[1]))
                 c = held.value.get(g)
                 if c is None:
                     for i in at:
-                        shards[i] = [f"{g[0]}-{g[1]}-0"]
+                        home[i], shards[i] = f"{g[0]}-{g[1]}-0", [f"{g[0]}-{g[1]}-0"]
                     continue
-                near = np.array([np.frombuffer(units[i]) for i in at]) @ c.T
-                close = near >= near.max(axis=1, keepdims=True) - OVERLAP
-                for i, row in zip(at, close, strict=True):
-                    shards[i] = sorted(f"{g[0]}-{g[1]}-{k}" for k in np.flatnonzero(row))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("unit"), batch.column("copies"), pa.array(shards, pa.list_(pa.string()))], names=["vec_id", "unit", "copies", "shards"])
+                for part in _blocks(len(at), len(c)):
+                    near = np.array([np.frombuffer(units[i]) for i in at[part]]) @ c.T
+                    best = near.argmax(axis=1)
+                    behind = near.max(axis=1, keepdims=True) - near
+                    close = behind <= (overlap if overlap is not None else apart * np.sqrt(np.maximum(0, 2 - 2 * (c[best] @ c.T))) + 1e-9)
+                    for i, k, row in zip(at[part], best, close, strict=True):
+                        home[i], shards[i] = f"{g[0]}-{g[1]}-{k}", [f"{g[0]}-{g[1]}-{j}" for j in np.flatnonzero(row)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("unit"), batch.column("copies"), pa.array(home, pa.string()), pa.array(shards, pa.list_(pa.string()))], names=["vec_id", "unit", "copies", "home", "shards"])
 
     return run
 
@@ -207,36 +229,50 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
     return graph, medoid
 
 
-def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, cosine: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, rows in range of it): greedy from the medoid, then outward while neighbours are in or near the range.
+def _spread(labels: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The least label of each connected group of nodes."""
+    while len(src):
+        before = labels.copy()
+        np.minimum.at(labels, src, labels[dst])
+        np.minimum.at(labels, dst, labels[src])
+        labels = np.minimum(labels, labels[labels]) if labels.max() < len(labels) else labels
+        if (labels == before).all():
+            break
+    return labels
+
+
+def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, cosine: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of ``queries``, rows of ``x``) between which all that is in range is to be looked for.
 
-    Pruning leaves the members of a dense group with an edge to its centre, whose own list is
-    too short for all of them, so the outward part follows edges both ways.
+    Every query walks greedily from the medoid. From what it meets in or near its range the range
+    widens along the graph's edges, in both directions, over neighbours as near to each other;
+    what hangs together so is one region, whose queries and vectors are compared.
     """
     width = max(1, *map(len, graph))
     square = np.full((len(x), width), -1)
     for i, near in enumerate(graph):
         square[i, : len(near)] = near
-    src, dst = np.repeat(np.arange(len(x)), [len(g) for g in graph]), np.concatenate(graph)
-    ends = np.concatenate([src, dst])[np.argsort(np.concatenate([dst, src]), kind="stable")]
-    both = np.split(ends, np.cumsum(np.bincount(np.concatenate([dst, src]), minlength=len(x)))[:-1])
-    for begin in range(0, len(x), 256):
-        rows = np.arange(begin, min(begin + 256, len(x)))
-        for i, found in zip(rows, beam_search(x, square, x[rows], start, min(beam, len(x))), strict=True):
-            seen = np.zeros(len(x), bool)
-            new = np.unique(np.append(found[found >= 0], i))
-            hits = []
-            while len(new):
-                seen[new] = True
-                sims = x[new] @ x[i]
-                hits.append(new[sims >= cosine])
-                on = new[sims >= cosine - SLACK]
-                fresh = np.zeros(len(x), bool)
-                if len(on):
-                    fresh[np.concatenate([both[k] for k in on])] = True
-                new = np.flatnonzero(fresh & ~seen)
-            every = np.concatenate(hits)
-            yield int(i), every[every != i]
+    src, dst = np.repeat(np.arange(len(x)), [len(g) for g in graph]), np.concatenate(graph).astype(int)
+    sims = np.concatenate([np.einsum("ij,ij->i", x[src[at]], x[dst[at]]) for at in _blocks(len(src), x.shape[1])] or [np.zeros(0)])
+    region = _spread(np.arange(len(x)), src[sims >= cosine - SLACK], dst[sims >= cosine - SLACK])
+    start = int((x @ x.mean(axis=0)).argmax())
+    met_q, met_r = [], []
+    for begin in range(0, len(queries), 256):
+        rows = queries[begin : begin + 256]
+        found = beam_search(x, square, x[rows], start, min(beam, len(x)))
+        near = np.einsum("qbd,qd->qb", x[np.maximum(found, 0)], x[rows])
+        q, b = np.nonzero((found >= 0) & (near >= cosine - SLACK))
+        pairs = np.unique(np.stack([rows[q], region[found[q, b]]]), axis=1)
+        met_q.append(pairs[0])
+        met_r.append(pairs[1])
+    q, r = np.concatenate(met_q), np.concatenate(met_r)
+    order, by = np.argsort(r, kind="stable"), np.argsort(region, kind="stable")
+    q, r, sorted_region = q[order], r[order], region[by]
+    names, first = np.unique(r, return_index=True)
+    low, high = np.searchsorted(sorted_region, names), np.searchsorted(sorted_region, names, "right")
+    for mine, lo, hi in zip(np.split(q, first[1:]), low, high, strict=True):
+        if hi - lo > 1 or len(mine) > 1 or (len(mine) and mine[0] != by[lo]):
+            yield mine, by[lo:hi]
 
 
 def _vectors(frame: pd.DataFrame) -> np.ndarray:
@@ -250,68 +286,125 @@ def _index(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "near": [ids[g[g >= 0]] for g in graph]})
 
 
-def _find(cosine: float, beam: int):
+def _find(cosine: float, beam: int | None):
+    """Links of the vectors that ask in a task, by search, or without a ``beam`` by comparing all that is there."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x, ids, copies = _vectors(frame), frame["vec_id"].to_numpy(), frame["copies"].to_numpy()
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        graph = [np.array([place[v] for v in near if v in place], int) for near in frame["near"]]
-        shards, block, task = [set(s) for s in frame["shards"]], frame["block"].to_numpy(), frame.iloc[0]
-        shard, two = task["shard"], task["i"] != task["j"]
-        links, low = np.zeros(len(x), np.int64), ids.copy()
-        start = int((x @ x.mean(axis=0)).argmax())
-        single = all(len(s) == 1 for s in shards)
-        for i, hits in range_search(x, graph, start, cosine, beam):
-            if two:
-                hits = hits[block[hits] != block[i]]
-            if len(hits) and not single:  # a pair that shares several shards counts in the first
-                hits = hits[[min(shards[i] & shards[h]) == shard for h in hits.tolist()]]
-            if len(hits):
-                links[i] = copies[hits].sum()
-                low[i] = min(low[i], ids[hits].min())
-        return pd.DataFrame({"vec_id": ids, "links": links, "low": low})
+        block, asks, task = frame["block"].to_numpy(), np.flatnonzero(frame["ask"].to_numpy()), frame.iloc[0]
+        two = task["i"] != task["j"]
+        links = np.zeros(len(x), np.int64)
+        named, lows = [ids], [ids]  # who hangs together with whom, region by region
+        if beam is None:
+            regions: Iterator = iter([(asks, np.arange(len(x)))])
+        elif len(asks):
+            place = {v: i for i, v in enumerate(ids.tolist())}
+            regions = range_search(x, [np.array([place[v] for v in near if v in place], int) for near in frame["near"]], asks, cosine, beam)
+        else:
+            regions = iter(())
+        for q, m in regions:
+            nodes = np.union1d(q, m)
+            low, at_q, at_m = ids[nodes].copy(), np.searchsorted(nodes, q), np.searchsorted(nodes, m)
+            blocks, held, counted, changed = list(_blocks(len(q), len(m))), None, False, True
+            while changed:
+                changed = False
+                for at in blocks:
+                    if held is None or len(blocks) > 1:
+                        held = (x[q[at]] @ x[m].T >= cosine) & (ids[q[at]][:, None] != ids[m])
+                        if two:
+                            held &= block[q[at]][:, None] != block[m]
+                    if not counted:
+                        links[q[at]] += held.astype(np.int64) @ copies[m]
+                    # The least id met, from either side, until nothing changes.
+                    mine = np.minimum(low[at_q[at]], np.where(held, low[at_m], _NONE).min(axis=1, initial=_NONE))
+                    changed |= bool((mine != low[at_q[at]]).any())
+                    low[at_q[at]] = mine
+                    theirs = np.minimum(low[at_m], np.where(held, low[at_q[at]][:, None], _NONE).min(axis=0, initial=_NONE))
+                    changed |= bool((theirs != low[at_m]).any())
+                    low[at_m] = theirs
+                counted = True
+            moved = low != ids[nodes]
+            named.append(ids[nodes][moved])
+            lows.append(low[moved])
+        vec, low = np.concatenate(named), np.concatenate(lows)
+        count = np.concatenate([links, np.zeros(len(vec) - len(ids), np.int64)])
+        told = (count > 0) | (vec != low)
+        return pd.DataFrame({"vec_id": vec[told], "links": count[told], "low": low[told]})
 
     return run
 
 
 def _brute(held, cosine: float):
-    """Links of the audit's queries with a batch of vectors."""
+    """Links of the audit's queries with a batch of vectors, label by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_labels, q = held.value
+        q_ids, q_groups, q = held.value
         for batch in batches:
-            units = [np.frombuffer(u) for u in batch.column("unit").to_pylist()]
-            labels, ids, copies = batch.column("label").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("copies").to_numpy()
+            groups = np.array([f"{lab}-{dim}" for lab, dim in zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)])
+            ids, copies, units = batch.column("vec_id").to_numpy(), batch.column("copies").to_numpy(), batch.column("unit").to_pylist()
             counts = np.zeros(len(q_ids), np.int64)
-            for dim in {len(u) for u in units}:
-                at = np.array([k for k, u in enumerate(units) if len(u) == dim])
-                qs = np.array([k for k, u in enumerate(q) if len(u) == dim])
-                if len(qs):
-                    x = np.array([units[k] for k in at])
-                    near = np.array([q[k] for k in qs]) @ x.T >= cosine
-                    near &= (q_labels[qs][:, None] == labels[at]) & (q_ids[qs][:, None] != ids[at])
-                    counts[qs] += near.astype(np.int64) @ copies[at]
+            for g in set(q_groups.tolist()) & set(groups.tolist()):
+                rows, asks = np.flatnonzero(groups == g), np.flatnonzero(q_groups == g)
+                x = np.array([np.frombuffer(units[i]) for i in rows])
+                for at in _blocks(len(asks), len(x)):
+                    near = np.array([np.frombuffer(q[k]) for k in asks[at]]) @ x.T >= cosine
+                    near &= q_ids[asks[at]][:, None] != ids[rows]
+                    counts[asks[at]] += near.astype(np.int64) @ copies[rows]
             some = counts > 0
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.array(counts[some])], names=["vec_id", "truth"])
 
     return run
 
 
-def audit(classes: DataFrame, found: DataFrame, cosine: float) -> float:
-    """Share of the true links of the audited vectors that were found; queries are compared in blocks with all rows."""
-    queries = classes.where(F.pmod("vec_id", F.lit(AUDIT_EVERY)) == 0).select("vec_id", "label", "unit")
+def audit(rows: DataFrame, classes: DataFrame, found: DataFrame, cosine: float) -> float:
+    """Share of the true links of the rows whose id is divisible by AUDIT_EVERY that were found; they are compared in blocks with all rows."""
+    asked = rows.where(F.pmod("vec_id", F.lit(AUDIT_EVERY)) == 0).groupBy("digest").agg(F.count("*").alias("times"))
+    queries = stored(classes.join(asked, "digest").select("vec_id", "label", "dim", "unit", "times"), "audit")
     n_blocks = max(1, -(-queries.count() // _QUERIES))
     true = got = 0
     for k in range(n_blocks):
-        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == k).collect()
-        held = classes.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in block], np.int64), np.array([r["label"] for r in block]), [np.frombuffer(r["unit"]) for r in block]))
-        truth = classes.select("vec_id", "label", "unit", "copies").mapInArrow(_brute(held, cosine), "vec_id bigint, truth bigint").groupBy("vec_id").agg(F.sum("truth").alias("truth"))
-        row = truth.join(found, "vec_id", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("g")).first()
+        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == k)
+        block = part.select("vec_id", "label", "dim", "unit").collect()
+        held = classes.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in block], np.int64), np.array([f"{r['label']}-{r['dim']}" for r in block]), [bytes(r["unit"]) for r in block]))
+        truth = classes.select("vec_id", "label", "dim", "unit", "copies").mapInArrow(_brute(held, cosine), "vec_id bigint, truth bigint").groupBy("vec_id").agg(F.sum("truth").alias("truth"))
+        both = truth.join(part.select("vec_id", "times"), "vec_id").join(found, "vec_id", "left")
+        row = both.agg(F.sum(F.col("truth") * F.col("times")).alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))) * F.col("times")).alias("g")).first()
         true, got = true + (row["t"] or 0), got + (row["g"] or 0)
     return got / true if true else 1.0
 
 
-def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, recall) for each row; recall is the audit's."""
+def _tasks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of shards with their task (shard, i, j): a row of block b of a large shard goes to every pair of blocks with b in it."""
+    dealt = lookup(rows, sizes.where("blocks > 1"), ["shard"], F.col("vec_id")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("blocks", "o")
+
+
+def links(classes: DataFrame, cosine: float, overlap: float | None, beam: int | None, held) -> DataFrame:
+    """(vec_id, links, low) of every vector that links with another class; without overlap and beam exactly, by comparison."""
+    key = ["shard", "i", "j"]
+    assigned = classes.select("vec_id", "label", "dim", "unit", "copies").mapInArrow(_assign(held, cosine, overlap), "vec_id bigint, unit binary, copies bigint, home string, shards array<string>")
+    placed = stored(assigned, "placed")
+    members = placed.select("vec_id", "unit", "copies", F.explode("shards").alias("shard"), "home").withColumn("ask", F.col("home") == F.col("shard")).drop("home")
+    half = F.greatest(F.lit(128), F.lit(TASK_BYTES // 2) / F.max(F.length("unit")))
+    sizes = stored(members.groupBy("shard").agg(F.when(F.count("*") > 2 * half, F.ceil(F.count("*") / half)).otherwise(1).cast("int").alias("blocks")), "shard-sizes")
+    rows = members
+    if beam is None:
+        ready = _tasks(rows, sizes).withColumn("near", F.expr("cast(array() as array<bigint>)"))
+    else:
+        lists = _tasks(members.select("shard", "vec_id", "unit"), sizes).groupBy(*key).applyInPandas(_index, "vec_id bigint, near array<bigint>")
+        index = stored(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-index")
+        # What the united lists lead to outside a shard takes part in its search, but does not ask there.
+        led = placed.where("size(shards) > 1").select("vec_id", "shards").join(index, "vec_id").select(F.explode("shards").alias("shard"), "near").select("shard", F.explode("near").alias("vec_id")).distinct()
+        outside = led.join(members.select("shard", "vec_id"), ["shard", "vec_id"], "left_anti").join(placed.select("vec_id", "unit", "copies"), "vec_id").withColumn("ask", F.lit(False))
+        ready = _tasks(members.unionByName(outside).join(index, "vec_id"), sizes)
+    ready = stored(ready, "searchable")
+    found = ready.groupBy(*key).applyInPandas(_find(cosine, beam), "vec_id bigint, links bigint, low bigint")
+    return stored(found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.collect_set("low").alias("low")), "vector-links")
+
+
+def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, beam: int | None = BEAM, overlap: float | None = OVERLAP) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) for each row; recall is the audit's. Without ``beam`` and ``overlap`` the exact way is taken at once."""
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("int").alias("label"))
     rows = stored(rows.mapInArrow(_prepare, "vec_id bigint, label int, unit binary, digest binary"), "units")
@@ -319,27 +412,11 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     classes = some.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
     classes = stored(classes.withColumn("dim", (F.length("unit") / 8).cast("int")), "vector-classes")
     held = spark.sparkContext.broadcast(centroids(classes))
-    placed = stored(classes.select("vec_id", "label", "dim", "unit", "copies").mapInArrow(_assign(held), "vec_id bigint, unit binary, copies bigint, shards array<string>"), "placed")
-    dealt = placed.withColumn("shard", F.explode("shards"))
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / (TASK_ROWS // 2)).cast("int")
-    large = stored(sizes.where(f"n > {TASK_ROWS}").select("shard", blocks.alias("blocks")), "large-shards")
-    # Of a large shard, a row of block b goes to every pair of blocks with b in it.
-    dealt = dealt.join(F.broadcast(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = stored(dealt.select("shard", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "vec_id", "unit", "copies", "shards"), "tasks")
-    key = ["shard", "i", "j"]
-    lists = tasks.select(*key, "vec_id", "unit").groupBy(*key).applyInPandas(_index, "vec_id bigint, near array<bigint>")
-    index = stored(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-index")
-    ready = stored(tasks.join(index, "vec_id"), "searchable")
-    beam = BEAM
-    while True:
-        found = ready.groupBy(*key).applyInPandas(_find(cosine, beam), "vec_id bigint, links bigint, low bigint")
-        found = stored(found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.collect_set("low").alias("low")), "vector-links")
-        recall = audit(classes, found, cosine)
-        if recall >= RECALL or beam >= 8 * BEAM:
+    for width, walk in ((overlap, beam), (None, None)):
+        found = links(classes, cosine, width, walk, held)
+        recall = audit(some, classes, found, cosine)
+        if recall >= RECALL:
             break
-        beam *= 2
     labels = components(found.select(F.col("vec_id").alias("a"), F.explode("low").alias("b")).where("a <> b"))
     named = classes.select("digest", "vec_id", "copies").join(found.select("vec_id", "links"), "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     named = stored(named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "vec_id").alias("component")), "named-vectors")

@@ -17,6 +17,6 @@ def values(rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     assert values(QUERIES[name](spark, SF).toPandas().to_dict("records")) == values(con.sql(ORACLES[name]).df().to_dict("records"))

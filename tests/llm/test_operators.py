@@ -443,6 +443,21 @@ def test_quality_odd_cases(spark):
     assert quality.judge(empty(spark), labels).count() == 0
 
 
+def linked(made, cosine=0.98):
+    """(id, links, component) by brute force over (id, vector, label)."""
+    units = [(i, lab, vectors._unit(v)) for i, v, lab in made]
+    near = [[j for j, (_, other, w) in enumerate(units) if j != k and u is not None and w is not None and lab == other and lab is not None and len(u) == len(w) and u @ w >= cosine] for k, (_, lab, u) in enumerate(units)]
+    label = [i for i, _, _ in units]
+    changed = True
+    while changed:
+        changed = False
+        for k, of in enumerate(near):
+            low = min([label[k], *(label[j] for j in of)])
+            changed |= low < label[k]
+            label[k] = low
+    return sorted(zip([i for i, _, _ in units], map(len, near), label, strict=True))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     made = []
@@ -452,19 +467,42 @@ def test_vectors(spark):
     for i in range(1300, 1500):  # a dense group of copies that are not equal
         made.append((i, (centre + rng.normal(size=16) * 0.08).tolist(), 0))
     made += [(1500, made[3][1], 1), (1501, [2 * x for x in made[3][1]], 1), (1502, None, 1), (1503, [0.0] * 16, 1), (1504, [float("nan")] * 16, 1), (1505, made[3][1], None), (1506, [1.0], 1), (1507, [], 1), (1508, [None] * 16, 1), (1509, made[3][1], 0), (1500, made[3][1], 1)]
+    turn = lambda k: [float(np.cos(0.15 * k)), float(np.sin(0.15 * k)), *[0.0] * 14]
+    made += [(1600 + (k * 7) % 20, turn(k), 3) for k in range(20)]  # a chain: each links with its neighbours only
     df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>, label int").withColumn("kept", F.lit("x"))
-    out = vectors.near_vectors(df).collect()
-    units = [(i, lab, vectors._unit(v)) for i, v, lab in made]
-    want = []
-    for k, (i, lab, u) in enumerate(units):
-        near = [j for q, (j, other, w) in enumerate(units) if q != k and u is not None and w is not None and lab == other and lab is not None and len(u) == len(w) and u @ w >= 0.98]
-        want.append((i, len(near)))
-    assert sorted((r["vec_id"], r["n_links"]) for r in out) == sorted(want)
-    dense = {r["component_id"] for r in out if 1300 <= r["vec_id"] < 1500 and r["n_links"]}
-    assert len(dense) >= 1 and min(r["recall"] for r in out) >= 0.99
+    out = vectors.near_vectors(df)
+    assert rows(out, "vec_id", "n_links", "component_id") == sorted(linked(made), key=repr)
+    assert {r["recall"] for r in out.collect()} == {1.0} and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out.collect())
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("overlap, beam, task", [(0.05, 48, 2 << 20), (0.05, 48, 1 << 17), (0.0, 2, 2 << 20), (None, None, 1 << 17)])
+def test_vectors_of_one_large_label(spark, monkeypatch, overlap, beam, task):
+    """Several clusters, groups on their borders, large shards in blocks; without overlap and beam the exact way."""
+    monkeypatch.setattr(vectors, "TASK_BYTES", task)
+    rng = np.random.default_rng(9)
+    made, i = [], 0
+    while i < 4000:
+        centre = rng.normal(size=12)
+        for _ in range(int(rng.choice([1, 1, 1, 3, 9, 200], p=[0.5, 0.2, 0.1, 0.1, 0.09, 0.01]))):
+            made.append((i, (centre + rng.normal(size=12) * rng.choice([0.01, 0.06, 0.1])).tolist(), 5))
+            i += 1
+    x = np.array([vectors._unit(v) for _, v, _ in made])
+    near = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    out = vectors.near_vectors(spark.createDataFrame(made, "vec_id bigint, embedding array<double>, label int").repartition(4), overlap=overlap, beam=beam).collect()
+    links = {r["vec_id"]: r["n_links"] for r in out}
+    recall = sum(min(links[k], n) for k, n in enumerate(near.sum(axis=1).tolist())) / near.sum()
+    assert recall >= 0.99 and all(links[k] <= n for k, n in enumerate(near.sum(axis=1).tolist())) and len(out) == len(made)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label, len(x)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    same = sum(r["component_id"] == label[r["vec_id"]] for r in out) / len(out)
+    assert same >= 0.99 and (beam or (recall == 1.0 and same == 1.0)) and {r["recall"] for r in out} == {1.0}
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
 
