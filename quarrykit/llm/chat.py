@@ -6,9 +6,9 @@ turn's span. A template whose output for a prefix is not itself a prefix of the
 rewrites history, and the turn where it did so is reported.
 
 Defined results: null texts and roles count as empty; turns are ordered by turn (null first),
-then role and text, so ties and repeated rows have one order and stay separate turns; a null
-conv_id is a conversation like any other; an empty table gives no rows; other columns are not
-read. One conversation is one output value, so it has to fit a task's memory.
+then role and text, so ties and repeated rows have one order and stay separate turns; a row
+without a conv_id is a conversation of one turn; an empty table gives no rows; other columns are
+not read. One conversation is one output value, so it has to fit a task's memory.
 """
 
 from __future__ import annotations
@@ -32,9 +32,6 @@ _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(re.escape(START) + r"(.*?)" + re.escape(MIDDLE) + r"(.*?)" + re.escape(END), re.DOTALL)
 
-#: Turns for which whole prefixes are rendered; longer conversations see CONTEXT turns before each.
-WHOLE, CONTEXT = 512, 32
-
 
 def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
@@ -57,33 +54,25 @@ def template(turns: list[Turn]) -> str:
     return "".join(f"{START}{_escape_role(r)}{MIDDLE}{escape(t)}{END}" for r, t in turns)
 
 
+def _remembering() -> Callable[[list[Turn]], str]:
+    """The library's template for the prefixes of one conversation, each turn rendered once."""
+    held: dict[Turn, str] = {}
+
+    def render(turns: list[Turn]) -> str:
+        for t in turns[-1:]:
+            held.setdefault(t, template([t]))
+        return "".join([held[t] for t in turns])
+
+    return render
+
+
 def turn_spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int]], list[int]]:
     """The output, each turn's span in it, and the turns at which earlier output changed.
 
-    Up to WHOLE turns every prefix is rendered. Beyond that each turn is rendered behind its
-    CONTEXT predecessors and the whole at every doubling, so that the work stays in proportion
-    to the conversation; where a whole differs from what the parts add up to, every prefix is
-    rendered after all.
+    Every prefix is rendered and compared with the one before, so the work grows with the square
+    of a conversation's turns: nothing less tells whether a template that is only called rewrites
+    history somewhere.
     """
-    if len(turns) > WHOLE:
-        built, spans = render(turns[:WHOLE]), None
-        head = turn_spans(turns[:WHOLE], render)
-        spans, check = list(head[1]), 2 * WHOLE
-        good = not head[2]
-        for k in range(WHOLE, len(turns)) if good else ():
-            before, after = render(turns[k - CONTEXT : k]), render(turns[k - CONTEXT : k + 1])
-            if not after.startswith(before):
-                good = False
-                break
-            built += after[len(before) :]
-            spans.append((len(built) - len(after) + len(before), len(built)))
-            if k + 1 in (check, len(turns)):
-                check *= 2
-                if render(turns[: k + 1]) != built:
-                    good = False
-                    break
-        if good:
-            return built, spans, []
     out, spans, rewrites = render([]), [], []
     for k in range(len(turns)):
         after = render(turns[: k + 1])
@@ -97,6 +86,15 @@ def turn_spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[
     return out, spans, rewrites
 
 
+def said_spans(text: str, turns: list[Turn], spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Role and span of what each turn says, for any template: where its text stands last in its span, else the whole span."""
+    out = []
+    for (role, said), (start, end) in zip(turns, spans, strict=True):
+        at = text.rfind(said, start, end) if said else -1
+        out.append((role, at, at + len(said)) if at >= 0 else (role, start, end))
+    return out
+
+
 def content_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Role and span of the content inside each turn's span, for the library's own template."""
     out = []
@@ -115,12 +113,12 @@ SCHEMA = "conv_id bigint, n_turns bigint, text string, turn_starts array<bigint>
 
 
 def _groups(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, list[Turn]]]:
-    """Conversations of a partition sorted by conv_id, one at a time."""
+    """Conversations of a partition sorted by conv_id, one at a time; a row without conv_id is one by itself."""
     key, turns, begun = None, [], False
     for frame in frames:
         for c, null, role, text in zip(frame["c"], frame["n"], frame["role"], frame["text"], strict=True):
             at = None if null else int(c)
-            if begun and at != key:
+            if begun and (at is None or at != key):
                 yield key, turns
                 turns = []
             key, begun = at, True
@@ -129,12 +127,13 @@ def _groups(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, list[T
         yield key, turns
 
 
-def _format(frames: Iterable[pd.DataFrame], loss_role: str) -> Iterator[pd.DataFrame]:
+def _format(frames: Iterable[pd.DataFrame], loss_role: str, render: Callable[[list[Turn]], str] | None) -> Iterator[pd.DataFrame]:
     names = ["conv_id", "n_turns", "text", "turn_starts", "turn_ends", "loss_starts", "loss_ends", "rewritten"]
     rows, size = [], 0
     for key, turns in _groups(frames):
-        text, spans, rewrites = turn_spans(turns, template)
-        loss = [(s, e) for role, s, e in content_spans(text, spans) if role == loss_role]
+        text, spans, rewrites = turn_spans(turns, render or _remembering())
+        said = said_spans(text, turns, spans) if render else content_spans(text, spans)
+        loss = [(s, e) for role, s, e in said if role == loss_role]
         rows.append((key, len(turns), text, [s for s, _ in spans], [e for _, e in spans], [s for s, _ in loss], [e for _, e in loss], rewrites))
         size += len(text)
         if size > 8 << 20:
@@ -144,10 +143,12 @@ def _format(frames: Iterable[pd.DataFrame], loss_role: str) -> Iterator[pd.DataF
         yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
 
 
-def format_chats(turns: DataFrame, *, loss_role: str = "assistant") -> DataFrame:
+def format_chats(turns: DataFrame, *, loss_role: str = "assistant", render: Callable[[list[Turn]], str] | None = None) -> DataFrame:
     """One row a conversation: formatted text, span of each turn, loss mask, turns that rewrote history.
 
-    One shuffle on conv_id; a task streams its sorted conversations and holds one at a time.
+    ``render`` is any template, a function from turns to text that tasks can unpickle; without it
+    the library's own is used, which alone escapes control strings. One shuffle on conv_id; a
+    task streams its sorted conversations and holds one at a time.
     """
     rows = turns.select(
         F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)).alias("c"),
@@ -156,8 +157,9 @@ def format_chats(turns: DataFrame, *, loss_role: str = "assistant") -> DataFrame
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    dealt = rows.repartition("c", "n").sortWithinPartitions("c", "n", "turn", "role", "text")
-    return dealt.mapInPandas(partial(_format, loss_role=loss_role), SCHEMA)
+    alone = F.when(F.col("n"), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0))  # rows without a conversation are dealt out
+    dealt = rows.withColumn("d", alone).repartition("c", "n", "d").sortWithinPartitions("c", "n", "turn", "role", "text").drop("d")
+    return dealt.mapInPandas(partial(_format, loss_role=loss_role, render=render), SCHEMA)
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ Every text is searched for three kinds of secrets. Then encoded layers inside it
 escapes, \\u and \\x escapes, base64, gzip/zlib streams inside base64) are decoded, each
 decoded layer is searched and unwrapped again, until no new layer appears. Layers seen before
 in a document are not taken twice, which ends cycles. A finding inside a layer is reported at
-the span of the original text that the layer came from. Base64 is also joined over line breaks
+the span of the original text that it came from, mapped back layer by layer: characters of percent
+and \\u runs, and of base64, have places of their own, what a compressed stream inflates to has that
+of the whole stream. Base64 is also joined over line breaks
 and decoded from each of its four alignments, so whatever stands before it; if a run is not text
-as a whole, each readable part of it is a layer with a span of its own.
+as a whole, each readable part of it is a layer.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of
 the empty string; repeated rows are scanned one by one; other columns are not read. Bytes
@@ -21,13 +23,15 @@ import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.common import parts, texts_of
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -146,16 +150,61 @@ def _unescape(text: str) -> str:
     return _ESCAPED.sub(one, text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, decoded text) of each layer directly inside ``text``."""
+Locate = Callable[[int, int], tuple[int, int]]  # a span of a layer's text -> the span of the text that it came from
+
+
+def _char_starts(raw: bytes) -> list[int]:
+    """The byte at which each character of ``raw`` begins, decoded with replacement, and the end."""
+    reader, starts, begin = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+    for j in range(len(raw)):
+        n = len(reader.decode(raw[j : j + 1]))
+        if n:
+            starts += [begin] * max(1, n - 1) + [j] * (n > 1)
+            begin = j + 1 - len(reader.getstate()[0])
+    starts += [begin] * len(reader.decode(b"", True))
+    return [*starts, len(raw)]
+
+
+def _percent_places(run: str, start: int) -> Locate:
+    def locate(s: int, e: int) -> tuple[int, int]:
+        begins, at = [], 0
+        while at < len(run):
+            begins.append(at)
+            at += 3 if _PERCENT.match(run, at) else 1
+        chars = _char_starts(unquote_to_bytes(run))
+        begins.append(len(run))
+        return start + begins[chars[s]], start + begins[chars[e]]
+
+    return locate
+
+
+def _escape_places(run: str, start: int) -> Locate:
+    def locate(s: int, e: int) -> tuple[int, int]:
+        units, at = [], 0  # (code, begin) of each code unit
+        for m in [*_ESCAPED.finditer(run), None]:
+            upto = m.start() if m else len(run)
+            units += [(ord(c), at + i) for i, c in enumerate(run[at:upto])]
+            if m:
+                code = int(m[1] or m[2] or m[3], 16)
+                units += [(code, m.start())] if code < 0x110000 else [(ord(c), m.start() + i) for i, c in enumerate(m[0])]
+                at = m.end()
+        begins = [b for k, (code, b) in enumerate(units) if not (k and 0xDC00 <= code <= 0xDFFF and 0xD800 <= units[k - 1][0] <= 0xDBFF)]
+        begins.append(len(run))
+        return start + begins[s], start + begins[e]
+
+    return locate
+
+
+def layers(text: str) -> Iterator[tuple[int, int, str, Locate]]:
+    """(start, end, decoded text, where a span of it came from) of each layer directly inside ``text``."""
     if "%" in text:
         for m in _URL_RUN.finditer(text):
             if _PERCENT.search(m[0]) and (out := unquote_to_bytes(m[0]).decode("utf-8", "replace")) != m[0]:
-                yield m.start(), m.end(), out
+                yield m.start(), m.end(), out, _percent_places(m[0], m.start())
     if "\\" in text:
         for m in _VISIBLE_RUN.finditer(text):
             if "\\" in m[0] and (out := _unescape(m[0])) != m[0]:
-                yield m.start(), m.end(), out
+                yield m.start(), m.end(), out, _escape_places(m[0], m.start())
     wrapped = [m.span() for m in _WRAPPED.finditer(text)] if "\n" in text or "\r" in text else []
     for start, end in wrapped:
         yield from _base64(text, start, end)
@@ -167,7 +216,7 @@ def layers(text: str) -> Iterator[tuple[int, int, str]]:
             yield from _base64(text, *m.span())
 
 
-def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, Locate]]:
     """Layers of a base64 run, also of one that is wrapped over lines."""
     lines, first = [], start  # (begin in the text, begin in the joined run)
     joined, size = [], 0
@@ -187,6 +236,16 @@ def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
         at, begin, _ = lines[bisect.bisect_right(begins, i) - 1]
         return at + i - begin
 
+    def places(out: str, shift: int, first: int) -> Locate:
+        """Of a text that begins at byte ``first`` of what the run decodes to from character ``shift`` on."""
+
+        def locate(s: int, e: int) -> tuple[int, int]:
+            low = first + len(out[:s].encode("utf-8", "replace"))
+            high = low + len(out[s:e].encode("utf-8", "replace"))
+            return place(shift + low * 4 // 3), place(max(shift + low * 4 // 3, min(size, shift + -(-high * 4 // 3)) - 1)) + 1
+
+        return locate
+
     whole: list[tuple[int, int]] = []  # runs that are text from end to end, as places of the joined run
     for at, begin, n in [*([(start, 0, size)] if len(lines) > 1 else []), *lines]:
         if n >= 20 and n % 4 != 1 and whole[:1] != [(0, size)]:
@@ -195,7 +254,7 @@ def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
                 close = place(begin + n - 1) + 1
                 while close < end and text[close] == "=":
                     close += 1
-                yield at, close, out
+                yield at, close, out, places(out, begin, 0)
     starts = [m.start() for m in _START.finditer("".join(joined))] + begins
     for shift in range(4):
         raw = _decode(run[shift:])
@@ -205,15 +264,17 @@ def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
             a, b = shift + m.start() * 4 // 3, min(size, shift + -(-m.end() * 4 // 3))
             w, e = whole[max(0, bisect.bisect_right(whole, (a, size)) - 1)] if whole else (size, size)
             if not (w <= a and b <= e and (w - shift) % 4 == 0):
-                yield place(a), end if b == size else place(b - 1) + 1, m[0].decode("utf-8", "replace")
+                out = m[0].decode("utf-8", "replace")
+                yield place(a), end if b == size else place(b - 1) + 1, out, places(out, shift, m.start())
         heads = {(i - shift) // 4 * 3 for i in starts if i >= shift and (i - shift) % 4 == 0}
         heads.update(m.start() for m in re.finditer(rb"\x1f\x8b\x08", raw))
         done = 0
         for head in sorted(heads):
             if head >= done and _member(raw, head):
                 ends: list[int] = []
+                span = place(shift + head * 4 // 3), end  # compressed bytes have no places of their own
                 for out in _inflate(raw, head, ends):
-                    yield place(shift + head * 4 // 3), end, out
+                    yield *span, out, lambda _s, _e, span=span: span
                 done = ends[0] if ends else 0
 
 
@@ -226,18 +287,19 @@ _URL_SAFE = str.maketrans("-_", "+/")
 
 
 def decoded_findings(text: str) -> set[tuple[int, int, int]]:
-    """Findings inside encoded layers, at the original span of the outermost layer."""
+    """Findings inside encoded layers, at the span of the original text that each came from."""
     found: set[tuple[int, int, int]] = set()
     seen: set[bytes] = set()
-    work = [(start, end, inner) for start, end, inner in layers(text)]
+    work = [(start, end, inner, locate) for start, end, inner, locate in layers(text)]
     while work:
-        start, end, inner = work.pop()
+        start, end, inner, locate = work.pop()
         key = hashlib.blake2b(f"{start}:{end}:{inner}".encode("utf-8", "replace"), digest_size=16).digest()
         if key in seen:
             continue
         seen.add(key)
-        found.update((start, end, kind) for _, _, kind in scan(inner))
-        work.extend((start, end, deeper) for _, _, deeper in layers(inner))
+        found.update((*locate(s, e), kind) for s, e, kind in scan(inner))
+        for s, e, deeper, within in layers(inner):
+            work.append((*locate(s, e), deeper, lambda a, b, locate=locate, within=within: locate(*within(a, b))))
     return found
 
 
@@ -262,8 +324,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row a document row with its findings; a narrow map, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [report(t) for t in batch.column(1).to_pylist()]
+        for batch in parts(batches, 1):
+            rows = [report(t and t.decode("utf-8", "replace")) for t in texts_of(batch, 1)]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"])
 
@@ -289,8 +351,8 @@ def redacted_rows(docs: DataFrame, *, text_col: str = "text", length_col: str |
     count_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before = batch.column(at).to_pylist()
+        for batch in parts(batches, at):
+            before = [t if t is None else t.decode("utf-8", "replace") for t in texts_of(batch, at)]
             after = [redact(t, mask) for t in before]
             columns = list(batch.columns)
             columns[at] = pa.array(after, batch.schema.field(at).type)
