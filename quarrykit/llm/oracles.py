@@ -25,16 +25,16 @@ def _packing() -> str:
     last = " UNION ALL ".join(f"SELECT {k} AS k, bounds FROM d{k} WHERE j = (SELECT max(j) FROM b)" for k in range(1, BUCKETS + 1))
     return f"""
 WITH n AS (SELECT doc_id, len({_WORDS}) AS n FROM documents),
-h AS (SELECT CASE WHEN n < 64 THEN n ELSE 64 * (length(bin(n)) - 6) + (n >> CAST(length(bin(n)) - 6 AS BIGINT)) END AS bin, max(n) AS m, count(*) AS c, sum(n) AS s FROM n GROUP BY 1),
+h AS (SELECT n AS m, count(*) AS c, sum(n) AS s FROM n GROUP BY n),
 b AS (SELECT row_number() OVER (ORDER BY m) AS j, m, sum(c) OVER (ORDER BY m) AS c, sum(s) OVER (ORDER BY m) AS s FROM h),
 {", ".join(steps)},
 best AS (SELECT bounds FROM ({last}) ORDER BY k DESC LIMIT 1),
 u AS (SELECT unnest(bounds) AS high, unnest(range(len(bounds))) AS bucket FROM best),
 t AS (SELECT bucket, high, coalesce(lag(high) OVER (ORDER BY bucket), -1) AS low, greatest(1, {TOKEN_BUDGET} // greatest(1, high)) AS batch FROM u),
-g AS (SELECT t.*, greatest(1, CAST(ceil((SELECT count(*) FROM n WHERE n > low AND n <= high) / greatest(batch, {GROUP_ROWS} // batch * batch)) AS BIGINT)) AS groups FROM t),
+g AS (SELECT t.*, greatest(1, CAST(ceil((SELECT count(*) FROM n WHERE n > low AND n <= high) / {GROUP_ROWS}) AS BIGINT)) AS groups FROM t),
 p AS (SELECT doc_id, n, bucket, high, batch, ((((doc_id % 2147483648) + 2147483648) % 2147483648 * 1103515245) >> 8) % groups AS grp FROM n JOIN g ON n > low AND n <= high),
-r AS (SELECT *, row_number() OVER (PARTITION BY bucket, grp ORDER BY doc_id, n) - 1 AS r FROM p)
-SELECT doc_id, n AS n_tokens, bucket, CAST(high AS BIGINT) AS padded_to, CAST(high - n AS BIGINT) AS padding, bucket || '-' || grp || '-' || CAST(r // batch AS BIGINT) AS batch, CAST(r % batch AS BIGINT) AS slot FROM r
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY grp, doc_id, n) - 1 AS r FROM p)
+SELECT doc_id, n AS n_tokens, bucket, CAST(high AS BIGINT) AS padded_to, CAST(high - n AS BIGINT) AS padding, bucket || '-' || CAST(r // batch AS BIGINT) AS batch, CAST(r % batch AS BIGINT) AS slot FROM r
 """
 
 

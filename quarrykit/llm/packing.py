@@ -1,8 +1,8 @@
 """Packing into length buckets that minimise padding.
 
-A histogram of lengths over the whole table goes to the driver (its bins grow with the logarithm
-of the longest text only), dynamic programming picks the bucket bounds with the least padding, and
-batches under a token budget form inside each bucket.
+The histogram of all lengths goes to the driver (a count for each length that occurs, so it grows
+with how long texts get and not with how many there are), dynamic programming picks the bucket
+bounds with the least padding of all, and batches under a token budget form inside each bucket.
 
 Defined results: null and empty texts have length 0 and fall in the first bucket; a text longer
 than the budget is a batch of its own, never cut; repeated rows are placed one by one; ties in
@@ -11,9 +11,8 @@ the programming go to the lower bound; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrykit.llm.common import WORD
@@ -21,48 +20,52 @@ from quarrykit.session import stored
 
 BUCKETS = 8
 TOKEN_BUDGET = 16_384
-#: Rows that share one window when batches form: a bucket is dealt over as many groups as it needs.
-GROUP_ROWS = 256
+#: Rows that are numbered together: a bucket is dealt over as many groups as it needs.
+GROUP_ROWS = 2048
 
 
-def length_bin(n: Column) -> Column:
-    """Lengths below 64 have a bin each; above, every doubling has 32 bins."""
-    e = F.length(F.bin(n)) - 6
-    return F.when(n < 64, n).otherwise(F.lit(64) * e + F.expr("shiftright(n, length(bin(n)) - 6)"))
+def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
+    """(length, rows) of each length that occurs, ascending."""
+    return sorted((r["n"], r["c"]) for r in lengths.groupBy("n").agg(F.count("*").alias("c")).toLocalIterator())
 
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(largest length, rows, sum of lengths) of each bin, ascending. At most 64 + 32 x 57 bins."""
-    bins = lengths.groupBy(length_bin(F.col("n")).alias("b")).agg(F.max("n").alias("m"), F.count("*").alias("c"), F.sum("n").alias("s"))
-    return sorted((r["m"], r["c"], r["s"]) for r in bins.collect())
+def best_bounds(lengths: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
+    """Upper bounds of at most ``buckets`` buckets with the least total padding.
 
-
-def best_bounds(bins: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of at most ``buckets`` buckets with the least total padding."""
-    count, total = [0], [0]
-    for _, c, s in bins:
-        count.append(count[-1] + c)
-        total.append(total[-1] + s)
-    n = len(bins)
+    With C rows and S words up to a length, a bucket from i to j costs m(j) * (C(j) - C(i)) -
+    (S(j) - S(i)). In m(j) that is a line for each i, whose slopes fall as i grows, so the best i
+    for growing j is read off their lower envelope: one pass over the lengths for each bucket.
+    """
+    n = len(lengths)
     if not n:
         return []
-
-    def cost(i: int, j: int) -> int:
-        return bins[j - 1][0] * (count[j] - count[i]) - (total[j] - total[i])
-
-    best = [cost(0, j) if j else 0 for j in range(n + 1)]
+    m, count, total = [0], [0], [0]
+    for length, c in lengths:
+        m.append(length)
+        count.append(count[-1] + c)
+        total.append(total[-1] + length * c)
+    best = [m[j] * count[j] - total[j] for j in range(n + 1)]
     back: list[list[int]] = []
     for k in range(2, min(buckets, n) + 1):
         now, frm = list(best), [0] * (n + 1)
+        lines: list[tuple[int, int, int]] = []  # (rows before, cost with words before, i): value at m is cost - m * rows
+        at = 0
         for j in range(k, n + 1):
-            now[j], frm[j] = min((best[i] + cost(i, j), i) for i in range(k - 1, j))
+            c, d = count[j - 1], best[j - 1] + total[j - 1]
+            # The last line goes if the new one takes over before the last one does.
+            while len(lines) - at > 1 and (d - lines[-2][1]) * (lines[-1][0] - lines[-2][0]) <= (lines[-1][1] - lines[-2][1]) * (c - lines[-2][0]):
+                lines.pop()
+            lines.append((c, d, j - 1))
+            while at + 1 < len(lines) and lines[at + 1][1] - m[j] * lines[at + 1][0] < lines[at][1] - m[j] * lines[at][0]:
+                at += 1
+            now[j], frm[j] = lines[at][1] - m[j] * lines[at][0] + m[j] * count[j] - total[j], lines[at][2]
         best = now
         back.append(frm)
     bounds, j = [], n
     for frm in reversed(back):
-        bounds.append(bins[j - 1][0])
+        bounds.append(m[j])
         j = frm[j]
-    bounds.append(bins[j - 1][0])
+    bounds.append(m[j])
     return bounds[::-1]
 
 
@@ -72,19 +75,19 @@ def pack(
     """One row a document row: its length, bucket, padded length, batch and place in the batch.
 
     Lengths come from ``length_col`` or are word counts of ``text_col``; they are computed once
-    and kept in the shared folder. Rows of a bucket are dealt over groups by a hash of the id,
-    so no bucket meets in one task.
+    and kept in the shared folder. Rows of a bucket are dealt over groups by a hash of the id and
+    numbered there; the rows of the groups before are added, so batches fill across groups, only
+    the last of a bucket is not full, and no bucket meets in one task.
     """
     spark = docs.sparkSession
     n = F.coalesce(F.col(length_col).cast("bigint"), F.lit(0)) if length_col else F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("bigint"), F.lit(0))
     lengths = stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), n.alias("n")), "packing")
-    bins = histogram(lengths)
-    bounds = best_bounds(bins, buckets)
+    counts = histogram(lengths)
+    bounds = best_bounds(counts, buckets)
     rows, low = [], -1
     for k, high in enumerate(bounds):
-        of = sum(c for m, c, _ in bins if low < m <= high)
-        batch = max(1, budget // max(1, high))
-        rows.append((k, low, high, batch, max(1, -(-of // max(batch, group_rows // batch * batch)))))
+        of = sum(c for m, c in counts if low < m <= high)
+        rows.append((k, low, high, max(1, budget // max(1, high)), max(1, -(-of // group_rows))))
         low = high
     table = spark.createDataFrame(rows, "bucket int, low bigint, high bigint, batch_rows bigint, groups bigint")
     index = F.lit(0)
@@ -93,15 +96,16 @@ def pack(
     placed = lengths.withColumn("bucket", index).join(F.broadcast(table), "bucket")
     mixed = F.pmod(F.coalesce("doc_id", "n"), F.lit(1 << 31)) * F.lit(1103515245)
     placed = placed.withColumn("grp", F.pmod(F.shiftright(mixed, 8), F.col("groups")))
-    order = F.row_number().over(Window.partitionBy("bucket", "grp").orderBy("doc_id", "n")) - 1
-    placed = placed.withColumn("r", order)
-    within = (F.col("r") % F.col("batch_rows")).cast("bigint")
+    sizes = stored(placed.groupBy("bucket", "grp").agg(F.count("*").alias("size")), "groups")
+    before = sizes.select("bucket", "grp", F.coalesce(F.sum("size").over(Window.partitionBy("bucket").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = placed.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "grp").orderBy("doc_id", "n")) - 1)
+    placed = numbered.join(before, ["bucket", "grp"]).withColumn("r", F.col("before") + F.col("r"))
     return placed.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         F.col("bucket").cast("bigint").alias("bucket"),
         F.col("high").alias("padded_to"),
         (F.col("high") - F.col("n")).alias("padding"),
-        F.concat_ws("-", F.col("bucket").cast(T.StringType()), F.col("grp").cast(T.StringType()), F.floor(F.col("r") / F.col("batch_rows")).cast(T.StringType())).alias("batch"),
-        within.alias("slot"),
+        F.concat_ws("-", F.col("bucket").cast("string"), F.floor(F.col("r") / F.col("batch_rows")).cast("string")).alias("batch"),
+        (F.col("r") % F.col("batch_rows")).cast("bigint").alias("slot"),
     )

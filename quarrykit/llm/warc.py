@@ -37,7 +37,9 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f]")
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
-_HEAD_BYTES = 1 << 16
+_HEAD_BYTES = 1 << 16  # read first for a record's headers, and doubled until they end
+HOLD = 4 << 20  # inflated bytes of a member that are kept; a longer one is inflated again, record by record
+STEP = 1 << 20  # bytes inflated at once
 
 
 def _sha1(data: bytes) -> str:
@@ -75,6 +77,14 @@ class Damaged(ValueError):
     """A check failed."""
 
 
+class Short(Damaged):
+    """The data ends before the record does; ``need`` bytes of it are wanted."""
+
+    def __init__(self, why: str, need: int):
+        super().__init__(why)
+        self.need = need
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; raises Damaged unless every check holds."""
     version = _VERSION.match(data, at)
@@ -82,10 +92,10 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", version.end() - 2)
     if end < 0:
-        raise Damaged("headers do not end")
+        raise Short("headers do not end", len(data) - at + STEP)
     headers: dict[str, str] = {}
     for line in data[version.end() : end].split(b"\r\n"):
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        name, colon, value = bytes(line).decode("utf-8", "replace").partition(":")
         if not colon:
             raise Damaged("not a header line")
         headers[name.strip().lower()] = value.strip()
@@ -93,8 +103,10 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if not size.isdigit():
         raise Damaged("no length")
     start = end + 4
-    block = data[start : start + int(size)]
-    if len(block) < int(size) or data[start + int(size) : start + int(size) + 4] != b"\r\n\r\n":
+    if len(data) < start + int(size) + 4:
+        raise Short("block is cut short", start + int(size) + 4 - at)
+    block = bytes(data[start : start + int(size)])
+    if data[start + int(size) : start + int(size) + 4] != b"\r\n\r\n":
         raise Damaged("block is cut short")
     want = headers.get("warc-block-digest")
     if want and want.lower().startswith("sha1:") and want != _sha1(block):
@@ -102,74 +114,135 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, start + int(size) + 4
 
 
-def _gunzip(source: files.Source, at: int) -> tuple[bytes, int, str]:
-    """What the member at ``at`` inflates to, where it ends and what broke it off, if anything."""
-    open_, out, offset = zlib.decompressobj(31), [], at
-    while not open_.eof:
-        part = source.read(offset, 1 << 15)
-        if not part:
-            return b"".join(out), offset, "member is cut short"
-        spare = open_.copy()
-        try:
-            out.append(open_.decompress(part))
-        except zlib.error:
-            try:  # what comes before the error
-                for k in range(len(part)):
-                    out.append(spare.decompress(part[k : k + 1]))
-            except zlib.error:
-                pass
-            return b"".join(out), offset + k, "member does not inflate"
-        offset += len(part) - len(open_.unused_data)
-    return b"".join(out), offset, ""
-
+class Member:
+    """What the gzip member at ``at`` inflates to, in a window that moves on; its size, end and what broke it off are known from the start."""
 
-def _where(source: files.Source, at: int, n: int) -> int:
-    """Offset in the file behind which ``n`` bytes of the member at ``at`` are inflated."""
-    open_, offset = zlib.decompressobj(31), at
-    while n > 0 and (part := source.read(offset, 1 << 15)):
-        spare = open_.copy()
-        try:
-            got = len(open_.decompress(part))
-        except zlib.error:
-            got = n
-        if got >= n:
+    def __init__(self, source: files.Source, at: int):
+        self._source, self._at = source, at
+        self.size, self.why, held = 0, "", []
+        offset = at
+        for part, offset, why in self._inflate():
+            self.size, self.why = self.size + len(part), why
+            if self.size <= HOLD:
+                held.append(part)
+            else:
+                held = []
+        self.end = offset
+        self._data, self._base = bytearray(b"".join(held)) if self.size <= HOLD else bytearray(), 0
+        self._parts = None if self.size <= HOLD else self._inflate()
+
+    def _inflate(self) -> Iterator[tuple[bytes, int, str]]:
+        """(inflated bytes, offset behind what they came from, what broke off)."""
+        stream, offset, left = zlib.decompressobj(31), self._at, b""
+        while not stream.eof:
+            if not left:
+                left = self._source.read(offset, 1 << 15)
+                if not left:
+                    yield b"", offset, "member is cut short"
+                    return
+                offset += len(left)
+            spare = stream.copy()
+            try:
+                part = stream.decompress(left, STEP)
+            except zlib.error:
+                out, k = [], 0
+                try:  # what comes before the error
+                    for k in range(len(left)):
+                        out.append(spare.decompress(left[k : k + 1]))
+                except zlib.error:
+                    pass
+                yield b"".join(out), offset - len(left) + k, "member does not inflate"
+                return
+            left = b"" if stream.eof else stream.unconsumed_tail
+            yield part, offset - len(left) - len(stream.unused_data), ""
+
+    def _fill(self, upto: int) -> None:
+        """Hold the bytes up to a place, as far as there are any."""
+        while self._parts is not None and self._base + len(self._data) < min(upto, self.size):
+            part = next(self._parts, None)
+            if part is None:
+                break
+            self._data += part[0]
+
+    def drop(self, before: int) -> None:
+        """Forget what stands before a place."""
+        if self._parts is not None and before > self._base:
+            del self._data[: before - self._base]
+            self._base = before
+
+    def record(self, at: int) -> tuple[dict[str, str], bytes, int]:
+        """Headers, block and end of the record at a place; a length beyond the member fails before anything is held for it."""
+        self._fill(at + _HEAD_BYTES)
+        while True:
+            try:
+                headers, block, end = parse(self._data, at - self._base)
+                return headers, block, end + self._base
+            except Short as e:
+                whole = self._base + len(self._data) >= self.size
+                if whole or (str(e) == "block is cut short" and at + e.need > self.size):
+                    raise Damaged(str(e)) from None
+                self._fill(at + e.need)
+
+    def version(self, at: int) -> int:
+        """The next place from ``at`` on where a version line stands, or the size."""
+        while True:
+            found = _VERSION.search(self._data, at - self._base)
+            if found:
+                return self._base + found.start()
+            held = self._base + len(self._data)
+            if held >= self.size:
+                return self.size
+            at = max(at, held - 16)
+            self.drop(at)
+            self._fill(held + STEP)
+
+    def where(self, n: int) -> int:
+        """Offset in the file behind which ``n`` inflated bytes are there."""
+        stream, offset = zlib.decompressobj(31), self._at
+        while n > 0 and (part := self._source.read(offset, 1 << 10)):
             for k in range(len(part)):
-                n -= len(spare.decompress(part[k : k + 1]))
+                try:
+                    n -= len(stream.decompress(part[k : k + 1]))
+                except zlib.error:
+                    return offset + k
                 if n <= 0:
                     return offset + k + 1
-        n, offset = n - got, offset + len(part)
-    return offset
+            offset += len(part)
+        return offset
 
 
-def _inside(data: bytes, broken: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """Begin, end, headers and block of all records of inflated data; headers are None and the block a reason for gaps."""
+def _inside(member: Member) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """Begin, end, headers and block of all records of a member; headers are None and the block a reason for gaps."""
     at, bad, why = 0, None, ""
-    while at < len(data):
+    while at < member.size:
         try:
-            headers, block, end = parse(data, at)
-            if broken and not headers.get("warc-block-digest", "").lower().startswith("sha1:"):
+            headers, block, end = member.record(at)
+            if member.why and not headers.get("warc-block-digest", "").lower().startswith("sha1:"):
                 raise Damaged("no digest in a broken member")
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            after = _VERSION.search(data, at + 1)
-            at = after.start() if after else len(data)
+            at = member.version(at + 1)
             continue
         if bad is not None:
             yield bad, at, None, why.encode()
             bad = None
         yield at, end, headers, block
         at = end
+        member.drop(at)
     if bad is not None:
-        yield bad, len(data), None, why.encode()
+        yield bad, member.size, None, why.encode()
 
 
 def _plain(source: files.Source, at: int) -> tuple[bytes, int]:
     """The bytes of the uncompressed record at ``at``."""
     head = source.read(at, _HEAD_BYTES)
+    if not _VERSION.match(head):
+        raise Damaged("no record begins here")
+    while (end := head.find(b"\r\n\r\n")) < 0 and at + len(head) < source.size:
+        head = source.read(at, 2 * len(head))
     m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head)
-    end = head.find(b"\r\n\r\n")
-    if not _VERSION.match(head) or not m or not 0 <= m.start() < end:
+    if not m or not 0 <= m.start() < end:
         raise Damaged("no record begins here")
     size = end + 8 + int(m[1])
     if at + size > source.size:
@@ -190,39 +263,46 @@ def salvage(source: files.Source) -> Iterator[tuple[str, int, int, dict[str, str
         return min(ahead.values())
 
     while at < source.size:
-        inner, broken = [], ""
         try:
-            if source.read(at, len(_MAGIC)) == _MAGIC:
-                data, end, broken = _gunzip(source, at)
-                inner = list(_inside(data, bool(broken)))
-                good = [i for i, (_, _, headers, _) in enumerate(inner) if headers is not None]
-                if not good:
-                    if bad is None:
-                        bad, why = at, broken or (inner[0][3].decode() if inner else "empty member")
-                    at = following(at + 1) if broken else end
-                    continue
-                if broken:  # the rest belongs to the gap behind the last record
-                    inner = inner[: good[-1] + 1]
-                    end = _where(source, at, inner[-1][1])
-            else:
+            if source.read(at, len(_MAGIC)) != _MAGIC:
                 data, end = _plain(source, at)
                 headers, block, _ = parse(data)
-                inner = [(0, len(data), headers, block)]
+                if bad is not None:
+                    yield "gap", bad, at - bad, {"reason": why}, b""
+                    bad = None
+                yield "record", at, end - at, headers, block
+                at = end
+                continue
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
             at = following(at + 1)
             continue
-        if bad is not None:
-            yield "gap", bad, at - bad, {"reason": why}, b""
-            bad = None
-        for first, last, headers, block in inner:
+        member = Member(source, at)
+        end, gaps, any_ = member.end, [], False
+        if member.why:  # what comes behind the last good record belongs to the gap that follows
+            last = max((stop for _, stop, headers, _ in _inside(member) if headers is not None), default=0)
+            end, member = member.where(last), Member(source, at)
+        for first, stop, headers, block in _inside(member):
             if headers is None:
-                yield "gap", at, end - at, {"reason": f"{block.decode()} (inflated bytes {first} to {last})"}, b""
-            else:
-                yield "record", at, end - at, headers, block
-        if broken and end < source.size:
-            bad, why = end, broken
+                gaps.append({"reason": f"{block.decode()} (inflated bytes {first} to {stop})"})
+                continue
+            if bad is not None:
+                yield "gap", bad, at - bad, {"reason": why}, b""
+                bad = None
+            yield from (("gap", at, end - at, g, b"") for g in gaps)
+            gaps, any_ = [], True
+            yield "record", at, end - at, headers, block
+        if not any_:
+            if bad is None:
+                bad, why = at, member.why or (gaps[0]["reason"].partition(" (")[0] if gaps else "empty member")
+            at = following(at + 1) if member.why else end
+            continue
+        if not member.why:
+            yield from (("gap", at, end - at, g, b"") for g in gaps)
+            at = end
+        elif end < source.size:
+            bad, why = end, member.why
             at = following(end)
         else:
             at = end

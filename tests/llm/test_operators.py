@@ -310,7 +310,7 @@ def test_substrings_again_where_hashes_meet(spark, monkeypatch):
 
 def test_packing(spark):
     docs = both(spark, "bucket")
-    out = packing.pack(docs, budget=4096).collect()
+    out = packing.pack(docs, budget=4096, group_rows=16).collect()
     assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in out) == sorted((i or -1, len((t or "").split())) for i, t in held(docs))
     batches = collections.defaultdict(list)
     for r in out:
@@ -320,17 +320,19 @@ def test_packing(spark):
         assert len(b) == 1 or len(b) * b[0]["padded_to"] <= 4096
         assert len({r["padded_to"] for r in b}) == 1 and sorted(r["slot"] for r in b) == list(range(len(b)))
     assert packing.pack(empty(spark)).count() == 0
-    rng = np.random.default_rng(3)
-    for _ in range(20):  # the programme's padding is the least of all choices of bounds
-        import itertools
+    import itertools
 
-        n = int(rng.integers(1, 9))
-        lengths = sorted(rng.choice(100, n, replace=False).tolist())
-        bins = [(m, c, m * c) for m, c in zip(lengths, rng.integers(1, 50, n).tolist(), strict=True)]
-        k = int(rng.integers(1, 5))
-        pad = lambda bounds: sum(min(b for b in bounds if b >= m) * c - m * c for m, c, _ in bins)
-        best = min(pad((*some, lengths[-1])) for j in range(min(k, n)) for some in itertools.combinations(lengths[:-1], j))
-        assert pad(packing.best_bounds(bins, k)) == best
+    assert len(batches) <= sum(-(-c // max(1, 4096 // max(1, high))) for high, c in collections.Counter(r["padded_to"] for r in out).items())  # only a bucket's last batch is not full
+    rng = np.random.default_rng(3)
+    for _ in range(60):  # the programme's padding is the least of all choices of bounds, and of equal ones the lowest
+        n = int(rng.integers(1, 10))
+        lengths = [(m, c) for m, c in zip(sorted(rng.choice(40, n, replace=False).tolist()), rng.integers(1, 6, n).tolist(), strict=True)]
+        k = int(rng.integers(1, 6))
+        pad = lambda bounds: sum((min(b for b in bounds if b >= m) - m) * c for m, c in lengths)
+        every = [(*some, lengths[-1][0]) for some in itertools.combinations([m for m, _ in lengths[:-1]], min(k, n) - 1)]
+        got = tuple(packing.best_bounds(lengths, k))
+        assert pad(got) == min(map(pad, every)) and got in every
+    assert packing.best_bounds([(m, 1) for m in range(200_000)], 8)[-1] == 199_999
 
 
 def test_token_files(spark):
@@ -435,6 +437,25 @@ def test_salvage_inside_members(tmp_path):
     assert read(wrong) == ([], [(0, len(wrong), "member does not inflate")])
 
 
+@pytest.mark.parametrize("pack", [lambda r: r, warc._member])
+def test_salvage_of_long_records(tmp_path, monkeypatch, pack):
+    """Headers and members of any length, one record at a time; a length beyond the member is found out without holding it."""
+    long = warc.record(1, "http://x", b"z" * 100, None, "d").replace(b"WARC-Date: d", b"WARC-Date: d\r\nX-Long: " + b"h" * 200_000)
+    plain = [warc.record(0, "http://x", b"a" * 70_000, None, "d"), long, warc.record(2, "http://x", b"b" * 300_000, None, "d"), warc.record(3, "http://x", b"c", None, "d")]
+    monkeypatch.setattr(warc, "HOLD", 1 << 16)
+    monkeypatch.setattr(warc, "STEP", 1 << 12)
+
+    def read(raw):
+        (tmp_path / "x").write_bytes(raw)
+        found = list(warc.salvage(files.Source(str(tmp_path / "x"), block=4096)))
+        return [warc._page_of(h["warc-record-id"]) for kind, _, _, h, _ in found if kind == "record"], [h["reason"].partition(" (")[0] for kind, _, _, h, _ in found if kind == "gap"]
+
+    assert read(b"".join(map(pack, plain))) == ([0, 1, 2, 3], [])
+    assert read(pack(b"".join(plain))) == ([0, 1, 2, 3], [])
+    wrong = re.sub(rb"(\r\nContent-Length: )\d+(\r\n\r\nHTTP)", rb"\g<1>999999999999\2", plain[2], count=1)
+    assert wrong != plain[2] and read(pack(plain[0] + long + wrong + plain[3])) == ([0, 1, 3], ["block is cut short"])
+
+
 def test_quality_on_held_out_labels(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
