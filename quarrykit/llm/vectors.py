@@ -5,9 +5,9 @@ insertion with robust pruning; the adjacency lists of a vector's shards are unit
 Every vector is then searched for in its nearest shard, on the united lists: the shard's vectors
 and those that the lists lead to outside it. The search walks greedily from the medoid and widens
 its range over neighbours in or near the threshold; each hit is verified by its cosine in double
-precision. Recall is audited against brute force for every row whose id is divisible by 50. If
-the audit misses a link, shards are made to overlap so far that linked vectors always meet, and
-compared without the graph, which misses none.
+precision. Recall is audited against brute force for every row whose id is divisible by 50. Below
+RECALL, shards are made to overlap so far that linked vectors always meet, and compared without
+the graph, which misses none.
 
 Equal vectors of a label are one class from the start. Shards of more than TASK_BYTES (large groups
 of near copies do not cluster further) are dealt over tasks by pairs of blocks, so that no task
@@ -40,6 +40,7 @@ COSINE = 0.98
 DEGREE = 24  # of the pruned graph
 ALPHA = 1.2
 BEAM = 48
+ENTRIES = 8  # medoids that a search begins at
 SLACK = 0.06  # the search goes on from neighbours so far below the threshold
 SHARD_ROWS = 1000  # vectors that a cluster is meant to hold
 MAX_CENTROIDS = 8192  # of all labels together; broadcast (4 MB at 64 dimensions)
@@ -48,7 +49,7 @@ OVERLAP = 0.05  # a vector also joins clusters whose centroid is so much less si
 TASK_BYTES = 2 << 20  # of vectors that a task takes before its shard is dealt out
 MATRIX = 1 << 22  # numbers of a matrix of cosines that is held at once
 AUDIT_EVERY = 50
-RECALL = 1.0  # below it the exact way is taken
+RECALL = 0.999  # below it the exact way is taken
 _QUERIES = 2048  # audit queries compared at once
 _NONE = np.iinfo(np.int64).max
 
@@ -144,16 +145,19 @@ def _assign(held, cosine: float, overlap: float | None):
     return run
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: int, beam: int) -> np.ndarray:
-    """Greedy search of many queries at once: the nodes left in each beam (-1: none)."""
+def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int) -> np.ndarray:
+    """Greedy search of many queries at once, each from the nearest of the starts: the nodes left in each beam (-1: none)."""
     n, q = len(x), len(queries)
     rows = np.arange(q)
     ids = np.full((q, beam), -1)
     sims = np.full((q, beam), -np.inf)
-    ids[:, 0], sims[:, 0] = start, queries @ x[start]
+    k = min(ENTRIES, len(starts), beam)
+    first = queries @ x[starts].T
+    top = np.argpartition(-first, k - 1, axis=1)[:, :k]
+    ids[:, :k], sims[:, :k] = starts[top], np.take_along_axis(first, top, 1)
     done = np.zeros((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)  # the last column takes the graph's empty places
-    seen[:, start] = seen[:, n] = True
+    seen[rows[:, None], ids[:, :k]] = seen[:, n] = True
     active = rows
     for _ in range(4 * beam):
         open_ = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
@@ -211,7 +215,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
         at = 0 if again else 1
         while at < n:
             batch = order[at : at + (256 if again else min(256, at))]
-            pool = beam_search(x, graph, x[batch], medoid, min(beam, n))
+            pool = beam_search(x, graph, x[batch], np.array([medoid]), min(beam, n))
             graph[batch] = robust_prune(x, batch, np.hstack([pool, graph[batch]]), degree, alpha)
             # Edges back; nodes with more than fit are pruned again.
             src, dst = np.repeat(batch, degree), graph[batch].ravel()
@@ -244,9 +248,10 @@ def _spread(labels: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, cosine: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of ``queries``, rows of ``x``) between which all that is in range is to be looked for.
 
-    Every query walks greedily from the medoid. From what it meets in or near its range the range
-    widens along the graph's edges, in both directions, over neighbours as near to each other;
-    what hangs together so is one region, whose queries and vectors are compared.
+    Along the graph's edges, in both directions, the range widens over neighbours in or near it;
+    what hangs together so is one region. Every query walks greedily from the nearest medoids, of
+    all vectors and of each region, and what it meets in or near its range joins its own region.
+    Regions are compared with themselves.
     """
     width = max(1, *map(len, graph))
     square = np.full((len(x), width), -1)
@@ -255,35 +260,38 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, co
     src, dst = np.repeat(np.arange(len(x)), [len(g) for g in graph]), np.concatenate(graph).astype(int)
     sims = np.concatenate([np.einsum("ij,ij->i", x[src[at]], x[dst[at]]) for at in _blocks(len(src), x.shape[1])] or [np.zeros(0)])
     region = _spread(np.arange(len(x)), src[sims >= cosine - SLACK], dst[sims >= cosine - SLACK])
-    start = int((x @ x.mean(axis=0)).argmax())
-    met_q, met_r = [], []
+    by = np.argsort(region, kind="stable")
+    starts = [int((x @ x.mean(axis=0)).argmax())]
+    for group in np.split(by, np.flatnonzero(np.diff(region[by])) + 1):
+        if len(group) > 1:
+            starts.append(int(group[(x[group] @ x[group].mean(axis=0)).argmax()]))
+    ends: list = [[], []]
     for begin in range(0, len(queries), 256):
         rows = queries[begin : begin + 256]
-        found = beam_search(x, square, x[rows], start, min(beam, len(x)))
+        found = beam_search(x, square, x[rows], np.unique(starts), min(beam, len(x)))
         near = np.einsum("qbd,qd->qb", x[np.maximum(found, 0)], x[rows])
         q, b = np.nonzero((found >= 0) & (near >= cosine - SLACK))
-        pairs = np.unique(np.stack([rows[q], region[found[q, b]]]), axis=1)
-        met_q.append(pairs[0])
-        met_r.append(pairs[1])
-    q, r = np.concatenate(met_q), np.concatenate(met_r)
-    order, by = np.argsort(r, kind="stable"), np.argsort(region, kind="stable")
-    q, r, sorted_region = q[order], r[order], region[by]
-    names, first = np.unique(r, return_index=True)
-    low, high = np.searchsorted(sorted_region, names), np.searchsorted(sorted_region, names, "right")
-    for mine, lo, hi in zip(np.split(q, first[1:]), low, high, strict=True):
-        if hi - lo > 1 or len(mine) > 1 or (len(mine) and mine[0] != by[lo]):
-            yield mine, by[lo:hi]
+        ends[0].append(rows[q])
+        ends[1].append(found[q, b])
+    region = _spread(region, np.concatenate(ends[0]), np.concatenate(ends[1]))
+    asks = np.zeros(len(x), bool)
+    asks[queries] = True
+    by = np.argsort(region, kind="stable")
+    for group in np.split(by, np.flatnonzero(np.diff(region[by])) + 1):
+        if len(group) > 1 and asks[group].any():
+            yield group[asks[group]], group
 
 
 def _vectors(frame: pd.DataFrame) -> np.ndarray:
     return np.array([np.frombuffer(u) for u in frame["unit"]])
 
 
-def _index(frame: pd.DataFrame) -> pd.DataFrame:
-    """Adjacency lists of one task's vectors, by id."""
-    graph, _ = build_graph(_vectors(frame))
-    ids = frame["vec_id"].to_numpy()
-    return pd.DataFrame({"vec_id": ids, "near": [ids[g[g >= 0]] for g in graph]})
+def _index(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Adjacency lists of one task's vectors, by id, and which of the neighbours are in or near the range."""
+    x, ids = _vectors(frame), frame["vec_id"].to_numpy()
+    graph, _ = build_graph(x)
+    lists = [g[g >= 0] for g in graph]
+    return pd.DataFrame({"vec_id": ids, "near": [ids[g] for g in lists], "close": [ids[g[x[g] @ x[i] >= cosine - SLACK]] for i, g in enumerate(lists)]})
 
 
 def _find(cosine: float, beam: int | None):
@@ -392,12 +400,12 @@ def links(classes: DataFrame, cosine: float, overlap: float | None, beam: int |
     if beam is None:
         ready = _tasks(rows, sizes).withColumn("near", F.expr("cast(array() as array<bigint>)"))
     else:
-        lists = _tasks(members.select("shard", "vec_id", "unit"), sizes).groupBy(*key).applyInPandas(_index, "vec_id bigint, near array<bigint>")
-        index = stored(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-index")
-        # What the united lists lead to outside a shard takes part in its search, but does not ask there.
-        led = placed.where("size(shards) > 1").select("vec_id", "shards").join(index, "vec_id").select(F.explode("shards").alias("shard"), "near").select("shard", F.explode("near").alias("vec_id")).distinct()
+        lists = _tasks(members.select("shard", "vec_id", "unit"), sizes).groupBy(*key).applyInPandas(lambda frame: _index(frame, cosine), "vec_id bigint, near array<bigint>, close array<bigint>")
+        index = stored(lists.groupBy("vec_id").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close"))), "graph-index")
+        # Where the united lists lead outside a shard, in or near the range, takes part in its search, but does not ask there.
+        led = placed.where("size(shards) > 1").select("vec_id", "shards").join(index, "vec_id").select(F.explode("shards").alias("shard"), "close").select("shard", F.explode("close").alias("vec_id")).distinct()
         outside = led.join(members.select("shard", "vec_id"), ["shard", "vec_id"], "left_anti").join(placed.select("vec_id", "unit", "copies"), "vec_id").withColumn("ask", F.lit(False))
-        ready = _tasks(members.unionByName(outside).join(index, "vec_id"), sizes)
+        ready = _tasks(members.unionByName(outside).join(index.select("vec_id", "near"), "vec_id"), sizes)
     ready = stored(ready, "searchable")
     found = ready.groupBy(*key).applyInPandas(_find(cosine, beam), "vec_id bigint, links bigint, low bigint")
     return stored(found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.collect_set("low").alias("low")), "vector-links")

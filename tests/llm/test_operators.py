@@ -540,7 +540,7 @@ def test_vectors_of_one_large_label(spark, monkeypatch, overlap, beam, task):
             break
         label = new
     same = sum(r["component_id"] == label[r["vec_id"]] for r in out) / len(out)
-    assert same >= 0.99 and (beam or (recall == 1.0 and same == 1.0)) and {r["recall"] for r in out} == {1.0}
+    assert same >= 0.99 and (beam or (recall == 1.0 and same == 1.0)) and min(r["recall"] for r in out) >= 0.999
 
 
 def test_pipeline_against_its_parts(spark):
