@@ -543,14 +543,31 @@ def test_vectors_of_one_large_label(spark, monkeypatch, overlap, beam, task):
     assert same >= 0.99 and (beam or (recall == 1.0 and same == 1.0)) and min(r["recall"] for r in out) >= 0.999
 
 
-def test_pipeline_against_its_parts(spark):
+def contaminated(docs, bench):
+    """Ids of documents of (id, text) that the contract's rule calls contaminated."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    items = [word.findall((t or "").translate(LOWER)) for i, t in bench if i is not None]
+    windows = {tuple(w[k : k + min(13, len(w))]) for w in items if w for k in range(len(w) - min(13, len(w)) + 1)}
+    sizes, out = {len(w) for w in windows}, set()
+    for i, t in docs:
+        words, hit = word.findall((t or "").translate(LOWER)), set()
+        for n in sizes:
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+        if hit and 20 * len(hit) >= len(words):
+            out.add(i)
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
     base = "/root/testdata/sf0.001"
     docs = table(spark, base, "documents")
-    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    kept = {r["doc_id"] for r in quality.judge(docs, table(spark, base, "labels")).where("not _rejected").collect()}
-    sets = {r["doc_id"]: shingles(r["text"], 5) for r in docs.collect() if r["doc_id"] in kept}
+    judged = quality.judge(docs, table(spark, base, "labels")).where("not _rejected").collect()
+    texts = {r["doc_id"]: r["text"] for r in judged}
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
     label = {i: i for i in sets}
     changed = True
     while changed:
@@ -560,12 +577,90 @@ def test_pipeline_against_its_parts(spark):
                 n = len(sets[a] & sets[b])
                 if label[b] < label[a] and n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
                     label[a], changed = label[b], True
-    single = {i for i in label if label[i] == i}
-    bad = {r["doc_id"] for r in decontaminate.decontaminate(docs, table(spark, base, "benchmark")).where("contaminated").collect()}
-    assert ids(corpus_pipeline.run(spark, base)) == single - bad
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs.limit(0), base)
-        assert out.columns == docs.columns and out.count() == 0, name
+    left = {i: t for i, t in texts.items() if label[i] == i}
+    bad = contaminated(left.items(), [(r["item_id"], r["text"]) for r in table(spark, base, "benchmark").collect()])
+    masked = {i: secrets.redact(t) for i, t in left.items() if i not in bad}
+    lengths = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in masked.items()}
+    bounds = packing.best_bounds(sorted(collections.Counter(lengths.values()).items()))
+    want = sorted((i, n, min(b for b in bounds if b >= n)) for i, n in lengths.items())
+    out = corpus_pipeline.run(spark, base)
+    assert rows(out, "doc_id", "n_tokens", "padded_to") == sorted(want, key=repr)
+    assert any(masked[i] != left[i] for i in masked) and bad and len(left) < len(texts) < docs.count()
+    # After the fourth stage: the texts themselves, masked, and their true lengths.
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, base)
+    chars = {r["doc_id"]: r["n_chars"] for r in docs.collect()}
+    assert rows(step, "doc_id", "text", "n_chars") == sorted(((i, t, len(t) if t != left[i] else chars[i]) for i, t in masked.items()), key=repr)
+
+
+CLASHING = ("_hit", "_items", "_digest", "_salt", "_row", "_host", "_path", "_llr_low", "_rate_toxic", "_p_low", "_rejected", "digest", "kept", "bucket", "low", "n", "r", "size", "before")
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, monkeypatch):
+    import corpus_pipeline
+
+    base = "/root/testdata/sf0.001"
+    secret = "say password=abcdefghijkl now"
+    docs = both(spark, "n_words").unionByName(spark.createDataFrame([(20, secret, None, None, 29, "x"), (21, secret + " again", "en", "s", 5, "x"), (21, None, "en", "s", 5, "x")], odd(spark).schema))
+    docs = docs.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHING))
+    held = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    for spread in (None, 0):  # once with lookups joined by salt
+        if spread is not None:
+            monkeypatch.setattr("quarrykit.llm.common.lookup.__defaults__", (0,))
+            monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", ("item_id", "text", 13, 3000))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs.limit(0), base).columns == docs.columns, name
+            out = stage(spark, docs, base)
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert all(r[c] == c + ("?" if r["doc_id"] is None else str(r["doc_id"])) for r in got for c in CLASHING), name
+            ids = collections.Counter(r["doc_id"] for r in got)
+            if name == "secret scans":
+                assert ids == collections.Counter(i for i, _ in held.elements()) and {r["text"] for r in got if r["doc_id"] == 20} == {"say [secret] now"}
+                assert [r["n_chars"] for r in got if r["doc_id"] == 20] == [16]
+            else:
+                assert all((r["doc_id"], r["text"]) in held for r in got), name
+            if name == "MinHash near-dedup":
+                assert max(n for i, n in ids.items() if i is not None) == 1 and ids[None] == 1 and ids[1] == 1 and not ids[2] and ids[5] == ids[6] == ids[7] == 1
+            if name == "benchmark decontamination":
+                bad = contaminated(held, [(r["item_id"], r["text"]) for r in table(spark, base, "benchmark").collect()])
+                assert ids == collections.Counter(i for i, t in held.elements() if i not in bad)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, base).collect()
+        assert collections.Counter(r["doc_id"] for r in packed) == collections.Counter(i for i, _ in held.elements())
+
+
+def test_shrinkage_by_hand(spark):
+    """Rates of hosts and paths against a plain computation on small groups."""
+    rng = np.random.default_rng(8)
+    made = [(i, f"h{i % 3}" if i % 7 else "lone", f"p{i % 2}", *rng.normal(0, 2, 2).tolist()) for i in range(120)]
+    marks = [(i, int(i % 3 != 0 or i % 5 == 0), int(i % 11 == 0)) for i in range(0, 120, 2)] + [(0, 0, 1)]
+    scores = spark.createDataFrame(made, "doc_id bigint, host string, path string, _llr_low double, _llr_toxic double")
+    got = {(r["host"], r["path"]): (r["rate_low"], r["rate_toxic"]) for r in quality.site_rates(scores, spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")).collect()}
+    known = {}
+    for i, q, t in marks:
+        known[i] = tuple(map(max, known.get(i, (0, 0)), (1 - q, t)))
+
+    def shrink(groups, toward):
+        n = sum(c for c, _ in groups.values())
+        noise = sum(c * toward[g] * (1 - toward[g]) for g, (c, _) in groups.items()) / n
+        spread = sum(c * (b / c - toward[g]) ** 2 for g, (c, b) in groups.items())
+        excess = (spread - len(groups) * noise) / (n - sum(c * c for c, _ in groups.values()) / n) if len(groups) > 1 else 0
+        strength = min(1e9, max(1.0, noise / excess - 1)) if excess > 1e-9 else 1e9
+        return {g: (b + strength * toward[g]) / (c + strength) for g, (c, b) in groups.items()}
+
+    for k in (0, 1):
+        prior = min(0.99, max(0.001, sum(v[k] for v in known.values()) / len(known)))
+        bad = {r[0]: known[r[0]][k] if r[0] in known else 1 / (1 + np.exp(-(r[3 + k] + np.log(prior / (1 - prior))))) for r in made}
+        sites, hosts = collections.defaultdict(lambda: [0, 0.0]), collections.defaultdict(lambda: [0, 0.0])
+        for i, host, path, *_ in made:
+            for group in (sites[host, path], hosts[host]):
+                group[0] += 1
+                group[1] += bad[i]
+        rate = min(0.999, max(1e-4, sum(bad.values()) / len(made)))
+        of_host = shrink(hosts, dict.fromkeys(hosts, rate))
+        of_site = shrink(sites, {(h, p): of_host[h] for h, p in sites})
+        assert {g: round(v[k], 9) for g, v in got.items()} == {g: round(min(0.999, max(1e-4, v)), 9) for g, v in of_site.items()}
 
 
 def test_lookup_with_salt_is_the_same_join(spark):
