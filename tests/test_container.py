@@ -1,4 +1,5 @@
 import gzip
+import uuid
 
 import pytest
 import zstandard
@@ -100,10 +101,11 @@ def test_report_from_files(spark, tmp_path):
 def test_stream_takes_each_file_once(spark, tmp_path):
     from quarrykit.streaming.watch import watch
 
+    label = f"w{uuid.uuid4().hex}"  # the shared folder outlives a test run
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.blend").write_bytes(GOOD)
     for more in (1, 2):
-        watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), label=f"w{tmp_path.name}").awaitTermination(120)
+        watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), label=label).awaitTermination(120)
         assert container.files(spark.read.parquet(str(tmp_path / "out"))).count() == more
         (tmp_path / "in" / f"b{more}.blend").write_bytes(GOOD)
 
