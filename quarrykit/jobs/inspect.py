@@ -1,9 +1,7 @@
 """The whole inspection: container rows to findings with their evidence, and to one report a file.
 
 Bodies are analysed once each however often they occur, and travel by their digest; everything
-after the syntax pass is joins and grouped aggregation. Run as a program it inspects files:
-
-    spark-submit quarrykit/jobs/inspect.py TARGET... [--json] [--known FILE] [--seconds N] [--out FOLDER]
+after the syntax pass is joins and grouped aggregation. ``inspect_files.py`` runs it as a program.
 """
 
 from __future__ import annotations
@@ -218,7 +216,3 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             print(row[0])
     codes = errors.select(F.lit(2).alias("code"))
     return rollup.exit_code(told.select("has_findings", "timed_out"), codes).first()["exit_code"]
-
-
-if __name__ == "__main__":
-    sys.exit(run(SparkSession.builder.getOrCreate(), sys.argv[1:]))
