@@ -26,7 +26,7 @@ GROUP_ROWS = 2048
 
 def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
     """(length, rows) of each length that occurs, ascending."""
-    return sorted((r["n"], r["c"]) for r in lengths.groupBy("n").agg(F.count("*").alias("c")).toLocalIterator())
+    return sorted((r["n"], r["c"]) for r in lengths.groupBy("n").agg(F.count("*").alias("c")).collect())
 
 
 def best_bounds(lengths: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
