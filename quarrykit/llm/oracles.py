@@ -1,7 +1,7 @@
 """DuckDB SQL for the pipeline operators that SQL can express.
 
-Tokenizer files (op4), decoding layers (op5) and the fitted classifier (op9) have none: they are
-tested against the library, brute force and held-out labels.
+Tokenizer files (op4), decoding layers (op5), the fitted classifier (op9) and eigenvectors (op11)
+have none: they are tested against the library, brute force and held-out labels.
 op10's SQL gives the recall that the exact links have.
 """
 
@@ -112,6 +112,20 @@ SELECT vec_id, coalesce(c, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS
 FROM embeddings LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) n ON vec_id = n.a LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON vec_id = r.a
 """
 
+_SPELLING = r"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [CAST(unicode(s) AS BIGINT)] ELSE [CAST(192 + unicode(s) // 64 AS BIGINT), CAST(128 + unicode(s) % 64 AS BIGINT)] END)) AS b FROM runs),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t.t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.d = b.d AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON x.d = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.d = v.word),
+k AS (SELECT e.word, e.near, v.n, row_number() OVER (PARTITION BY e.word ORDER BY v.n DESC, e.near) AS r, count(*) OVER (PARTITION BY e.word) AS n_near FROM e JOIN v ON v.word = e.near),
+f AS (SELECT v.word, v.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.n >= 10 * v.n THEN k.near END AS form, CASE WHEN k.n >= 10 * v.n THEN k.n END AS form_n FROM v LEFT JOIN k ON k.word = v.word AND k.r = 1),
+g AS (SELECT word, form AS root, 1 AS d FROM f WHERE form IS NOT NULL UNION ALL SELECT g.word, f.form, d + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN (SELECT word, arg_max(root, d) AS root FROM g GROUP BY word) r ON f.word = r.word
+"""
+
 ORACLES: dict[str, str] = {
     "op1_packing": _packing(),
     "op2_decontaminate": _DECONTAMINATE,
@@ -120,4 +134,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash": _MINHASH,
     "op8_substrings": _SUBSTRINGS,
     "op10_vectors": _VECTORS,
+    "op13_spelling": _SPELLING,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, substrings, tokenids, vectors, warc
+from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, spelling, substrings, tokenids, vectors, warc, whitening
 from quarrykit.session import table
 
 
@@ -65,6 +65,14 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -76,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
+    "op11_whitening": op11_whitening,
+    "op13_spelling": op13_spelling,
 }
