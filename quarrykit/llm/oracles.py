@@ -112,6 +112,19 @@ SELECT vec_id, coalesce(c, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS
 FROM embeddings LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) n ON vec_id = n.a LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON vec_id = r.a
 """
 
+# Bytes are two hexadecimal digits; windows are told by a 64-bit hash.
+_SUFFIXES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS i FROM d)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS n FROM g) GROUP BY r, n),
+f AS (SELECT r, a, b, lag(b) OVER (PARTITION BY r ORDER BY a) AS before FROM s),
+k AS (SELECT f.r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (a - coalesce(before, 0))), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept
+  FROM f JOIN d ON f.r = d.r JOIN (SELECT r, max(b) AS last FROM f GROUP BY r) l ON l.r = f.r GROUP BY f.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""
+
 _SPELLING = r"""
 WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY ALL),
@@ -134,5 +147,6 @@ ORACLES: dict[str, str] = {
     "op7_minhash": _MINHASH,
     "op8_substrings": _SUBSTRINGS,
     "op10_vectors": _VECTORS,
+    "op12_suffixes": _SUFFIXES,
     "op13_spelling": _SPELLING,
 }

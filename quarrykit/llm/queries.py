@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, spelling, substrings, tokenids, vectors, warc, whitening
+from quarrykit.llm import chat, decontaminate, minhash, packing, quality, secrets, spelling, substrings, suffixes, tokenids, vectors, warc, whitening
 from quarrykit.session import table
 
 
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -85,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
     "op11_whitening": op11_whitening,
+    "op12_suffixes": op12_suffixes,
     "op13_spelling": op13_spelling,
 }

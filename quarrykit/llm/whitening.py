@@ -122,11 +122,12 @@ def above(matrix: np.ndarray, shift: float) -> int:
                     size = 2
         if size == 1:
             count += int(a[k, k] > 0)
-            a[k + 1 :, k + 1 :] -= np.outer(a[k + 1 :, k], a[k + 1 :, k] / a[k, k])
+            a[k + 1 :, k + 1 :] -= np.outer(a[k + 1 :, k], a[k + 1 :, k]) / a[k, k]
         else:  # such a block has one eigenvalue of either sign
             count += 1
             side = a[k + 2 :, k : k + 2]
-            a[k + 2 :, k + 2 :] -= side @ np.linalg.solve(a[k : k + 2, k : k + 2], side.T)
+            update = side @ np.linalg.solve(a[k : k + 2, k : k + 2], side.T)
+            a[k + 2 :, k + 2 :] -= (update + update.T) / 2  # symmetric to the last bit
         k += size
     return count
 

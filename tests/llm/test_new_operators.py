@@ -1,6 +1,7 @@
 """Whitening, spelling variants and repeated bytes against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -9,7 +10,7 @@ import zlib
 
 import numpy as np
 
-from quarrykit.llm import spelling, whitening
+from quarrykit.llm import spelling, suffixes, whitening
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, component string, n string"
 
@@ -138,3 +139,50 @@ def test_roots_follow_long_chains(spark):
     chain = [(f"w{k:03}", f"w{k + 1:03}" if k < 40 else None) for k in range(41)] + [("alone", None)]
     got = {r["word"]: r["root"] for r in spelling.roots(spark.createDataFrame(chain, "word string, form string")).collect()}
     assert got == {f"w{k:03}": "w040" for k in range(40)}
+
+
+def _texts(r, window):
+    base = [bytes(r.choice(b"ab" if r.random() < 0.3 else bytes(range(97, 123))) for _ in range(r.randint(1, 600))) for _ in range(4)]
+    base += [b"a" * r.randint(1, 900), b"\0" * 300, b"abc" * r.randint(1, 200), "é".encode() * 90]
+    cut = lambda b: b[r.randint(0, len(b) // 2) :][: r.randint(1, len(b))]
+    return [b"".join(cut(r.choice(base)) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 12))]
+
+
+def _repeated(texts, window):
+    seen = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    return [[seen[t[i : i + window]] > 1 for i in range(len(t) - window + 1)] for t in texts]
+
+
+def test_corpus_order_finds_the_repeated_windows():
+    r = random.Random(5)
+    for _ in range(150):
+        window = r.choice([32, 40, 64, 200])
+        texts, of = _texts(r, window), suffixes.shape(window)
+        assert suffixes.repeated(texts, of).tolist() == [f for t in _repeated(texts, window) for f in t]
+        joined, stands, windows = b"".join(texts), {}, 0
+        found = suffixes.stretches(texts, suffixes.Hashes(joined), of)
+        for s, e, k in zip(found.start.tolist(), found.edges.tolist(), found.key.tolist(), strict=True):
+            windows += e
+            assert all(stands.setdefault(joined[i : i + window], k) == k for i in range(s, s + e))
+        assert windows == sum(max(0, len(t) - window + 1) for t in texts)
+
+
+def test_repeated_bytes(spark):
+    r = random.Random(6)
+    texts = [t.decode("utf-8", "replace") for _ in range(8) for t in _texts(r, 64)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, texts[0]), (902, texts[0]), (903, texts[1]), (903, texts[2]), (None, texts[3]), (None, "unlike others " * 3)]
+    docs += [(904, " ".join(f"w{i * 7919 % 5003}" for i in range(9000)) + texts[4]), (905, "x" * 64), (906, "y" * 63), (907, "zq" * 40)]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id bigint, text string, id string, start int").repartition(5)
+    for window, hot in ((64, suffixes.HOT), (64, 2), (200, suffixes.HOT)):
+        raw = [(t or "").encode() for _, t in docs]
+        want = []
+        for (i, _), t, flags in zip(docs, raw, _repeated(raw, window), strict=True):
+            gone = np.zeros(len(t), bool)
+            for k in np.flatnonzero(flags):
+                gone[k : k + window] = True
+            left = np.frombuffer(t, np.uint8)[~gone].tobytes()
+            want.append((i, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum()), hashlib.sha256(left).hexdigest()))
+        got = suffixes.remove_repeats(frame, window=window, hot=hot).collect()
+        assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+        assert all(r["kept"] is None or hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+    assert suffixes.remove_repeats(frame.limit(0)).count() == 0
