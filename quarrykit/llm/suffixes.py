@@ -1,11 +1,11 @@
 """Repeated bytes by prefix-free parsing.
 
 Rolling hashes of eight bytes trigger the ends of phrases; a phrase overlaps the next by its trigger,
-so no phrase's suffix is the beginning of another's. Which phrases of the corpus's dictionary occur
-more than once says which windows can: each window of WINDOW bytes stands for the least phrase
-inside it (or, where triggers are too far apart, for its least run of GRAM bytes), equal windows
-stand for equal ones, and what occurs once is dropped. Windows in a row with one such place travel as
-one stretch of text to a shuffle on it. There ``repeated`` brings them into corpus order: the
+so no phrase's suffix is the beginning of another's. Which phrases occur more than once, with what
+follows them, says which windows can: each window of WINDOW bytes stands for the least phrase that
+begins in it, with the 72 bytes from there on (or, where triggers are too far apart, for its least run
+of 64 bytes), equal windows stand for equal ones, and what occurs once is dropped. Windows in a row
+with one such place travel as one stretch of text to a shuffle on it. There ``repeated`` brings them into corpus order: the
 dictionary's suffixes are sorted, the parse's suffixes are sorted by doubling over phrases, and a
 window's place is its phrase suffix's rank, then the rank of the parse behind it. Neighbours in that
 order agree in as many bytes as the least of the parse's common prefixes between them says, so a
@@ -84,7 +84,7 @@ class Shape(NamedTuple):
 
     window: int
     apart: int  # bytes from trigger to trigger on average
-    longest: int  # bytes of a phrase that may stand for a window
+    longest: int  # bytes from a phrase's begin on that stand for a window
     gram: int
 
 
@@ -118,13 +118,11 @@ def stretches(texts: list[bytes], hashed: Hashes, of: Shape) -> Stretches:
     ends = np.cumsum([len(t) for t in texts])
     sizes = np.diff(ends, prepend=0)
     n = int(ends[-1])
-    triggers = np.flatnonzero(hashed.at % np.uint64(of.apart) == 0)
-    begin, size = triggers[:-1], np.diff(triggers) + TRIGGER
-    fit = size <= of.longest
-    begin, size = begin[fit], size[fit]
+    begin = np.flatnonzero(hashed.at % np.uint64(of.apart) == 0)
+    begin = begin[begin <= n - of.longest]
     names = np.zeros(n, np.uint64)
     values = np.full(n, _NONE)
-    names[begin] = hashed.of(begin, size)
+    names[begin] = hashed.of(begin, of.longest)
     values[begin] = (names[begin] & ~np.uint64(_PLACE)) | begin.astype(np.uint64)
     least = _least(values, of.window - of.longest + 1)
     windows = np.maximum(sizes - of.window + 1, 0)
