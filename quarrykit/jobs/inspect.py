@@ -9,9 +9,11 @@ from __future__ import annotations
 import argparse
 import sys
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrykit.functions import paths, text as shown
 from quarrykit.functions import tables as t
@@ -21,16 +23,26 @@ from quarrykit.session import stored
 from quarrykit.sources import container
 
 
-def explain(bodies: DataFrame, *, ambient: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(body, parsed), (body, key, severity, evidence) and (body, structure_sha256, literals) of distinct texts in ``source``."""
+class Explained(NamedTuple):
+    """What the syntax pass and the rules say of distinct bodies, by digest."""
+
+    parsed: DataFrame  # (body, parsed)
+    told: DataFrame  # (body, key, severity, evidence)
+    shapes: DataFrame  # (body, structure_sha256, literals)
+    named: DataFrame  # (body, named): literals with their kinds
+    spent: DataFrame  # (body, ms, late)
+
+
+def explain(bodies: DataFrame, *, ambient: bool = False, seconds: float = syntax.SECONDS) -> Explained:
+    """Of the distinct texts in ``source``; a body that takes longer than ``seconds`` has nothing but its time."""
     distinct = stored(bodies.select(sha256_hex(F.col("source")).alias("body"), "source").where(F.trim("source") != "").dropDuplicates(["body"]), "bodies")
-    facts = stored(syntax.facts(distinct), "facts")
+    facts = stored(syntax.facts(distinct, seconds=seconds, distinct=True), "facts")
     parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
     failed = distinct.join(parsed.where("not parsed").select("body"), "body", "left_semi")
     told = statements.statements(facts, ambient=ambient).unionByName(statements.fallback_statements(failed, ["body"]))
-    literals = facts.where("kind = 'literal'").groupBy("body").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("literals"))
-    shapes = facts.where("kind = 'structure'").select("body", F.col("value").alias("structure_sha256")).join(literals, "body", "left")
-    return parsed, stored(told, "statements"), shapes
+    taken = facts.where("kind = 'literal'").groupBy("body").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("literals"))
+    shapes = facts.where("kind = 'structure'").select("body", F.col("value").alias("structure_sha256")).join(taken, "body", "left")
+    return Explained(parsed, stored(told, "statements"), shapes, statements.named_literals(facts, failed), syntax.spent(facts))
 
 
 NO_KNOWN = "sha256 string, script_name string, origin string, structure_sha256 string, literals array<string>, generated boolean, place int"
@@ -42,7 +54,7 @@ class Inspection:
 
     rows: DataFrame  # as the reader gave them
     files: DataFrame
-    texts: DataFrame  # with parsed, evidence, entry, differing_literals, cleared and label
+    texts: DataFrame  # with parsed, evidence, entry, differing_literals, cleared, label and named
     told: DataFrame  # statements of texts
     drivers: DataFrame
     driver_told: DataFrame
@@ -50,24 +62,57 @@ class Inspection:
     nodes: DataFrame
 
 
-def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None) -> Inspection:
+def ledger(files: DataFrame, parts: DataFrame, budget_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(files, parts) under one budget a file: what its reader took, then its parts one after another.
+
+    ``files`` has path, spent, timed_out and timed_out_at; ``parts`` has path, stage, place, ms and
+    late. A part is kept while the milliseconds of the file so far, its own included, are within the
+    budget and none was late; the first that is not marks the file, and the earliest stage counts.
+    """
+    stage = F.array_position(F.array(*map(F.lit, container.CATEGORIES)), F.col("stage"))
+    so_far = Window.partitionBy("path").orderBy("rank", "place")  # parts of one place count together
+    rows = parts.withColumn("rank", stage).join(files.select("path", "spent"), "path")
+    used = F.coalesce("spent", F.lit(0)) + F.sum(F.coalesce("ms", F.lit(0))).over(so_far)
+    kept = (used <= budget_ms) & ~F.max(F.coalesce("late", F.lit(False))).over(so_far)
+    judged = rows.withColumn("kept", kept)
+    cut = judged.where("not kept").groupBy("path").agg(F.min_by("stage", "rank").alias("cut_at"))
+    place = lambda c: F.array_position(F.array(*map(F.lit, container.CATEGORIES)), c)
+    first = F.when(F.col("timed_out_at").isNull() | (place(F.col("cut_at")) < place(F.col("timed_out_at"))), F.col("cut_at")).otherwise(F.col("timed_out_at"))
+    marked = files.join(cut, "path", "left")
+    columns = [F.col("timed_out") | F.col("cut_at").isNotNull() if c == "timed_out" else F.when(F.col("cut_at").isNotNull(), first).otherwise(F.col("timed_out_at")) if c == "timed_out_at" else F.col(c) for c in files.columns]
+    return marked.select(*(c.alias(n) for c, n in zip(columns, files.columns, strict=True))), judged.select(*parts.columns, "kept")
+
+
+def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None, seconds: float = container.Limits().seconds) -> Inspection:
+    """All tables of one run. ``seconds`` is the budget of a file for reading and explaining it together.
+
+    Texts and drivers beyond the budget are left out and their file is marked: a text without its
+    explanation would read as one with nothing to explain. What the reader found of other
+    kinds stays.
+    """
     rows = stored(rows, "findings")
     source = container.texts(rows).withColumn("body", sha256_hex(F.col("source")))
-    parsed, told, shapes = explain(source)
-    texts = source.drop("source").join(parsed, "body", "left").join(shapes, "body", "left")
-    if known is None:
-        known = spark.createDataFrame([], NO_KNOWN)
-    texts = identity.match(texts.withColumn("sha256", F.col("body")), known)
-    texts = stored(texts.withColumn("cleared", F.col("suppresses_escalation")).withColumn("label", F.concat_ws(" -- ", "entry.script_name", "entry.origin")), "texts")
+    of_text = explain(source, seconds=seconds)
     drivers = syntax.classify_expressions(container.drivers(rows), "body")
     drivers = drivers.withColumn("is_simple", F.when(F.col("expression_is_evaluated"), F.col("is_simple"))).withColumn("reason", F.when(F.col("expression_is_evaluated"), F.col("reason")))
     drivers = stored(drivers.withColumnRenamed("body", "source").withColumn("body", sha256_hex(F.col("source"))), "drivers")
     heavy = drivers.where("expression_is_evaluated and not is_simple")
-    _, driver_told, _ = explain(heavy, ambient=True)
+    of_driver = explain(heavy, ambient=True, seconds=seconds)
+    part = lambda found, stage, took: found.select("path", F.lit(stage).alias("stage"), "place", "body").join(took, "body", "left").select("path", "stage", "place", "ms", "late")
+    heavy_spent = heavy.select("path", "place").join(part(heavy, "driver", of_driver.spent).drop("stage"), ["path", "place"])
+    light = drivers.select("path", F.lit("driver").alias("stage"), "place").join(heavy_spent, ["path", "place"], "left").select("path", "stage", "place", "ms", "late")
+    files, parts = ledger(container.files(rows), part(source, "text", of_text.spent).unionByName(light), int(1000 * seconds))
+    files = stored(files.drop("spent"), "files")
+    cut = stored(parts.where("not kept").select("path", "place"), "cut")
+    texts = source.drop("source").join(cut, ["path", "place"], "left_anti").join(of_text.parsed, "body", "left").join(of_text.shapes, "body", "left").join(of_text.named, "body", "left")
+    if known is None:
+        known = spark.createDataFrame([], NO_KNOWN)
+    texts = identity.match(texts.withColumn("sha256", F.col("body")), known)
+    texts = stored(texts.withColumn("cleared", F.col("suppresses_escalation")).withColumn("label", F.concat_ws(" -- ", "entry.script_name", "entry.origin")), "texts")
+    drivers = stored(drivers.join(cut, ["path", "place"], "left_anti").join(of_driver.named, "body", "left"), "drivers")
     libraries = container.libraries(rows).select("path", "place", paths.classify(F.col("raw_path"), F.lit("/") if base is None else base).alias("c")).select("path", "place", "c.*")
-    return Inspection(
-        rows, container.files(rows), texts, stored(texts.select("path", "place", "body").join(told, "body"), "told"), drivers, stored(heavy.select("path", "place", "body").join(driver_told, "body"), "driver-told"), libraries, container.nodes(rows)
-    )
+    driven = drivers.where("expression_is_evaluated and not is_simple").select("path", "place", "body").join(of_driver.told, "body")
+    return Inspection(rows, files, texts, stored(texts.select("path", "place", "body").join(of_text.told, "body"), "told"), drivers, stored(driven, "driver-told"), libraries, container.nodes(rows))
 
 
 def _blind() -> Column:
@@ -107,16 +152,17 @@ def summaries(of: Inspection) -> DataFrame:
     return out.withColumn("has_findings", found).withColumn("needs_attention", found | F.col("timed_out")).withColumn("steps", steps)
 
 
-def reports(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None) -> DataFrame:
+def reports(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None, seconds: float = container.Limits().seconds) -> DataFrame:
     """One row a readable file; see ``summaries``."""
-    return summaries(inspection(spark, rows, known=known, base=base))
+    return summaries(inspection(spark, rows, known=known, base=base, seconds=seconds))
 
 
 def findings(of: Inspection) -> DataFrame:
-    """One row a finding: (path, place, category, name, severity, statements, details).
+    """One row a finding: (path, place, category, name, severity, statements, literals, details).
 
-    ``statements`` are the rules that fired with their evidence, the loudest first; ``details`` is
-    JSON with what else is known of this kind of finding, such as a text's identity and the
+    ``statements`` are the rules that fired with their evidence, the loudest first; ``literals`` are
+    the strings of a script that a reader can judge, with their kinds (url, host, command, path,
+    blob); ``details`` is JSON with what else is known of this kind of finding, such as a text's identity and the
     literals in which it differs from the known script.
     """
     names = F.array(*(F.lit(s) for s in t.SEVERITIES))
@@ -125,9 +171,11 @@ def findings(of: Inspection) -> DataFrame:
         one = F.struct((-F.col("severity")).alias("rank"), "key", "evidence")
         grouped = said.groupBy("path", "place").agg(F.max("severity").alias("loudest"), F.array_sort(F.collect_list(one)).alias("s"))
         listed = F.transform("s", lambda x: F.struct(x["key"].alias("key"), F.get(names, -x["rank"]).alias("severity"), x["evidence"].alias("evidence")))
-        held = rows.select("path", "place", name.alias("name"), details.alias("details")).join(grouped, ["path", "place"], "left")
-        return held.select("path", "place", F.lit(category).alias("category"), "name", F.get(names, F.col("loudest")).alias("severity"), F.coalesce(listed, F.expr("cast(array() as array<struct<key:string,severity:string,evidence:array<string>>>)")).alias("statements"), "details")
+        strings = F.coalesce("named", no_literals) if "named" in rows.columns else no_literals
+        held = rows.select("path", "place", name.alias("name"), strings.alias("literals"), details.alias("details")).join(grouped, ["path", "place"], "left")
+        return held.select("path", "place", F.lit(category).alias("category"), "name", F.get(names, F.col("loudest")).alias("severity"), F.coalesce(listed, F.expr("cast(array() as array<struct<key:string,severity:string,evidence:array<string>>>)")).alias("statements"), "literals", "details")
 
+    no_literals = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
     whole = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     nothing = of.told.limit(0)
     identity_of = F.when(F.col("evidence").isNotNull(), F.struct("evidence", F.col("entry.script_name").alias("script_name"), F.col("entry.origin").alias("origin"), F.col("entry.generated").alias("generated"), "differing_literals"))
@@ -147,7 +195,7 @@ def _ascii(text: Column) -> Column:
 
 def _per_file(found: DataFrame) -> DataFrame:
     """All findings of each file in their order; a file's findings are one value, as the file was."""
-    kept = F.struct("place", "category", "name", "severity", "statements", "details")
+    kept = F.struct("place", "category", "name", "severity", "statements", "literals", "details")
     return found.groupBy("path").agg(F.array_sort(F.collect_list(kept)).alias("found"))
 
 
@@ -157,7 +205,7 @@ def report_json(files: DataFrame, found: DataFrame | None = None, errors: DataFr
     about = ["path", F.col("version").alias("blender_version"), "pointer_size", "compression", "block_count", "categories_checked", "texts", "drivers", "osl_nodes", "libraries", "has_findings", "timed_out", "timed_out_at", banner.alias("banner"), "steps"]
     if found is not None:
         files = files.join(_per_file(found), "path", "left")
-        none = F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,details:string>>)")
+        none = F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,literals:array<struct<kind:string,value:string>>,details:string>>)")
         about.append(F.coalesce("found", none).alias("findings"))
     out = files.select("path", _ascii(F.to_json(F.struct(*about), {"ignoreNullFields": "false"})).alias("json"))
     if errors is not None:
@@ -184,10 +232,11 @@ def report_text(files: DataFrame, found: DataFrame, seconds: float = container.L
         known = F.from_json(F.get_json_object(f["details"], "$.identity"), "evidence string, script_name string, origin string, generated boolean, differing_literals array<struct<index:int,reference:string,actual:string>>")
         match = F.when(known["evidence"].isNotNull(), F.concat(F.lit("    known script "), line(known["script_name"]), F.lit(" of "), line(known["origin"]), F.lit(" by "), known["evidence"], F.when(known["generated"], F.lit(", generated")).otherwise(F.lit(""))))
         differ = F.transform(F.coalesce(known["differing_literals"], F.expr("cast(array() as array<struct<index:int,reference:string,actual:string>>)")), lambda d: F.concat(F.lit("    literal "), d["index"].cast("string"), F.lit(": "), shown.quote_literal(d["reference"]), F.lit(" became "), shown.quote_literal(d["actual"])))
-        return F.concat(F.array(title), rules, F.filter(F.array(match), lambda m: m.isNotNull()), differ)
+        strings = F.transform(f["literals"], lambda x: F.concat(F.lit("    ["), x["kind"], F.lit("] "), shown.show_literal(x["value"])))
+        return F.concat(F.array(title), rules, strings, F.filter(F.array(match), lambda m: m.isNotNull()), differ)
 
     per = files.join(_per_file(found), "path", "left")
-    body = F.flatten(F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,details:string>>)")), one))
+    body = F.flatten(F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,literals:array<struct<kind:string,value:string>>,details:string>>)")), one))
     lines = F.concat(F.filter(F.array(*head), lambda x: x.isNotNull()), body, F.array(F.concat(F.lit("next: "), F.array_join("steps", ", ")), F.lit("An inventory, not a verdict.")))
     return per.select("path", F.array_join(lines, "\n").alias("report"))
 
@@ -206,7 +255,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         print("no files matched", file=sys.stderr)
         return 3
     known = identity.load_known(spark, args.known)[0] if args.known else None
-    of = inspection(spark, container.read(spark, args.targets, replace(container.Limits(), seconds=args.seconds)), known=known)
+    of = inspection(spark, container.read(spark, args.targets, replace(container.Limits(), seconds=args.seconds)), known=known, seconds=args.seconds)
     told, found, errors = stored(summaries(of), "summaries"), findings(of), container.errors(of.rows)
     lines = report_json(told, found, errors).select("json") if args.json else report_text(told, found, args.seconds).select("report")
     if args.out:

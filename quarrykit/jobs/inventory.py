@@ -6,6 +6,7 @@ URLs for linked paths, conversations for chains of text lines, integer columns f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from quarrykit.functions import literals, paths, text
 from quarrykit.functions import tables as t
 from quarrykit.jobs import inspect
 from quarrykit.operators import identity, rollup, statements, syntax
-from quarrykit.session import stored, table
+from quarrykit.session import shared_folder, stored, table
 from quarrykit.sources import container
+from quarrykit.sources.container_writer import Writer, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -675,8 +677,6 @@ def _customer_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(batches):
         import pyarrow as pa
 
-        from quarrykit.sources.container_writer import Writer
-
         for batch in batches:
             made = []
             for k, n, body, expression, library in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -692,7 +692,9 @@ def _customer_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made.append(box.to_bytes(version="300" if k % 2 else "405"))
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return container.inspect_rows(rows.mapInArrow(write, "path string, content binary"))
+    # The table is one small file; containers are made and read in as many tasks as there are cores, once.
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "k")
+    return stored(container.inspect_rows(dealt.mapInArrow(write, "path string, content binary")), "containers")
 
 
 def _having(key: str) -> str:
@@ -796,8 +798,6 @@ def container_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(batches):
         import pyarrow as pa
 
-        from quarrykit.sources.container_writer import Writer
-
         for batch in batches:
             made = []
             for conv, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -808,3 +808,106 @@ def container_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     read = container.texts(container.inspect_rows(chains.mapInArrow(write, "path string, content binary")))
     return read.select(F.col("path").cast("bigint").alias("conv_id"), F.col("source").alias("body"), "source_bytes", "is_autorun")
+
+
+def _written(name: str, body: str) -> bytes:
+    box = Writer()
+    box.text(name, body)
+    return box.to_bytes()
+
+
+_EMPTY = len(_written("page", ""))  # bytes of a container around its text
+_MOST = 6000  # the limit on files below, in bytes
+
+
+@query(f"""
+WITH p AS (SELECT page_id, page_id % 6 AS k, replace(coalesce(html, ''), chr(10), ' ') AS body FROM pages),
+s AS (SELECT *, CASE k WHEN 1 THEN {_EMPTY} + strlen(body) - 9 WHEN 3 THEN 4 + strlen(body) WHEN 4 THEN 0 ELSE {_EMPTY} + strlen(body) END AS size FROM p),
+m AS (SELECT *, CASE WHEN size > {_MOST} THEN 'file too large' WHEN k = 1 THEN 'truncated at ' || ({_EMPTY} + strlen(body) - 24) WHEN k = 2 THEN 'no DNA1 block' WHEN k = 3 THEN 'bad magic' WHEN k = 4 THEN 'decompression bomb' WHEN k = 5 THEN 'block length -1 is negative' END AS message FROM s)
+SELECT page_id, CASE WHEN message = 'bad magic' THEN 'not_a_blend' WHEN message IS NOT NULL THEN 'malformed' END AS kind, message, CASE WHEN message IS NULL THEN length(body) ELSE 0 END AS source_bytes FROM m
+""")
+def container_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to files of their own, five of six damaged in one way each, and read by the data source: an error row or a text each."""
+
+    def write(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for k, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sound = _written("page", body[:100] if k == 4 else body)
+                made.append([sound, sound[:-9], sound.replace(b"DNA1", b"DNA2", 1), b"PK\3\4" + body.encode(), gzip.compress(sound), sound[:16] + b"\xff" * 4 + sound[20:]][k])
+            names = [f"{p}.blend" for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], names=["name", "content"])
+
+    held = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 6).cast("int").alias("k"), F.replace(F.coalesce("html", F.lit("")), F.lit("\n"), F.lit(" ")).alias("body"))
+    folder = f"{shared_folder(spark)}/refusals-{uuid.uuid4().hex}"
+    write_files(held.repartition(spark.sparkContext.defaultParallelism, "page_id").mapInArrow(write, "name string, content binary"), folder)
+    rows = stored(container.read(spark, folder, container.Limits(file_bytes=_MOST, inflated_bytes=500), categories=["text", "error"]), "refusals")
+    page = F.regexp_extract("path", r"(\d+)\.blend$", 1).cast("bigint").alias("page_id")
+    said = container.errors(rows).select(page, "kind", "message").withColumn("source_bytes", F.lit(0).cast("bigint"))
+    none = F.lit(None).cast("string")
+    return said.unionByName(container.texts(rows).select(page, none.alias("kind"), none.alias("message"), "source_bytes"))
+
+
+_BUDGET = 100
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, o_orderkey % 60 AS spent, CASE WHEN o_orderkey % 17 = 0 THEN 'library' END AS reader FROM orders),
+l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN 'text' ELSE 'driver' END AS stage, CAST(l_quantity AS BIGINT) AS ms, l_partkey % 97 = 0 AS late, l_suppkey % 5 = 0 AS notable FROM lineitem),
+u AS (SELECT l.*, spent + sum(ms) OVER w <= {_BUDGET} AND NOT bool_or(late) OVER w AS kept FROM l JOIN f ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+p AS (SELECT l_orderkey, count(*) FILTER (WHERE kept) AS n_kept, bool_or(kept AND notable) AS notable, arg_min(stage, l_linenumber) FILTER (WHERE NOT kept) AS cut FROM u GROUP BY l_orderkey)
+SELECT o_orderkey, coalesce(cut, reader) AS timed_out_at, coalesce(n_kept, 0) AS n_kept, CASE WHEN coalesce(notable, false) OR coalesce(cut, reader) IS NOT NULL THEN 'amber' ELSE 'neutral' END AS tier,
+  CASE WHEN coalesce(cut, reader) IS NOT NULL THEN 'scan_timed_out ' ELSE '' END || CASE WHEN coalesce(notable, false) THEN 'osl_bytecode ' ELSE '' END AS reasons,
+  CASE WHEN coalesce(cut, reader) IS NOT NULL THEN 'timed_out ' ELSE 'looks_ordinary ' END AS steps
+FROM f LEFT JOIN p ON l_orderkey = o_orderkey
+""")
+def report_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files and their lines as bodies that take so many milliseconds: what one budget a file leaves of them, and what their report says."""
+    key = F.col("o_orderkey").cast("string").alias("path")
+    files = table(spark, sf_dir, "orders").select(key, (F.col("o_orderkey") % 60).alias("spent"), (F.col("o_orderkey") % 17 == 0).alias("timed_out"), F.when(F.col("o_orderkey") % 17 == 0, "library").alias("timed_out_at"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("path"), F.when(F.col("l_linenumber") <= 3, "text").otherwise("driver").alias("stage"), F.col("l_linenumber").alias("place"), F.col("l_quantity").cast("bigint").alias("ms"), (F.col("l_partkey") % 97 == 0).alias("late"), (F.col("l_suppkey") % 5 == 0).alias("notable")
+    )
+    files, lines = inspect.ledger(files, lines, _BUDGET)
+    files, kept = stored(files, "files"), stored(lines.where("kept"), "kept")
+    reasons = rollup.node_reasons(kept.where("notable").select("path", F.lit(1).alias("bytecode_bytes"))).withColumn("script", F.lit(None).cast("string"))
+    out = files.drop("timed_out").join(rollup.tiers(files, reasons), "path").join(kept.groupBy("path").agg(F.count("*").alias("n_kept")), "path", "left")
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(" "))), "")
+    zero, no = F.lit(0), F.lit(False)
+    steps = rollup.recommendations(zero, zero, no, zero, zero, F.col("timed_out"))
+    return out.select(F.col("path").cast("bigint").alias("o_orderkey"), "timed_out_at", F.coalesce("n_kept", zero).cast("bigint").alias("n_kept"), "tier", flat(F.col("reasons")).alias("reasons"), flat(steps).alias("steps"))
+
+
+@query(f"""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '://([^/:?#]+)', 1) AS host FROM pages),
+l AS (SELECT page_id, 'url' AS kind, url AS value FROM u
+  UNION SELECT page_id, 'host', host FROM u WHERE page_id % 3 <> 0 AND lower(regexp_extract(host, '[^.]*$')) IN ({_list(_HOSTS)})
+  UNION SELECT page_id, 'command', 'curl -s ' || url FROM u WHERE page_id % 5 = 0
+  UNION SELECT page_id, 'path', 'curl -s ' || url FROM u WHERE page_id % 15 IN (5, 10) AND regexp_matches(url, '[/\\\\][{_W} -]+[.][A-Za-z0-9]{{1,8}}$')
+  UNION SELECT page_id, 'path', '/srv/' || page_id || '/x.bin' FROM u WHERE page_id % 3 <> 0)
+SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'alarming' END AS severity, string_agg(kind || ' ' || value, chr(10) ORDER BY CASE kind WHEN 'url' THEN 0 WHEN 'host' THEN 1 WHEN 'command' THEN 2 ELSE 3 END, value) AS literals
+FROM l WHERE NOT (page_id % 3 = 0 AND kind = 'command') GROUP BY page_id
+""")
+def finding_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each page, one of three of which does not parse: what its finding says of urls, hosts, commands and paths in its strings."""
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for k, url, host in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                box = Writer()
+                lines = ["import socket", f"get({url!r}, '{host}')", f"open('/srv/{k}/x.bin')"] if k % 3 else ["def f(:", f"get( {url!r} )"]
+                box.text("page", "\n".join([*lines, f"run('curl -s {url}')" if k % 5 == 0 and k % 3 else ""]))
+                made.append(box.to_bytes(large=k % 2 == 0))
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host")).repartition(spark.sparkContext.defaultParallelism, "page_id")
+    of = inspect.inspection(spark, container.inspect_rows(rows.mapInArrow(write, "path string, content binary")))
+    lines = F.array_join(F.transform("literals", lambda x: F.concat_ws(" ", x["kind"], x["value"])), "\n")
+    return inspect.findings(of).select(F.col("path").cast("bigint").alias("page_id"), "severity", lines.alias("literals"))

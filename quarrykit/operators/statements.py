@@ -10,6 +10,7 @@ from quarrykit.functions import tables as t
 from quarrykit.session import stored
 
 EVIDENCE = 8
+_MARKED = {"x_living_off_land": t.TOOLS, "x_persistence": t.PERSISTENCE, "x_credentials": t.CREDENTIALS}
 
 
 def evidence(column: Column) -> Column:
@@ -151,13 +152,13 @@ def handler_evidence(facts: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def text_evidence(facts: DataFrame) -> DataFrame:
-    """What strings hold: marks of three lists and opaque blobs, in one scan of the strings."""
-    low, s = F.lower("value"), literals.stripped(F.col("value"))
-    say = lambda key, e: F.struct(F.lit(key).alias("key"), e.alias("e"))
-    marks = [say(key, F.lit(m)) for key, listed in (("x_living_off_land", t.TOOLS), ("x_persistence", t.PERSISTENCE), ("x_credentials", t.CREDENTIALS)) for m in listed]
-    met = F.filter(F.array(*marks), lambda m: low.contains(m["e"]))
-    blob = F.when((F.length("value") <= t.LITERAL_CHARS) & literals.is_blob(s), F.array(say("x_opaque_blob", blob_evidence(s)))).otherwise(F.expr("cast(array() as array<struct<key:string,e:string>>)"))
-    return facts.where("kind = 'string'").select("body", F.explode(F.concat(met, blob)).alias("m")).select("body", "m.key", F.lit(t.ALARMING).alias("severity"), "m.e")
+    """What strings hold: marks of three lists, which the syntax pass met, and opaque blobs."""
+    s = literals.stripped(F.col("value"))
+    keys = F.create_map(*(x for m in dict.fromkeys(m for listed in _MARKED.values() for m in listed) for x in (F.lit(m), F.array(*(F.lit(k) for k, listed in _MARKED.items() if m in listed)))))
+    told = lambda rows, key, e: rows.select("body", key.alias("key"), F.lit(t.ALARMING).alias("severity"), e.alias("e"))
+    marks = facts.where("kind = 'mark'").select("body", "value", F.explode(F.try_element_at(keys, F.col("value"))).alias("rule"))
+    blobs = facts.where("kind = 'string'").where((F.length("value") <= t.LITERAL_CHARS) & literals.is_blob(s))
+    return told(marks, F.col("rule"), F.col("value")).union(told(blobs, F.lit("x_opaque_blob"), blob_evidence(s)))
 
 
 def blob_evidence(blob: Column) -> Column:
@@ -203,3 +204,15 @@ def explanations(statement_rows: DataFrame, keys: list[str]) -> DataFrame:
         F.bool_or(F.col("key").isin(t.HIDING)).alias("obfuscated"),
         F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("rank"), "key", "evidence"))).alias("statements"),
     )
+
+
+def named_literals(facts: DataFrame, failed: DataFrame, source_col: str = "source") -> DataFrame:
+    """(body, named): literals that a reader can judge, by kind and then value, each once.
+
+    Of parsed bodies all strings are looked at, of the bodies in ``failed`` (body, source) all tokens.
+    """
+    one = lambda found: F.explode(found).alias("l")
+    parsed = facts.where("kind = 'string'").select("body", one(literals.literals(F.col("value"))))
+    bare = failed.select("body", F.explode(literals.tokens(F.substring(source_col, 1, t.BODY_CHARS))).alias("token")).select("body", one(literals.literals(F.col("token"), bare=True)))
+    sets = parsed.union(bare).groupBy("body").agg(F.array_sort(F.collect_set("l")).alias("l"))
+    return sets.select("body", F.transform("l", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))).alias("named"))

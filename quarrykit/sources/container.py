@@ -8,20 +8,25 @@ Nothing inside is executed.
 
 from __future__ import annotations
 
+import bisect
+import codecs
 import re
 import struct
 import time
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import tables as t
 from quarrykit.functions.text import flag_names, version_display
+from quarrykit.sources.pages import PAGE, Gunzip, Pages, TooLarge, Unpacked, Unzstd
+from quarrykit.sources.pages import OutOfTime as Late
 
 MAGIC = b"BLENDER"
 # Block codes of linked files of other kinds.
@@ -50,10 +55,6 @@ class Refused(ValueError):
         self.kind = kind
 
 
-class Late(Exception):
-    """The time budget of a file is spent."""
-
-
 def compression(content: bytes) -> str:
     if content[:2] == b"\x1f\x8b":
         return "gzip"
@@ -62,57 +63,26 @@ def compression(content: bytes) -> str:
     return "none" if content[:7] == MAGIC else "unknown"
 
 
-CHUNK = 1 << 20  # bytes that are inflated between two looks at the clock
-
-
-def _gunzipped(content: bytes) -> Iterator[bytes]:
-    """All members one behind the other; zeros behind the last one are padding."""
-    while content:
-        stream = zlib.decompressobj(31)
-        while not stream.eof:
-            part = stream.decompress(content, CHUNK)
-            content = stream.unconsumed_tail or stream.unused_data
-            if part:
-                yield part
-            elif not content and not stream.eof:
-                raise ValueError("the stream is cut short")
-        content = content.lstrip(b"\0")
-
-
-def inflated(content: bytes, limits: Limits, late: float = float("inf")) -> bytes:
-    """The container itself, unpacked by chunks under the size and time limits."""
-    kind = compression(content)
+def inflated(content, limits: Limits, late: float = float("inf")):
+    """The container itself, sliced like bytes; a packed one is unpacked by pages under the size and time limits."""
+    kind = compression(content[:7])
     if kind == "unknown":
         raise Refused("not_a_blend", "bad magic")
     if kind == "none":
         return content
-    out, size = [], 0
     try:
-        for part in _gunzipped(content) if kind == "gzip" else _frames(content):
-            size += len(part)
-            if size > limits.inflated_bytes:
-                raise Refused("malformed", "decompression bomb")
-            if time.monotonic() > late:
-                raise Late
-            out.append(part)
-    except (Refused, Late):
+        data = Unpacked(content, Gunzip if kind == "gzip" else Unzstd, limits.inflated_bytes, late)
+    except TooLarge:
+        raise Refused("malformed", "decompression bomb") from None
+    except Late:
         raise
     except Exception as e:
         raise Refused("malformed", f"decompression failed: {e}") from e
-    data = b"".join(out)
     if data[:7] != MAGIC:
         raise Refused("not_a_blend", "bad magic inside the compressed stream")
     return data
 
 
-def _frames(content: bytes) -> Iterator[bytes]:
-    import zstandard
-
-    with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as reader:
-        while part := reader.read(CHUNK):
-            yield part
-
-
 @dataclass
 class Header:
     pointer: int
@@ -148,7 +118,7 @@ def header(data: bytes) -> Header:
     return Header(pointer, "<" if order == b"v" else ">", str(int(digits)), large, size)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     code: str
     sdna: int
@@ -158,25 +128,69 @@ class Block:
     size: int
 
 
-def blocks(data: bytes, head: Header, limits: Limits, late: float) -> list[Block]:
+class Blocks:
+    """The block table in columns, forty bytes a block, looked up by code, by struct and by address."""
+
+    def __init__(self) -> None:
+        self.code, self.sdna, self.address, self.count, self.start, self.size = array("I"), array("i"), array("Q"), array("q"), array("q"), array("q")
+
+    def add(self, code: bytes, sdna: int, address: int, count: int, start: int, size: int) -> None:
+        self.code.append(int.from_bytes(code, "little"))
+        self.sdna.append(sdna)
+        self.address.append(address)
+        self.count.append(count)
+        self.start.append(start)
+        self.size.append(size)
+
+    def close(self) -> None:
+        address = np.frombuffer(self.address, np.uint64) if self.address else np.zeros(0, np.uint64)
+        self._order = np.argsort(address, kind="stable")
+        self._sorted = array("Q", address[self._order].tobytes())
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def __getitem__(self, k: int) -> Block:
+        return Block(self.code[k].to_bytes(4, "little").rstrip(b"\0").decode("latin-1"), self.sdna[k], self.address[k], self.count[k], self.start[k], self.size[k])
+
+    def _those(self, column: array, kind: type, values: list[int]) -> Iterator[Block]:
+        if len(self) and values:
+            for k in np.flatnonzero(np.isin(np.frombuffer(column, kind), np.array(values, kind))).tolist():
+                yield self[k]
+
+    def coded(self, *codes: str) -> Iterator[Block]:
+        return self._those(self.code, np.uint32, [int.from_bytes(c.encode().ljust(4, b"\0"), "little") for c in codes])
+
+    def of_structs(self, numbers: list[int]) -> Iterator[Block]:
+        return self._those(self.sdna, np.int32, numbers)
+
+    def at(self, address: int) -> Block | None:
+        """The last block with an address; none has address 0."""
+        k = bisect.bisect_right(self._sorted, address) - 1
+        return self[int(self._order[k])] if address and k >= 0 and self._sorted[k] == address else None
+
+
+def blocks(data, head: Header, limits: Limits, late: float) -> Blocks:
     """The block table; payloads are skipped, declared lengths checked against the file."""
     shape = struct.Struct(head.order + ("4siQqq" if head.large else "4siQii" if head.pointer == 8 else "4siIii"))
-    found, at = [], head.size
+    found, at = Blocks(), head.size
     while at < len(data):
         if len(data) - at < shape.size:
-            if data[at:] == b"ENDB" + data[at + 4 :] and len(data) - at == 8:
+            if len(data) - at == 8 and data[at : at + 4] == b"ENDB":
+                found.close()
                 return found
             raise Refused("malformed", f"truncated at {at}")
         if not len(found) % 1024 and time.monotonic() > late:
             raise Late
-        code, *rest = shape.unpack_from(data, at)
+        code, *rest = shape.unpack(data[at : at + shape.size])
         sdna, address, size, count = rest if head.large else (rest[2], rest[1], rest[0], rest[3])
         at += shape.size
         if size < 0 or size > len(data) - at:
             raise Refused("malformed", f"block length {size} {'is negative' if size < 0 else 'overruns the file'}")
         if code.startswith(b"ENDB"):
+            found.close()
             return found
-        found.append(Block(code.rstrip(b"\0").decode("latin-1"), sdna, address, count, at, size))
+        found.add(code, sdna, address, count, at, size)
         if len(found) > limits.blocks:
             raise Refused("malformed", "too many blocks")
         at += size
@@ -186,14 +200,15 @@ def blocks(data: bytes, head: Header, limits: Limits, late: float) -> list[Block
 class Container:
     """Blocks of one file with their fields."""
 
-    def __init__(self, data: bytes, limits: Limits, late: float):
+    def __init__(self, data: bytes | Pages, limits: Limits, late: float):
         self.data, self.limits, self.late = data, limits, late
-        self.head = header(data)
+        self.head = header(data[:17])
         self.blocks = blocks(data, self.head, limits, late)
-        self.by_address = {b.address: b for b in self.blocks if b.address}
-        dna = next((b for b in self.blocks if b.code == "DNA1"), None)
+        dna = next(self.blocks.coded("DNA1"), None)
         if dna is None:
             raise Refused("malformed", "no DNA1 block")
+        if dna.size > limits.field_bytes:
+            raise Refused("malformed", "bad DNA1: too large")
         try:
             self.layouts = self._layouts(data[dna.start : dna.start + dna.size])
         except (struct.error, IndexError, ValueError) as e:
@@ -250,8 +265,9 @@ class Container:
             out.append((types[kind], fields))
         return out
 
-    def struct_of(self, block: Block) -> str:
-        return self.layouts[block.sdna][0] if 0 <= block.sdna < len(self.layouts) else ""
+    def of(self, name: str) -> Iterator[Block]:
+        """Blocks of a struct, in file order."""
+        return self.blocks.of_structs([k for k, (kind, _) in enumerate(self.layouts) if kind == name])
 
     def field(self, block: Block, *names: str) -> tuple[bytes, str] | None:
         """Bytes and declared name of the first field present; ``a.b`` goes into nested structs."""
@@ -279,10 +295,26 @@ class Container:
         held = self.field(block, *names)
         if held is None or len(held[0]) != self.head.pointer:
             return None
-        return self.by_address.get(int.from_bytes(held[0], "little" if self.head.order == "<" else "big"))
-
-    def payload(self, block: Block) -> bytes:
-        return self.data[block.start : block.start + block.size]
+        return self.blocks.at(int.from_bytes(held[0], "little" if self.head.order == "<" else "big"))
+
+    def payload(self, block: Block, most: int) -> bytes:
+        """A block's bytes, ``most`` of them at most."""
+        return self.data[block.start : block.start + min(block.size, most)]
+
+    def line(self, block: Block, room: int) -> tuple[str, int]:
+        """A line up to its zero byte, and its length; of one longer than ``room`` characters only the length counts."""
+        reader, parts, total = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+        for at in range(block.start, block.start + block.size, PAGE):
+            raw = self.data[at : min(at + PAGE, block.start + block.size)]
+            said = reader.decode(raw.split(b"\0", 1)[0])
+            total += len(said)
+            if total <= room:
+                parts.append(said)
+            if b"\0" in raw:
+                break
+            self.check_time()
+        said = reader.decode(b"", True)
+        return "".join([*parts, said]), total + len(said)
 
     def path(self, block: Block, *names: str) -> str | None:
         """A path held in place or behind a pointer; empty and missing ones are null, over-long ones refuse the file."""
@@ -294,7 +326,7 @@ class Container:
             at = self.target(block, *names)
             if at is None:
                 return None
-            raw = self.payload(at)
+            raw = self.payload(at, self.limits.path_bytes + 1)
         raw = raw.split(b"\0", 1)[0]
         if len(raw) > self.limits.path_bytes:
             raise Refused("malformed", "path too long")
@@ -316,13 +348,13 @@ class Container:
             seen.add(line.address)
             if not len(seen) % 64:
                 self.check_time()
-            at, said = self.target(line, "line"), ""
+            at, said, n = self.target(line, "line"), "", 0
             if at is not None:
                 declared = self.number(line, "len")
                 if declared is not None and (declared < 0 or declared > at.size or declared > self.limits.field_bytes):
                     raise Refused("malformed", "string too long")
-                said = self.payload(at).split(b"\0", 1)[0].decode("utf-8", "replace")
-            total += len(said) + (1 if parts else 0)
+                said, n = self.line(at, self.limits.script_chars - total)
+            total += n + (1 if parts else 0)
             if total > self.limits.script_chars:
                 return "\n".join(parts), total, True
             parts.append(said)
@@ -330,30 +362,32 @@ class Container:
         return "\n".join(parts), total, False
 
 
-_ROW = {"path": pa.string(), "category": pa.string(), "place": pa.int32(), "name": pa.string(), "body": pa.string(), "raw_path": pa.string(), "code": pa.int64(), "flags": pa.int64(), "size": pa.int64(), "address": pa.int64(), "truncated": pa.bool_(), "detail": pa.string()}
-SCHEMA = "path string, category string, place int, name string, body string, raw_path string, code bigint, flags bigint, size bigint, address bigint, truncated boolean, detail string"
+_ROW = {"path": pa.string(), "category": pa.string(), "place": pa.int32(), "name": pa.string(), "body": pa.string(), "raw_path": pa.string(), "code": pa.int64(), "flags": pa.int64(), "size": pa.int64(), "address": pa.int64(), "truncated": pa.bool_(), "detail": pa.string(), "spent": pa.int64()}
+SCHEMA = "path string, category string, place int, name string, body string, raw_path string, code bigint, flags bigint, size bigint, address bigint, truncated boolean, detail string, spent bigint"
+
+
+_ORDER = ("text", "fcurve", "driver", "osl", "library", "filepath", "file", "error")
 
 
 def _signed(address: int) -> int:
     return address - (1 << 64) if address >= 1 << 63 else address
 
 
-def findings(box: Container) -> Iterator[dict]:
-    """Rows of all categories in their fixed order; ``stage`` rows mark each one begun."""
-    of = lambda name: (b for b in box.blocks if box.struct_of(b) == name)
+def findings(box: Container, wanted: frozenset[str] | None = None) -> Iterator[dict]:
+    """Rows of the wanted categories (all by default) in their fixed order; ``stage`` rows mark each one begun."""
+    asked = lambda *names: wanted is None or not wanted.isdisjoint(names)
     yield {"category": "stage", "detail": "text"}
-    for b in box.blocks:
-        if b.code == "TX":
-            box.check_time()
-            body, size, cut = box.body(b)
-            yield {"category": "text", "name": box.id_name(b) or "<unnamed>", "body": body, "raw_path": box.path(b, "filepath", "name"), "flags": box.number(b, "flags", "flag") or 0, "size": size, "truncated": cut}
+    for b in box.blocks.coded("TX") if asked("text") else ():
+        box.check_time()
+        body, size, cut = box.body(b)
+        yield {"category": "text", "name": box.id_name(b) or "<unnamed>", "body": body, "raw_path": box.path(b, "filepath", "name"), "flags": box.number(b, "flags", "flag") or 0, "size": size, "truncated": cut}
     yield {"category": "stage", "detail": "driver"}
-    for b in of("FCurve"):
+    for b in box.of("FCurve") if asked("fcurve") else ():
         at = box.target(b, "driver")
         if at is not None:
             index = box.number(b, "array_index")
             yield {"category": "fcurve", "address": _signed(at.address), "name": (box.path(b, "rna_path") or "<unknown property>") + (f"[{index}]" if index else "")}
-    for b in of("ChannelDriver"):
+    for b in box.of("ChannelDriver") if asked("driver") else ():
         box.check_time()
         held = box.field(b, "expression")
         expression = held[0].split(b"\0", 1)[0].decode("utf-8", "replace") if held else ""
@@ -361,45 +395,60 @@ def findings(box: Container) -> Iterator[dict]:
             kind = box.number(b, "type")
             yield {"category": "driver", "body": expression, "code": -1 if kind is None else kind, "flags": box.number(b, "flag") or 0, "address": _signed(b.address), "truncated": kind is None}
     yield {"category": "stage", "detail": "osl"}
-    for b in of("NodeShaderScript"):
+    for b in box.of("NodeShaderScript") if asked("osl") else ():
         mode, code = box.number(b, "mode") or 0, box.target(b, "bytecode")
         digest = box.field(b, "bytecode_hash")
         yield {"category": "osl", "code": mode, "raw_path": box.path(b, "filepath") if mode == 1 else None, "size": code.size if code else 0, "detail": digest[0].split(b"\0", 1)[0].decode("latin-1") if digest else ""}
     yield {"category": "stage", "detail": "library"}
-    for b in box.blocks:
-        if b.code == "LI" and (path := box.path(b, "filepath", "name")):
+    for b in box.blocks.coded("LI") if asked("library") else ():
+        if (path := box.path(b, "filepath", "name")):
             yield {"category": "library", "raw_path": path}
     yield {"category": "stage", "detail": "filepath"}
-    for b in box.blocks:
-        if b.code in FILE_CODES and (path := box.path(b, "filepath", "name")):
+    for b in box.blocks.coded(*FILE_CODES) if asked("filepath") else ():
+        if (path := box.path(b, "filepath", "name")):
             yield {"category": "filepath", "detail": FILE_CODES[b.code], "name": box.id_name(b), "raw_path": path}
 
 
-def inspect(content: bytes | None, limits: Limits = Limits()) -> list[dict]:
-    """All rows of one file, ending with one ``file`` or ``error`` row."""
-    late, rows, stage = time.monotonic() + limits.seconds, [], "preflight"
+def inspect(content: bytes | Pages | None, limits: Limits = Limits(), wanted: frozenset[str] | None = None) -> list[dict]:
+    """All rows of one file, or of the wanted categories, ending with one ``file`` or ``error`` row; ``size`` of a null content is unknown."""
+    began, rows, stage = time.monotonic(), [], "preflight"
+    late = began + limits.seconds
+    spent = lambda: {"spent": int(1000 * (time.monotonic() - began))}
     try:
         if content is None or len(content) > limits.file_bytes:
             raise Refused("malformed", "file too large")
         data = inflated(content, limits, late)
         box = Container(data, limits, late)
-        about = {"category": "file", "name": box.head.version, "code": box.head.pointer, "size": len(box.blocks) + 1, "body": compression(content)}
+        about = {"category": "file", "name": box.head.version, "code": box.head.pointer, "size": len(box.blocks) + 1, "body": compression(content[:7])}
         try:
-            for row in findings(box):
+            for row in findings(box, wanted):
                 if row["category"] == "stage":
                     stage = row["detail"]
                     box.check_time()
                 else:
                     rows.append(row)
         except Late:
-            return [*rows, about | {"truncated": True, "detail": stage}]
-        return [*rows, about | {"truncated": False}]
+            return [*rows, about | spent() | {"truncated": True, "detail": stage}]
+        return [*rows, about | spent() | {"truncated": False}]
     except Refused as e:
-        return [{"category": "error", "name": e.kind, "detail": str(e)}]
+        return [{"category": "error", "name": e.kind, "detail": str(e)} | spent()]
     except Late:
-        return [{"category": "error", "name": "malformed", "detail": "out of time before the blocks were read"}]
+        return [{"category": "error", "name": "malformed", "detail": "out of time before the blocks were read"} | spent()]
     except (MemoryError, RecursionError, struct.error, IndexError) as e:
-        return [{"category": "error", "name": "malformed", "detail": type(e).__name__}]
+        return [{"category": "error", "name": "malformed", "detail": type(e).__name__} | spent()]
+
+
+def batch_of(path: str, rows: list[dict]) -> pa.RecordBatch:
+    """A file's rows with their places: numbers that rise along the file, and are the same whichever categories were asked."""
+    columns = {k: pa.array([r.get(k) for r in rows], ty) for k, ty in _ROW.items()}
+    columns["path"] = pa.array([path] * len(rows), pa.string())
+    counts = {c: k << 27 for k, c in enumerate(_ORDER)}
+    places = []
+    for r in rows:
+        places.append(counts[r["category"]])
+        counts[r["category"]] += 1
+    columns["place"] = pa.array(places, pa.int32())
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def inspect_rows(contents: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -408,11 +457,7 @@ def inspect_rows(contents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = inspect(content.as_py(), limits)
-                columns = {k: pa.array([r.get(k) for r in rows], ty) for k, ty in _ROW.items()}
-                columns["path"] = pa.array([path.as_py()] * len(rows), pa.string())
-                columns["place"] = pa.array(range(len(rows)), pa.int32())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield batch_of(path.as_py(), inspect(content.as_py(), limits))
 
     return contents.select("path", "content").mapInArrow(run, SCHEMA)
 
@@ -439,17 +484,32 @@ def expanded(spark: SparkSession, targets: list[str], suffix: str = ".blend") ->
     return kept, [f for f in dict.fromkeys(files) if not (f.endswith(suffix) and within(f, None))]
 
 
-def read(spark: SparkSession, targets: str | list[str], limits: Limits = Limits(), suffix: str = ".blend") -> DataFrame:
-    """Findings of all files that the targets (files, folders, patterns) name, each once; targets that name nothing give no rows."""
+def read(spark: SparkSession, targets: str | list[str], limits: Limits = Limits(), suffix: str = ".blend", categories: list[str] | None = None) -> DataFrame:
+    """Findings of all files that the targets (files, folders, patterns) name, each once; targets that name nothing give no rows.
+
+    With ``categories`` only those are walked and returned.
+
+    Files go through the ``containers`` data source, which reads what it needs of them; of a store
+    that only Spark opens, whole contents are read. A file over the limit is an error row either way.
+    """
+    from quarrykit.sources import datasource
+
     folders, files = expanded(spark, [targets] if isinstance(targets, str) else targets, suffix)
+    if not folders and not files:
+        return spark.createDataFrame([], SCHEMA)
+    if all(map(datasource.opens, [*folders, *files])):
+        return datasource.load(spark, folders, files, limits, suffix, categories)
     binary = lambda: spark.read.format("binaryFile")
     parts = []
     if folders:
         parts.append(binary().option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(folders))
     if files:
         parts.append(binary().load(files))
-    contents = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, content binary")
-    return inspect_rows(contents, limits)
+    found = reduce(DataFrame.unionByName, parts)
+    most = min(limits.file_bytes, (1 << 31) - 1)
+    large = found.where(F.col("length") > most).select("path", F.lit(None).cast("binary").alias("content"))
+    rows = inspect_rows(found.where(F.col("length") <= most).select("path", "content").unionByName(large), limits)
+    return rows if categories is None else rows.where(F.col("category").isin(categories))
 
 
 def texts(rows: DataFrame) -> DataFrame:
@@ -482,7 +542,7 @@ def filepaths(rows: DataFrame) -> DataFrame:
 
 def files(rows: DataFrame) -> DataFrame:
     """One row a readable file; a file that ran out of time says at which stage."""
-    return rows.where("category = 'file'").select("path", F.col("name").alias("version"), version_display(F.col("name")).alias("version_display"), F.col("code").alias("pointer_size"), F.col("body").alias("compression"), F.col("size").alias("block_count"), F.lit(CATEGORIES).alias("categories_checked"), F.col("truncated").alias("timed_out"), F.col("detail").alias("timed_out_at"))
+    return rows.where("category = 'file'").select("path", F.col("name").alias("version"), version_display(F.col("name")).alias("version_display"), F.col("code").alias("pointer_size"), F.col("body").alias("compression"), F.col("size").alias("block_count"), F.lit(CATEGORIES).alias("categories_checked"), F.col("truncated").alias("timed_out"), F.col("detail").alias("timed_out_at"), "spent")
 
 
 def errors(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # The structs that an inspection reads, as type and field name.
 STRUCTS = {
@@ -91,3 +96,25 @@ class Writer:
             code = code.ljust(4, b"\0")
             out += [struct.pack("<4siQqq", code, kind, address, len(data), 1) if large else struct.pack("<4siQii", code, len(data), address, kind, 1), data]
         return b"".join(out)
+
+
+def write_files(contents: DataFrame, folder: str) -> int:
+    """Write (name, content) rows as files of a folder, by the tasks that hold them; their number.
+
+    A file appears under its name by a rename, so a task that runs twice leaves the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quarrykit.sources.datasource import place
+
+        fs, base = place(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                draft = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft, compression=None) as out:
+                    out.write(content.as_buffer())
+                fs.move(draft, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return contents.select("name", "content").mapInArrow(run, "n bigint").agg({"n": "sum"}).first()[0] or 0
