@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,6 +156,8 @@ Locate = Callable[[int, int], tuple[int, int]]  # a span of a layer's text -> th
 
 def _char_starts(raw: bytes) -> list[int]:
     """The byte at which each character of ``raw`` begins, decoded with replacement, and the end."""
+    if raw.isascii():
+        return list(range(len(raw) + 1))
     reader, starts, begin = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
     for j in range(len(raw)):
         n = len(reader.decode(raw[j : j + 1]))
@@ -165,21 +168,34 @@ def _char_starts(raw: bytes) -> list[int]:
     return [*starts, len(raw)]
 
 
-def _percent_places(run: str, start: int) -> Locate:
+def _by_table(table: Callable[[], list[int]]) -> Locate:
+    """Spans by a table of places, one a character and one for the end, which is made at the first finding and kept."""
+    held: list[list[int]] = []
+
     def locate(s: int, e: int) -> tuple[int, int]:
+        if not held:
+            held.append(table())
+        return held[0][s], held[0][e]
+
+    return locate
+
+
+def _percent_places(run: str, start: int) -> Locate:
+    def table() -> list[int]:
         begins, at = [], 0
-        while at < len(run):
-            begins.append(at)
-            at += 3 if _PERCENT.match(run, at) else 1
-        chars = _char_starts(unquote_to_bytes(run))
+        for m in [*_PERCENT.finditer(run), None]:
+            begins += range(at, m.start() if m else len(run))
+            if m:
+                begins.append(m.start())
+                at = m.end()
         begins.append(len(run))
-        return start + begins[chars[s]], start + begins[chars[e]]
+        return [start + begins[c] for c in _char_starts(unquote_to_bytes(run))]
 
-    return locate
+    return _by_table(table)
 
 
 def _escape_places(run: str, start: int) -> Locate:
-    def locate(s: int, e: int) -> tuple[int, int]:
+    def table() -> list[int]:
         units, at = [], 0  # (code, begin) of each code unit
         for m in [*_ESCAPED.finditer(run), None]:
             upto = m.start() if m else len(run)
@@ -189,10 +205,21 @@ def _escape_places(run: str, start: int) -> Locate:
                 units += [(code, m.start())] if code < 0x110000 else [(ord(c), m.start() + i) for i, c in enumerate(m[0])]
                 at = m.end()
         begins = [b for k, (code, b) in enumerate(units) if not (k and 0xDC00 <= code <= 0xDFFF and 0xD800 <= units[k - 1][0] <= 0xDBFF)]
-        begins.append(len(run))
-        return start + begins[s], start + begins[e]
+        return [start + b for b in [*begins, len(run)]]
 
-    return locate
+    return _by_table(table)
+
+
+def _byte_places(text: str) -> Locate:
+    """Where characters stand among the UTF-8 bytes of a text."""
+    if text.isascii():
+        return lambda s, e: (s, e)
+
+    def table() -> list[int]:
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        return [0, *np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).tolist()]
+
+    return _by_table(table)
 
 
 def layers(text: str) -> Iterator[tuple[int, int, str, Locate]]:
@@ -239,9 +266,10 @@ def _base64(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, Lo
     def places(out: str, shift: int, first: int) -> Locate:
         """Of a text that begins at byte ``first`` of what the run decodes to from character ``shift`` on."""
 
+        bytes_of = _byte_places(out)
+
         def locate(s: int, e: int) -> tuple[int, int]:
-            low = first + len(out[:s].encode("utf-8", "replace"))
-            high = low + len(out[s:e].encode("utf-8", "replace"))
+            low, high = (first + x for x in bytes_of(s, e))
             return place(shift + low * 4 // 3), place(max(shift + low * 4 // 3, min(size, shift + -(-high * 4 // 3)) - 1)) + 1
 
         return locate
@@ -290,16 +318,24 @@ def decoded_findings(text: str) -> set[tuple[int, int, int]]:
     """Findings inside encoded layers, at the span of the original text that each came from."""
     found: set[tuple[int, int, int]] = set()
     seen: set[bytes] = set()
-    work = [(start, end, inner, locate) for start, end, inner, locate in layers(text)]
+    # One generator for each layer that is open: a piece of a layer is dropped before the next is made.
+    work: list[tuple[Iterator, Locate | None]] = [(layers(text), None)]
     while work:
-        start, end, inner, locate = work.pop()
+        inside, outer = work[-1]
+        layer = next(inside, None)
+        if layer is None:
+            work.pop()
+            continue
+        start, end, inner, within = layer
+        locate = within if outer is None else lambda a, b, outer=outer, within=within: outer(*within(a, b))
+        if outer is not None:
+            start, end = outer(start, end)
         key = hashlib.blake2b(f"{start}:{end}:{inner}".encode("utf-8", "replace"), digest_size=16).digest()
         if key in seen:
             continue
         seen.add(key)
         found.update((*locate(s, e), kind) for s, e, kind in scan(inner))
-        for s, e, deeper, within in layers(inner):
-            work.append((*locate(s, e), deeper, lambda a, b, locate=locate, within=within: locate(*within(a, b))))
+        work.append((layers(inner), locate))
     return found
 
 
