@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,7 @@ from quarrykit.functions import paths, text as shown
 from quarrykit.functions import tables as t
 from quarrykit.functions.text import sha256_hex
 from quarrykit.operators import identity, rollup, statements, syntax
+from quarrykit.operators.fact_store import FactStore
 from quarrykit.session import stored
 from quarrykit.sources import container
 
@@ -33,10 +34,10 @@ class Explained(NamedTuple):
     spent: DataFrame  # (body, ms, late)
 
 
-def explain(bodies: DataFrame, *, ambient: bool = False, seconds: float = syntax.SECONDS) -> Explained:
-    """Of the distinct texts in ``source``; a body that takes longer than ``seconds`` has nothing but its time."""
+def explain(bodies: DataFrame, *, ambient: bool = False, seconds: float = syntax.SECONDS, store: FactStore | None = None) -> Explained:
+    """Of the distinct texts in ``source``; a body that takes longer than ``seconds`` has nothing but its time. With a ``store`` only bodies that it does not have are parsed."""
     distinct = stored(bodies.select(sha256_hex(F.col("source")).alias("body"), "source").where(F.trim("source") != "").dropDuplicates(["body"]), "bodies")
-    facts = stored(syntax.facts(distinct, seconds=seconds, distinct=True), "facts")
+    facts = stored(syntax.facts(distinct, seconds=seconds, distinct=True), "facts") if store is None else store.facts(distinct, seconds=seconds)
     parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
     failed = distinct.join(parsed.where("not parsed").select("body"), "body", "left_semi")
     told = statements.statements(facts, ambient=ambient).unionByName(statements.fallback_statements(failed, ["body"]))
@@ -60,6 +61,7 @@ class Inspection:
     driver_told: DataFrame
     libraries: DataFrame
     nodes: DataFrame
+    warnings: list[str] = field(default_factory=list)  # what could not be used of the table of known scripts
 
 
 def ledger(files: DataFrame, parts: DataFrame, budget_ms: int) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +85,7 @@ def ledger(files: DataFrame, parts: DataFrame, budget_ms: int) -> tuple[DataFram
     return marked.select(*(c.alias(n) for c, n in zip(columns, files.columns, strict=True))), judged.select(*parts.columns, "kept")
 
 
-def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None, seconds: float = container.Limits().seconds) -> Inspection:
+def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None, seconds: float = container.Limits().seconds, store: FactStore | None = None, warnings: list[str] | None = None) -> Inspection:
     """All tables of one run. ``seconds`` is the budget of a file for reading and explaining it together.
 
     Texts and drivers beyond the budget are left out and their file is marked: a text without its
@@ -92,12 +94,12 @@ def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None
     """
     rows = stored(rows, "findings")
     source = container.texts(rows).withColumn("body", sha256_hex(F.col("source")))
-    of_text = explain(source, seconds=seconds)
+    of_text = explain(source, seconds=seconds, store=store)
     drivers = syntax.classify_expressions(container.drivers(rows), "body")
     drivers = drivers.withColumn("is_simple", F.when(F.col("expression_is_evaluated"), F.col("is_simple"))).withColumn("reason", F.when(F.col("expression_is_evaluated"), F.col("reason")))
     drivers = stored(drivers.withColumnRenamed("body", "source").withColumn("body", sha256_hex(F.col("source"))), "drivers")
     heavy = drivers.where("expression_is_evaluated and not is_simple")
-    of_driver = explain(heavy, ambient=True, seconds=seconds)
+    of_driver = explain(heavy, ambient=True, seconds=seconds, store=store)
     part = lambda found, stage, took: found.select("path", F.lit(stage).alias("stage"), "place", "body").join(took, "body", "left").select("path", "stage", "place", "ms", "late")
     heavy_spent = heavy.select("path", "place").join(part(heavy, "driver", of_driver.spent).drop("stage"), ["path", "place"])
     light = drivers.select("path", F.lit("driver").alias("stage"), "place").join(heavy_spent, ["path", "place"], "left").select("path", "stage", "place", "ms", "late")
@@ -112,7 +114,7 @@ def inspection(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None
     drivers = stored(drivers.join(cut, ["path", "place"], "left_anti").join(of_driver.named, "body", "left"), "drivers")
     libraries = container.libraries(rows).select("path", "place", paths.classify(F.col("raw_path"), F.lit("/") if base is None else base).alias("c")).select("path", "place", "c.*")
     driven = drivers.where("expression_is_evaluated and not is_simple").select("path", "place", "body").join(of_driver.told, "body")
-    return Inspection(rows, files, texts, stored(texts.select("path", "place", "body").join(of_text.told, "body"), "told"), drivers, stored(driven, "driver-told"), libraries, container.nodes(rows))
+    return Inspection(rows, files, texts, stored(texts.select("path", "place", "body").join(of_text.told, "body"), "told"), drivers, stored(driven, "driver-told"), libraries, container.nodes(rows), warnings or [])
 
 
 def _blind() -> Column:
@@ -149,7 +151,8 @@ def summaries(of: Inspection) -> DataFrame:
     out = out.na.fill(0).na.fill(False)
     steps = rollup.recommendations(F.col("unexplained"), F.col("explained"), F.col("reaching") | (F.col("loud_drivers") > 0), F.col("unreadable"), F.col("autorun"), F.col("timed_out"))
     found = (F.col("texts") + F.col("drivers") + F.col("osl_nodes") + F.col("libraries")) > 0
-    return out.withColumn("has_findings", found).withColumn("needs_attention", found | F.col("timed_out")).withColumn("steps", steps)
+    said = F.array(*map(F.lit, of.warnings)).cast("array<string>")
+    return out.withColumn("warnings", said).withColumn("has_findings", found).withColumn("needs_attention", found | F.col("timed_out")).withColumn("steps", steps)
 
 
 def reports(spark: SparkSession, rows: DataFrame, *, known: DataFrame | None = None, base: Column | None = None, seconds: float = container.Limits().seconds) -> DataFrame:
@@ -202,7 +205,7 @@ def _per_file(found: DataFrame) -> DataFrame:
 def report_json(files: DataFrame, found: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """(path, json): each report as one line of ASCII JSON, with its findings, and one line for each file in error."""
     banner = F.struct("tier", "reasons", "recognised", "timed_out")
-    about = ["path", F.col("version").alias("blender_version"), "pointer_size", "compression", "block_count", "categories_checked", "texts", "drivers", "osl_nodes", "libraries", "has_findings", "timed_out", "timed_out_at", banner.alias("banner"), "steps"]
+    about = ["path", F.col("version").alias("blender_version"), "pointer_size", "compression", "block_count", "categories_checked", "texts", "drivers", "osl_nodes", "libraries", "has_findings", "timed_out", "timed_out_at", banner.alias("banner"), "steps", "warnings"]
     if found is not None:
         files = files.join(_per_file(found), "path", "left")
         none = F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,literals:array<struct<kind:string,value:string>>,details:string>>)")
@@ -237,7 +240,8 @@ def report_text(files: DataFrame, found: DataFrame, seconds: float = container.L
 
     per = files.join(_per_file(found), "path", "left")
     body = F.flatten(F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,literals:array<struct<kind:string,value:string>>,details:string>>)")), one))
-    lines = F.concat(F.filter(F.array(*head), lambda x: x.isNotNull()), body, F.array(F.concat(F.lit("next: "), F.array_join("steps", ", ")), F.lit("An inventory, not a verdict.")))
+    warned = F.transform("warnings", lambda w: F.concat(F.lit("warning: "), line(w)))
+    lines = F.concat(F.filter(F.array(*head), lambda x: x.isNotNull()), warned, body, F.array(F.concat(F.lit("next: "), F.array_join("steps", ", ")), F.lit("An inventory, not a verdict.")))
     return per.select("path", F.array_join(lines, "\n").alias("report"))
 
 
@@ -247,6 +251,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     parser.add_argument("targets", nargs="+")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--known")
+    parser.add_argument("--facts", help="folder that keeps the facts of bodies from run to run")
     parser.add_argument("--seconds", type=float, default=container.Limits().seconds)
     parser.add_argument("--out", help="folder for the reports; without it they are printed as they come")
     args = parser.parse_args(argv)
@@ -254,8 +259,10 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if not folders and not files:
         print("no files matched", file=sys.stderr)
         return 3
-    known = identity.load_known(spark, args.known)[0] if args.known else None
-    of = inspection(spark, container.read(spark, args.targets, replace(container.Limits(), seconds=args.seconds)), known=known, seconds=args.seconds)
+    known, problems = identity.load_known(spark, args.known) if args.known else (None, None)
+    warnings = identity.warnings_of(problems) if args.known else []
+    store = FactStore(spark, args.facts) if args.facts else None
+    of = inspection(spark, container.read(spark, args.targets, replace(container.Limits(), seconds=args.seconds)), known=known, seconds=args.seconds, store=store, warnings=warnings)
     told, found, errors = stored(summaries(of), "summaries"), findings(of), container.errors(of.rows)
     lines = report_json(told, found, errors).select("json") if args.json else report_text(told, found, args.seconds).select("report")
     if args.out:
