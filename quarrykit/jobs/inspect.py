@@ -22,6 +22,7 @@ from quarrykit.operators import identity, rollup, statements, syntax
 from quarrykit.operators.fact_store import FactStore
 from quarrykit.session import stored
 from quarrykit.sources import container
+from quarrykit.sources.document import write_document
 
 
 class Explained(NamedTuple):
@@ -211,9 +212,13 @@ def report_json(files: DataFrame, found: DataFrame | None = None, errors: DataFr
         none = F.expr("cast(array() as array<struct<place:int,category:string,name:string,severity:string,statements:array<struct<key:string,severity:string,evidence:array<string>>>,literals:array<struct<kind:string,value:string>>,details:string>>)")
         about.append(F.coalesce("found", none).alias("findings"))
     out = files.select("path", _ascii(F.to_json(F.struct(*about), {"ignoreNullFields": "false"})).alias("json"))
-    if errors is not None:
-        out = out.union(errors.select("path", _ascii(F.to_json(F.struct(F.struct("path", "kind", "message").alias("error")))).alias("json")))
-    return out
+    return out if errors is None else out.union(error_json(errors, "error"))
+
+
+def error_json(errors: DataFrame, within: str | None = None) -> DataFrame:
+    """(path, json) of files in error, by themselves or as one field."""
+    said = F.struct("path", "kind", "message")
+    return errors.select("path", _ascii(F.to_json(said if within is None else F.struct(said.alias(within)))).alias("json"))
 
 
 def report_text(files: DataFrame, found: DataFrame, seconds: float = container.Limits().seconds) -> DataFrame:
@@ -254,6 +259,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     parser.add_argument("--facts", help="folder that keeps the facts of bodies from run to run")
     parser.add_argument("--seconds", type=float, default=container.Limits().seconds)
     parser.add_argument("--out", help="folder for the reports; without it they are printed as they come")
+    parser.add_argument("--document", help="file for one JSON document of all reports and errors, in place of the others")
     args = parser.parse_args(argv)
     folders, files = container.expanded(spark, args.targets)
     if not folders and not files:
@@ -264,10 +270,12 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     store = FactStore(spark, args.facts) if args.facts else None
     of = inspection(spark, container.read(spark, args.targets, replace(container.Limits(), seconds=args.seconds)), known=known, seconds=args.seconds, store=store, warnings=warnings)
     told, found, errors = stored(summaries(of), "summaries"), findings(of), container.errors(of.rows)
+    if args.document:
+        write_document(report_json(told, found), error_json(errors), args.document, overwrite=True)
     lines = report_json(told, found, errors).select("json") if args.json else report_text(told, found, args.seconds).select("report")
     if args.out:
         lines.write.text(args.out)
-    else:
+    elif not args.document:
         for row in lines.toLocalIterator():
             print(row[0])
     codes = errors.select(F.lit(2).alias("code"))
