@@ -20,7 +20,7 @@ from quarrykit.functions import tables as t
 from quarrykit.functions.text import sha256_hex
 from quarrykit.operators import identity, rollup, statements, syntax
 from quarrykit.operators.fact_store import FactStore
-from quarrykit.session import stored
+from quarrykit.session import bucketed, co_partitioned, stored
 from quarrykit.sources import container
 from quarrykit.sources.document import write_document
 
@@ -38,13 +38,14 @@ class Explained(NamedTuple):
 def explain(bodies: DataFrame, *, ambient: bool = False, seconds: float = syntax.SECONDS, store: FactStore | None = None) -> Explained:
     """Of the distinct texts in ``source``; a body that takes longer than ``seconds`` has nothing but its time. With a ``store`` only bodies that it does not have are parsed."""
     distinct = stored(bodies.select(sha256_hex(F.col("source")).alias("body"), "source").where(F.trim("source") != "").dropDuplicates(["body"]), "bodies")
-    facts = stored(syntax.facts(distinct, seconds=seconds, distinct=True), "facts") if store is None else store.facts(distinct, seconds=seconds)
+    facts = bucketed(syntax.facts(distinct, seconds=seconds, distinct=True) if store is None else store.facts(distinct, seconds=seconds), "facts", "body")
     parsed = facts.where("kind in ('parsed', 'unparsed')").select("body", (F.col("kind") == "parsed").alias("parsed"))
     failed = distinct.join(parsed.where("not parsed").select("body"), "body", "left_semi")
-    told = statements.statements(facts, ambient=ambient).unionByName(statements.fallback_statements(failed, ["body"]))
+    with co_partitioned(bodies.sparkSession):
+        told = stored(statements.statements(facts, ambient=ambient).unionByName(statements.fallback_statements(failed, ["body"])), "statements")
     taken = facts.where("kind = 'literal'").groupBy("body").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("literals"))
     shapes = facts.where("kind = 'structure'").select("body", F.col("value").alias("structure_sha256")).join(taken, "body", "left")
-    return Explained(parsed, stored(told, "statements"), shapes, statements.named_literals(facts, failed), syntax.spent(facts))
+    return Explained(parsed, told, shapes, statements.named_literals(facts, failed), syntax.spent(facts))
 
 
 NO_KNOWN = "sha256 string, script_name string, origin string, structure_sha256 string, literals array<string>, generated boolean, place int"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import literals
 from quarrykit.functions import tables as t
-from quarrykit.session import stored
+from quarrykit.session import bucketed
 
 EVIDENCE = 8
 _MARKED = {"x_living_off_land": t.TOOLS, "x_persistence": t.PERSISTENCE, "x_credentials": t.CREDENTIALS}
@@ -166,8 +166,12 @@ def blob_evidence(blob: Column) -> Column:
 
 
 def statements(facts: DataFrame, *, ambient: bool = False) -> DataFrame:
-    """(body, key, severity, evidence) for parsed bodies, one row a rule that fired."""
-    made = stored(calls(facts, ambient), "calls")
+    """(body, key, severity, evidence) for parsed bodies, one row a rule that fired.
+
+    Facts that come bucketed by body, and calls, which are written so, meet without a shuffle; only
+    what fired is dealt once more, to be put together.
+    """
+    made = bucketed(calls(facts, ambient), "calls", "body")
     # Names met in imports, bases and calls go through the rule table in one join.
     named = facts.where("kind in ('import', 'base')").select("body", F.col("kind").alias("met"), F.col("value").alias("name"), F.col("value").alias("e"))
     named = named.union(made.where("resolved is not null").select("body", F.lit("call"), "resolved", "shown"))
@@ -175,7 +179,7 @@ def statements(facts: DataFrame, *, ambient: bool = False) -> DataFrame:
     scopes_of = facts.where("kind = 'member'").select("body", "slot", "value", "extra").join(scopes(facts), "body", "left")
     members = scopes_of.where(_is_builtins(F.col("slot"), F.col("value"), F.col("aliases")))
     shown = F.concat(F.substring_index("value", ".", -1), "extra")
-    done = stored(call_evidence(facts, made), "call-evidence")
+    done = bucketed(call_evidence(facts, made), "call-evidence", "body")
     whole = done.where("key = 'x_assembled_name'").groupBy("body").agg(F.collect_set("e").alias("a"))
     split = facts.where("kind = 'split'").select("body", F.col("value").alias("e")).join(whole, "body", "left").where(~F.coalesce(F.exists("a", lambda a: a.contains(F.substring(F.col("e"), 1, 40))), F.lit(False)))
     every = (

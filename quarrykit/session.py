@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``stored``, dealt by ``key`` into as many buckets as the session has shuffle partitions and sorted in them.
+
+    Joins and groupings on the key, or on it with others, then need no shuffle, however many of them
+    read the table; plan them within ``co_partitioned``. The bucket layout is known to the session's
+    catalog only, under a name of its own that is given up at once.
+    """
+    spark = df.sparkSession
+    name, n = f"{label.replace('-', '_')}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    held = spark.table(name).select("*")
+    held.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return held
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside take a table that is dealt by one key of a join as dealt for the join."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -203,3 +203,25 @@ def test_marks_are_met_in_one_pass():
     marked = syntax._marks()
     for text in ("run powershell and schtasks /create /sc", "nothing", "c:/start menu/programs/startup/x", "id_rsa in /.ssh"):
         assert marked(text) == {m for listed in statements._MARKED.values() for m in listed if m in text}
+
+
+def test_bucketed_facts_meet_without_a_shuffle(spark):
+    from quarrykit.session import bucketed, co_partitioned
+
+    bodies = spark.createDataFrame([(f"import os\nx = {k}\nos.system('a{k}')\nexec(__import__('base64').b64decode('aa'))",) for k in range(20)], "source string")
+    facts = bucketed(syntax.facts(bodies), "facts", "body")
+    assert not any("facts_" in t.name for t in spark.catalog.listTables())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = []
+        for table in (facts, facts.where("true").repartition(3)):
+            with co_partitioned(spark):
+                plan = statements.statements(table)._jdf.queryExecution().executedPlan().toString()
+            plans.append(plan.count("Exchange hashpartitioning(body"))
+        assert plans[0] <= 3 < plans[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with co_partitioned(spark):
+        told = sorted(map(repr, statements.statements(facts).collect()))
+    assert told == sorted(map(repr, statements.statements(job.stored(syntax.facts(bodies), "facts")).collect())) and len(told) >= 60
