@@ -68,6 +68,37 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+# Digest algorithms of archives and their sizes in bytes.
+_SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def read_digest(value: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, bytes) of ``name:text``, the text in base32 or hexadecimal of either case; None for anything else, which is no check."""
+    name, _, text = (value or "").partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip().rstrip("=")
+    size = _SIZES.get(name)
+    if size and re.fullmatch(r"[0-9A-Fa-f]+", text) and len(text) == 2 * size:
+        return name, bytes.fromhex(text)
+    if size and re.fullmatch(r"[A-Za-z2-7]+", text) and len(text) == -(-size * 8 // 5):
+        return name, base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    return None
+
+
+def differs(value: str | None, data: bytes) -> bool:
+    """Whether a digest that can be read is not that of ``data``."""
+    held = read_digest(value)
+    return held is not None and hashlib.new(held[0], data).digest() != held[1]
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """A block without its HTTP head, which blocks of type application/http have."""
+    return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").lower().startswith("application/http") else block
+
+
+def _length(value: str) -> int | None:
+    return int(value) if re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
 def _member(data: bytes, level: int = 3) -> bytes:
     squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
     return squeeze.compress(data) + squeeze.flush()
@@ -94,24 +125,29 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if end < 0:
         raise Short("headers do not end", len(data) - at + STEP)
     headers: dict[str, str] = {}
+    name = ""
     for line in data[version.end() : end].split(b"\r\n"):
-        name, colon, value = bytes(line).decode("utf-8", "replace").partition(":")
+        text = bytes(line).decode("utf-8", "replace")
+        if name and text[:1] in (" ", "\t"):  # a header folded over lines
+            headers[name] = f"{headers[name]} {text.strip()}".strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon:
             raise Damaged("not a header line")
-        headers[name.strip().lower()] = value.strip()
-    size = headers.get("content-length", "")
-    if not size.isdigit():
+        name = name.strip().lower()
+        headers[name] = value.strip()
+    size = _length(headers.get("content-length", ""))
+    if size is None:
         raise Damaged("no length")
     start = end + 4
-    if len(data) < start + int(size) + 4:
-        raise Short("block is cut short", start + int(size) + 4 - at)
-    block = bytes(data[start : start + int(size)])
-    if data[start + int(size) : start + int(size) + 4] != b"\r\n\r\n":
+    if len(data) < start + size + 4:
+        raise Short("block is cut short", start + size + 4 - at)
+    block = bytes(data[start : start + size])
+    if data[start + size : start + size + 4] != b"\r\n\r\n":
         raise Damaged("block is cut short")
-    want = headers.get("warc-block-digest")
-    if want and want.lower().startswith("sha1:") and want != _sha1(block):
+    if differs(headers.get("warc-block-digest"), block):
         raise Damaged("block digest differs")
-    return headers, block, start + int(size) + 4
+    return headers, block, start + size + 4
 
 
 class Member:
@@ -217,7 +253,7 @@ def _inside(member: Member) -> Iterator[tuple[int, int, dict[str, str] | None, b
     while at < member.size:
         try:
             headers, block, end = member.record(at)
-            if member.why and not headers.get("warc-block-digest", "").lower().startswith("sha1:"):
+            if member.why and read_digest(headers.get("warc-block-digest")) is None:
                 raise Damaged("no digest in a broken member")
         except Damaged as e:
             if bad is None:
@@ -241,7 +277,7 @@ def _plain(source: files.Source, at: int) -> tuple[bytes, int]:
         raise Damaged("no record begins here")
     while (end := head.find(b"\r\n\r\n")) < 0 and at + len(head) < source.size:
         head = source.read(at, 2 * len(head))
-    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head)
+    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", head)
     if not m or not 0 <= m.start() < end:
         raise Damaged("no record begins here")
     size = end + 8 + int(m[1])
@@ -349,7 +385,7 @@ _ROWS = "file string, kind string, offset bigint, length bigint, page_id bigint,
 
 
 def _page_of(value: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:qk:page:(-?\d+)>", value or "")
+    m = re.fullmatch(r"<urn:qk:page:(-?[0-9]{1,18})>", value or "")
     return int(m[1]) if m else None
 
 
@@ -364,14 +400,15 @@ def read_archives(manifest: DataFrame, *, file_col: str = "file", with_payload:
             if kind == "gap":
                 yield (file, kind, offset, length, None, None, None, None, None, None, headers["reason"], None)
                 continue
-            payload = block.partition(b"\r\n\r\n")[2]
+            payload = payload_of(headers, block)
             revisit = headers.get("warc-type") == "revisit"
-            digest = headers.get("warc-payload-digest", "")
-            if not revisit and digest and digest != _sha1(payload):
+            digest = headers.get("warc-payload-digest")
+            if not revisit and differs(digest, payload):
                 yield (file, "gap", offset, length, None, None, None, None, None, None, "payload digest differs", None)
                 continue
-            sha = base64.b32decode(digest.partition(":")[2]).hex() if revisit else hashlib.sha1(payload).hexdigest()
-            size = int(headers.get("x-payload-length", 0)) if revisit else len(payload)
+            held = read_digest(digest)
+            sha = hashlib.sha1(payload).hexdigest() if not revisit else held[1].hex() if held and held[0] == "sha1" else None
+            size = _length(headers.get("x-payload-length", "")) if revisit else len(payload)
             yield (file, kind, offset, length, _page_of(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, sha, headers.get("warc-type"), _page_of(headers.get("warc-refers-to")), None, payload)
         source.close()
 
