@@ -12,6 +12,7 @@ that is why it has to be asked for.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from pathlib import PurePosixPath
@@ -19,7 +20,7 @@ from pathlib import PurePosixPath
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from quarrykit.sources import container
 from quarrykit.sources.pages import FilePages
@@ -72,23 +73,28 @@ class ContainerReader(DataSourceReader):
         fs, path = place(uri)
         return fs.get_file_info(path).type == pafs.FileType.File
 
-    def listed(self) -> Iterator[tuple[str, int]]:
+    def listed(self) -> Iterator[tuple[str, int, int]]:
+        """(URI, size, time of the last change in nanoseconds) of the files."""
         for uri in self.files:
             fs, path = place(uri)
-            yield uri, fs.get_file_info(path).size or 0
+            info = fs.get_file_info(path)
+            yield uri, info.size or 0, info.mtime_ns or 0
         for uri in self.folders:
             fs, path = place(uri)
             for info in fs.get_file_info(pafs.FileSelector(path, recursive=True)):
                 below = info.path[len(path.rstrip("/")) + 1 :]
                 hidden = any(p.startswith(("_", ".")) for p in PurePosixPath(below).parts)
                 if info.type == pafs.FileType.File and below.endswith(self.suffix) and not hidden:
-                    yield f"{uri.rstrip('/')}/{below}", info.size or 0
+                    yield f"{uri.rstrip('/')}/{below}", info.size or 0, info.mtime_ns or 0
 
     def partitions(self) -> list[Share]:
+        return self.shared([(uri, size) for uri, size, _ in self.listed()])
+
+    def shared(self, files: list[tuple[str, int]]) -> list[Share]:
         """Files in shares of about as many bytes; the largest first, each by itself where it fills a share."""
         shares: list[Share] = []
         held, weight = [], 0
-        for uri, size in sorted(self.listed(), key=lambda f: (-f[1], f[0])):
+        for uri, size in sorted(files, key=lambda f: (-f[1], f[0])):
             if self.paths is not None and uri not in self.paths:
                 continue
             cost = FILE_COST + (size if size <= self.limits.file_bytes else 0)  # one that is too large is not read
@@ -133,6 +139,34 @@ class PushingReader(ContainerReader):
                 self.categories = frozenset(values if self.categories is None else self.categories & values)
 
 
+class ContainerStreamReader(DataSourceStreamReader):
+    """Files as they arrive or change: an offset is a time, and a batch has the files last changed after one and up to the next.
+
+    A file that changes comes again, which Spark's own file streams don't do. Files changed in the
+    last ``settle`` seconds (a file may still be written) wait for the next batch; a file that is put in
+    place later than that with an older time of change is not seen.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.of, self.settle = ContainerReader(options), float(options.get("settle", "2"))
+
+    def initialOffset(self) -> dict:
+        return {"ns": -1}
+
+    def latestOffset(self) -> dict:
+        upto = time.time_ns() - int(self.settle * 1e9)
+        return {"ns": max((ns for _, _, ns in self.of.listed() if ns <= upto), default=-1)}
+
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        return self.of.shared([(uri, size) for uri, size, ns in self.of.listed() if start["ns"] < ns <= end["ns"]])
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        return self.of.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class ContainerSource(DataSource):
     """Options: ``path``, or JSON lists ``folders`` and ``files``; ``suffix`` of files in folders; JSON lists ``paths`` and ``categories``; ``limits`` as JSON; ``partitionBytes``; ``pushdown``."""
 
@@ -146,6 +180,9 @@ class ContainerSource(DataSource):
     def reader(self, schema) -> ContainerReader:
         return (PushingReader if self.options.get("pushdown", "false").lower() == "true" else ContainerReader)(self.options)
 
+    def streamReader(self, schema) -> ContainerStreamReader:
+        return ContainerStreamReader(self.options)
+
 
 def load(spark: SparkSession, folders: list[str], files: list[str], limits: container.Limits, suffix: str, categories: list[str] | None = None) -> DataFrame:
     """The source over folders and files."""
