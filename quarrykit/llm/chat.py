@@ -86,13 +86,36 @@ def turn_spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[
     return out, spans, rewrites
 
 
-def said_spans(text: str, turns: list[Turn], spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Role and span of what each turn says, for any template: where its text stands last in its span, else the whole span."""
-    out = []
-    for (role, said), (start, end) in zip(turns, spans, strict=True):
-        at = text.rfind(said, start, end) if said else -1
-        out.append((role, at, at + len(said)) if at >= 0 else (role, start, end))
-    return out
+#: Two texts that no template changes, unlike at both ends and with nothing of each other.
+PROBES = ("qxjzq", "wvkyw")
+
+
+def said_span(text: str, turns: list[Turn], k: int, render: Callable[[list[Turn]], str]) -> tuple[int, int] | None:
+    """Where turn ``k`` is said in the whole output ``text`` of any template; None if that can't be told.
+
+    The conversation is rendered with two probes in its place: what both outputs begin and end with
+    is not the turn's. It has to stand around the turn in ``text`` as well, and each probe has to come
+    out once and unchanged, which a template that says a turn twice does not do. A turn
+    that leaves no trace has an empty span.
+    """
+    one, two = (render([*turns[:k], (turns[k][0], probe), *turns[k + 1 :]]) for probe in PROBES)
+    if one == two:
+        return 0, 0
+    head = _agree(one, two)
+    tail = min(_agree(one[::-1], two[::-1]), min(len(one), len(two)) - head)
+    if one[head : len(one) - tail] != PROBES[0] or two[head : len(two) - tail] != PROBES[1]:
+        return None
+    end = len(text) - tail
+    return (head, end) if end >= head and text[:head] == one[:head] and text[end:] == one[len(one) - tail :] else None
+
+
+def _agree(a: str, b: str) -> int:
+    """Characters in which two texts begin alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
 
 
 def content_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -109,7 +132,7 @@ def read_back(text: str) -> list[Turn]:
     return [(_unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-SCHEMA = "conv_id bigint, n_turns bigint, text string, turn_starts array<bigint>, turn_ends array<bigint>, loss_starts array<bigint>, loss_ends array<bigint>, rewritten array<int>"
+SCHEMA = "conv_id bigint, n_turns bigint, text string, turn_starts array<bigint>, turn_ends array<bigint>, loss_starts array<bigint>, loss_ends array<bigint>, rewritten array<int>, unsure array<int>"
 
 
 def _groups(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, list[Turn]]]:
@@ -128,13 +151,17 @@ def _groups(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, list[T
 
 
 def _format(frames: Iterable[pd.DataFrame], loss_role: str, render: Callable[[list[Turn]], str] | None) -> Iterator[pd.DataFrame]:
-    names = ["conv_id", "n_turns", "text", "turn_starts", "turn_ends", "loss_starts", "loss_ends", "rewritten"]
+    names = ["conv_id", "n_turns", "text", "turn_starts", "turn_ends", "loss_starts", "loss_ends", "rewritten", "unsure"]
     rows, size = [], 0
     for key, turns in _groups(frames):
         text, spans, rewrites = turn_spans(turns, render or _remembering())
-        said = said_spans(text, turns, spans) if render else content_spans(text, spans)
-        loss = [(s, e) for role, s, e in said if role == loss_role]
-        rows.append((key, len(turns), text, [s for s, _ in spans], [e for _, e in spans], [s for s, _ in loss], [e for _, e in loss], rewrites))
+        unsure = []
+        if render:
+            found = [(k, said_span(text, turns, k, render)) for k, (role, _) in enumerate(turns) if role == loss_role]
+            loss, unsure = [span for _, span in found if span], [k for k, span in found if span is None]
+        else:
+            loss = [(s, e) for role, s, e in content_spans(text, spans) if role == loss_role]
+        rows.append((key, len(turns), text, [s for s, _ in spans], [e for _, e in spans], [s for s, _ in loss], [e for _, e in loss], rewrites, unsure))
         size += len(text)
         if size > 8 << 20:
             yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
@@ -144,7 +171,10 @@ def _format(frames: Iterable[pd.DataFrame], loss_role: str, render: Callable[[li
 
 
 def format_chats(turns: DataFrame, *, loss_role: str = "assistant", render: Callable[[list[Turn]], str] | None = None) -> DataFrame:
-    """One row a conversation: formatted text, span of each turn, loss mask, turns that rewrote history.
+    """One row a conversation: formatted text, span of each turn, loss mask, turns that rewrote history and turns whose text can't be told apart.
+
+    The mask of a template that is only called comes from probes (``said_span``); turns in ``unsure``
+    are not in it.
 
     ``render`` is any template, a function from turns to text that tasks can unpickle; without it
     the library's own is used, which alone escapes control strings. One shuffle on conv_id; a
