@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrykit.llm import decontaminate, minhash, packing, quality, secrets
 from quarrykit.llm.common import free_name
@@ -23,10 +22,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id."""
     kept = stored(minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    (row,) = free_name(docs, "_row")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = named.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return first.where(F.col(row) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    repeats = stored(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    if not repeats.isEmpty():
+        # Each task gives one row an id to the shuffle, so an id of very many rows is no burden.
+        (row,) = free_name(docs, "_row")
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        named = named.groupBy("doc_id").agg(F.min_by(whole, F.xxhash64("text")).alias(row)).select(f"{row}.*")
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

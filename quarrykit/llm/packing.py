@@ -22,11 +22,13 @@ BUCKETS = 8
 TOKEN_BUDGET = 16_384
 #: Rows that are numbered together: a bucket is dealt over as many groups as it needs.
 GROUP_ROWS = 2048
+#: Rows of one id and length (rows without an id, say) that a task unfolds at once.
+PIECE_ROWS = 65_536
 
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
-    """(length, rows) of each length that occurs, ascending."""
-    return sorted((r["n"], r["c"]) for r in lengths.groupBy("n").agg(F.count("*").alias("c")).collect())
+def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
+    """(length, rows, most rows of one id) of each length that occurs, ascending; ``lengths`` has a row an id and length, with its count."""
+    return sorted((r["n"], r["c"], r["most"]) for r in lengths.groupBy("n").agg(F.sum("c").alias("c"), F.max("c").alias("most")).collect())
 
 
 def best_bounds(lengths: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -77,12 +79,16 @@ def pack(
     Lengths come from ``length_col`` or are word counts of ``text_col``; they are computed once
     and kept in the shared folder. Rows of a bucket are dealt over groups by a hash of the id and
     numbered there; the rows of the groups before are added, so batches fill across groups, only
-    the last of a bucket is not full, and no bucket meets in one task.
+    the last of a bucket is not full, and no bucket meets in one task. Rows of one id and length
+    are alike here: they are counted before the shuffle, numbered as one row and unfolded after
+    it, so neither rows without an id nor an id of a third of all rows gather in a task.
     """
     spark = docs.sparkSession
     n = F.coalesce(F.col(length_col).cast("bigint"), F.lit(0)) if length_col else F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("bigint"), F.lit(0))
-    lengths = stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), n.alias("n")), "packing")
-    counts = histogram(lengths)
+    lengths = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), n.alias("n"))
+    lengths = stored(lengths.groupBy("doc_id", "n").agg(F.count("*").alias("c")), "packing")
+    found = histogram(lengths)
+    counts = [(m, c) for m, c, _ in found]
     bounds = best_bounds(counts, buckets)
     rows, low = [], -1
     for k, high in enumerate(bounds):
@@ -96,10 +102,16 @@ def pack(
     placed = lengths.withColumn("bucket", index).join(F.broadcast(table), "bucket")
     mixed = F.pmod(F.coalesce("doc_id", "n"), F.lit(1 << 31)) * F.lit(1103515245)
     placed = placed.withColumn("grp", F.pmod(F.shiftright(mixed, 8), F.col("groups")))
-    sizes = stored(placed.groupBy("bucket", "grp").agg(F.count("*").alias("size")), "groups")
+    sizes = stored(placed.groupBy("bucket", "grp").agg(F.sum("c").alias("size")), "groups")
     before = sizes.select("bucket", "grp", F.coalesce(F.sum("size").over(Window.partitionBy("bucket").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = placed.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "grp").orderBy("doc_id", "n")) - 1)
+    earlier = Window.partitionBy("bucket", "grp").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("r", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
     placed = numbered.join(before, ["bucket", "grp"]).withColumn("r", F.col("before") + F.col("r"))
+    placed = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(PIECE_ROWS))))
+    if max((most for *_, most in found), default=0) > PIECE_ROWS:
+        placed = placed.repartition("doc_id", "n", "piece")
+    placed = placed.withColumn("k", F.explode(F.sequence(F.col("piece"), F.least(F.col("piece") + PIECE_ROWS, F.col("c")) - 1)))
+    placed = placed.withColumn("r", F.col("r") + F.col("k"))
     return placed.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
