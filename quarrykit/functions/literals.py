@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions.tables import BLOB_CHARS, HOST_CHARS, LITERAL_CHARS, NOT_TLDS, PATH_CHARS, TLDS, TOOLS
 
+# What a literal must look like to be of a kind, and which kind goes first.
 #: White space as Unicode has it, spelled out: Java's \s is ASCII.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 WORD = r"\p{L}\p{N}_"

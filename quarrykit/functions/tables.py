@@ -100,4 +100,4 @@ STEERING = [(0x00, 0x08), (0x0B, 0x1F), (0x7F, 0x9F), (0x061C, 0x061C), (0x200B,
 
 # Limits of an inspection.
 BLOB_CHARS, LITERAL_CHARS, PATH_CHARS, HOST_CHARS = 200, 4096, 400, 253
-BODY_CHARS, NESTING, ALIAS_HOPS, SEARCH_NODES = 2 << 20, 180, 8, 2000
+BODY_CHARS, NESTING, ALIAS_HOPS = 2 << 20, 180, 8
