@@ -15,6 +15,7 @@ files; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -37,13 +38,19 @@ MAGIC = b"QKDAC001"
 CHUNK_BITS = 8
 RANK_BITS = 512  # bits that one entry of the rank directory covers
 ROLL_TOKENS = 3_000_000  # a file is closed beyond this many tokens
-MEMO = 600_000  # pieces whose ids a worker remembers (about 200 bytes each)
+MEMO = 600_000  # pieces whose ids a worker remembers (about 200 bytes each); the most used half outlives an overflow
 TOGETHER = 256  # new pieces that go to the library as one text
 MAX_TASKS = 10_000  # that files are read in
 CHARS = 4 << 20  # bytes of text that are encoded at once
 
 #: A space and then what is white space in no script, at both ends.
 _SEPARATE = re.compile(rb" [\x21-\x7e\xc3-\xe0\xe4-\xf4](?:.*(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe0\xe4-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}))?\Z", re.DOTALL)
+#: A run of letters of ASCII and Latin-1.
+_BARE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
+
+#: Kinds of bytes: ASCII letters; other ASCII but the space; that which is visible and no apostrophe; white space but the space.
+_LETTER, _OTHER, _MARK, _WHITE = 1, 2, 4, 8
+_KINDS = bytes(_LETTER if chr(b).isalpha() else _OTHER | _MARK * (0x20 < b < 0x7F and b != 0x27) | _WHITE * (0x09 <= b <= 0x0D) if b != 0x20 else 0 for b in range(128)) + bytes(128)
 
 
 def _pad(raw: bytes) -> bytes:
@@ -147,7 +154,8 @@ class Encoder:
     """A public tokenizer over whole texts.
 
     Byte-level pre-tokenizers never join what stands before a single space with what stands
-    behind it, so such texts are cut there. Pieces are told apart by their bytes (an Arrow
+    behind it, nor a word with the punctuation and line ends around it, so such texts are cut
+    there, but never inside an added token. Pieces are told apart by their bytes (an Arrow
     dictionary of a chunk's pieces, and a dictionary of those met before), and only new ones are
     given to the library, many behind each other in one text, whose ids are dealt back by the
     bytes that they stand for; the ids are those of the whole text. Any other tokenizer is given
@@ -161,14 +169,24 @@ class Encoder:
         shape = json.loads(spec)
         before = shape.get("pre_tokenizer") or {}
         self._pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not shape.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in shape.get("added_tokens", []))
+        self._added = [t["content"].encode() for t in shape.get("added_tokens", [])]
         self._lengths = _byte_lengths(self._tokenizer, shape) if self._pieces else None
-        self._forget()
-
-    def _forget(self) -> None:
         self._known: dict[bytes, int] = {}  # number of each piece met
+        self._uses = np.zeros(0, np.int32)  # chunks that it was met in
         self._bounds = np.zeros(1, np.int64)  # where its ids begin, and the end
         self._ids = np.zeros(0, np.uint32)
 
+    def _forget(self, keep: int) -> None:
+        """Forget all but the ``keep`` pieces met in most chunks."""
+        sizes, kept = np.diff(self._bounds), np.zeros(len(self._uses), bool)
+        kept[np.argsort(self._uses, kind="stable")[max(0, len(kept) - keep) :]] = True
+        pieces = list(itertools.compress(self._known, kept))
+        self._known = {}  # its memory goes before the next is built
+        self._known = dict(zip(pieces, range(len(pieces)), strict=True))
+        self._ids = self._ids[np.repeat(kept, sizes)]
+        self._bounds = np.concatenate([[0], np.cumsum(sizes[kept])])
+        self._uses = self._uses[kept] // 2
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for i in range(0, len(texts), 2048):
@@ -181,7 +199,7 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
 
     def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces that begin with a clean space and end with no white space."""
+        """The same for pieces that may stand behind each other: clean spaces begin them and no white space ends them, or words and line ends take turns."""
         if self._lengths is None:
             return self._apart(pieces)
         ids = np.concatenate([np.zeros(0, np.uint32), *self._encode([b"".join(pieces[i : i + TOGETHER]).decode("utf-8") for i in range(0, len(pieces), TOGETHER)])])
@@ -192,15 +210,36 @@ class Encoder:
         return self._apart(pieces)  # an id goes over a cut
 
     def _learn(self, pieces: list[bytes]) -> None:
-        clean, rest = [], []
+        clean, bare, rest = [], [], []
         for p in pieces:
-            (clean if _SEPARATE.match(p) else rest).append(p)
-        first, found = len(self._known), [self._together(clean), self._apart(rest)]
-        self._known.update(zip(clean + rest, range(first, first + len(pieces)), strict=True))
+            (clean if _SEPARATE.match(p) else bare if _BARE.match(p) else rest).append(p)
+        ids, sizes = self._together([x for p in bare for x in (p, b"\n")])
+        words = np.arange(len(sizes)) % 2 == 0
+        first, found = len(self._known), [self._together(clean), (ids[np.repeat(words, sizes)], sizes[words]), self._apart(rest)]
+        self._known.update(zip(clean + bare + rest, range(first, first + len(pieces)), strict=True))
+        self._uses = np.concatenate([self._uses, np.zeros(len(pieces), np.int32)])
         sizes = np.concatenate([n for _, n in found])
         self._bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(sizes)])
         self._ids = np.concatenate([self._ids, *(i for i, _ in found)])
 
+    def _look_up(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each piece, -1 where it is not known, and the places of those."""
+        numbers = np.fromiter(map(self._known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        return numbers, np.flatnonzero(numbers < 0)
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of different pieces; new ones are learned."""
+        numbers, missing = self._look_up(pieces)
+        if len(missing) and len(self._known) + len(missing) > MEMO:
+            self._forget(max(0, min(MEMO // 2, MEMO - len(pieces))))
+            numbers, missing = self._look_up(pieces)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            self._learn(new)
+            numbers[missing] = [self._known[p] for p in new]
+        self._uses[numbers] += 1
+        return numbers
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self._pieces:
             return self._encode(texts)
@@ -210,21 +249,18 @@ class Encoder:
         if not joined:
             return [np.zeros(0, np.uint32) for _ in texts]
         begins = ends - [len(h) for h in held]
-        cut = _clean_spaces(np.frombuffer(joined, np.uint8))
+        cut = _boundaries(joined)
+        for token in self._added:
+            at = joined.find(token) if len(token) > 1 else -1
+            while at >= 0:
+                cut[at + 1 : at + len(token)] = False
+                at = joined.find(token, at + 1)
         cut[begins[begins < ends]] = True
         cuts = np.flatnonzero(cut)
         data = [None, pa.py_buffer(np.append(cuts, len(joined))), pa.py_buffer(joined)]
         found = pa.Array.from_buffers(pa.large_binary(), len(cuts), data).dictionary_encode()
-        pieces = found.dictionary.to_pylist()
-        numbers = list(map(self._known.get, pieces))
-        if None in numbers:
-            new = [p for p, k in zip(pieces, numbers, strict=True) if k is None]
-            if len(self._known) + len(new) > MEMO:  # begin anew; what is common comes back at once
-                self._forget()
-                new = pieces
-            self._learn(new)
-            numbers = list(map(self._known.get, pieces))
-        at = np.array(numbers, np.int64)[found.indices.to_numpy()]
+        numbers = self._numbers(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = numbers[found.indices.to_numpy()]
         sizes = self._bounds[at + 1] - self._bounds[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         out = self._ids[np.repeat(self._bounds[at] - total[:-1], sizes) + np.arange(total[-1])]
@@ -251,6 +287,26 @@ def _clean_spaces(raw: np.ndarray) -> np.ndarray:
     return (here == 0x20) & ~white_before & ~white_behind
 
 
+def _boundaries(joined: bytes) -> np.ndarray:
+    """Whether a byte-level pre-tokenizer begins anew at each byte, as far as the bytes beside it tell.
+
+    It does at clean spaces, between a letter and other ASCII, and before a letter behind other
+    ASCII: not behind an apostrophe (contractions), and behind white space only where that is one
+    character. Letters are those of ASCII and Latin-1; of others nothing is said.
+    """
+    raw, kinds = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KINDS), np.uint8)
+    begin = (kinds & _LETTER).view(bool)
+    end = begin.copy()
+    wide = np.flatnonzero(raw[:-1] == 0xC3)
+    wide = wide[(raw[wide + 1] != 0x97) & (raw[wide + 1] != 0xB7)]
+    begin[wide] = end[wide + 1] = True
+    before = (kinds & _MARK) != 0  # what a letter stands apart from
+    before[1:] |= ((kinds[1:] & _WHITE) != 0) & (end | before)[:-1]
+    cut = _clean_spaces(raw)
+    cut[1:] |= end[:-1] & ((kinds[1:] & _OTHER) != 0) | before[:-1] & begin[1:]
+    return cut
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about CHARS bytes."""
     first, size = 0, 0
